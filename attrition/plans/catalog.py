@@ -340,3 +340,138 @@ FROM combos GROUP BY CUBE ({names})""", EXPLORED,
 @register("risk_segments", _risk_sql())
 def q_risk_segments(spark, sf):
     return P.risk_segments(explored(spark, sf), RISK_FLAGS, "Churn", positive="Yes")
+
+
+# ----------------------------------------------------------------------------- §2.4
+
+from attrition.functions.stats import normal_quantile  # noqa: E402
+from attrition.operators import stat_tests as ST  # noqa: E402
+
+_LONG_CATS = f"long AS ({unpivot('explored', CATS, ids=['Churn'])})"
+_CELLS = ("cells AS (SELECT variable, value AS level, Churn AS cls, count(*) AS o FROM long "
+          "WHERE value IS NOT NULL AND Churn IS NOT NULL GROUP BY variable, value, Churn)")
+
+
+@register("chi_square", sql(
+    """SELECT variable, round(n * (s - 1), 6) AS statistic, CAST((nr - 1) * (nc - 1) AS BIGINT) AS df,
+  round(sqrt(n * (s - 1) / (n * least(nr - 1, nc - 1))), 6) AS cramers_v,
+  round(sqrt(greatest(0.0, (s - 1) - (nc - 1) * (nr - 1) / (n - 1.0))
+        / least((nc - (nc - 1) * (nc - 1) / (n - 1.0)) - 1, (nr - (nr - 1) * (nr - 1) / (n - 1.0)) - 1)), 6)
+    AS cramers_v_adj,
+  CAST(n AS BIGINT) AS n
+FROM (SELECT variable, sum(o) AS n, sum(o * o / (r * cc)) AS s, count(DISTINCT level) AS nr,
+             count(DISTINCT cls) AS nc
+      FROM (SELECT *, sum(o) OVER (PARTITION BY variable, level) AS r,
+                   sum(o) OVER (PARTITION BY variable, cls) AS cc FROM cells) GROUP BY variable)""",
+    EXPLORED, _LONG_CATS, _CELLS))
+def q_chi_square(spark, sf):
+    return ST.chi_square(explored(spark, sf), CATS, "Churn", with_p=False)
+
+
+@register("chi_square_pvalues")
+def q_chi_square_pvalues(spark, sf):
+    """Full test output with p-values (χ² tail by a pandas UDF on the result rows)."""
+    return ST.chi_square(explored(spark, sf), CATS, "Churn")
+
+
+@register("level_goodness_of_fit", sql(
+    """SELECT variable, level, CAST(sum(o) AS BIGINT) AS n,
+  round(any_value(kk.k) / sum(o) * sum(o * o) - sum(o), 6) AS statistic, CAST(any_value(kk.k) - 1 AS BIGINT) AS df
+FROM cells JOIN (SELECT variable, count(DISTINCT cls) AS k FROM cells GROUP BY variable) kk USING (variable)
+GROUP BY variable, level""", EXPLORED, _LONG_CATS, _CELLS))
+def q_level_goodness_of_fit(spark, sf):
+    return ST.level_goodness_of_fit(explored(spark, sf), CATS, "Churn", with_p=False)
+
+
+@register("level_goodness_of_fit_pvalues")
+def q_level_goodness_of_fit_pvalues(spark, sf):
+    return ST.level_goodness_of_fit(explored(spark, sf), CATS, "Churn")
+
+
+_LONG_NUM_Y = f"long AS ({unpivot('explored', NUMS, ids=['Churn'], cast='DOUBLE')})"
+
+
+@register("mann_whitney", sql(
+    """SELECT variable, round(u, 6) AS u, round(2 * u / (n0 * n1) - 1, 6) AS rank_biserial,
+  round((u - n0 * n1 / 2.0 - sign(u - n0 * n1 / 2.0) * 0.5)
+        / sqrt(n0 * n1 / 12.0 * ((nn + 1) - ties / (nn * (nn - 1.0)))), 6) AS z,
+  round(median0, 6) AS median0, round(median1, 6) AS median1,
+  CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1
+FROM (SELECT a.*, t.ties, r0 - n0 * (n0 + 1) / 2.0 AS u FROM (
+        SELECT variable, count(*) AS nn, sum(y) AS n1, count(*) - sum(y) AS n0,
+               sum(CASE WHEN y = 0 THEN mr ELSE 0 END) AS r0,
+               quantile_cont(value, 0.5) FILTER (WHERE y = 0) AS median0,
+               quantile_cont(value, 0.5) FILTER (WHERE y = 1) AS median1
+        FROM r GROUP BY variable) a
+      JOIN (SELECT variable, sum(c * c * c - c) AS ties
+            FROM (SELECT variable, value, count(*) AS c FROM r GROUP BY variable, value) GROUP BY variable) t
+      USING (variable))""",
+    EXPLORED, _LONG_NUM_Y,
+    "r AS (SELECT variable, value, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS y, "
+    "rank() OVER (PARTITION BY variable ORDER BY value) + "
+    "(count(*) OVER (PARTITION BY variable, value) - 1) / 2.0 AS mr "
+    "FROM long WHERE value IS NOT NULL AND Churn IS NOT NULL)"))
+def q_mann_whitney(spark, sf):
+    return ST.mann_whitney(explored(spark, sf), NUMS, "Churn", positive="Yes", with_p=False)
+
+
+@register("mann_whitney_pvalues")
+def q_mann_whitney_pvalues(spark, sf):
+    return ST.mann_whitney(explored(spark, sf), NUMS, "Churn", positive="Yes")
+
+
+def _pairs_sql(cols):
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(f"SELECT '{a}|{b}' AS pair, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y "
+                         f"FROM customers_raw WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+    return "pp AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("spearman_matrix", sql(
+    """SELECT split_part(pair, '|', 1) AS var1, split_part(pair, '|', 2) AS var2, round(corr(rx, ry), 6) AS coef
+FROM (SELECT pair,
+        rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2.0 AS ry
+      FROM pp) GROUP BY pair""", _pairs_sql(NUMS)))
+def q_spearman_matrix(spark, sf):
+    return ST.spearman_matrix(customers_raw(spark, sf), NUMS)
+
+
+_LONG_NUM = f"long AS ({unpivot('customers_raw', NUMS, cast='DOUBLE')})"
+
+
+@register("normality", sql(
+    """SELECT variable, CAST(n AS BIGINT) AS n, round(sk, 6) AS skew, round(ku, 6) AS kurt,
+  round(n / 6.0 * (sk * sk + ku * ku / 4.0), 6) AS jb, round(exp(-(n / 6.0 * (sk * sk + ku * ku / 4.0)) / 2.0), 6) AS jb_p
+FROM (SELECT variable, any_value(n) AS n, avg(power(value - mu, 3)) / power(avg(power(value - mu, 2)), 1.5) AS sk,
+             avg(power(value - mu, 4)) / power(avg(power(value - mu, 2)), 2) - 3 AS ku
+      FROM long JOIN (SELECT variable, count(*) AS n, avg(value) AS mu FROM long WHERE value IS NOT NULL
+                      GROUP BY variable) m USING (variable)
+      WHERE value IS NOT NULL GROUP BY variable)""", _LONG_NUM))
+def q_normality(spark, sf):
+    return ST.normality(customers_raw(spark, sf), NUMS)
+
+
+@register("ks_normal")
+def q_ks_normal(spark, sf):
+    return ST.ks_normal(customers_raw(spark, sf), NUMS)
+
+
+_QQ_K = 99
+
+
+def _qq_sql():
+    probs = ", ".join(f"{i / (_QQ_K + 1)!r}" for i in range(1, _QQ_K + 1))
+    theo = ", ".join(f"({i}, {normal_quantile(i / (_QQ_K + 1))!r})" for i in range(1, _QQ_K + 1))
+    return sql(f"""SELECT variable, round(i / {float(_QQ_K + 1)}, 6) AS p, round(t, 6) AS theoretical,
+  round(empirical, 6) AS empirical
+FROM (SELECT variable, unnest(range(1, {_QQ_K + 1})) AS i, unnest(qs) AS empirical
+      FROM (SELECT variable, quantile_cont(value, [{probs}]) AS qs FROM long WHERE value IS NOT NULL
+            GROUP BY variable)) JOIN (VALUES {theo}) th(i, t) USING (i)""", _LONG_NUM)
+
+
+@register("qq_points", _qq_sql())
+def q_qq_points(spark, sf):
+    return ST.qq_points(customers_raw(spark, sf), NUMS, k=_QQ_K)
