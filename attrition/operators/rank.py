@@ -43,34 +43,42 @@ def distinct_counts(df: DataFrame, cols, label: str | None = None, positive=1) -
     return long.groupBy("variable", "value").agg(*aggs)
 
 
-def prefix_sums(d: DataFrame, keys, order: str, measures, partitions: int | None = None) -> DataFrame:
+def prefix_sums(d: DataFrame, keys, order: str, measures, partitions: int | None = None,
+                maxes=()) -> DataFrame:
     """``d`` plus ``cum_<m>``: sum of ``m`` over rows with the same keys and a
     strictly smaller ``order`` value (exclusive prefix). ``order`` must be
-    unique within keys (pre-aggregate first)."""
-    keys, measures = list(keys), list(measures)
+    unique within keys (pre-aggregate first). For each column in ``maxes``,
+    ``prev_<m>`` is the running max over those earlier rows (for ``m`` =
+    ``order`` that is the previous distinct value — a lag without a global
+    window)."""
+    keys, measures, maxes = list(keys), list(measures), list(maxes)
     spark = d.sparkSession
     checkpoint_root(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = d.repartitionByRange(parts, *keys, order).withColumn("_pid", F.spark_partition_id())
     r = r.checkpoint(eager=True)
-    tot = r.groupBy("_pid", *keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    tot = r.groupBy("_pid", *keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures],
+                                       *[F.max(m).alias(f"_tm_{m}") for m in maxes])
     w_off = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{m}").over(w_off), F.lit(0)).alias(f"_o_{m}")
-                                      for m in measures])
+    off = tot.select("_pid", *keys,
+                     *[F.coalesce(F.sum(f"_t_{m}").over(w_off), F.lit(0)).alias(f"_o_{m}") for m in measures],
+                     *[F.max(f"_tm_{m}").over(w_off).alias(f"_om_{m}") for m in maxes])
     j = r.join(F.broadcast(off), ["_pid", *keys])
     w_loc = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return j.select(*d.columns, *[
         (F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(w_loc), F.lit(0))).alias(f"cum_{m}")
-        for m in measures])
+        for m in measures], *[
+        F.greatest(F.col(f"_om_{m}"), F.max(m).over(w_loc)).alias(f"prev_{m}") for m in maxes])
 
 
-def prefix_sums_naive(d: DataFrame, keys, order: str, measures) -> DataFrame:
+def prefix_sums_naive(d: DataFrame, keys, order: str, measures, maxes=()) -> DataFrame:
     """Same result with one window per key — the single-task baseline for benches."""
     w = (Window.partitionBy(*keys) if keys else Window).orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, -1)
     return d.select(*d.columns, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"cum_{m}")
-                                  for m in measures])
+                                  for m in measures],
+                    *[F.max(m).over(w).alias(f"prev_{m}") for m in maxes])
 
 
 def quantile_values(p: DataFrame, keys, order: str, count_col: str, probs: dict) -> DataFrame:

@@ -475,3 +475,220 @@ FROM (SELECT variable, unnest(range(1, {_QQ_K + 1})) AS i, unnest(qs) AS empiric
 @register("qq_points", _qq_sql())
 def q_qq_points(spark, sf):
     return ST.qq_points(customers_raw(spark, sf), NUMS, k=_QQ_K)
+
+
+# ----------------------------------------------------------------------------- §2.5 / §2.7 scaler
+
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from attrition.config import SAMPLE_SEED, SAMPLE_SIZE, SPLIT_SEED  # noqa: E402
+from attrition.operators import evaluate as EV  # noqa: E402
+from attrition.operators import scale as SC  # noqa: E402
+from attrition.operators import split as SP  # noqa: E402
+from attrition.plans.oracle_sql import fold_expr, split_flag  # noqa: E402
+
+FOLD_SEED = 7
+_SPLIT = f"splitted AS (SELECT *, {split_flag(SPLIT_SEED)} AS is_train FROM prepared)"
+
+
+def split_prepared(spark, sf):
+    return SP.split_train_test(prepared(spark, sf), "customerID", 0.8, SPLIT_SEED)
+
+
+@register("split_train_test", sql("SELECT customerID, Churn, is_train FROM splitted", EXPLORED, PREPARED, _SPLIT))
+def q_split_train_test(spark, sf):
+    return split_prepared(spark, sf).select("customerID", "Churn", "is_train")
+
+
+@register("split_stratified", sql(
+    f"""SELECT customerID, Churn, row_number() OVER (PARTITION BY Churn ORDER BY
+      md5('{SPLIT_SEED}:' || customerID) || customerID) <= ceil(0.8 * count(*) OVER (PARTITION BY Churn)) AS is_train
+FROM prepared""", EXPLORED, PREPARED))
+def q_split_stratified(spark, sf):
+    df = SP.split_train_test(prepared(spark, sf), "customerID", 0.8, SPLIT_SEED, stratify="Churn")
+    return df.select("customerID", "Churn", "is_train")
+
+
+@register("anti_split", sql("SELECT * EXCLUDE (is_train) FROM splitted WHERE NOT is_train",
+                            EXPLORED, PREPARED, _SPLIT))
+def q_anti_split(spark, sf):
+    df = prepared(spark, sf)
+    train = SP.split_train_test(df, "customerID", 0.8, SPLIT_SEED).filter("is_train")
+    return SP.anti_split(df, train, "customerID")
+
+
+@register("sample_n", sql(
+    f"SELECT * EXCLUDE (Churn) FROM prepared ORDER BY md5('{SAMPLE_SEED}:' || customerID), customerID "
+    f"LIMIT {SAMPLE_SIZE}", EXPLORED, PREPARED))
+def q_sample_n(spark, sf):
+    return SP.sample_n(prepared(spark, sf), "customerID", SAMPLE_SIZE, SAMPLE_SEED, drop="^Churn$")
+
+
+@register("kfold_assign", sql(f"SELECT customerID, {fold_expr(FOLD_SEED, 10)} AS fold FROM prepared",
+                              EXPLORED, PREPARED))
+def q_kfold_assign(spark, sf):
+    return SP.kfold_assign(prepared(spark, sf), "customerID", 10, FOLD_SEED).select("customerID", "fold")
+
+
+@register("class_weight", sql(
+    "SELECT CAST(count(*) FILTER (WHERE Churn <> 1) AS BIGINT) AS n_neg, "
+    "CAST(count(*) FILTER (WHERE Churn = 1) AS BIGINT) AS n_pos, "
+    "round(count(*) FILTER (WHERE Churn <> 1) / count(*) FILTER (WHERE Churn = 1), 6) AS weight "
+    "FROM splitted WHERE is_train", EXPLORED, PREPARED, _SPLIT))
+def q_class_weight(spark, sf):
+    return P.class_weight(split_prepared(spark, sf).filter("is_train"), "Churn", positive=1)
+
+
+def _scaler_sql():
+    parts = [f"SELECT '{f}' AS feature, CAST(min({f}) AS DOUBLE) AS lo, CAST(max({f}) AS DOUBLE) AS hi "
+             f"FROM splitted WHERE is_train" for f in FEATURES]
+    return " UNION ALL ".join(parts)
+
+
+@register("fit_range_scaler", sql(_scaler_sql(), EXPLORED, PREPARED, _SPLIT))
+def q_fit_range_scaler(spark, sf):
+    return SC.fit_range_scaler(split_prepared(spark, sf).filter("is_train"), FEATURES)
+
+
+def _apply_scaler_sql():
+    cols = []
+    for f in FEATURES:
+        lo, hi = f"(SELECT lo FROM sc WHERE feature = '{f}')", f"(SELECT hi FROM sc WHERE feature = '{f}')"
+        cols.append(f"round(CASE WHEN {hi} = {lo} THEN CASE WHEN {f} IS NULL THEN NULL ELSE 0.0 END "
+                    f"ELSE ({f} - {lo}) / ({hi} - {lo}) END, 6) AS {f}")
+    return sql(f"SELECT customerID, {', '.join(cols)} FROM splitted WHERE NOT is_train",
+               EXPLORED, PREPARED, _SPLIT, f"sc AS ({_scaler_sql()})")
+
+
+@register("apply_range_scaler", _apply_scaler_sql())
+def q_apply_range_scaler(spark, sf):
+    df = split_prepared(spark, sf)
+    scaler = SC.fit_range_scaler(df.filter("is_train"), FEATURES)
+    scaled = SC.apply_range_scaler(df.filter(~F.col("is_train")), scaler, FEATURES)
+    return scaled.select("customerID", *[F.round(f, 6).alias(f) for f in FEATURES])
+
+
+@register("assemble_matrix")
+def q_assemble_matrix(spark, sf):
+    m = SC.assemble_matrix(prepared(spark, sf), FEATURES, keep=["customerID"])
+    return m.select("customerID", vector_to_array("features").alias("features"), "Churn")
+
+
+# ----------------------------------------------------------------------------- §2.6 metrics
+# Oracle-tested on a deterministic synthetic score (no model), over the test split.
+
+_SCORE_SQL = "((72 - tenure) * 200 + CAST(floor(MonthlyCharges) AS INTEGER)) / 15000.0"
+_TEST = f"test AS (SELECT customerID, Churn AS label, {_SCORE_SQL} AS score FROM splitted WHERE NOT is_train)"
+_ROC_ROWS = """roc AS (
+  SELECT CASE WHEN prev IS NULL THEN CAST('-inf' AS DOUBLE) ELSE (prev + s) / 2.0 END AS threshold,
+         round(((SELECT sum(n_pos) FROM d) - cum_pos) / (SELECT sum(n_pos) FROM d), 6) AS sensitivity,
+         round((cum_n - cum_pos) / (SELECT sum(n) - sum(n_pos) FROM d), 6) AS specificity
+  FROM (SELECT s, coalesce(sum(n) OVER w, 0) AS cum_n, coalesce(sum(n_pos) OVER w, 0) AS cum_pos,
+               lag(s) OVER (ORDER BY s) AS prev
+        FROM d WINDOW w AS (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 1.0)"""
+_D = "d AS (SELECT score AS s, count(*) AS n, sum(label) AS n_pos FROM test GROUP BY score)"
+_METRIC_CTES = (EXPLORED, PREPARED, _SPLIT, _TEST)
+
+
+def synthetic_scores(spark, sf):
+    df = split_prepared(spark, sf).filter(~F.col("is_train"))
+    score = ((72 - F.col("tenure")) * 200 + F.floor("MonthlyCharges").cast("int")) / 15000.0
+    return df.select("customerID", F.col("Churn").alias("label"), score.alias("score"))
+
+
+@register("roc_curve", sql(
+    "SELECT threshold, sensitivity AS tpr, round(1 - specificity, 6) AS fpr, sensitivity, specificity FROM roc",
+    *_METRIC_CTES, _D, _ROC_ROWS))
+def q_roc_curve(spark, sf):
+    return EV.roc_curve(synthetic_scores(spark, sf), "score", "label")
+
+
+_AUC_SQL = sql(
+    """SELECT round((sum(CASE WHEN label = 1 THEN mr ELSE 0 END) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auc,
+  CAST(n1 AS BIGINT) AS n_pos, CAST(n0 AS BIGINT) AS n_neg
+FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mr,
+             sum(label) OVER () AS n1, count(*) OVER () - sum(label) OVER () AS n0 FROM test)
+GROUP BY n1, n0""", *_METRIC_CTES)
+
+
+@register("auc", _AUC_SQL)
+def q_auc(spark, sf):
+    return EV.auc(synthetic_scores(spark, sf), "score", "label")
+
+
+@register("auc_window", _AUC_SQL)
+def q_auc_window(spark, sf):
+    """Same AUC through the single-task window (baseline kept for the bench)."""
+    return EV.auc(synthetic_scores(spark, sf), "score", "label", method="window")
+
+
+@register("youden_threshold", sql(
+    "SELECT threshold, sensitivity, specificity, round(sensitivity + specificity - 1, 6) AS j FROM roc "
+    "ORDER BY j DESC, threshold ASC LIMIT 1", *_METRIC_CTES, _D, _ROC_ROWS))
+def q_youden_threshold(spark, sf):
+    return EV.youden_threshold(synthetic_scores(spark, sf), "score", "label")
+
+
+_PRED = "pred AS (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred FROM test)"
+_CM = ("cm AS (SELECT count(*) FILTER (WHERE pred = 1 AND label = 1) AS tp, "
+       "count(*) FILTER (WHERE pred = 1 AND label <> 1) AS fp, "
+       "count(*) FILTER (WHERE pred <> 1 AND label <> 1) AS tn, "
+       "count(*) FILTER (WHERE pred <> 1 AND label = 1) AS fn FROM pred)")
+
+
+def scored_predictions(spark, sf):
+    return EV.apply_threshold(synthetic_scores(spark, sf), "score", 0.5)
+
+
+@register("apply_threshold", sql("SELECT customerID, label, score, pred FROM pred", *_METRIC_CTES, _PRED))
+def q_apply_threshold(spark, sf):
+    return scored_predictions(spark, sf)
+
+
+@register("confusion_matrix", sql("SELECT * FROM cm", *_METRIC_CTES, _PRED, _CM))
+def q_confusion_matrix(spark, sf):
+    return EV.confusion_matrix(scored_predictions(spark, sf), "pred", "label")
+
+
+_WIDE = """wide AS (SELECT
+  (tp + tn) / n AS accuracy,
+  ((tp + tn) / n - pe) / (1 - pe) AS kappa,
+  tp / (tp + fn) AS sensitivity, tn / (tn + fp) AS specificity, tp / (tp + fp) AS ppv, tn / (tn + fn) AS npv,
+  tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
+  2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) AS f1,
+  (tp + fn) / n AS prevalence, tp / n AS detection_rate, (tp + fp) / n AS detection_prevalence,
+  ((tp / (tp + fn)) + (tn / (tn + fp))) / 2 AS balanced_accuracy,
+  greatest(tp + fn, fp + tn) / n AS no_information_rate,
+  (abs(fp - fn) - 1) * (abs(fp - fn) - 1) / (fp + fn) AS mcnemar_statistic
+FROM (SELECT CAST(tp AS DOUBLE) tp, CAST(fp AS DOUBLE) fp, CAST(tn AS DOUBLE) tn, CAST(fn AS DOUBLE) fn,
+             CAST(tp + fp + tn + fn AS DOUBLE) AS n,
+             ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / CAST((tp + fp + tn + fn) * (tp + fp + tn + fn) AS DOUBLE) AS pe
+      FROM cm))"""
+
+
+@register("classification_metrics", sql(
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, round({m}, 6) AS value FROM wide" for m in EV.METRICS),
+    *_METRIC_CTES, _PRED, _CM, _WIDE))
+def q_classification_metrics(spark, sf):
+    return EV.classification_metrics(scored_predictions(spark, sf), "pred", "label")
+
+
+def _scorecard_sql():
+    from attrition.config import SCORECARD_INDICATORS as IND
+    auc_val = ("(SELECT round((sum(CASE WHEN label = 1 THEN mr ELSE 0 END) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) "
+               "FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mr, "
+               "sum(label) OVER () AS n1, count(*) OVER () - sum(label) OVER () AS n0 FROM test) GROUP BY n1, n0)")
+    vals = [auc_val, "accuracy", "recall", "precision", "f1"]
+    rows = " UNION ALL ".join(f"SELECT '{i}' AS indicator, round({v}, 3) AS value FROM wide" for i, v in zip(IND, vals))
+    return sql(f"""SELECT indicator, value,
+  regexp_replace(CAST(round(value * 100, 1) AS VARCHAR), '\\.0$', '') || '%' AS pct,
+  CASE WHEN value >= 0.8 THEN 'green' WHEN value >= 0.65 THEN 'yellow' ELSE 'red' END AS band,
+  CAST(row_number() OVER (ORDER BY value ASC, indicator ASC) AS INTEGER) AS position
+FROM ({rows})""", *_METRIC_CTES, _PRED, _CM, _WIDE)
+
+
+@register("scorecard", _scorecard_sql())
+def q_scorecard(spark, sf):
+    s = scored_predictions(spark, sf)
+    return EV.scorecard(s, "pred", "label", EV.auc(s, "score", "label"))
