@@ -692,3 +692,311 @@ FROM ({rows})""", *_METRIC_CTES, _PRED, _CM, _WIDE)
 def q_scorecard(spark, sf):
     s = scored_predictions(spark, sf)
     return EV.scorecard(s, "pred", "label", EV.auc(s, "score", "label"))
+
+
+# ----------------------------------------------------------------------------- §2.7 learning
+# Model-dependent results have no SQL oracle (MLlib training); rows-only
+# checks here, properties in tests/ (SHAP additivity, staged = model margin).
+
+from pyspark.sql import types as T  # noqa: E402
+
+from attrition.config import CONTINUOUS_FEATURES  # noqa: E402
+from attrition.operators import explain as XP  # noqa: E402
+from attrition.operators import model as M  # noqa: E402
+from attrition.operators import score as SCO  # noqa: E402
+from attrition.plans import training as TR  # noqa: E402
+from attrition.session import scratch_path  # noqa: E402
+from attrition.sources import io as IO  # noqa: E402
+
+MODEL_PARAMS = {"max_depth": 3, "eta": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "rounds": 20}
+
+
+def fitted(spark, sf):
+    return TR.fitted_for(spark, sf, prepared, MODEL_PARAMS)
+
+
+@register("train_gbt")
+def q_train_gbt(spark, sf):
+    """Fit on the train split; test-set positive-class probabilities."""
+    fit = fitted(spark, sf)
+    s = TR.scored(fit.test, fit.artifacts)
+    return s.select("customerID", "Churn", F.round("proba", 6).alias("proba"))
+
+
+@register("tune_gbt")
+def q_tune_gbt(spark, sf):
+    """Grid search with 3 hash folds over a 2-point grid (full 108-point grid by config)."""
+    fit = fitted(spark, sf)
+    train = SP.kfold_assign(fit.train, "customerID", 3, FOLD_SEED)
+    train = M.with_class_weight(train, "Churn", fit.weight)
+    grid = {"max_depth": [3, 4], "eta": [0.1], "subsample": [0.8], "colsample_bytree": [0.8]}
+    return M.tune_gbt(train, FEATURES, "Churn", grid, fold_col="fold", weight="w", rounds=10)
+
+
+@register("staged_scores")
+def q_staged_scores(spark, sf):
+    fit = fitted(spark, sf)
+    return M.staged_scores(fit.test, fit.artifacts.model, FEATURES, "customerID", keep=["Churn"])
+
+
+@register("select_rounds")
+def q_select_rounds(spark, sf):
+    fit = fitted(spark, sf)
+    staged = M.staged_scores(fit.test, fit.artifacts.model, FEATURES, "customerID", keep=["Churn"])
+    return M.select_rounds(staged, "Churn", patience=20)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    return M.feature_importance(fitted(spark, sf).artifacts.model, FEATURES, top=10)
+
+
+@register("shap_values")
+def q_shap_values(spark, sf):
+    fit = fitted(spark, sf)
+    return XP.shap_values(fit.test, fit.artifacts.model, FEATURES, "customerID", top=10)
+
+
+@register("shap_summary")
+def q_shap_summary(spark, sf):
+    fit = fitted(spark, sf)
+    return XP.shap_summary(XP.shap_values(fit.test, fit.artifacts.model, FEATURES, "customerID"), top=10)
+
+
+# ----------------------------------------------------------------------------- §2.8 scoring contract
+# Stand-in scoring input: the prepared features with injected bad values and a
+# differently-cased id column (as an upload or API payload would carry).
+
+def dirty_input(spark, sf):
+    df = prepared(spark, sf)
+    k = F.substring("customerID", 2, 20).cast("long")
+    return df.select(
+        F.col("customerID").alias("Customer_ID"),
+        *[(F.when(k % 50 == 0, F.lit(-1)).otherwise(F.col(f)) if f == "tenure" else
+           F.when(k % 70 == 0, F.lit(0.0)).otherwise(F.col(f)) if f == "MonthlyCharges" else
+           F.when(k % 90 == 0, F.lit(2)).otherwise(F.col(f)) if f == "gender" else
+           F.when(k % 110 == 0, F.lit(None).cast("int")).otherwise(F.col(f)) if f == "Partner" else
+           F.col(f)).alias(f) for f in FEATURES],
+        F.lit("x").alias("note"))
+
+
+def _dirty_sql():
+    cols = []
+    for f in FEATURES:
+        if f == "tenure":
+            cols.append("CASE WHEN k % 50 = 0 THEN -1 ELSE tenure END AS tenure")
+        elif f == "MonthlyCharges":
+            cols.append("CASE WHEN k % 70 = 0 THEN 0.0 ELSE MonthlyCharges END AS MonthlyCharges")
+        elif f == "gender":
+            cols.append("CASE WHEN k % 90 = 0 THEN 2 ELSE gender END AS gender")
+        elif f == "Partner":
+            cols.append("CASE WHEN k % 110 = 0 THEN NULL ELSE Partner END AS Partner")
+        else:
+            cols.append(f)
+    return ("dirty AS (SELECT customerID AS Customer_ID, " + ", ".join(cols) + ", 'x' AS note FROM "
+            "(SELECT *, CAST(substr(customerID, 2) AS BIGINT) AS k FROM prepared))")
+
+
+_DIRTY = (EXPLORED, PREPARED, _dirty_sql())
+_BINARY = [f for f in FEATURES if f not in CONTINUOUS_FEATURES]
+
+
+def _bin_bad(f):
+    return f"({f} IS NULL OR {f} NOT IN (0, 1))"
+
+
+@register("validate_schema", sql(
+    "SELECT * FROM (VALUES ('Contract_Two_year', 'missing'), ('note', 'extra')) t(\"column\", status) "
+    "UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{f}', 'ok')" for f in FEATURES if f != "Contract_Two_year")
+    + ") u(\"column\", status) UNION ALL SELECT 'rows' AS \"column\", CAST(count(*) AS VARCHAR) AS status FROM dirty",
+    *_DIRTY))
+def q_validate_schema(spark, sf):
+    df = dirty_input(spark, sf).drop("Contract_Two_year")
+    rows = df.agg(F.lit("rows").alias("column"), F.count(F.lit(1)).cast("string").alias("status"))
+    return SCO.validate_schema(df, FEATURES).unionByName(rows)
+
+
+@register("validate_tenure", sql("SELECT Customer_ID, tenure, coalesce(tenure < 0, false) AS tenure_invalid FROM dirty",
+                                 *_DIRTY))
+def q_validate_tenure(spark, sf):
+    return SCO.validate_tenure(dirty_input(spark, sf)).select("Customer_ID", "tenure", "tenure_invalid")
+
+
+@register("validate_charges", sql(
+    "SELECT Customer_ID, MonthlyCharges, coalesce(MonthlyCharges <= 0, false) AS charges_invalid FROM dirty", *_DIRTY))
+def q_validate_charges(spark, sf):
+    return SCO.validate_charges(dirty_input(spark, sf)).select("Customer_ID", "MonthlyCharges", "charges_invalid")
+
+
+@register("validate_binary", sql(
+    "SELECT Customer_ID, concat_ws(',', " + ", ".join(f"CASE WHEN {_bin_bad(f)} THEN '{f}' END" for f in _BINARY)
+    + ") AS invalid_columns FROM dirty", *_DIRTY))
+def q_validate_binary(spark, sf):
+    df = SCO.validate_binary(dirty_input(spark, sf), _BINARY)
+    return df.select("Customer_ID", F.concat_ws(",", "invalid_columns").alias("invalid_columns"))
+
+
+@register("validation_report", sql(
+    "SELECT 'tenure' AS rule, 'tenure' AS column, CAST(count(*) FILTER (WHERE tenure < 0) AS BIGINT) AS n_bad FROM dirty "
+    "UNION ALL SELECT 'MonthlyCharges', 'MonthlyCharges', CAST(count(*) FILTER (WHERE MonthlyCharges <= 0) AS BIGINT) "
+    "FROM dirty UNION ALL " + " UNION ALL ".join(
+        f"SELECT 'binary', '{f}', CAST(count(*) FILTER (WHERE {_bin_bad(f)}) AS BIGINT) FROM dirty" for f in _BINARY),
+    *_DIRTY))
+def q_validation_report(spark, sf):
+    return SCO.validation_report(dirty_input(spark, sf), FEATURES)
+
+
+@register("resolve_id", sql("SELECT CAST(Customer_ID AS VARCHAR) AS id_client, tenure FROM dirty", *_DIRTY))
+def q_resolve_id(spark, sf):
+    return SCO.resolve_id(dirty_input(spark, sf)).select("id_client", "tenure")
+
+
+@register("row_ids", sql(
+    "SELECT 'CLIENT_' || CAST(row_number() OVER (ORDER BY customerID) AS VARCHAR) AS id_client, customerID "
+    "FROM prepared", EXPLORED, PREPARED))
+def q_row_ids(spark, sf):
+    from attrition.operators.rank import row_ids
+    return row_ids(prepared(spark, sf).select("customerID"), order_by="customerID")
+
+
+def _reasons_sql():
+    parts = ["CASE WHEN tenure < 0 THEN 'tenure' END",
+             "CASE WHEN MonthlyCharges <= 0 THEN 'MonthlyCharges' END"]
+    parts += [f"CASE WHEN {_bin_bad(f)} THEN 'binary:{f}' END" for f in _BINARY]
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+@register("score_rejects", sql(
+    f"SELECT id_client, reasons FROM (SELECT CAST(Customer_ID AS VARCHAR) AS id_client, {_reasons_sql()} AS reasons "
+    "FROM dirty) WHERE reasons <> ''", *_DIRTY))
+def q_score_rejects(spark, sf):
+    """Quarantine mode: the reject table (id and reasons) of a dirty batch."""
+    _, rejected = SCO.score_batch(dirty_input(spark, sf), fitted(spark, sf).artifacts, mode="quarantine")
+    return rejected.select("id_client", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    """Quarantine mode: scored rows of a dirty batch (bad rows excluded)."""
+    scored_rows, _ = SCO.score_batch(dirty_input(spark, sf), fitted(spark, sf).artifacts, mode="quarantine")
+    return scored_rows
+
+
+@register("score_upload")
+def q_score_upload(spark, sf):
+    """Upload path: CSV written from the features (with 'NA' and junk tokens),
+    scanned as text, scored leniently."""
+    path = scratch_path(spark, "upload")
+    df = dirty_input(spark, sf)
+    k = F.substring("Customer_ID", 2, 20).cast("long")
+    txt = df.select("Customer_ID", *[
+        (F.when(k % 13 == 0, F.lit("NA")).when(k % 17 == 0, F.lit("abc")).otherwise(F.col(f).cast("string"))
+         if f == "MonthlyCharges" else F.col(f).cast("string")).alias(f) for f in FEATURES], "note")
+    IO.sink_table(txt, path, fmt="csv")
+    up = IO.scan_upload(spark, path, columns=txt.columns)
+    return SCO.score_upload(up, fitted(spark, sf).artifacts)
+
+
+def synthetic_decisions(spark, sf):
+    return scored_predictions(spark, sf).select(
+        "customerID", F.round("score", 4).alias("churn_proba"), F.col("pred").alias("churn_class"))
+
+
+@register("decision_labels", sql(
+    "SELECT customerID, round(score, 4) AS churn_proba, pred AS churn_class, round(round(score, 4) * 100, 2) AS proba_pct, "
+    "CASE WHEN pred = 1 THEN 'Risque Churn' ELSE 'Client Fidèle' END AS status, "
+    "CASE WHEN pred = 1 THEN 'Churn' ELSE 'Stable' END AS class_label FROM pred", *_METRIC_CTES, _PRED))
+def q_decision_labels(spark, sf):
+    return SCO.decision_labels(synthetic_decisions(spark, sf))
+
+
+# ----------------------------------------------------------------------------- §2.1 sources / sinks
+
+@register("scan_csv", sql("SELECT * FROM customers_raw"))
+def q_scan_csv(spark, sf):
+    """Round trip: the raw table written as header CSV, scanned with its schema."""
+    raw = customers_raw(spark, sf)
+    path = scratch_path(spark, "raw-csv")
+    IO.sink_table(raw, path, fmt="csv")
+    return IO.scan_csv(spark, path, raw.schema)
+
+
+@register("scan_upload")
+def q_scan_upload(spark, sf):
+    path = scratch_path(spark, "upload-scan")
+    df = dirty_input(spark, sf).select("Customer_ID", *[F.col(f).cast("string").alias(f) for f in FEATURES])
+    k = F.substring("Customer_ID", 2, 20).cast("long")
+    df = df.withColumn("tenure", F.when(k % 11 == 0, F.lit(" NA ")).otherwise(F.concat(F.lit(" "), "tenure")))
+    IO.sink_table(df, path, fmt="csv")
+    return IO.scan_upload(spark, path, columns=df.columns)
+
+
+@register("scan_json_profiles")
+def q_scan_json_profiles(spark, sf):
+    """Profiles written as JSON lines (every 37th record truncated), read back
+    with a permissive schema: malformed records kept in _corrupt_record."""
+    path = scratch_path(spark, "profiles-json")
+    df = dirty_input(spark, sf)
+    k = F.substring("Customer_ID", 2, 20).cast("long")
+    js = F.to_json(F.struct(F.col("Customer_ID").alias("customerID"), *FEATURES))
+    df.select(F.when(k % 37 == 0, F.substring(js, 1, 25)).otherwise(js).alias("value")).write.text(path)
+    return IO.scan_json_profiles(spark, path, FEATURES, multi_line=False)
+
+
+@register("sink_table", sql("SELECT * FROM prepared", EXPLORED, PREPARED))
+def q_sink_table(spark, sf):
+    path = scratch_path(spark, "prepared")
+    IO.sink_table(prepared(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("sink_predictions")
+def q_sink_predictions(spark, sf):
+    path = scratch_path(spark, "predictions")
+    preds = SCO.score_upload(dirty_input(spark, sf), fitted(spark, sf).artifacts)
+    IO.sink_predictions(preds, path, run_date="2026-01-01")
+    schema = T.StructType([T.StructField(n, t) for n, t in [
+        ("ID_CLIENT", T.StringType()), ("Churn_Proba", T.DoubleType()), ("Churn_Class", T.IntegerType()),
+        ("Commentaire", T.StringType()), ("run_date", T.StringType())]])
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@register("save_artifacts", sql(
+    "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(FEATURES)) + ") t(pos, feature)"))
+def q_save_artifacts(spark, sf):
+    """Round trip of the artefacts; returns the stored feature contract."""
+    path = scratch_path(spark, "artifacts")
+    IO.save_artifacts(spark, path, fitted(spark, sf).artifacts)
+    return spark.read.parquet(f"{path}/features")
+
+
+@register("load_artifacts")
+def q_load_artifacts(spark, sf):
+    """Saved then loaded artefacts score the test rows like the in-memory ones."""
+    path = scratch_path(spark, "artifacts")
+    art = fitted(spark, sf).artifacts
+    IO.save_artifacts(spark, path, art)
+    loaded = IO.load_artifacts(spark, path)
+    test = dirty_input(spark, sf)
+    scored_rows, _ = SCO.score_batch(test, loaded, mode="quarantine")
+    return scored_rows.select("id_client", "churn_proba", F.lit(loaded.threshold).alias("threshold"))
+
+
+# ----------------------------------------------------------------------------- §2.10 streaming
+
+@register("score_stream")
+def q_score_stream(spark, sf):
+    """JSON-lines files of profiles → streaming scorer (availableNow) → scored
+    and reject tables; returns the scored rows read back."""
+    from attrition.streaming.score_stream import read_profile_stream, score_stream
+    root = scratch_path(spark, "stream")
+    src = f"{root}/in"
+    df = dirty_input(spark, sf)
+    k = F.substring("Customer_ID", 2, 20).cast("long")
+    js = F.to_json(F.struct(F.col("Customer_ID").alias("customerID"), *FEATURES))
+    df.select(F.when(k % 37 == 0, F.substring(js, 1, 25)).otherwise(js).alias("value")) \
+        .repartition(4).write.text(src)
+    q = score_stream(read_profile_stream(spark, src, FEATURES, max_files=2), fitted(spark, sf).artifacts,
+                     f"{root}/scored", f"{root}/rejected", f"{root}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/scored")
