@@ -127,6 +127,6 @@ def scorecard(df: DataFrame, pred: str, label: str, auc_df: DataFrame, positive=
     long = wide.select(F.inline(F.array(*structs)))
     band = F.when(F.col("value") >= BAND_GREEN, "green").when(F.col("value") >= BAND_YELLOW, "yellow") \
         .otherwise("red")
-    pos = F.row_number().over(Window.orderBy(F.col("value").asc(), F.col("indicator").asc()))
+    pos = F.row_number().over(Window.orderBy(F.col("value").asc_nulls_first(), F.col("indicator").asc()))
     return long.select("indicator", "value", pct_text(F.col("value")).alias("pct"), band.alias("band"),
                        pos.alias("position"))

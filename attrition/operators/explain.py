@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +110,8 @@ def shap_values(df: DataFrame, model, features, id_col: str, top: int | None = N
         .select("id", F.element_at(names, F.col("pos") + 1).alias("feature"),
                 F.col("vs.values").alias("value"), F.col("vs.shap").alias("shap"))
     if top:
+        # the kernel is the expensive part: compute it once for ranking and output
+        long = long.persist(StorageLevel.MEMORY_AND_DISK)
         keep = [r["feature"] for r in shap_summary(long, top).select("feature").collect()]  # ≤ top names
         long = long.filter(F.col("feature").isin(keep))
     return long

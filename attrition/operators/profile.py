@@ -121,13 +121,14 @@ def profile_categorical(df: DataFrame, cols, top: int | None = 10) -> DataFrame:
     """
     g = long_strings(df, cols).groupBy("variable", "value") \
         .agg(F.count(F.lit(1)).alias("freq")).withColumnRenamed("value", "level")
-    w_tot = Window.partitionBy("variable")
+    # totals per variable: grouped aggregate, one row per variable (broadcast)
+    tot = g.groupBy("variable").agg(F.sum("freq").cast("long").alias("total"))
     w_rank = Window.partitionBy("variable").orderBy(F.col("freq").desc(), F.col("level").asc_nulls_last())
     out = g.select("variable", "level", F.col("freq").cast("long").alias("freq"),
-                   F.sum("freq").over(w_tot).cast("long").alias("total"),
                    F.row_number().over(w_rank).alias("rank"))
     if top:
         out = out.filter(F.col("rank") <= top)
+    out = out.join(F.broadcast(tot), "variable")
     return out.select("variable", "level", "total", "freq",
                       F.round(F.col("freq") * 100.0 / F.col("total"), 6).alias("ratio"), "rank")
 
@@ -147,24 +148,24 @@ def profile_numeric(df: DataFrame, cols, approx: bool = False) -> DataFrame:
             F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("qs"))
         q = q.select("variable", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
                      F.col("qs")[2].alias("q3"))
+        src = d
     else:
-        p = prefix_sums(d, ["variable"], "value", ["n"])
-        q = quantile_values(p, ["variable"], "value", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    stats = d.groupBy("variable").agg(
-        F.sum("n").alias("n"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.coalesce(F.sum(F.when(F.col("value") == 0, F.col("n"))), F.lit(0)).alias("zero"),
-        F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("n"))), F.lit(0)).alias("minus"),
-    )
+        # everything below reads the checkpointed prefix table, not the input again
+        src = prefix_sums(d, ["variable"], "value", ["n"])
+        q = quantile_values(src, ["variable"], "value", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     fences = q.select("variable", "q1", "median", "q3",
                       (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
     # one row per variable: bounded by the number of columns profiled
-    out_n = d.join(F.broadcast(fences.select("variable", "lo", "hi")), "variable").groupBy("variable").agg(
-        F.coalesce(F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")),
-                                F.col("n"))), F.lit(0)).alias("outlier"))
-    res = stats.join(fences, "variable").join(out_n, "variable")
+    j = src.join(F.broadcast(fences), "variable")
+    n, v = F.col("n"), F.col("value")
+    res = j.groupBy("variable").agg(
+        F.sum(n).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
+        (F.sum(v * n) / F.sum(n)).alias("mean"),
+        F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zero"),
+        F.coalesce(F.sum(F.when(v < 0, n)), F.lit(0)).alias("minus"),
+        F.coalesce(F.sum(F.when((v < F.col("lo")) | (v > F.col("hi")), n)), F.lit(0)).alias("outlier"),
+        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"))
     r6 = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
     return res.select("variable", F.col("n").cast("long").alias("n"), r6("min"), r6("q1"), r6("mean"),
                       r6("median"), r6("q3"), r6("max"), F.col("zero").cast("long").alias("zero"),

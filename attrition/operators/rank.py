@@ -19,6 +19,7 @@ by a third of all rows is a single row here.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +56,11 @@ def prefix_sums(d: DataFrame, keys, order: str, measures, partitions: int | None
     spark = d.sparkSession
     checkpoint_root(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = d.repartitionByRange(parts, *keys, order).withColumn("_pid", F.spark_partition_id())
+    # range sampling and the checkpoint write both read ``d``: compute it once
+    d_cached = d.persist(StorageLevel.MEMORY_AND_DISK)
+    r = d_cached.repartitionByRange(parts, *keys, order).withColumn("_pid", F.spark_partition_id())
     r = r.checkpoint(eager=True)
+    d_cached.unpersist()
     tot = r.groupBy("_pid", *keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures],
                                        *[F.max(m).alias(f"_tm_{m}") for m in maxes])
     w_off = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid") \

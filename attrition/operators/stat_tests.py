@@ -31,8 +31,12 @@ def chi_square(df: DataFrame, cols, target: str, with_p: bool = True) -> DataFra
     """variable, statistic, df, p_value, cramers_v, cramers_v_adj, n (no
     continuity correction; V plain and bias-corrected)."""
     c = _cells(df, cols, target)
-    c = c.select("*", F.sum("o").over(Window.partitionBy("variable", "level")).alias("r"),
-                 F.sum("o").over(Window.partitionBy("variable", "cls")).alias("cc"))
+    # row totals: a window per (variable, level) holds ≤ #classes cells; column
+    # totals are a grouped aggregate (≤ #variables × #classes rows, broadcast)
+    # so no task ever holds all levels of a variable
+    col_tot = c.groupBy("variable", "cls").agg(F.sum("o").alias("cc"))
+    c = c.select("*", F.sum("o").over(Window.partitionBy("variable", "level")).alias("r")) \
+        .join(F.broadcast(col_tot), ["variable", "cls"])
     g = c.groupBy("variable").agg(
         F.sum("o").alias("n"),
         F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("cc"))).alias("s"),

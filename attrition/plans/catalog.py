@@ -652,18 +652,22 @@ def q_confusion_matrix(spark, sf):
 
 
 _WIDE = """wide AS (SELECT
-  (tp + tn) / n AS accuracy,
-  ((tp + tn) / n - pe) / (1 - pe) AS kappa,
-  tp / (tp + fn) AS sensitivity, tn / (tn + fp) AS specificity, tp / (tp + fp) AS ppv, tn / (tn + fn) AS npv,
-  tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
-  2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) AS f1,
-  (tp + fn) / n AS prevalence, tp / n AS detection_rate, (tp + fp) / n AS detection_prevalence,
-  ((tp / (tp + fn)) + (tn / (tn + fp))) / 2 AS balanced_accuracy,
-  greatest(tp + fn, fp + tn) / n AS no_information_rate,
-  (abs(fp - fn) - 1) * (abs(fp - fn) - 1) / (fp + fn) AS mcnemar_statistic
+  (tp + tn) / NULLIF(n, 0) AS accuracy,
+  ((tp + tn) / NULLIF(n, 0) - pe) / NULLIF(1 - pe, 0) AS kappa,
+  tp / NULLIF(tp + fn, 0) AS sensitivity, tn / NULLIF(tn + fp, 0) AS specificity,
+  tp / NULLIF(tp + fp, 0) AS ppv, tn / NULLIF(tn + fn, 0) AS npv,
+  tp / NULLIF(tp + fp, 0) AS precision, tp / NULLIF(tp + fn, 0) AS recall,
+  2 * (tp / NULLIF(tp + fp, 0)) * (tp / NULLIF(tp + fn, 0))
+    / NULLIF((tp / NULLIF(tp + fp, 0)) + (tp / NULLIF(tp + fn, 0)), 0) AS f1,
+  (tp + fn) / NULLIF(n, 0) AS prevalence, tp / NULLIF(n, 0) AS detection_rate,
+  (tp + fp) / NULLIF(n, 0) AS detection_prevalence,
+  ((tp / NULLIF(tp + fn, 0)) + (tn / NULLIF(tn + fp, 0))) / 2 AS balanced_accuracy,
+  greatest(tp + fn, fp + tn) / NULLIF(n, 0) AS no_information_rate,
+  (abs(fp - fn) - 1) * (abs(fp - fn) - 1) / NULLIF(fp + fn, 0) AS mcnemar_statistic
 FROM (SELECT CAST(tp AS DOUBLE) tp, CAST(fp AS DOUBLE) fp, CAST(tn AS DOUBLE) tn, CAST(fn AS DOUBLE) fn,
              CAST(tp + fp + tn + fn AS DOUBLE) AS n,
-             ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / CAST((tp + fp + tn + fn) * (tp + fp + tn + fn) AS DOUBLE) AS pe
+             ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn))
+               / NULLIF(CAST((tp + fp + tn + fn) * (tp + fp + tn + fn) AS DOUBLE), 0) AS pe
       FROM cm))"""
 
 
@@ -684,7 +688,7 @@ def _scorecard_sql():
     return sql(f"""SELECT indicator, value,
   regexp_replace(CAST(round(value * 100, 1) AS VARCHAR), '\\.0$', '') || '%' AS pct,
   CASE WHEN value >= 0.8 THEN 'green' WHEN value >= 0.65 THEN 'yellow' ELSE 'red' END AS band,
-  CAST(row_number() OVER (ORDER BY value ASC, indicator ASC) AS INTEGER) AS position
+  CAST(row_number() OVER (ORDER BY value ASC NULLS FIRST, indicator ASC) AS INTEGER) AS position
 FROM ({rows})""", *_METRIC_CTES, _PRED, _CM, _WIDE)
 
 

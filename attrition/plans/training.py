@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ def scored(df: DataFrame, art: Artifacts, out: str = "proba") -> DataFrame:
 def fit_model(prepared: DataFrame, params: dict | None = None, id_col: str = "customerID",
               target: str = "Churn", threshold_on: str = "holdout", features=tuple(FEATURES)) -> Fitted:
     feats = list(features)
+    # the prepared table (one row per customer) is read by several passes below
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     split = SP.split_train_test(prepared, id_col, 0.8, SPLIT_SEED)
     train_all = split.filter("is_train")
     test = split.filter(~F.col("is_train"))
