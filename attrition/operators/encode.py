@@ -2,10 +2,11 @@
 
 Data-dependent schemas (which string columns are Yes/No, which levels a
 one-hot column has) cannot live in one lazy plan, so they are two-phase:
-``learn_encoding`` runs ONE aggregation over all candidate columns and
-returns a small driver-side ``Encoding``; the transform is then a single
-projection of ``when`` expressions (no shuffle). At scoring time a stored
-``Encoding`` replaces phase one.
+``learn_encoding`` runs one single-row aggregation over all candidate
+columns plus a distributed distinct of the one-hot levels (collected only
+under a size guard) and returns a small driver-side ``Encoding``; the
+transform is then a single projection of ``when`` expressions (no shuffle).
+At scoring time a stored ``Encoding`` replaces phase one.
 """
 
 from __future__ import annotations
@@ -119,25 +120,52 @@ class Encoding:
     vocab: dict = field(default_factory=dict)
 
 
+MAX_ONE_HOT_LEVELS = 10_000
+
+
 def learn_encoding(df: DataFrame, yes_no_candidates=None, one_hot_cols=(),
-                   yes: str = "Yes", no: str = "No") -> Encoding:
-    """ONE aggregation: Yes/No qualification of string columns + level sets."""
+                   yes: str = "Yes", no: str = "No", max_levels: int = MAX_ONE_HOT_LEVELS) -> Encoding:
+    """Phase one of the data-dependent encodings.
+
+    One aggregation (a single output row) decides the Yes/No columns and
+    estimates each one-hot column's level count with HyperLogLog; the level
+    sets then come from a distributed distinct over (variable, level), which
+    is collected only when every column is below ``max_levels`` — a column
+    with more levels is refused (it needs a fixed vocabulary), never cut.
+    """
     if yes_no_candidates is None:
         yes_no_candidates = columns_of_type(df, "categorical")
+    one_hot_cols = list(one_hot_cols)
     exprs = []
     for i, c in enumerate(yes_no_candidates):
         col = F.col(c)
         exprs.append(F.bool_and(col.isNull() | col.isin(yes, no)).alias(f"yn_ok_{i}"))
         exprs.append(F.count(col).alias(f"yn_n_{i}"))
     for i, c in enumerate(one_hot_cols):
-        exprs.append(F.collect_set(F.col(c)).alias(f"oh_{i}"))
+        exprs.append(F.approx_count_distinct(c).alias(f"oh_n_{i}"))
     if not exprs:
         return Encoding()
     row = df.agg(*exprs).first()
     yn = [c for i, c in enumerate(yes_no_candidates)
           if row[f"yn_ok_{i}"] and row[f"yn_n_{i}"] > 0]
-    vocab = {c: sorted(row[f"oh_{i}"]) for i, c in enumerate(one_hot_cols)}
-    return Encoding(yes_no_cols=yn, vocab=vocab)
+    too_many = [c for i, c in enumerate(one_hot_cols) if row[f"oh_n_{i}"] > max_levels]
+    if too_many:
+        raise ValueError(f"one-hot columns with more than {max_levels} levels: {too_many}; "
+                         "give a fixed vocabulary")
+    vocab = {c: [] for c in one_hot_cols}
+    if one_hot_cols:
+        levels = df.select(*[F.col(c).cast("string").alias(c) for c in one_hot_cols]) \
+            .unpivot([], one_hot_cols, "variable", "level").filter(F.col("level").isNotNull()) \
+            .distinct()
+        # bounded: ≤ max_levels per column (HLL error is far below the guard's margin);
+        # hitting the limit means the estimate was wrong → refuse rather than cut
+        cap = 2 * max_levels * len(one_hot_cols)
+        got = levels.limit(cap + 1).collect()
+        if len(got) > cap:
+            raise ValueError("one-hot level sets exceed the guard; give a fixed vocabulary")
+        for r in got:
+            vocab[r["variable"]].append(r["level"])
+    return Encoding(yes_no_cols=yn, vocab={c: sorted(v) for c, v in vocab.items()})
 
 
 def recode_yes_no(df: DataFrame, yes: str = "Yes", no: str = "No",
