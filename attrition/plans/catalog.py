@@ -1004,3 +1004,65 @@ def q_score_stream(spark, sf):
                      f"{root}/scored", f"{root}/rejected", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/scored")
+
+
+# ----------------------------------------------------------------------------- additions (§2.3, §2.6)
+
+from attrition.operators.rank import mid_ranks as _mid_ranks  # noqa: E402
+
+
+@register("mid_ranks", sql(
+    """SELECT variable, value, CAST(count(*) AS BIGINT) AS n,
+  any_value(rk) + (count(*) - 1) / 2.0 AS mid_rank
+FROM (SELECT variable, value, rank() OVER (PARTITION BY variable ORDER BY value) AS rk
+      FROM long WHERE value IS NOT NULL) GROUP BY variable, value""", _LONG_NUM))
+def q_mid_ranks(spark, sf):
+    return _mid_ranks(customers_raw(spark, sf), NUMS)
+
+
+@register("condition_proportions_no", sql(
+    f"""SELECT variable, level, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round(k / n, 6) AS prop,
+  round(((k / n) + {_Z}^2 / (2 * n)) / (1 + {_Z}^2 / n)
+        - {_Z} * sqrt((k / n) * (1 - k / n) / n + {_Z}^2 / (4 * n * n)) / (1 + {_Z}^2 / n), 6) AS lo,
+  round(((k / n) + {_Z}^2 / (2 * n)) / (1 + {_Z}^2 / n)
+        + {_Z} * sqrt((k / n) * (1 - k / n) / n + {_Z}^2 / (4 * n * n)) / (1 + {_Z}^2 / n), 6) AS hi
+FROM (SELECT variable, value AS level, count(*) AS n, sum(hit) AS k FROM long GROUP BY variable, value)""",
+    EXPLORED, "hits AS (SELECT *, CASE WHEN Churn = 'No' THEN 1 ELSE 0 END AS hit FROM explored)",
+    f"long AS ({unpivot('hits', _PROP_BY, ids=['hit'])})"))
+def q_condition_proportions_no(spark, sf):
+    """Profile of customers who stayed (condition Churn = 'No')."""
+    return P.condition_proportions(explored(spark, sf), "Churn = 'No'", _PROP_BY)
+
+
+@register("value_segments", sql(
+    """SELECT new_premium, old_economical, CAST(GROUPING(new_premium, old_economical) AS BIGINT) AS gid,
+  CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, round(sum(k) / sum(n), 6) AS rate,
+  round((sum(k) / sum(n)) / (SELECT sum(k) / sum(n) FROM combos), 6) AS lift
+FROM combos GROUP BY CUBE (new_premium, old_economical)""", EXPLORED,
+    "med AS (SELECT quantile_cont(tenure, 0.5) AS mt, quantile_cont(MonthlyCharges, 0.5) AS mc FROM explored)",
+    "base AS (SELECT CASE WHEN tenure < (SELECT mt FROM med) AND MonthlyCharges > (SELECT mc FROM med) "
+    "THEN 1 ELSE 0 END AS new_premium, CASE WHEN tenure > (SELECT mt FROM med) AND MonthlyCharges < "
+    "(SELECT mc FROM med) THEN 1 ELSE 0 END AS old_economical, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS hit "
+    "FROM explored)",
+    "combos AS (SELECT new_premium, old_economical, count(*) AS n, sum(hit) AS k FROM base "
+    "GROUP BY new_premium, old_economical)"))
+def q_value_segments(spark, sf):
+    """"New premium" (tenure below its median, charge above its median) and
+    "old economical" (the reverse) — attrition rate and lift; cut points are
+    the exact medians (two-phase prefix sums), passed as scalar subqueries."""
+    from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values
+    ex = explored(spark, sf)
+    med = quantile_values(prefix_sums(distinct_counts(ex, ["tenure", "MonthlyCharges"]), ["variable"], "value",
+                                      ["n"]), ["variable"], "value", "n", {"m": 0.5})
+    mt = med.filter(F.col("variable") == "tenure").select("m").scalar()
+    mc = med.filter(F.col("variable") == "MonthlyCharges").select("m").scalar()
+    flags = {"new_premium": (F.col("tenure") < mt) & (F.col("MonthlyCharges") > mc),
+             "old_economical": (F.col("tenure") > mt) & (F.col("MonthlyCharges") < mc)}
+    return P.risk_segments(ex, flags, "Churn", positive="Yes")
+
+
+@register("shap_points")
+def q_shap_points(spark, sf):
+    """Summary-plot data: attribution with the feature value min–max scaled per feature."""
+    fit = fitted(spark, sf)
+    return XP.shap_points(XP.shap_values(fit.test, fit.artifacts.model, FEATURES, "customerID", top=10))
