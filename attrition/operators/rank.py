@@ -55,10 +55,13 @@ def prefix_sums(d: DataFrame, keys, order: str, measures, partitions: int | None
     keys, measures, maxes = list(keys), list(measures), list(maxes)
     spark = d.sparkSession
     checkpoint_root(spark)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # range sampling and the checkpoint write both read ``d``: compute it once
     d_cached = d.persist(StorageLevel.MEMORY_AND_DISK)
-    r = d_cached.repartitionByRange(parts, *keys, order).withColumn("_pid", F.spark_partition_id())
+    # without an explicit count AQE sizes the range partitions (coalescing merges
+    # adjacent ranges, so partition ids still index contiguous, ordered ranges)
+    ranged = d_cached.repartitionByRange(partitions, *keys, order) if partitions \
+        else d_cached.repartitionByRange(*keys, order)
+    r = ranged.withColumn("_pid", F.spark_partition_id())
     r = r.checkpoint(eager=True)
     d_cached.unpersist()
     tot = r.groupBy("_pid", *keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures],

@@ -13,6 +13,8 @@ def test_prefix_sums_equal_naive_window(spark):
     two = prefix_sums(d, ["k"], "v", ["n"], partitions=7, maxes=["v"]).orderBy("k", "v").collect()
     naive = prefix_sums_naive(d, ["k"], "v", ["n"], maxes=["v"]).orderBy("k", "v").collect()
     assert [tuple(r) for r in two] == [tuple(r) for r in naive]
+    auto = prefix_sums(d, ["k"], "v", ["n"], maxes=["v"]).orderBy("k", "v").collect()  # AQE-sized ranges
+    assert [tuple(r) for r in auto] == [tuple(r) for r in naive]
 
 
 def test_prefix_sums_unchanged_under_repartition(spark):
