@@ -2,9 +2,9 @@
 
 Data-dependent schemas (which string columns are Yes/No, which levels a
 one-hot column has) cannot live in one lazy plan, so they are two-phase:
-``learn_encoding`` runs one single-row aggregation over all candidate
-columns plus a distributed distinct of the one-hot levels (collected only
-under a size guard) and returns a small driver-side ``Encoding``; the
+``learn_encoding`` runs one distributed distinct over all candidate
+columns (Yes/No candidates reduced to three values first, one-hot levels
+collected only under a size guard) and returns a small ``Encoding``; the
 transform is then a single projection of ``when`` expressions (no shuffle).
 At scoring time a stored ``Encoding`` replaces phase one.
 """
@@ -123,49 +123,47 @@ class Encoding:
 MAX_ONE_HOT_LEVELS = 10_000
 
 
+_OTHER = "\u0000other"
+
+
 def learn_encoding(df: DataFrame, yes_no_candidates=None, one_hot_cols=(),
                    yes: str = "Yes", no: str = "No", max_levels: int = MAX_ONE_HOT_LEVELS) -> Encoding:
-    """Phase one of the data-dependent encodings.
-
-    One aggregation (a single output row) decides the Yes/No columns and
-    estimates each one-hot column's level count with HyperLogLog; the level
-    sets then come from a distributed distinct over (variable, level), which
-    is collected only when every column is below ``max_levels`` — a column
-    with more levels is refused (it needs a fixed vocabulary), never cut.
+    """Phase one of the data-dependent encodings, in ONE distributed job.
+
+    Yes/No candidates are mapped to {yes, no, other} (≤ 3 distinct values per
+    column), one-hot columns keep their levels; both are unpivoted into
+    (variable, value) and reduced by one distinct (partial aggregation, no
+    single task holds a column). The driver receives at most the guard's
+    number of rows: more one-hot levels than ``max_levels`` per column is
+    refused (a fixed vocabulary is then needed), never cut.
     """
     if yes_no_candidates is None:
         yes_no_candidates = columns_of_type(df, "categorical")
-    one_hot_cols = list(one_hot_cols)
-    exprs = []
-    for i, c in enumerate(yes_no_candidates):
-        col = F.col(c)
-        exprs.append(F.bool_and(col.isNull() | col.isin(yes, no)).alias(f"yn_ok_{i}"))
-        exprs.append(F.count(col).alias(f"yn_n_{i}"))
-    for i, c in enumerate(one_hot_cols):
-        exprs.append(F.approx_count_distinct(c).alias(f"oh_n_{i}"))
-    if not exprs:
+    cands, one_hot_cols = list(yes_no_candidates), list(one_hot_cols)
+    if not cands and not one_hot_cols:
         return Encoding()
-    row = df.agg(*exprs).first()
-    yn = [c for i, c in enumerate(yes_no_candidates)
-          if row[f"yn_ok_{i}"] and row[f"yn_n_{i}"] > 0]
-    too_many = [c for i, c in enumerate(one_hot_cols) if row[f"oh_n_{i}"] > max_levels]
-    if too_many:
-        raise ValueError(f"one-hot columns with more than {max_levels} levels: {too_many}; "
+    sel = []
+    for i, c in enumerate(cands):
+        v = F.col(c).cast("string")
+        sel.append(F.when(v.isNull(), F.lit(None).cast("string")).when(v.isin(yes, no), v)
+                   .otherwise(F.lit(_OTHER)).alias(f"yn{i}"))
+    sel += [F.col(c).cast("string").alias(f"oh{i}") for i, c in enumerate(one_hot_cols)]
+    names = [f"yn{i}" for i in range(len(cands))] + [f"oh{i}" for i in range(len(one_hot_cols))]
+    levels = df.select(*sel).unpivot([], names, "variable", "value") \
+        .filter(F.col("value").isNotNull()).distinct()
+    cap = 3 * len(cands) + max_levels * len(one_hot_cols)
+    got = levels.limit(cap + 1).collect()
+    found: dict = {}
+    for r in got:
+        found.setdefault(r["variable"], []).append(r["value"])
+    too_many = [c for i, c in enumerate(one_hot_cols) if len(found.get(f"oh{i}", [])) > max_levels]
+    if len(got) > cap or too_many:
+        raise ValueError(f"one-hot columns with more than {max_levels} levels: {too_many or one_hot_cols}; "
                          "give a fixed vocabulary")
-    vocab = {c: [] for c in one_hot_cols}
-    if one_hot_cols:
-        levels = df.select(*[F.col(c).cast("string").alias(c) for c in one_hot_cols]) \
-            .unpivot([], one_hot_cols, "variable", "level").filter(F.col("level").isNotNull()) \
-            .distinct()
-        # bounded: ≤ max_levels per column (HLL error is far below the guard's margin);
-        # hitting the limit means the estimate was wrong → refuse rather than cut
-        cap = 2 * max_levels * len(one_hot_cols)
-        got = levels.limit(cap + 1).collect()
-        if len(got) > cap:
-            raise ValueError("one-hot level sets exceed the guard; give a fixed vocabulary")
-        for r in got:
-            vocab[r["variable"]].append(r["level"])
-    return Encoding(yes_no_cols=yn, vocab={c: sorted(v) for c, v in vocab.items()})
+    yn = [c for i, c in enumerate(cands)
+          if found.get(f"yn{i}") and set(found[f"yn{i}"]) <= {yes, no}]
+    vocab = {c: sorted(found.get(f"oh{i}", [])) for i, c in enumerate(one_hot_cols)}
+    return Encoding(yes_no_cols=yn, vocab=vocab)
 
 
 def recode_yes_no(df: DataFrame, yes: str = "Yes", no: str = "No",
