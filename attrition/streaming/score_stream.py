@@ -11,6 +11,7 @@ replayed after a failure replaces its own output instead of duplicating it.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,6 +34,14 @@ def score_stream(stream: DataFrame, art: Artifacts, out_path: str, reject_path:
     """Start the scorer; returns the running query."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        # the micro-batch feeds two outputs: read the source once
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _handle(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _handle(batch: DataFrame, batch_id: int) -> None:
         malformed = batch.filter(F.col(CORRUPT).isNotNull())
         clean = batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
         if clean.isEmpty() and malformed.isEmpty():
