@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attrition.operators.encode import CATEGORICAL_TYPES, NUMERIC_TYPES, columns_of_type
-from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values
+from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values, tukey_hinges
 
 
 
@@ -138,8 +138,10 @@ def profile_numeric(df: DataFrame, cols, approx: bool = False) -> DataFrame:
 
     Exact quantiles (type 7, as R/DuckDB ``quantile_cont``) are read off a
     two-phase prefix sum over distinct values — no per-group value map in
-    memory and no single-task window. ``outlier`` counts values outside
-    [Q1 − 1.5·IQR, Q3 + 1.5·IQR].
+    memory and no single-task window. ``outlier`` counts values beyond the
+    box-plot fences: Tukey's hinges ± 1.5 × the hinge spread (the hinges
+    come from the same prefix sums; ``approx`` uses the approximate
+    quartiles instead).
     """
     d = distinct_counts(df, cols)
     if approx:
@@ -153,9 +155,13 @@ def profile_numeric(df: DataFrame, cols, approx: bool = False) -> DataFrame:
         # everything below reads the checkpointed prefix table, not the input again
         src = prefix_sums(d, ["variable"], "value", ["n"])
         q = quantile_values(src, ["variable"], "value", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+        q = q.join(tukey_hinges(src, ["variable"], "value", "n"), "variable")
+    if approx:
+        q = q.select("*", F.col("q1").alias("lower_hinge"), F.col("q3").alias("upper_hinge"))
+    spread = F.col("upper_hinge") - F.col("lower_hinge")
     fences = q.select("variable", "q1", "median", "q3",
-                      (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"),
-                      (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
+                      (F.col("lower_hinge") - 1.5 * spread).alias("lo"),
+                      (F.col("upper_hinge") + 1.5 * spread).alias("hi"))
     # one row per variable: bounded by the number of columns profiled
     j = src.join(F.broadcast(fences), "variable")
     n, v = F.col("n"), F.col("value")

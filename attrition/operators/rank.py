@@ -118,6 +118,41 @@ def quantile_values(p: DataFrame, keys, order: str, count_col: str, probs: dict)
         for n in probs])
 
 
+def order_stats(p: DataFrame, keys, order: str, count_col: str, index_fns: dict) -> DataFrame:
+    """Order statistics per key from a prefix-summed distinct-value table.
+
+    ``index_fns`` maps an output name to a function of the group size column
+    returning a 0-based index Column; the value whose [cum, cum + n) interval
+    holds that index is returned. One aggregation; ``keys`` must have few
+    groups (their totals are broadcast).
+    """
+    keys = list(keys)
+    cum = F.col(f"cum_{count_col}")
+    tot = p.groupBy(*keys).agg(F.sum(count_col).alias("_N"))
+    j = p.join(F.broadcast(tot), keys)
+    aggs = []
+    for name, fn in index_fns.items():
+        i = fn(F.col("_N"))
+        aggs.append(F.max(F.when((cum <= i) & (i < cum + F.col(count_col)), F.col(order))).alias(name))
+    return j.groupBy(*keys).agg(*aggs)
+
+
+def tukey_hinges(p: DataFrame, keys, order: str, count_col: str) -> DataFrame:
+    """keys..., lower_hinge, upper_hinge — Tukey's hinges as in the
+    five-number summary (the box-plot statistics): with n4 = floor((n+3)/2)/2,
+    each hinge is the mean of the order statistics at floor/ceil of n4 and of
+    n + 1 − n4 (1-based)."""
+    def n4(n):
+        return F.floor((n + 3) / 2) / 2
+    fns = {
+        "_l1": lambda n: F.floor(n4(n)) - 1, "_l2": lambda n: F.ceil(n4(n)) - 1,
+        "_u1": lambda n: F.floor(n + 1 - n4(n)) - 1, "_u2": lambda n: F.ceil(n + 1 - n4(n)) - 1,
+    }
+    o = order_stats(p, keys, order, count_col, fns)
+    return o.select(*keys, ((F.col("_l1") + F.col("_l2")) / 2).alias("lower_hinge"),
+                    ((F.col("_u1") + F.col("_u2")) / 2).alias("upper_hinge"))
+
+
 def mid_ranks(df: DataFrame, cols) -> DataFrame:
     """variable, value, n, mid_rank: average rank of each distinct value
     (ties share the mean of their positions), ranks 1..N per variable."""

@@ -272,12 +272,20 @@ def _r6(x, name):
   {_r6('max(l.value)', 'max')},
   CAST(count(*) FILTER (WHERE l.value = 0) AS BIGINT) AS zero,
   CAST(count(*) FILTER (WHERE l.value < 0) AS BIGINT) AS minus,
-  CAST(count(*) FILTER (WHERE l.value < q.q1 - 1.5 * (q.q3 - q.q1)
-                           OR l.value > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT) AS outlier
-FROM long l JOIN q USING (variable) WHERE l.value IS NOT NULL GROUP BY l.variable""",
+  CAST(count(*) FILTER (WHERE l.value < h.lh - 1.5 * (h.uh - h.lh)
+                           OR l.value > h.uh + 1.5 * (h.uh - h.lh)) AS BIGINT) AS outlier
+FROM long l JOIN q USING (variable) JOIN h USING (variable) WHERE l.value IS NOT NULL GROUP BY l.variable""",
     f"long AS ({unpivot('customers_raw', NUMS, cast='DOUBLE')})",
     "q AS (SELECT variable, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 "
-    "FROM long WHERE value IS NOT NULL GROUP BY variable)"))
+    "FROM long WHERE value IS NOT NULL GROUP BY variable)",
+    # Tukey hinges (five-number summary): mean of order statistics at floor/ceil of n4 and n+1-n4
+    "ranked AS (SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY value) AS rn, "
+    "count(*) OVER (PARTITION BY variable) AS nn FROM long WHERE value IS NOT NULL)",
+    "h AS (SELECT variable, (max(CASE WHEN rn = floor(floor((nn + 3) / 2) / 2) THEN value END) + "
+    "max(CASE WHEN rn = ceil(floor((nn + 3) / 2) / 2) THEN value END)) / 2 AS lh, "
+    "(max(CASE WHEN rn = floor(nn + 1 - floor((nn + 3) / 2) / 2) THEN value END) + "
+    "max(CASE WHEN rn = ceil(nn + 1 - floor((nn + 3) / 2) / 2) THEN value END)) / 2 AS uh "
+    "FROM ranked GROUP BY variable)"))
 def q_profile_numeric(spark, sf):
     return P.profile_numeric(customers_raw(spark, sf), NUMS)
 

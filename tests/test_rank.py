@@ -50,3 +50,23 @@ def test_row_ids_consecutive(spark):
     ids = {r["key"]: r["id_client"] for r in out}
     assert ids["k000"] == "CLIENT_1" and ids["k049"] == "CLIENT_50"
     assert len(set(ids.values())) == 50
+
+
+def test_tukey_hinges_match_five_number_summary(spark):
+    from attrition.operators.rank import tukey_hinges
+
+    def fivenum(x):
+        x = np.sort(x)
+        n = len(x)
+        n4 = np.floor((n + 3) / 2) / 2
+        d = np.array([1, n4, (n + 1) / 2, n + 1 - n4, n]) - 1
+        return 0.5 * (x[np.floor(d).astype(int)] + x[np.ceil(d).astype(int)])
+
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 10, 11, 64):
+        x = np.round(rng.normal(size=n), 1)
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+        p = prefix_sums(distinct_counts(df, ["x"]), ["variable"], "value", ["n"])
+        h = tukey_hinges(p, ["variable"], "value", "n").first()
+        f = fivenum(x)
+        assert (h["lower_hinge"], h["upper_hinge"]) == (f[1], f[3])
