@@ -80,39 +80,50 @@ def resolve_id(df: DataFrame, aliases=tuple(ID_ALIASES), out: str = "id_client",
 
 # ----------------------------------------------------------------------------- row rules
 
-def _num(c: str) -> Column:
+_NUMERIC_DTYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+
+
+def _num(c: str, types: dict | None = None) -> Column:
+    """Column as double: a plain cast for numeric inputs; text is parsed with
+    ``try_cast`` (unparsable → null); other types go through their text."""
+    t = (types or {}).get(c, "string")
+    if t in _NUMERIC_DTYPES or t.startswith("decimal"):
+        return F.col(c).cast("double")
+    if t == "string":
+        return F.col(c).try_cast("double")
     return F.col(c).cast("string").try_cast("double")
 
 
-def _not_numeric(c: str) -> Column:
-    return F.col(c).isNotNull() & _num(c).isNull()
+def _not_numeric(c: str, types: dict | None = None) -> Column:
+    return F.col(c).isNotNull() & _num(c, types).isNull()
 
 
-def tenure_bad(c: str = "tenure") -> Column:
-    return _not_numeric(c) | (_num(c) < 0)
+def tenure_bad(c: str = "tenure", types: dict | None = None) -> Column:
+    return _not_numeric(c, types) | (_num(c, types) < 0)
 
 
-def charges_bad(c: str = "MonthlyCharges") -> Column:
-    return _not_numeric(c) | (_num(c) <= 0)
+def charges_bad(c: str = "MonthlyCharges", types: dict | None = None) -> Column:
+    return _not_numeric(c, types) | (_num(c, types) <= 0)
 
 
-def binary_bad(c: str) -> Column:
-    return F.col(c).isNull() | ~F.coalesce(_num(c).isin(0.0, 1.0), F.lit(False))
+def binary_bad(c: str, types: dict | None = None) -> Column:
+    return F.col(c).isNull() | ~F.coalesce(_num(c, types).isin(0.0, 1.0), F.lit(False))
 
 
 def validate_tenure(df: DataFrame, col: str = "tenure", out: str = "tenure_invalid") -> DataFrame:
     """``df`` + boolean: not numeric or < 0 (null allowed)."""
-    return df.withColumn(out, F.coalesce(tenure_bad(col), F.lit(False)))
+    return df.withColumn(out, F.coalesce(tenure_bad(col, dict(df.dtypes)), F.lit(False)))
 
 
 def validate_charges(df: DataFrame, col: str = "MonthlyCharges", out: str = "charges_invalid") -> DataFrame:
     """``df`` + boolean: not numeric or ≤ 0 (null allowed)."""
-    return df.withColumn(out, F.coalesce(charges_bad(col), F.lit(False)))
+    return df.withColumn(out, F.coalesce(charges_bad(col, dict(df.dtypes)), F.lit(False)))
 
 
 def validate_binary(df: DataFrame, cols, out: str = "invalid_columns") -> DataFrame:
     """``df`` + array of the binary columns that are null or not 0/1."""
-    arr = F.array_compact(F.array(*[F.when(binary_bad(c), F.lit(c)) for c in cols]))
+    types = dict(df.dtypes)
+    arr = F.array_compact(F.array(*[F.when(binary_bad(c, types), F.lit(c)) for c in cols]))
     return df.withColumn(out, arr)
 
 
@@ -120,14 +131,15 @@ def reasons(df: DataFrame, features, null_policy: str = "scaled_zero") -> Column
     """Array of reasons for one row, rules in the reference's order."""
     cont = [c for c in CONTINUOUS_FEATURES if c in features]
     binary = [f for f in features if f not in cont]
+    types = dict(df.dtypes)
     parts = []
     if "tenure" in cont:
-        parts.append(F.when(tenure_bad("tenure"), F.lit("tenure")))
+        parts.append(F.when(tenure_bad("tenure", types), F.lit("tenure")))
     if "MonthlyCharges" in cont:
-        parts.append(F.when(charges_bad("MonthlyCharges"), F.lit("MonthlyCharges")))
+        parts.append(F.when(charges_bad("MonthlyCharges", types), F.lit("MonthlyCharges")))
     if null_policy == "reject":
         parts += [F.when(F.col(c).isNull(), F.lit(f"{c}:null")) for c in cont]
-    parts += [F.when(binary_bad(c), F.lit(f"binary:{c}")) for c in binary]
+    parts += [F.when(binary_bad(c, types), F.lit(f"binary:{c}")) for c in binary]
     return F.array_compact(F.array(*parts))
 
 
@@ -135,12 +147,13 @@ def validation_report(df: DataFrame, features=tuple(FEATURES)) -> DataFrame:
     """rule, column, n_bad — one aggregation of count_ifs, unpivoted."""
     cont = [c for c in CONTINUOUS_FEATURES if c in features]
     binary = [f for f in features if f not in cont]
+    types = dict(df.dtypes)
     checks = []
     if "tenure" in cont:
-        checks.append(("tenure", "tenure", tenure_bad("tenure")))
+        checks.append(("tenure", "tenure", tenure_bad("tenure", types)))
     if "MonthlyCharges" in cont:
-        checks.append(("MonthlyCharges", "MonthlyCharges", charges_bad("MonthlyCharges")))
-    checks += [("binary", c, binary_bad(c)) for c in binary]
+        checks.append(("MonthlyCharges", "MonthlyCharges", charges_bad("MonthlyCharges", types)))
+    checks += [("binary", c, binary_bad(c, types)) for c in binary]
     wide = df.agg(*[F.count_if(F.coalesce(e, F.lit(False))).alias(f"c{i}") for i, (_, _, e) in enumerate(checks)])
     stack = ", ".join(f"'{r}', '{c}', c{i}" for i, (r, c, _) in enumerate(checks))
     return wide.selectExpr(f"stack({len(checks)}, {stack}) AS (rule, column, n_bad)") \
@@ -151,7 +164,8 @@ def validation_report(df: DataFrame, features=tuple(FEATURES)) -> DataFrame:
 
 def _model_inputs(df: DataFrame, art: Artifacts, null_policy: str) -> DataFrame:
     feats = art.features
-    x = df.select("*", *[_num(f).alias(f"_x_{f}") for f in feats])
+    types = dict(df.dtypes)
+    x = df.select("*", *[_num(f, types).alias(f"_x_{f}") for f in feats])
     if null_policy == "raw_zero":
         x = x.select("*", *[F.coalesce(F.col(f"_x_{f}"), F.lit(0.0)).alias(f"_r_{f}") for f in feats])
         src = "_r_"
