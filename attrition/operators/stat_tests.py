@@ -12,6 +12,7 @@ p-values are computed by pandas UDFs on the result rows (one per variable).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,9 +131,11 @@ def spearman_matrix(df: DataFrame, cols) -> DataFrame:
     pp = df.select(F.inline(F.array(*structs))) \
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull()) \
         .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    sides = pp.groupBy("pair", F.lit("x").alias("side"), F.col("x").alias("value")).agg(F.sum("w").alias("n")) \
-        .unionByName(pp.groupBy("pair", F.lit("y").alias("side"), F.col("y").alias("value"))
-                     .agg(F.sum("w").alias("n")))
+    # read by the checkpointed rank job and by the final join: compute it once
+    pp = pp.persist(StorageLevel.MEMORY_AND_DISK)
+    both = pp.select("pair", "w", F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
+                                                   F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))))
+    sides = both.groupBy("pair", "side", "value").agg(F.sum("w").alias("n"))
     ranks = prefix_sums(sides, ["pair", "side"], "value", ["n"]) \
         .select("pair", "side", "value", (F.col("cum_n") + (F.col("n") + 1) / 2.0).alias("mr"))
     rx = ranks.filter(F.col("side") == "x").select("pair", F.col("value").alias("x"), F.col("mr").alias("rx"))
@@ -171,7 +174,8 @@ def ks_normal(df: DataFrame, cols) -> DataFrame:
     ECDF from the prefix sums over distinct values; Φ by a pandas UDF over
     the distinct values only.
     """
-    d = distinct_counts(df, cols)
+    # the distinct values feed the moments and the checkpointed prefix job
+    d = distinct_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     mom = d.groupBy("variable").agg(
         F.sum("n").alias("_tot"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mu"))
     d2 = d.join(F.broadcast(mom), "variable")  # one row per variable
