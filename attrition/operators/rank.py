@@ -166,18 +166,24 @@ def row_ids(df: DataFrame, order_by: str | None = None, prefix: str = "CLIENT_",
             out: str = "id_client") -> DataFrame:
     """``prefix`` + 1..n.
 
-    With ``order_by`` (should be unique): a two-phase row number. Without a
-    key, input order is undefined on Spark; the number then follows the scan
-    order (partition index, then position), which for a single file is the
-    file's row order.
+    With ``order_by`` (should be unique): a two-phase row number in key order.
+    Without a key, input order is undefined on Spark; the number follows the
+    partition index, then the position inside the partition (for a file scan:
+    the file's row order). Only per-partition row counts are computed and
+    turned into offsets (≤ #partitions rows) — the data is not materialised;
+    ids are unique and consecutive because both passes see the same
+    partition contents.
     """
     if order_by is not None:
         d = df.withColumn("_one", F.lit(1))
         p = prefix_sums(d, [], order_by, ["_one"])
         return p.withColumn(out, F.concat(F.lit(prefix), (F.col("cum__one") + 1).cast("string"))) \
             .drop("_one", "cum__one")
-    d = df.withColumn("_mono", F.monotonically_increasing_id()) \
-        .withColumn("_one", F.lit(1))
-    p = prefix_sums(d, [], "_mono", ["_one"])
-    return p.withColumn(out, F.concat(F.lit(prefix), (F.col("cum__one") + 1).cast("string"))) \
-        .drop("_one", "cum__one", "_mono")
+    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # ≤ #partitions rows
+    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    pos = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    j = tagged.join(F.broadcast(offsets), "_pid")
+    return j.withColumn(out, F.concat(F.lit(prefix), (F.col("_off") + pos + 1).cast("string"))) \
+        .drop("_pid", "_mono", "_off")

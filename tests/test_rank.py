@@ -70,3 +70,11 @@ def test_tukey_hinges_match_five_number_summary(spark):
         h = tukey_hinges(p, ["variable"], "value", "n").first()
         f = fivenum(x)
         assert (h["lower_hinge"], h["upper_hinge"]) == (f[1], f[3])
+
+
+def test_row_ids_without_key_follow_scan_order(spark):
+    df = spark.range(0, 1000, numPartitions=7)
+    out = row_ids(df).collect()
+    ids = {r["id"]: int(r["id_client"].split("_")[1]) for r in out}
+    assert sorted(ids.values()) == list(range(1, 1001))
+    assert all(ids[i] == i + 1 for i in range(1000))   # range scan order
