@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrition.operators.rank import prefix_sums
+from attrition.operators.rank import order_stats, prefix_sums
 
 
 def hash_hex(id_col: str, seed: int) -> Column:
@@ -31,19 +31,20 @@ def split_train_test(df: DataFrame, id_col: str, p: float = 0.8, seed: int = 123
 
     Plain: hash prefix below the cut (about ``p`` of rows, no shuffle).
     Stratified: within each class of ``stratify``, the first ⌈p·n_class⌉ rows
-    in hash order (two-phase row number; classes are few, their counts are
-    broadcast).
+    in hash order. Only the (class, hash key) projection is ranked (two-phase
+    prefix sum) to find each class's cut key — an order statistic; the rows
+    themselves then get a narrow predicate against the broadcast cut table
+    (≤ #classes rows).
     """
     h = F.substring(hash_hex(id_col, seed), 1, 8)
     if stratify is None:
         return df.withColumn(out, h < F.lit(cut_hex(p)))
-    keyed = df.withColumn("_h", F.concat(hash_hex(id_col, seed), F.col(id_col).cast("string"))) \
-        .withColumn("_one", F.lit(1))
-    ranked = prefix_sums(keyed, [stratify], "_h", ["_one"])
-    sizes = df.groupBy(stratify).agg(F.count(F.lit(1)).alias("_nc"))
-    j = ranked.join(F.broadcast(sizes), stratify)  # one row per class
-    return j.withColumn(out, F.col("cum__one") < F.ceil(F.col("_nc") * p)) \
-        .drop("_h", "_one", "cum__one", "_nc")
+    key = F.concat(hash_hex(id_col, seed), F.col(id_col).cast("string"))  # unique per row
+    proj = df.select(F.col(stratify).alias("_cls"), key.alias("_h"), F.lit(1).alias("_one"))
+    ranked = prefix_sums(proj, ["_cls"], "_h", ["_one"])
+    cuts = order_stats(ranked, ["_cls"], "_h", "_one", {"_cut": lambda n: F.ceil(n * F.lit(float(p))) - 1})
+    j = df.join(F.broadcast(cuts), F.col(stratify).eqNullSafe(F.col("_cls")), "left")
+    return j.withColumn(out, F.coalesce(key <= F.col("_cut"), F.lit(False))).drop("_cls", "_cut")
 
 
 def anti_split(df: DataFrame, train: DataFrame, id_col: str) -> DataFrame:
