@@ -936,7 +936,18 @@ def q_scan_csv(spark, sf):
     return IO.scan_csv(spark, path, raw.schema)
 
 
-@register("scan_upload")
+def _scan_upload_sql():
+    cols = ["CAST(Customer_ID AS VARCHAR) AS Customer_ID"]
+    for f in FEATURES:
+        if f == "tenure":
+            cols.append("CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(tenure AS VARCHAR) END AS tenure")
+        else:
+            cols.append(f"CAST({f} AS VARCHAR) AS {f}")
+    return sql("SELECT " + ", ".join(cols) + " FROM (SELECT *, CAST(substr(Customer_ID, 2) AS BIGINT) AS k FROM dirty)",
+               *_DIRTY)
+
+
+@register("scan_upload", _scan_upload_sql())
 def q_scan_upload(spark, sf):
     path = scratch_path(spark, "upload-scan")
     df = dirty_input(spark, sf).select("Customer_ID", *[F.col(f).cast("string").alias(f) for f in FEATURES])
