@@ -957,7 +957,17 @@ def q_scan_upload(spark, sf):
     return IO.scan_upload(spark, path, columns=df.columns)
 
 
-@register("scan_json_profiles")
+def _scan_json_sql():
+    bad = "k % 37 = 0"
+    cols = [f"CASE WHEN {bad} THEN NULL ELSE CAST(Customer_ID AS VARCHAR) END AS customerID"]
+    cols += [f"CASE WHEN {bad} THEN NULL ELSE CAST({f} AS VARCHAR) END AS {f}" for f in FEATURES]
+    cols.append(f"CASE WHEN {bad} THEN substr('{{\"customerID\":\"' || Customer_ID || '\",\"gender\":', 1, 25) "
+                "END AS _corrupt_record")
+    return sql("SELECT " + ", ".join(cols) + " FROM (SELECT *, CAST(substr(Customer_ID, 2) AS BIGINT) AS k FROM dirty)",
+               *_DIRTY)
+
+
+@register("scan_json_profiles", _scan_json_sql())
 def q_scan_json_profiles(spark, sf):
     """Profiles written as JSON lines (every 37th record truncated), read back
     with a permissive schema: malformed records kept in _corrupt_record."""
