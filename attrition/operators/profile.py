@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attrition.operators.encode import CATEGORICAL_TYPES, NUMERIC_TYPES, columns_of_type
+from attrition.operators.encode import NUMERIC_TYPES, columns_of_type
 from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values, tukey_hinges
 
 

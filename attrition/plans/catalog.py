@@ -7,13 +7,29 @@ Every query starts from ``customers_raw`` over the whole ``customer`` and
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attrition.config import FEATURES, SERVICE_COLS
+from attrition.config import (CONTINUOUS_FEATURES, FEATURES, SAMPLE_SEED, SAMPLE_SIZE,
+                              SCORECARD_INDICATORS, SERVICE_COLS, SPLIT_SEED)
+from attrition.functions.stats import normal_quantile
 from attrition.operators import encode as E
+from attrition.operators import evaluate as EV
+from attrition.operators import explain as XP
+from attrition.operators import model as M
 from attrition.operators import profile as P
-from attrition.plans.oracle_sql import (CATS, EXPLORED, FEATURE_LIST, NUMS, PREPARED, sql,
-                                        unpivot)
+from attrition.operators import scale as SC
+from attrition.operators import score as SCO
+from attrition.operators import split as SP
+from attrition.operators import stat_tests as ST
+from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values, row_ids
+from attrition.operators.rank import mid_ranks as _mid_ranks
+from attrition.plans import training as TR
+from attrition.plans.oracle_sql import (CATS, EXPLORED, FEATURE_LIST, NUMS, PREPARED, fold_expr, split_flag,
+                                        sql, unpivot)
+from attrition.session import scratch_path
+from attrition.sources import io as IO
 from attrition.sources.fixture import customers_raw
 
 QUERIES: dict = {}
@@ -352,8 +368,6 @@ def q_risk_segments(spark, sf):
 
 # ----------------------------------------------------------------------------- §2.4
 
-from attrition.functions.stats import normal_quantile  # noqa: E402
-from attrition.operators import stat_tests as ST  # noqa: E402
 
 _LONG_CATS = f"long AS ({unpivot('explored', CATS, ids=['Churn'])})"
 _CELLS = ("cells AS (SELECT variable, value AS level, Churn AS cls, count(*) AS o FROM long "
@@ -487,13 +501,6 @@ def q_qq_points(spark, sf):
 
 # ----------------------------------------------------------------------------- §2.5 / §2.7 scaler
 
-from pyspark.ml.functions import vector_to_array  # noqa: E402
-
-from attrition.config import SAMPLE_SEED, SAMPLE_SIZE, SPLIT_SEED  # noqa: E402
-from attrition.operators import evaluate as EV  # noqa: E402
-from attrition.operators import scale as SC  # noqa: E402
-from attrition.operators import split as SP  # noqa: E402
-from attrition.plans.oracle_sql import fold_expr, split_flag  # noqa: E402
 
 FOLD_SEED = 7
 _SPLIT = f"splitted AS (SELECT *, {split_flag(SPLIT_SEED)} AS is_train FROM prepared)"
@@ -687,12 +694,11 @@ def q_classification_metrics(spark, sf):
 
 
 def _scorecard_sql():
-    from attrition.config import SCORECARD_INDICATORS as IND
     auc_val = ("(SELECT round((sum(CASE WHEN label = 1 THEN mr ELSE 0 END) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) "
                "FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mr, "
                "sum(label) OVER () AS n1, count(*) OVER () - sum(label) OVER () AS n0 FROM test) GROUP BY n1, n0)")
     vals = [auc_val, "accuracy", "recall", "precision", "f1"]
-    rows = " UNION ALL ".join(f"SELECT '{i}' AS indicator, round({v}, 3) AS value FROM wide" for i, v in zip(IND, vals))
+    rows = " UNION ALL ".join(f"SELECT '{i}' AS indicator, round({v}, 3) AS value FROM wide" for i, v in zip(SCORECARD_INDICATORS, vals))
     return sql(f"""SELECT indicator, value,
   regexp_replace(CAST(round(value * 100, 1) AS VARCHAR), '\\.0$', '') || '%' AS pct,
   CASE WHEN value >= 0.8 THEN 'green' WHEN value >= 0.65 THEN 'yellow' ELSE 'red' END AS band,
@@ -710,15 +716,6 @@ def q_scorecard(spark, sf):
 # Model-dependent results have no SQL oracle (MLlib training); rows-only
 # checks here, properties in tests/ (SHAP additivity, staged = model margin).
 
-from pyspark.sql import types as T  # noqa: E402
-
-from attrition.config import CONTINUOUS_FEATURES  # noqa: E402
-from attrition.operators import explain as XP  # noqa: E402
-from attrition.operators import model as M  # noqa: E402
-from attrition.operators import score as SCO  # noqa: E402
-from attrition.plans import training as TR  # noqa: E402
-from attrition.session import scratch_path  # noqa: E402
-from attrition.sources import io as IO  # noqa: E402
 
 MODEL_PARAMS = {"max_depth": 3, "eta": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "rounds": 20}
 
@@ -870,7 +867,6 @@ def q_resolve_id(spark, sf):
     "SELECT 'CLIENT_' || CAST(row_number() OVER (ORDER BY customerID) AS VARCHAR) AS id_client, customerID "
     "FROM prepared", EXPLORED, PREPARED))
 def q_row_ids(spark, sf):
-    from attrition.operators.rank import row_ids
     return row_ids(prepared(spark, sf).select("customerID"), order_by="customerID")
 
 
@@ -1040,8 +1036,6 @@ def q_score_stream(spark, sf):
 
 # ----------------------------------------------------------------------------- additions (§2.3, §2.6)
 
-from attrition.operators.rank import mid_ranks as _mid_ranks  # noqa: E402
-
 
 @register("mid_ranks", sql(
     """SELECT variable, value, CAST(count(*) AS BIGINT) AS n,
@@ -1082,7 +1076,6 @@ def q_value_segments(spark, sf):
     """"New premium" (tenure below its median, charge above its median) and
     "old economical" (the reverse) — attrition rate and lift; cut points are
     the exact medians (two-phase prefix sums), passed as scalar subqueries."""
-    from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values
     ex = explored(spark, sf)
     med = quantile_values(prefix_sums(distinct_counts(ex, ["tenure", "MonthlyCharges"]), ["variable"], "value",
                                       ["n"]), ["variable"], "value", "n", {"m": 0.5})
