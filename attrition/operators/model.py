@@ -81,8 +81,9 @@ def tune_gbt_cv(df: DataFrame, features, target: str, grid: dict, fold_col: str
                      gbt.featureSubsetStrategy: str(float(cs))})
     ev = BinaryClassificationEvaluator(labelCol=target, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC")
+    k = df.select(fold_col).distinct().count()  # folds are 0..k-1 (kfold_assign)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
+                        numFolds=k, parallelism=parallelism, seed=seed)
     model = cv.fit(df.fillna(0, subset=list(features)))
     aucs = list(model.avgMetrics)
     best = max(range(len(aucs)), key=lambda i: (aucs[i], -i))

@@ -88,3 +88,14 @@ def test_select_rounds_best_is_argmax(spark, trained):
     r = M.select_rounds(staged, "Churn").collect()
     best = [x for x in r if x["best"]]
     assert len(best) == 1 and best[0]["mean_auc"] == max(x["mean_auc"] for x in r)
+
+
+def test_crossvalidator_tuning_form(spark, trained):
+    from attrition.operators import split as SP
+    df, _ = trained
+    folded = SP.kfold_assign(df, "customerID", 2, 7)
+    grid = {"max_depth": [2, 3], "eta": [0.1], "subsample": [1.0], "colsample_bytree": [1.0]}
+    out = M.tune_gbt_cv(folded, FEATS, "Churn", grid, fold_col="fold", rounds=2).collect()
+    assert len(out) == 2 and sum(r["is_best"] for r in out) == 1
+    best = [r for r in out if r["is_best"]][0]
+    assert best["mean_auc"] == max(r["mean_auc"] for r in out)

@@ -96,3 +96,15 @@ def test_upload_is_lenient(spark, fit):
     out = SCO.score_upload(IO.scan_upload(spark, path, columns=txt.columns), f.artifacts)
     assert out.count() == prepared.count()
     assert set(out.columns) == {"ID_CLIENT", "Churn_Proba", "Churn_Class", "Commentaire"}
+
+
+def test_missing_threshold_defaults_to_half(spark, fit):
+    f, _ = fit
+    path = scratch_path(spark, "art-no-threshold")
+    art = f.artifacts
+    art.model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame(list(enumerate(art.features)), "pos int, feature string").write.parquet(f"{path}/features")
+    spark.createDataFrame([(k, float(lo), float(hi)) for k, (lo, hi) in art.scaler.items()],
+                          "feature string, lo double, hi double").write.parquet(f"{path}/scaler")
+    loaded = IO.load_artifacts(spark, path)
+    assert loaded.threshold == 0.5 and loaded.features == art.features
