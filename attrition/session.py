@@ -31,6 +31,8 @@ def get_spark(master: str | None = None, app: str = "attrition",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # prefix sums write reliable checkpoints; delete them once unreferenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("ATTRITION_DRIVER_MEMORY", "16g"))
     )
     for k, v in (extra or {}).items():
