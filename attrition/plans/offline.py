@@ -1,8 +1,8 @@
 """The reference's offline flow as one composed Spark run.
 
-exploration reports → prepared feature table → fit (split, scaler, weight,
-GBT, threshold) → evaluation on the test split → importance and attributions
-→ artefacts. Every report is a DataFrame written as parquet under
+per-customer table (written once) → exploration reports → prepared feature
+table → fit (split, scaler, weight, GBT, threshold) → evaluation on the test
+split → importance and attributions → artefacts. Every report is a DataFrame written as parquet under
 ``out_dir/<name>``; nothing is collected except the small fitted objects.
 
     python -m attrition.plans.offline /root/testdata/sf0.01 <out_dir>
@@ -62,7 +62,10 @@ def evaluation(fit: TR.Fitted) -> dict:
 
 
 def run_offline(spark: SparkSession, sf_dir: str, out_dir: str, params: dict | None = None) -> TR.Fitted:
-    raw = customers_raw(spark, sf_dir)
+    # one pass over orders: the per-customer table is written once and every
+    # report, the encoding and the fit read it (lineage cut at a shared table)
+    IO.sink_table(customers_raw(spark, sf_dir), f"{out_dir}/raw", mode="overwrite")
+    raw = spark.read.parquet(f"{out_dir}/raw")
     for name, df in exploration(raw).items():
         IO.sink_table(df, f"{out_dir}/reports/{name}", mode="overwrite")
     prepared = E.prepare_features(raw)
