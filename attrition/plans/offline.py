@@ -2,8 +2,9 @@
 
 per-customer table (written once) → exploration reports → prepared feature
 table → fit (split, scaler, weight, GBT, threshold) → evaluation on the test
-split → importance and attributions → artefacts. Every report is a DataFrame written as parquet under
-``out_dir/<name>``; nothing is collected except the small fitted objects.
+split → importance and attributions → artefacts. Every report is a DataFrame
+written as parquet under ``out_dir/reports/<name>``; nothing is collected
+except the small fitted objects.
 
     python -m attrition.plans.offline /root/testdata/sf0.01 <out_dir>
 """
