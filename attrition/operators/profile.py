@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attrition.operators.encode import NUMERIC_TYPES, columns_of_type
-from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values, tukey_hinges
+from attrition.operators.rank import distinct_counts, prefix_sums, rank_summary
 
 
 
@@ -154,8 +154,10 @@ def profile_numeric(df: DataFrame, cols, approx: bool = False) -> DataFrame:
     else:
         # everything below reads the checkpointed prefix table, not the input again
         src = prefix_sums(d, ["variable"], "value", ["n"])
-        q = quantile_values(src, ["variable"], "value", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-        q = q.join(tukey_hinges(src, ["variable"], "value", "n"), "variable")
+        # quartiles and hinges in one aggregation over the prefix table
+        q = rank_summary(src, ["variable"], "value",
+                         quantiles=[("q1", "n", 0.25), ("median", "n", 0.5), ("q3", "n", 0.75)],
+                         hinges=[("", "n")])
     if approx:
         q = q.select("*", F.col("q1").alias("lower_hinge"), F.col("q3").alias("upper_hinge"))
     spread = F.col("upper_hinge") - F.col("lower_hinge")

@@ -88,34 +88,59 @@ def prefix_sums_naive(d: DataFrame, keys, order: str, measures, maxes=()) -> Dat
                     *[F.max(m).over(w).alias(f"prev_{m}") for m in maxes])
 
 
-def quantile_values(p: DataFrame, keys, order: str, count_col: str, probs: dict) -> DataFrame:
-    """Type-7 quantiles (R default, DuckDB ``quantile_cont``) per key from a
-    prefix-summed distinct-value table: keys..., one column per prob name.
+def rank_summary(p: DataFrame, keys, order: str, quantiles=(), hinges=(), extra=None) -> DataFrame:
+    """Several rank statistics per key in ONE join + aggregation over a
+    prefix-summed distinct-value table (``cum_<c>`` beside each count ``c``).
+
+    * ``quantiles``: (name, count_col, q) — type-7 quantile (R default,
+      DuckDB ``quantile_cont``) of the rows weighted by ``count_col``;
+    * ``hinges``: (prefix, count_col) — Tukey's hinges ``<prefix>lower_hinge``
+      and ``<prefix>upper_hinge`` (five-number summary: with
+      n4 = floor((n+3)/2)/2, the mean of the order statistics at floor/ceil
+      of n4 and of n + 1 − n4, 1-based);
+    * ``extra``: {name: aggregate Column} over the same rows.
 
     The order statistic with 0-based index i is the value whose
-    [cum, cum + n) interval contains i. One aggregation, no value map.
-    ``keys`` must have few groups (variables): their totals are broadcast.
+    [cum, cum + n) interval contains i — no value map, no global window.
+    Group sizes are broadcast: ``keys`` must have few groups (variables).
     """
-    keys = list(keys)
+    keys, quantiles, hinges, extra = list(keys), list(quantiles), list(hinges), dict(extra or {})
     if not keys:  # one global group: join on a constant key (no cross join)
         p, keys = p.withColumn("_all", F.lit(0)), ["_all"]
-    cum = F.col(f"cum_{count_col}")
-    tot = p.groupBy(*keys).agg(F.sum(count_col).alias("_N"))
+    counts = sorted({c for _, c, _ in quantiles} | {c for _, c in hinges})
+    tot = p.groupBy(*keys).agg(*[F.sum(c).alias(f"_N_{c}") for c in counts])
     j = p.join(F.broadcast(tot), keys)
+    picks, post = {}, {}
+    for name, c, q in quantiles:
+        def h(n, q=q):
+            return (n - 1) * F.lit(float(q))
+        picks[f"_{name}_lo"] = (c, lambda n, h=h: F.floor(h(n)))
+        picks[f"_{name}_hi"] = (c, lambda n, h=h: F.least(F.floor(h(n)) + 1, n - 1))
+        n_c = F.col(f"_N_{c}")
+        post[name] = F.col(f"_{name}_lo") + (h(n_c) - F.floor(h(n_c))) * \
+            (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))
+    for prefix, c in hinges:
+        def n4(n):
+            return F.floor((n + 3) / 2) / 2
+        picks[f"_{prefix}l1"] = (c, lambda n, n4=n4: F.floor(n4(n)) - 1)
+        picks[f"_{prefix}l2"] = (c, lambda n, n4=n4: F.ceil(n4(n)) - 1)
+        picks[f"_{prefix}u1"] = (c, lambda n, n4=n4: F.floor(n + 1 - n4(n)) - 1)
+        picks[f"_{prefix}u2"] = (c, lambda n, n4=n4: F.ceil(n + 1 - n4(n)) - 1)
+        post[f"{prefix}lower_hinge"] = (F.col(f"_{prefix}l1") + F.col(f"_{prefix}l2")) / 2
+        post[f"{prefix}upper_hinge"] = (F.col(f"_{prefix}u1") + F.col(f"_{prefix}u2")) / 2
     aggs = []
-    for name, q in probs.items():
-        h = (F.col("_N") - 1) * F.lit(float(q))
-        lo = F.floor(h)
-        hi = F.least(lo + 1, F.col("_N") - 1)
-        aggs += [
-            F.max(F.when((cum <= lo) & (lo < cum + F.col(count_col)), F.col(order))).alias(f"_lo_{name}"),
-            F.max(F.when((cum <= hi) & (hi < cum + F.col(count_col)), F.col(order))).alias(f"_hi_{name}"),
-            F.max(h - lo).alias(f"_f_{name}"),
-        ]
-    g = j.groupBy(*keys).agg(*aggs)
-    return g.select(*keys, *[
-        (F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
-        for n in probs])
+    for name, (c, fn) in picks.items():
+        cum, i = F.col(f"cum_{c}"), fn(F.col(f"_N_{c}"))
+        aggs.append(F.max(F.when((cum <= i) & (i < cum + F.col(c)), F.col(order))).alias(name))
+    aggs += [F.first(f"_N_{c}").alias(f"_N_{c}") for c in counts]
+    g = j.groupBy(*keys).agg(*aggs, *[e.alias(n) for n, e in extra.items()])
+    return g.select(*[k for k in keys if k != "_all"], *[v.alias(k) for k, v in post.items()], *extra)
+
+
+def quantile_values(p: DataFrame, keys, order: str, count_col: str, probs: dict) -> DataFrame:
+    """Type-7 quantiles per key (keys..., one column per prob name);
+    see ``rank_summary``."""
+    return rank_summary(p, keys, order, quantiles=[(n, count_col, q) for n, q in probs.items()])
 
 
 def order_stats(p: DataFrame, keys, order: str, count_col: str, index_fns: dict) -> DataFrame:
@@ -138,19 +163,8 @@ def order_stats(p: DataFrame, keys, order: str, count_col: str, index_fns: dict)
 
 
 def tukey_hinges(p: DataFrame, keys, order: str, count_col: str) -> DataFrame:
-    """keys..., lower_hinge, upper_hinge — Tukey's hinges as in the
-    five-number summary (the box-plot statistics): with n4 = floor((n+3)/2)/2,
-    each hinge is the mean of the order statistics at floor/ceil of n4 and of
-    n + 1 − n4 (1-based)."""
-    def n4(n):
-        return F.floor((n + 3) / 2) / 2
-    fns = {
-        "_l1": lambda n: F.floor(n4(n)) - 1, "_l2": lambda n: F.ceil(n4(n)) - 1,
-        "_u1": lambda n: F.floor(n + 1 - n4(n)) - 1, "_u2": lambda n: F.ceil(n + 1 - n4(n)) - 1,
-    }
-    o = order_stats(p, keys, order, count_col, fns)
-    return o.select(*keys, ((F.col("_l1") + F.col("_l2")) / 2).alias("lower_hinge"),
-                    ((F.col("_u1") + F.col("_u2")) / 2).alias("upper_hinge"))
+    """keys..., lower_hinge, upper_hinge (box-plot statistics); see ``rank_summary``."""
+    return rank_summary(p, keys, order, hinges=[("", count_col)])
 
 
 def mid_ranks(df: DataFrame, cols) -> DataFrame:

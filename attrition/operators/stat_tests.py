@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from attrition.functions import stats as S
 from attrition.operators.profile import long_strings
-from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values
+from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values, rank_summary
 
 
 def _cells(df: DataFrame, cols, target: str) -> DataFrame:
@@ -94,20 +94,19 @@ def mann_whitney(df: DataFrame, cols, target: str, positive=1, with_p: bool = Tr
     p = p.select("*", (F.col("n") - F.col("n_pos")).alias("n_neg"),
                  (F.col("cum_n") - F.col("cum_n_pos")).alias("cum_n_neg"),
                  (F.col("cum_n") + (F.col("n") + 1) / 2.0).alias("mr"))
-    g = p.groupBy("variable").agg(
-        F.sum("n").alias("n_all"), F.sum("n_pos").alias("n1"),
-        F.sum(F.col("n_neg") * F.col("mr")).alias("R0"),
-        F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"),
-    )
-    med0 = quantile_values(p, ["variable"], "value", "n_neg", {"median0": 0.5})
-    med1 = quantile_values(p, ["variable"], "value", "n_pos", {"median1": 0.5})
+    # rank sums, tie term and both class medians in one aggregation
+    g = rank_summary(p, ["variable"], "value",
+                     quantiles=[("median0", "n_neg", 0.5), ("median1", "n_pos", 0.5)],
+                     extra={"n_all": F.sum("n"), "n1": F.sum("n_pos"),
+                            "R0": F.sum(F.col("n_neg") * F.col("mr")),
+                            "ties": F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n"))})
     N, n1 = F.col("n_all"), F.col("n1")
     n0 = N - n1
     u = F.col("R0") - n0 * (n0 + 1) / 2.0
     mu = n0 * n1 / 2.0
     sigma = F.sqrt(n0 * n1 / 12.0 * ((N + 1) - F.try_divide(F.col("ties"), N * (N - 1))))
     z = F.try_divide(u - mu - F.signum(u - mu) * 0.5, sigma)
-    out = g.join(med0, "variable").join(med1, "variable").select(
+    out = g.select(
         "variable", F.round(u, 6).alias("u"), F.round(F.try_divide(2 * u, n0 * n1) - 1, 6).alias("rank_biserial"),
         F.round(z, 6).alias("z"), F.round("median0", 6).alias("median0"),
         F.round("median1", 6).alias("median1"), n0.cast("long").alias("n0"), n1.cast("long").alias("n1"),
