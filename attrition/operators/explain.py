@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.operators.model import Forest, tree_table
+from attrition.session import ship_package
 
 
 def leaf_paths(forest: Forest) -> list:
@@ -80,6 +81,7 @@ def shap_kernel(X: np.ndarray, paths: list, d: int):
 
 def shap_wide(df: DataFrame, model, features, id_col: str) -> DataFrame:
     """id, base, margin, values array, shap array (feature order)."""
+    ship_package(df.sparkSession)
     forest = Forest.from_table(tree_table(model))
     paths = leaf_paths(forest)
     feats = list(features)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrition.operators.rank import prefix_sums
-from attrition.session import scratch_path
+from attrition.session import scratch_path, ship_package
 
 DEFAULT_PARAMS = {"max_depth": 3, "eta": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "rounds": 20}
 
@@ -208,6 +208,7 @@ def staged_scores(df: DataFrame, model, features, id_col: str, keep=()) -> DataF
     through ``mapInPandas`` in Arrow batches, all trees evaluated
     vectorised per batch.
     """
+    ship_package(df.sparkSession)
     forest = Forest.from_table(tree_table(model))
     feats, keep = list(features), list(keep)
     base = df.select(F.col(id_col).cast("string").alias("id"), *keep,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from attrition.functions import stats as S
 from attrition.operators.profile import long_strings
 from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values, rank_summary
+from attrition.session import ship_package
 
 
 def _cells(df: DataFrame, cols, target: str) -> DataFrame:
@@ -62,6 +63,7 @@ def chi_square(df: DataFrame, cols, target: str, with_p: bool = True) -> DataFra
         stat.alias("_stat"),
     )
     if with_p:
+        ship_package(df.sparkSession)
         out = out.withColumn("p_value", S.chi2_pvalue(F.col("_stat"), F.col("df").cast("double")))
     return out.drop("_stat")
 
@@ -79,6 +81,7 @@ def level_goodness_of_fit(df: DataFrame, cols, target: str, with_p: bool = True)
                    F.round(stat, 6).alias("statistic"), (F.col("k") - 1).cast("long").alias("df"),
                    stat.alias("_stat"))
     if with_p:
+        ship_package(df.sparkSession)
         out = out.withColumn("p_value", S.chi2_pvalue(F.col("_stat"), F.col("df").cast("double")))
     return out.drop("_stat")
 
@@ -112,6 +115,7 @@ def mann_whitney(df: DataFrame, cols, target: str, positive=1, with_p: bool = Tr
         F.round("median1", 6).alias("median1"), n0.cast("long").alias("n0"), n1.cast("long").alias("n1"),
         z.alias("_z"))
     if with_p:
+        ship_package(df.sparkSession)
         out = out.withColumn("p_value", S.normal_pvalue(F.col("_z")))
     return out.drop("_z")
 
@@ -173,6 +177,7 @@ def ks_normal(df: DataFrame, cols) -> DataFrame:
     ECDF from the prefix sums over distinct values; Φ by a pandas UDF over
     the distinct values only.
     """
+    ship_package(df.sparkSession)
     # the distinct values feed the moments and the checkpointed prefix job
     d = distinct_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     mom = d.groupBy("variable").agg(
