@@ -30,3 +30,31 @@ def test_mid_ranks_sum(spark, xs):
     total = sum(r["n"] * r["mid_rank"] for r in mid_ranks(df, ["x"]).collect())
     n = len(xs)
     assert abs(total - n * (n + 1) / 2) < 1e-9
+
+
+def test_scaler_maps_train_into_unit_interval(spark):
+    from attrition.config import FEATURES
+    from attrition.operators import encode as E
+    from attrition.operators import scale as SC
+    from attrition.sources.fixture import customers_raw
+    df = E.prepare_features(customers_raw(spark, "/root/testdata/sf0.001"))
+    scaled = SC.apply_range_scaler(df, SC.fit_range_scaler(df, FEATURES), FEATURES)
+    r = scaled.agg(*[F.min(f).alias(f"lo_{f}") for f in FEATURES], *[F.max(f).alias(f"hi_{f}") for f in FEATURES]).first()
+    for f in FEATURES:
+        assert r[f"lo_{f}"] >= 0.0 and r[f"hi_{f}"] <= 1.0
+
+
+def test_operators_unchanged_under_repartition(spark):
+    from attrition.operators import profile as P
+    from attrition.operators import stat_tests as ST
+    base = spark.range(0, 2000).select((F.col("id") % 13).cast("double").alias("x"),
+                                       (F.col("id") % 5).cast("string").alias("v"),
+                                       (F.col("id") % 3 == 0).cast("int").alias("y"))
+
+    def results(df):
+        return (sorted(tuple(r) for r in ST.chi_square(df, ["v"], "y", with_p=False).collect()),
+                sorted(tuple(r) for r in ST.mann_whitney(df, ["x"], "y", with_p=False).collect()),
+                sorted(tuple(r) for r in P.profile_numeric(df, ["x"]).collect()))
+    ref = results(base)
+    for n in (1, 7, 200):
+        assert results(base.repartition(n)) == ref
