@@ -82,7 +82,7 @@ def shap_kernel(X: np.ndarray, paths: list, d: int):
 def shap_wide(df: DataFrame, model, features, id_col: str) -> DataFrame:
     """id, base, margin, values array, shap array (feature order)."""
     ship_package(df.sparkSession)
-    forest = Forest.from_table(tree_table(model))
+    forest = Forest.from_table(tree_table(model, df.sparkSession))
     paths = leaf_paths(forest)
     feats = list(features)
     d = len(feats)

@@ -98,7 +98,7 @@ GRID_NAMES = ["max_depth", "eta", "subsample", "colsample_bytree"]
 
 def tune_gbt(df: DataFrame, features, target: str, grid: dict, id_col: str, fold_col: str = "fold",
              weight: str | None = None, max_rounds: int = 100, patience: int = 20,
-             seed: int = 123) -> DataFrame:
+             seed: int = 123, parallelism: int = 2) -> DataFrame:
     """Grid search with per-round k-fold CV, as the reference's search loop:
     for every grid point and fold, ONE fit at ``max_rounds`` gives the margin
     after every round (``staged_scores`` on the held-out fold); AUC per
@@ -108,18 +108,27 @@ def tune_gbt(df: DataFrame, features, target: str, grid: dict, id_col: str, fold
 
     Returns max_depth, eta, subsample, colsample_bytree, best_round,
     mean_auc, is_best. The loop runs over the (bounded) grid × folds; each
-    fit is a distributed MLlib job.
+    fit is a distributed MLlib job, and up to ``parallelism`` fold fits are
+    submitted concurrently (as ``CrossValidator(parallelism=...)`` does).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())  # k values
     points = list(itertools.product(*[grid[n] for n in GRID_NAMES]))
     rows = []
     for md, eta, ss, cs in points:
         params = {"max_depth": md, "eta": eta, "subsample": ss, "colsample_bytree": cs, "rounds": max_rounds}
-        staged = None
-        for f in folds:
+
+        def fold_scores(f, params=params):
             model = train_gbt(df.filter(F.col(fold_col) != f), features, target, params, weight, seed)
-            st = staged_scores(df.filter(F.col(fold_col) == f), model, features, id_col, keep=[target, fold_col])
-            staged = st if staged is None else staged.unionByName(st)
+            return staged_scores(df.filter(F.col(fold_col) == f), model, features, id_col,
+                                 keep=[target, fold_col])
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            parts = list(pool.map(fold_scores, folds))
+        staged = parts[0]
+        for st in parts[1:]:
+            staged = staged.unionByName(st)
         best = select_rounds(staged, target, fold=fold_col, patience=patience).filter("best").first()
         rows.append((int(md), float(eta), float(ss), float(cs), int(best["round"]), float(best["mean_auc"])))
     win = 0
@@ -134,12 +143,13 @@ def tune_gbt(df: DataFrame, features, target: str, grid: dict, id_col: str, fold
 
 # ----------------------------------------------------------------------------- node table
 
-def tree_table(model) -> DataFrame:
+def tree_table(model, spark: SparkSession | None = None) -> DataFrame:
     """tree, weight, node, prediction, raw_count, gain, left, right, feature,
     threshold — read from the model's saved data (a Spark job over a table
     bounded by rounds × nodes)."""
     gbt = gbt_stage(model)
-    spark = SparkSession.getActiveSession()
+    # the active session is thread-local: callers in worker threads pass theirs
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     path = scratch_path(spark, "gbt-model")
     gbt.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -209,7 +219,7 @@ def staged_scores(df: DataFrame, model, features, id_col: str, keep=()) -> DataF
     vectorised per batch.
     """
     ship_package(df.sparkSession)
-    forest = Forest.from_table(tree_table(model))
+    forest = Forest.from_table(tree_table(model, df.sparkSession))
     feats, keep = list(features), list(keep)
     base = df.select(F.col(id_col).cast("string").alias("id"), *keep,
                      *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])

@@ -742,7 +742,7 @@ def q_tune_gbt(spark, sf):
     train = M.with_class_weight(train, "Churn", fit.weight)
     grid = {"max_depth": [3, 4], "eta": [0.1], "subsample": [0.8], "colsample_bytree": [0.8]}
     return M.tune_gbt(train, FEATURES, "Churn", grid, "customerID", fold_col="fold", weight="w",
-                      max_rounds=10, patience=5)
+                      max_rounds=10, patience=5, parallelism=3)
 
 
 @register("staged_scores")
