@@ -27,7 +27,8 @@ def roc_curve(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
     plus the +∞ end point. A row is predicted positive when score > threshold."""
     d = _score_counts(df, score, label, positive)
     p = prefix_sums(d, [], "s", ["n", "n_pos"], maxes=["s"])
-    tot = d.agg(F.sum("n_pos").alias("P"), (F.sum("n") - F.sum("n_pos")).alias("Q"))
+    # class totals and the +inf end row read the checkpointed table, not the input again
+    tot = p.agg(F.sum("n_pos").alias("P"), (F.sum("n") - F.sum("n_pos")).alias("Q"))
     P, Q = tot.select("P").scalar(), tot.select("Q").scalar()
     neg_below = F.col("cum_n") - F.col("cum_n_pos")
     thr = F.when(F.col("prev_s").isNull(), F.lit(float("-inf"))) \
@@ -35,7 +36,7 @@ def roc_curve(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
     sens = F.try_divide(P - F.col("cum_n_pos"), P)
     spec = F.try_divide(neg_below, Q)
     rows = p.select(thr.alias("threshold"), sens.alias("sensitivity"), spec.alias("specificity"))
-    top = d.agg(F.lit(float("inf")).alias("threshold"),
+    top = p.agg(F.lit(float("inf")).alias("threshold"),
                 F.try_divide(F.lit(0.0), F.sum("n_pos").cast("double")).alias("sensitivity"),
                 F.try_divide((F.sum("n") - F.sum("n_pos")).cast("double"),
                              (F.sum("n") - F.sum("n_pos")).cast("double")).alias("specificity"))
