@@ -13,7 +13,8 @@ from .conftest import SF_SMALL
 FAST = ["customers_raw", "prepare_features", "encode_profiles", "profile_columns", "profile_numeric",
         "category_by_target", "chi_square", "mann_whitney", "spearman_matrix", "qq_points", "risk_segments",
         "split_stratified", "roc_curve", "auc", "youden_threshold", "classification_metrics", "scorecard",
-        "validation_report", "score_rejects", "row_ids", "scan_csv"]
+        "validation_report", "score_rejects", "row_ids", "scan_csv", "mid_ranks", "value_segments",
+        "scan_json_profiles"]
 
 
 def _norm(v):
