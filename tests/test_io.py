@@ -44,3 +44,12 @@ def test_sink_predictions_partitioned(spark):
     IO.sink_predictions(df, path, run_date="2026-12-01")
     back = spark.read.option("header", True).csv(path)
     assert back.select("run_date").first()[0] in ("2026-12-01", __import__("datetime").date(2026, 12, 1))
+
+
+def test_package_shipped_once_per_application(spark):
+    from attrition import session
+    session.ship_package(spark)
+    session.ship_package(spark)
+    shipped = [f for f in spark.sparkContext.listFiles if "attrition-pkg-" in f]
+    assert len(shipped) == 1 and shipped[0].endswith(".zip")
+    assert spark.sparkContext.applicationId in session._SHIPPED
