@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from attrition.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from attrition.llm.packing import op6_packing
+from attrition.llm.sharding import op10_sharding
+from attrition.llm.topk import OP9_SQL, op9_topk
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op6_packing": op6_packing, "op9_topk": op9_topk, "op10_sharding": op10_sharding}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op9_topk": OP9_SQL}
