@@ -17,6 +17,7 @@ blank-separated chunk, exact here because this vocabulary never merges over whit
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,24 +30,68 @@ from attrition.session import ship_package
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 
 
-class ChunkIds(dict):
-    """Chunk of text -> its ids as little-endian unsigned 32-bit; emptied when it holds ``most`` chunks."""
+class Ids(dict):
+    """Key -> ids as little-endian unsigned 32-bit by ``make``; emptied when it holds ``most`` keys, long keys are not kept."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.encode, self.most = Tokenizer.from_file(path).encode, most
+    def __init__(self, make, most: int = 400_000):
+        self.make, self.most = make, most
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= 64:
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        if len(key) <= 64:
             if len(self) >= self.most:
                 self.clear()
-            self[chunk] = ids
+            self[key] = ids
         return ids
 
+
+class Encoder:
+    """Ids of a text by the vocabulary at ``path``: blank-separated chunks are cached, and so are the pieces the file's own pattern cuts them into.
+
+    A chunk outside Latin letters and printable ASCII, or with a special token in it, goes to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        cut = own.model.tokenize
+        special = [t.content for t in own.get_added_tokens_decoder().values()]
+        # FIXED VALUES: the pattern of the vocabulary file's pre-tokenizer.
+        pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        plain = regex.compile(r"[!-~\n\t\u00a1-\u024f]*")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in set(shown)]
+        as_text = {b: 256 + i for i, b in enumerate(hidden)}
+
+        def packed(ids):
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        def of_piece(piece: str) -> bytes:
+            shown_as = piece if piece.isascii() else piece.encode().decode("latin-1").translate(as_text)
+            return packed([t.id for t in cut(shown_as)])
+
+        def of_chunk(chunk: str) -> bytes:
+            if plain.fullmatch(chunk) and not any(t in chunk for t in special):
+                return b"".join([self.pieces[p] for p in pieces.findall(chunk.lower())])
+            return packed(own.encode(chunk, add_special_tokens=False).ids)
+
+        self.pieces, self.chunks = Ids(of_piece), Ids(of_chunk)
+
     def ids(self, text: str) -> bytes:
-        return b"".join([self[c] for c in text.split(" ")])
+        chunks = self.chunks
+        return b"".join([chunks[c] for c in text.split(" ")])
+
+
+_ENCODERS: dict = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for the life of a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Windows:
@@ -136,12 +181,12 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, max
     def run(batches):
         import pyarrow as pa
 
-        chunks = ChunkIds(tokenizer)
+        enc = encoder(tokenizer)
 
         def rows():
             for b in batches:
                 for i, t in zip(b.column(0), b.column(1), strict=True):
-                    yield i.as_py(), chunks.ids(t.as_py() or "") + end
+                    yield i.as_py(), enc.ids(t.as_py() or "") + end
 
         out, kinds = [], pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
         for row in pack_documents(rows(), size, max_open, TaskContext.get().partitionId() << 33):

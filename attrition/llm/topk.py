@@ -14,7 +14,7 @@ sent); each chunk meets all rows in blocks, and only k rows per query and block
 Defined results: vectors null, empty, or holding null or non-finite components take no
 part; vectors of another length than the query are not compared; every row with the
 query's id counts as its own and is left out; a query id that repeats with the same
-vector is one query; repeated candidate rows each take a rank; rows with null id take
+vector is one query, with other vectors their best rows are merged; repeated candidate rows each take a rank; rows with null id take
 no part; ties go to the smaller id; empty tables give no rows. Where products could
 leave 64 bits, exact Python integers are used and a score saturates at the range of long.
 """
@@ -194,11 +194,11 @@ def op9_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.c, r.c), p -> p[1] * p[2])) AS BIGINT) AS score
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.c, r.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
       FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id AND len(q.c) = len(r.c))
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
 """
