@@ -11,12 +11,13 @@ leaves at most one window part-filled.
 
 Defined results: a null or empty text is its end token alone; repeated ids are packed
 row by row; an empty table gives no rows; other columns are ignored. ``sequence_id`` is
-unique: (split << 33) + window of that split. Tokenisation caches the ids of each
-blank-separated chunk, exact here because this vocabulary never merges over white space.
+unique: (split << 33) + window of that split. Ids of words are cached (``Encoder``).
 """
 
 from __future__ import annotations
 
+import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Ids(dict):
     """Key -> ids as little-endian unsigned 32-bit by ``make``; emptied when it holds ``most`` keys, long keys are not kept."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 600_000):
         self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
@@ -46,9 +47,10 @@ class Ids(dict):
 
 
 class Encoder:
-    """Ids of a text by the vocabulary at ``path``: blank-separated chunks are cached, and so are the pieces the file's own pattern cuts them into.
+    """Ids of a text by the vocabulary at ``path``: words are cached, and so are the letters of a word without the marks around it.
 
-    A chunk outside Latin letters and printable ASCII, or with a special token in it, goes to the tokenizer whole.
+    This vocabulary lower-cases, drops white space and never merges over it, so words are independent. Texts with
+    characters beyond Latin letters and printable ASCII, or with a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -56,32 +58,32 @@ class Encoder:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        cut = own.model.tokenize
-        special = [t.content for t in own.get_added_tokens_decoder().values()]
+        cut, self.whole = own.model.tokenize, own.encode
+        self.special = [t.content for t in own.get_added_tokens_decoder().values()]
         # FIXED VALUES: the pattern of the vocabulary file's pre-tokenizer.
         pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        plain = regex.compile(r"[!-~\n\t\u00a1-\u024f]*")
+        self.plain = re.compile(r"[ -~\n\t\u00a1-\u012f\u0131-\u024f]*").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in set(shown)]
         as_text = {b: 256 + i for i, b in enumerate(hidden)}
 
-        def packed(ids):
-            return struct.pack(f"<{len(ids)}I", *ids)
-
         def of_piece(piece: str) -> bytes:
-            shown_as = piece if piece.isascii() else piece.encode().decode("latin-1").translate(as_text)
-            return packed([t.id for t in cut(shown_as)])
+            ids = [t.id for t in cut(piece if piece.isascii() else piece.encode().decode("latin-1").translate(as_text))]
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-        def of_chunk(chunk: str) -> bytes:
-            if plain.fullmatch(chunk) and not any(t in chunk for t in special):
-                return b"".join([self.pieces[p] for p in pieces.findall(chunk.lower())])
-            return packed(own.encode(chunk, add_special_tokens=False).ids)
+        def of_word(word: str) -> bytes:
+            core = word.rstrip(string.punctuation)
+            if core.isalpha():
+                return self.pieces[core] + self.pieces[word[len(core):]] if len(core) < len(word) else self.pieces[core]
+            return b"".join([self.pieces[p] for p in pieces.findall(word)])
 
-        self.pieces, self.chunks = Ids(of_piece), Ids(of_chunk)
+        self.pieces, self.words = Ids(of_piece), Ids(of_word)
 
     def ids(self, text: str) -> bytes:
-        chunks = self.chunks
-        return b"".join([chunks[c] for c in text.split(" ")])
+        if self.plain(text) and not any(t in text for t in self.special):
+            words = self.words
+            return b"".join([words[w] for w in text.lower().split()])
+        return np.array(self.whole(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _ENCODERS: dict = {}
