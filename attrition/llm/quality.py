@@ -25,6 +25,7 @@ import zlib
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from attrition.session import ship_package
@@ -129,9 +130,7 @@ def score(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("expected_grade double, tail double")
-    def grade(texts: "Series") -> "DataFrame":  # noqa: F821
-        import pandas as pd
-
+    def grade(texts: pd.Series) -> pd.DataFrame:
         of, slots = shared.value, Slots(shared.value.bits)
         tails = np.array([of.tails(features(t, slots)) for t in texts]).reshape(-1, len(of.thresholds))
         return pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail": tails[:, select - 1]})
