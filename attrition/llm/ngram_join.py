@@ -13,8 +13,8 @@ each frequency, and any error in it costs time only.
   candidates these meet, from the histogram of set sizes and the counters.
 
 Sets that meet in a subset or list are candidates. Emitting their pairs would be quadratic in a
-group of copies, so candidates are joined to the smallest of their list (very frequent lists in
-several parts), connected to groups, and each set is shipped to its group once. Within a group,
+group of copies, so a list is cut into runs of sizes that can be partners, its candidates are
+joined to the smallest of their run (very frequent lists in several parts), connected to groups, and each set is shipped to its group once. Within a group,
 or list by list where that is the smaller work, blocks of at most ``block`` sets are compared
 exactly, all their pairs in one sparse product, and a block gives a spanning forest of its
 links. Components of those links are the classes.
@@ -38,16 +38,26 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
                 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], dtype=np.uint64)
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
+ROOT, SLICE = 0xA0761D6478BD642F, 1 << 20
+BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE[65:91] = BYTE[97:123]  # A-Z as a-z
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[32, *range(9, 14)]] = True
+BYTE[BLANK] = 0
 
-        if len(self) >= 500_000:
-            self.clear()
-        h = xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+
+class Powers:
+    """Powers of ``ROOT`` and of its inverse modulo 2**64, as many as the longest piece of text so far needs."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def upto(self, n: int):
+        if n > len(self.up):
+            steps = np.full((2, n), [[ROOT], [pow(ROOT, -1, 1 << 64)]], dtype=np.uint64)
+            steps[:, 0] = 1
+            self.up, self.down = np.cumprod(steps, axis=1, dtype=np.uint64)
+        return self.up, self.down
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -55,18 +65,39 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, words: int, cache: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-    width = min(words, len(found))
-    out = np.full(len(h) - width + 1, width, np.uint64)
+def word_hashes(raw: np.ndarray, powers: Powers) -> np.ndarray:
+    """A 64-bit polynomial hash of every word of UTF-8 bytes, in order; long texts go in slices that end at a blank."""
+    out, start = [], 0
+    while start < len(raw):
+        end = min(len(raw), start + SLICE)
+        if end < len(raw):
+            last = np.flatnonzero(BLANK[raw[start:end]])
+            if len(last):
+                end = start + int(last[-1]) + 1
+            else:  # a word longer than a slice
+                while end < len(raw) and not BLANK[raw[end]]:
+                    end += 1
+        piece, start = raw[start:end], end
+        blank = BLANK[piece]
+        first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        if len(first):
+            up, down = powers.upto(max(len(piece), 1 << 14))
+            out.append(np.add.reduceat(BYTE[piece] * up[:len(piece)], first) * down[first])
+    return mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text, words: int, powers: Powers) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes of a text (str, or an object with UTF-8 bytes)."""
+    h = word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"", np.uint8), powers)
+    if not len(h):
+        return h
+    width = min(words, len(h))
+    n = len(h) - width + 1
+    out = np.full(n, width, np.uint64)
     for i in range(width):
-        step = h[i:len(h) - width + 1 + i] * (MIX[i % 4] + np.uint64(2 * i))
-        out += mixed(step)
-    return np.unique(mixed(out))
+        out += h[i:n + i] * (MIX[i % 4] + np.uint64(2 * i))
+    out = np.sort(mixed(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -84,14 +115,24 @@ def needed(n, num: int, den: int):
     return -(-n * num // den)
 
 
-def boundary(sizes: dict[int, int], counts: np.ndarray, num: int, den: int) -> int:
-    """Largest light size: least subsets + list entries * (1 + expected list length)."""
-    total, slots = int(counts.sum()), len(counts)
+def code(counts: np.ndarray) -> np.ndarray:
+    """Counts as 16 bits, on a log scale that keeps their order (small ones exactly)."""
+    return np.minimum(np.log2(1.0 + counts) * 2048, 65535).astype(np.uint16)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    return np.exp2(codes / 2048.0) - 1
+
+
+def boundary(sizes: dict[int, int], held: np.ndarray, num: int, den: int) -> int:
+    """Largest light size: least subsets + list entries * (1 + expected list length). ``held``: counters by code."""
+    each = decoded(np.arange(len(held)))
+    mass = each * held
+    total = mass.sum()
     if not total:
         return 0
-    c = np.sort(counts[counts > 0]).astype(np.float64)
-    rare = c[:max(1, int(np.searchsorted(np.cumsum(c), (1 - num / den) * total)))]
-    met = 1 + max(0.0, float((rare * rare).sum() / rare.sum()) - total / slots)
+    rare = np.cumsum(mass) <= max((1 - num / den) * total, mass[mass > 0][0])
+    met = 1 + max(0.0, float((mass * each)[rare].sum() / max(1.0, mass[rare].sum()) - total / held.sum()))
     n = np.array(sorted(sizes), dtype=np.int64)
     k = np.array([sizes[int(i)] for i in n], dtype=np.float64)
     free = n - needed(n, num, den)
@@ -105,12 +146,12 @@ def boundary(sizes: dict[int, int], counts: np.ndarray, num: int, den: int) -> i
 
 
 def signatures(s: np.ndarray, order: np.ndarray, light: int, num: int, den: int):
-    """(keys, counter value behind each key) under which a set meets its partners."""
+    """(keys, code of the counter behind each key) under which a set meets its partners."""
     n = len(s)
     free = n - needed(n, num, den)
     if n * den // num <= n and not free:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)  # no different set can be a partner
-    count = order[(s & np.uint64(len(order) - 1)).astype(np.int64)].astype(np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint16)  # no different set can be a partner
+    count = order[(s & np.uint64(len(order) - 1)).astype(np.int64)]
     at = np.lexsort((s, count))[:free + 2]
     s, count = s[at], count[at]
     keys, freq = [], []
@@ -118,7 +159,7 @@ def signatures(s: np.ndarray, order: np.ndarray, light: int, num: int, den: int)
         a, b = np.triu_indices(len(s), 1)
         keys.append(mixed(s[a] * MIX[6] + mixed(s[b] ^ MIX[7])))
         freq.append(count[a])
-    if n >= needed(light + 1, num, den):
+    if n >= needed(light + 1, num, den) or n - free < 2:
         keys.append(s[:free + 1])
         freq.append(count[:free + 1])
     return np.concatenate(keys), np.concatenate(freq)
@@ -159,7 +200,7 @@ def forest(ids: list, sets: list, side: list, i: int, j: int, num: int, den: int
             yield ids[x], ids[y]
 
 
-def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, bits: int = 21, block: int = 256, heavy: int = HEAVY,
+def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, bits: int = 24, block: int = 256, heavy: int = HEAVY,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): sets link when den * common >= num * union; component_id is the smallest linked id."""
     import pyarrow as pa
@@ -171,56 +212,76 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
 
     # 1: size and digest of every set, and the counters of each task
     def measure(batches):
-        cache, counts = WordHash(), np.zeros(slots, dtype=np.int64)
+        import zstandard
+
+        powers, counts, held, most = Powers(), np.zeros(slots, dtype=np.uint16), [], 1 << 20
+
+        def count():
+            at = np.sort((np.concatenate(held) & np.uint64(slots - 1)).astype(np.uint32))
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            at, n = at[first], np.diff(np.concatenate([first, [len(at)]]))
+            counts[at] = np.minimum(counts[at] + n, 65535)
+            held.clear()
+
         for b in batches:
             out = []
             for i, t in zip(b.column(0), b.column(1), strict=True):
-                s = shingles(t.as_py(), words, cache)
-                counts += np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) if len(s) > slots // 8 else 0
-                if len(s) <= slots // 8:
-                    np.add.at(counts, (s & np.uint64(slots - 1)).astype(np.int64), 1)
+                s = shingles(t.as_buffer(), words, powers)
+                if len(s):
+                    held.append(s)
+                if sum(map(len, held)) > most:
+                    count()
                 d = digest(s)
                 out.append((i.as_py(), len(s), d, as_long(d)))
             if out:
                 ids, n, ds, cs = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ds, pa.binary()), pa.array(cs, pa.int64()),
                                                   pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
-        payload = np.minimum(counts, 65535).astype("<u2").reshape(part, -1)
-        used = [k for k in range(part) if payload[k].any()]
+        if held:
+            count()
+        tables, pack = counts.reshape(part, -1), zstandard.ZstdCompressor(level=1).compress
+        used = [k for k in range(part) if tables[k].any()]
         if used:
             none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(used), pa.binary()), none, pa.array(used, pa.int32()), pa.array([payload[k].tobytes() for k in used], pa.binary())], names=names)
+            planes = [pack(tables[k].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()) for k in used]  # low bytes, then high bytes
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(used), pa.binary()), none, pa.array(used, pa.int32()), pa.array(planes, pa.binary())], names=names)
 
     names = ["doc_id", "n", "digest", "cls", "block", "counts"]
     measured = written(texts.mapInArrow(measure, "doc_id long, n long, digest binary, cls long, block int, counts binary"), "shingle-sets")
     sets = measured.where("block is null").select("doc_id", "n", "digest", "cls")
 
     def add_up(batches):
+        import zstandard
+
         total: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(c, "<u2").astype(np.uint64)
+                low, high = np.frombuffer(unpack(c), np.uint8).reshape(2, -1).astype(np.int64)
+                total[k] = total.get(k, 0) + low + 256 * high
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([code(v).astype("<u2").tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
-    order = np.zeros((part, slots // part), dtype=np.uint32)
-    for r in measured.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add_up, "block int, counts binary").collect():
-        order[r.block] = np.frombuffer(r.counts, "<u4")
+    order, held = np.zeros((part, slots // part), dtype=np.uint16), np.zeros(65536)
+    for r in measured.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add_up, "block int, counts binary").toLocalIterator():
+        order[r.block] = np.frombuffer(r.counts, "<u2")
+        held += np.bincount(order[r.block], minlength=65536)
+    held[0] += 0 if held.any() else slots
     order = order.reshape(-1)
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("cls").alias("cls")), "shingle-classes")
     most = 4096  # larger sets are heavy at any sensible boundary; they enter the cost as this size
     sizes = {int(r.n): r["count"] for r in classes.groupBy(F.least("n", F.lit(most)).alias("n")).count().collect()}
-    light = boundary(sizes, order, num, den)
+    light = boundary(sizes, held, num, den)
     shared_order = spark.sparkContext.broadcast(order)
 
     # 2: subsets of light sets, list entries of heavy ones
     def sign(batches):
-        cache, done, counters = WordHash(), set(), shared_order.value
+        powers, done, counters = Powers(), set(), shared_order.value
         for b in batches:
-            keys, parts, cls = [], [], []
+            keys, parts, cls, size = [], [], [], []
             for t in b.column(0):
-                s = shingles(t.as_py(), words, cache)
+                s = shingles(t.as_buffer(), words, powers)
                 if not len(s):
                     continue
                 d = digest(s)
@@ -231,28 +292,32 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
                 done.add(d)
                 k, f = signatures(s, counters, light, num, den)
                 keys.append(k.view(np.int64))
-                cut = 1 + f // heavy
-                parts.append(np.where(cut > 1, as_long(d[8:]) % np.maximum(cut, 1), -1).astype(np.int32))
+                cut = 1 + (decoded(f) / heavy).astype(np.int64)
+                parts.append(np.where(cut > 1, as_long(d[8:]) % cut, -1).astype(np.int32))
                 cls.append(np.full(len(k), as_long(d), np.int64))
+                size.append(np.full(len(k), len(s), np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, parts, cls)], names=["key", "part", "cls"])
-
-    in_list = Window.partitionBy("key", "part")
-    entries = texts.where("doc_id is not null").select("text").mapInArrow(sign, "key long, part int, cls long")
-    met = (entries.withColumn("lo", F.min("cls").over(in_list)).withColumn("hi", F.max("cls").over(in_list))
-           .where("lo <> hi or part >= 0").select("key", "part", "cls"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, parts, cls, size)], names=["key", "part", "cls", "n"])
+
+    # partners have sizes in a ratio of num / den, so a list falls into runs: by size, each entry close enough to the one before
+    in_list = Window.partitionBy("key", "part").orderBy("n", "cls")
+    entries = texts.where("doc_id is not null").select("text").mapInArrow(sign, "key long, part int, cls long, n long").distinct()
+    starts = F.when(F.col("part") >= 0, 0).when(F.lag("n").over(in_list) * den >= F.col("n") * num, 0).otherwise(1)
+    ends = F.when(F.col("part") >= 0, 0).when(F.col("n") * den >= F.lead("n").over(in_list) * num, 0).otherwise(1)
+    met = (entries.withColumn("starts", starts).withColumn("ends", ends).withColumn("run", F.sum("starts").over(in_list))
+           .where("starts = 0 or ends = 0").select("key", "part", F.xxhash64("key", "run").alias("list"), "cls"))
     # a class by its smallest id; a 64-bit class shared by two digests only adds candidates
-    met = written(met.distinct().join(classes.select("cls", "rep", "n"), "cls").select("key", "part", "rep", "n"), "shingle-lists")
+    met = written(met.join(classes.select("cls", "rep", "n"), "cls").select("key", "part", "list", "rep", "n"), "shingle-lists")
 
     # 3: groups of sets connected through lists, and the smaller of two ways to compare them
-    low = written(met.groupBy("key", "part").agg(F.min("rep").alias("lo")), "list-heads")
+    low = written(met.groupBy("list", "part", "key").agg(F.min("rep").alias("lo")), "list-heads")
     head = low.where("part >= 0").groupBy("key").agg(F.min("lo").alias("head"))
-    edges = (met.join(low, ["key", "part"]).select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-             .unionByName(low.join(head, "key").select(F.col("lo").alias("a"), F.col("head").alias("b"))).where("a <> b").distinct())
+    edges = (met.join(low.drop("key"), ["list", "part"]).select(F.col("rep").alias("a"), F.col("lo").alias("b"))
+             .unionByName(low.where("part >= 0").join(head, "key").select(F.col("lo").alias("a"), F.col("head").alias("b"))).where("a <> b").distinct())
     group = written(components(edges).withColumnRenamed("component", "grp"), "candidate-groups")
-    mine = met.join(group, F.col("rep") == F.col("node")).select("key", "rep", "n", "grp")
-    lists = mine.groupBy("key").agg(F.first("grp").alias("grp"), F.count("*").alias("c"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"))
-    lists = written(lists.groupBy("grp", "c", "x", "lo").agg(F.min("key").alias("key"), F.first("size").alias("size")).where("c > 1"), "distinct-lists")
+    mine = met.join(group, F.col("rep") == F.col("node")).select("list", "rep", "n", "grp")
+    lists = mine.groupBy("list").agg(F.first("grp").alias("grp"), F.count("*").alias("c"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"))
+    lists = written(lists.groupBy("grp", "c", "x", "lo").agg(F.min("list").alias("list"), F.first("size").alias("size")).where("c > 1"), "distinct-lists")
     members = mine.select("grp", "rep", "n").distinct()
     by_list = lists.groupBy("grp").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("by_list"))
     ways = written(members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("size")).join(by_list, "grp")
@@ -262,9 +327,9 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
         return F.greatest(F.ceil(F.col(count) / block), F.ceil(F.col(size) / 500_000)).cast("int")
 
     whole = members.join(ways.where("whole").select("grp", blocks("m", "size").alias("nb")), "grp").select(F.xxhash64("grp", F.lit(0)).alias("unit"), "nb", "rep")
-    apart = (mine.select("key", "rep").join(lists.join(ways.where("not whole").select("grp"), "grp").select("key", blocks("c", "size").alias("nb")), "key")
-             .select(F.xxhash64("key", F.lit(1)).alias("unit"), "nb", "rep"))
-    units = whole.unionByName(apart).withColumn("side", F.pmod(F.xxhash64("unit", "rep"), F.col("nb")).cast("int"))
+    apart = (mine.select("list", "rep").join(lists.join(ways.where("not whole").select("grp"), "grp").select("list", blocks("c", "size").alias("nb")), "list")
+             .select(F.xxhash64("list", F.lit(1)).alias("unit"), "nb", "rep"))
+    units = written(whole.unionByName(apart).withColumn("side", F.pmod(F.xxhash64("unit", "rep"), F.col("nb")).cast("int")), "units")
     cells = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "unit", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep")
 
@@ -276,11 +341,11 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     wanted = spark.sparkContext.broadcast(flags.reshape(-1))
 
     def deliver(batches):
-        cache, bitmap = WordHash(), wanted.value
+        powers, bitmap = Powers(), wanted.value
         for b in batches:
             at = b.column(2).to_numpy() % (1 << wanted_bits)
             hit = np.nonzero((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1)[0]
-            found = [(b.column(0)[int(r)].as_py(), shingles(b.column(1)[int(r)].as_py(), words, cache)) for r in hit]
+            found = [(b.column(0)[int(r)].as_py(), shingles(b.column(1)[int(r)].as_buffer(), words, powers)) for r in hit]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([digest(s) for _, s in found], pa.binary()),
                                                   pa.array([s.astype("<u8").tobytes() for _, s in found], pa.binary())], names=["id", "d", "tokens"])
