@@ -7,6 +7,7 @@ variable or level) — never over input rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 from statistics import NormalDist
 
@@ -27,10 +28,17 @@ def gammaincc(a: float, x: float) -> float:
     if x <= 0:
         return 1.0
     log_pre = -x + a * math.log(x) - math.lgamma(a)
+    if a > 1e6:  # uniform expansion, error below 1 / a
+        lam = x / a
+        eta = math.copysign(math.sqrt(max(0.0, 2.0 * (lam - 1.0 - math.log(lam)))), lam - 1.0)
+        near = abs(lam - 1.0) < 1e-6
+        first = -1.0 / 3.0 if near else 1.0 / (lam - 1.0) - 1.0 / eta
+        return min(1.0, max(0.0, 0.5 * math.erfc(eta * math.sqrt(a / 2.0))
+                            + math.exp(-0.5 * a * eta * eta) / math.sqrt(2.0 * math.pi * a) * first))
     if x < a + 1.0:  # series for P(a, x)
         term = total = 1.0 / a
         n = a
-        for _ in range(10000):
+        while True:  # terms shrink by x / n, which falls below 1
             n += 1.0
             term *= x / n
             total += term
@@ -42,7 +50,7 @@ def gammaincc(a: float, x: float) -> float:
     c = 1.0 / _TINY
     d = 1.0 / b
     h = d
-    for i in range(1, 10000):
+    for i in itertools.count(1):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b
@@ -79,10 +87,10 @@ def kolmogorov_sf(d: float, n: float) -> float:
         return float("nan")
     sq = math.sqrt(n)
     lam = (sq + 0.12 + 0.11 / sq) * d
-    if lam < 1e-3:
-        return 1.0
+    if lam < 0.3:  # the other form of the theta function: its first term is the whole sum here
+        return 1.0 if lam <= 0 else 1.0 - math.sqrt(2.0 * math.pi) / lam * math.exp(-math.pi ** 2 / (8.0 * lam * lam))
     total = 0.0
-    for k in range(1, 101):
+    for k in itertools.count(1):
         term = 2.0 * (-1) ** (k - 1) * math.exp(-2.0 * k * k * lam * lam)
         total += term
         if abs(term) < 1e-16:

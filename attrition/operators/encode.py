@@ -120,22 +120,19 @@ class Encoding:
     vocab: dict = field(default_factory=dict)
 
 
-MAX_ONE_HOT_LEVELS = 10_000
-
-
 _OTHER = "\u0000other"
 
 
 def learn_encoding(df: DataFrame, yes_no_candidates=None, one_hot_cols=(),
-                   yes: str = "Yes", no: str = "No", max_levels: int = MAX_ONE_HOT_LEVELS) -> Encoding:
+                   yes: str = "Yes", no: str = "No") -> Encoding:
     """Phase one of the data-dependent encodings, in ONE distributed job.
 
     Yes/No candidates are mapped to {yes, no, other} (≤ 3 distinct values per
     column), one-hot columns keep their levels; both are unpivoted into
     (variable, value) and reduced by one distinct (partial aggregation, no
-    single task holds a column). The driver receives at most the guard's
-    number of rows: more one-hot levels than ``max_levels`` per column is
-    refused (a fixed vocabulary is then needed), never cut.
+    single task holds a column). The driver receives one row per level, as many
+    as the encoded table will have columns; ``one_hot_long`` is the form for
+    columns with more levels than a table can have columns.
     """
     if yes_no_candidates is None:
         yes_no_candidates = columns_of_type(df, "categorical")
@@ -151,15 +148,9 @@ def learn_encoding(df: DataFrame, yes_no_candidates=None, one_hot_cols=(),
     names = [f"yn{i}" for i in range(len(cands))] + [f"oh{i}" for i in range(len(one_hot_cols))]
     levels = df.select(*sel).unpivot([], names, "variable", "value") \
         .filter(F.col("value").isNotNull()).distinct()
-    cap = 3 * len(cands) + max_levels * len(one_hot_cols)
-    got = levels.limit(cap + 1).collect()
     found: dict = {}
-    for r in got:
+    for r in levels.toLocalIterator():
         found.setdefault(r["variable"], []).append(r["value"])
-    too_many = [c for i, c in enumerate(one_hot_cols) if len(found.get(f"oh{i}", [])) > max_levels]
-    if len(got) > cap or too_many:
-        raise ValueError(f"one-hot columns with more than {max_levels} levels: {too_many or one_hot_cols}; "
-                         "give a fixed vocabulary")
     yn = [c for i, c in enumerate(cands)
           if found.get(f"yn{i}") and set(found[f"yn{i}"]) <= {yes, no}]
     vocab = {c: sorted(found.get(f"oh{i}", [])) for i, c in enumerate(one_hot_cols)}
@@ -184,8 +175,8 @@ def one_hot(df: DataFrame, cols, vocab: dict | None = None, null_level: bool = F
             drop: bool = True) -> DataFrame:
     """One 0/1 column ``<var>_<level>`` per level (levels sorted), source dropped.
 
-    ``vocab`` fixes the levels (scoring); otherwise one ``collect_set``
-    aggregation over all columns learns them. ``null_level`` adds ``<var>_NA``.
+    ``vocab`` fixes the levels (scoring); otherwise ``learn_encoding`` learns
+    them in one distributed distinct. ``null_level`` adds ``<var>_NA``.
     """
     if vocab is None:
         vocab = learn_encoding(df, yes_no_candidates=[], one_hot_cols=list(cols)).vocab
@@ -199,6 +190,13 @@ def one_hot(df: DataFrame, cols, vocab: dict | None = None, null_level: bool = F
     return df.select(*keep, *new)
 
 
+def one_hot_long(df: DataFrame, cols, id_col: str) -> DataFrame:
+    """Sparse one-hot form for any number of levels: (id, variable, level), one
+    row per set flag; nothing goes to the driver."""
+    sel = [F.col(id_col)] + [F.col(c).cast("string").alias(c) for c in cols]
+    return df.select(*sel).unpivot([id_col], list(cols), "variable", "level").filter(F.col("level").isNotNull())
+
+
 def explore_recode(df: DataFrame, cfg: ChurnConfig = DEFAULT) -> DataFrame:
     """The exploration-stage table: services merged, SeniorCitizen as No/Yes."""
     df = coalesce_services(df, list(cfg.service_cols), out=cfg.service_out)

@@ -21,10 +21,9 @@ def _score_counts(df: DataFrame, score: str, label: str, positive=1) -> DataFram
         F.sum(F.when(F.col(label) == positive, 1).otherwise(0)).alias("n_pos"))
 
 
-def roc_curve(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
-    """threshold, tpr, fpr, sensitivity, specificity — one row per distinct
-    score (threshold = midpoint with the previous distinct score, −∞ first)
-    plus the +∞ end point. A row is predicted positive when score > threshold."""
+def _roc_counts(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
+    """threshold, hit, pass_, P, Q: positives above and negatives at most the
+    threshold, and the class totals, as counts (nothing rounded yet)."""
     d = _score_counts(df, score, label, positive)
     p = prefix_sums(d, [], "s", ["n", "n_pos"], maxes=["s"])
     # class totals and the +inf end row read the checkpointed table, not the input again
@@ -33,14 +32,20 @@ def roc_curve(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
     neg_below = F.col("cum_n") - F.col("cum_n_pos")
     thr = F.when(F.col("prev_s").isNull(), F.lit(float("-inf"))) \
         .otherwise((F.col("prev_s") + F.col("s")) / 2.0)
-    sens = F.try_divide(P - F.col("cum_n_pos"), P)
-    spec = F.try_divide(neg_below, Q)
-    rows = p.select(thr.alias("threshold"), sens.alias("sensitivity"), spec.alias("specificity"))
-    top = p.agg(F.lit(float("inf")).alias("threshold"),
-                F.try_divide(F.lit(0.0), F.sum("n_pos").cast("double")).alias("sensitivity"),
-                F.try_divide((F.sum("n") - F.sum("n_pos")).cast("double"),
-                             (F.sum("n") - F.sum("n_pos")).cast("double")).alias("specificity"))
-    out = rows.unionByName(top)
+    rows = p.select(thr.alias("threshold"), (P - F.col("cum_n_pos")).alias("hit"), neg_below.alias("pass_"),
+                    P.alias("P"), Q.alias("Q"))
+    n_neg = F.sum("n") - F.sum("n_pos")
+    top = p.agg(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("hit"), n_neg.alias("pass_"),
+                F.sum("n_pos").alias("P"), n_neg.alias("Q"))
+    return rows.unionByName(top)
+
+
+def roc_curve(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
+    """threshold, tpr, fpr, sensitivity, specificity — one row per distinct
+    score (threshold = midpoint with the previous distinct score, −∞ first)
+    plus the +∞ end point. A row is predicted positive when score > threshold."""
+    c = _roc_counts(df, score, label, positive)
+    out = c.select("threshold", F.try_divide("hit", "P").alias("sensitivity"), F.try_divide("pass_", "Q").alias("specificity"))
     return out.select(
         "threshold", F.round("sensitivity", 6).alias("tpr"), F.round(1 - F.col("specificity"), 6).alias("fpr"),
         F.round("sensitivity", 6).alias("sensitivity"), F.round("specificity", 6).alias("specificity"))
@@ -53,18 +58,22 @@ def auc(df: DataFrame, score: str, label: str, positive=1, method: str = "two_ph
     mr = F.col("cum_n") + (F.col("n") + 1) / 2.0
     g = pre.agg(F.sum(F.col("n_pos") * mr).alias("r1"), F.sum("n_pos").alias("n1"),
                 (F.sum("n") - F.sum("n_pos")).alias("n0"))
-    n1, n0 = F.col("n1"), F.col("n0")
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")  # products leave bigint
     return g.select(F.round(F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2.0, n1 * n0), 6).alias("auc"),
                     n1.cast("long").alias("n_pos"), n0.cast("long").alias("n_neg"))
 
 
 def youden_threshold(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
     """threshold, sensitivity, specificity, j: argmax of J = sens + spec − 1
-    (ties → lowest threshold). Distributed top-1 over the ROC rows."""
-    roc = roc_curve(df, score, label, positive)
-    j = F.round(F.col("sensitivity") + F.col("specificity") - 1, 6)
-    return roc.select("threshold", "sensitivity", "specificity", j.alias("j")) \
-        .orderBy(F.col("j").desc(), F.col("threshold").asc()).limit(1)
+    (ties → lowest threshold). Distributed top-1 over the ROC rows; compared
+    exactly, as hit·Q + pass·P in decimals, and rounded only in the output."""
+    c = _roc_counts(df, score, label, positive)
+    d = {k: F.col(k).cast("decimal(19,0)") for k in ("hit", "pass_", "P", "Q")}
+    best = c.withColumn("_j", d["hit"] * d["Q"] + d["pass_"] * d["P"]) \
+        .orderBy(F.col("_j").desc_nulls_last(), F.col("threshold").asc()).limit(1)
+    sens, spec = F.try_divide("hit", "P"), F.try_divide("pass_", "Q")
+    return best.select("threshold", F.round(sens, 6).alias("sensitivity"), F.round(spec, 6).alias("specificity"),
+                       F.round(sens + spec - 1, 6).alias("j"))
 
 
 def apply_threshold(df: DataFrame, score: str, t, out: str = "pred") -> DataFrame:

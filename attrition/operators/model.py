@@ -129,7 +129,7 @@ def tune_gbt(df: DataFrame, features, target: str, grid: dict, id_col: str, fold
         staged = parts[0]
         for st in parts[1:]:
             staged = staged.unionByName(st)
-        best = select_rounds(staged, target, fold=fold_col, patience=patience).filter("best").first()
+        best = select_rounds(staged, target, fold=fold_col, patience=patience, digits=None).filter("best").first()
         rows.append((int(md), float(eta), float(ss), float(cs), int(best["round"]), float(best["mean_auc"])))
     win = 0
     for i, r in enumerate(rows):
@@ -242,10 +242,12 @@ def staged_scores(df: DataFrame, model, features, id_col: str, keep=()) -> DataF
     return base.mapInPandas(run, schema)
 
 
-def select_rounds(staged: DataFrame, label: str, fold: str | None = None, patience: int = 20) -> DataFrame:
+def select_rounds(staged: DataFrame, label: str, fold: str | None = None, patience: int = 20,
+                  digits: int | None = 6) -> DataFrame:
     """round, mean_auc, best: AUC per (fold, round) from mid-ranks (two-phase
     prefix sum keyed by fold and round), averaged over folds; the best round
-    is the first argmax, scanning stops after ``patience`` rounds without gain."""
+    is the first argmax, scanning stops after ``patience`` rounds without gain.
+    ``digits=None`` leaves the means unrounded (for comparisons)."""
     keys = ([fold] if fold else []) + ["round"]
     d = staged.filter(F.col("margin").isNotNull()).groupBy(*keys, F.col("margin").alias("s")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_pos"))
@@ -253,8 +255,8 @@ def select_rounds(staged: DataFrame, label: str, fold: str | None = None, patien
     mr = F.col("cum_n") + (F.col("n") + 1) / 2.0
     g = p.groupBy(*keys).agg(F.sum(F.col("n_pos") * mr).alias("r1"), F.sum("n_pos").alias("n1"),
                              (F.sum("n") - F.sum("n_pos")).alias("n0"))
-    g = g.select(*keys, F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0,
-                                     F.col("n1") * F.col("n0")).alias("auc"))
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")  # products leave bigint
+    g = g.select(*keys, F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2.0, n1 * n0).alias("auc"))
     per_round = g.groupBy("round").agg(F.avg("auc").alias("mean_auc"))
     # rounds are few (≤ max rounds): running best over one small window is bounded
     w = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
@@ -267,7 +269,8 @@ def select_rounds(staged: DataFrame, label: str, fold: str | None = None, patien
     best = live.orderBy(F.col("mean_auc").desc(), F.col("round").asc()).select("round").limit(1) \
         .withColumnRenamed("round", "best_round")
     return live.join(F.broadcast(best), F.col("round") == F.col("best_round"), "left").select(
-        "round", F.round("mean_auc", 6).alias("mean_auc"), F.col("best_round").isNotNull().alias("best"))
+        "round", (F.round("mean_auc", digits) if digits is not None else F.col("mean_auc")).alias("mean_auc"),
+        F.col("best_round").isNotNull().alias("best"))
 
 
 def feature_importance(model, features, top: int | None = None) -> DataFrame:

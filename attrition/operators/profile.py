@@ -214,11 +214,12 @@ def condition_proportions(df: DataFrame, cond: str, by) -> DataFrame:
 
 
 def class_weight(df: DataFrame, target: str, positive=1) -> DataFrame:
-    """n_neg, n_pos, weight = n_neg / n_pos (positive-class weight)."""
+    """n_neg, n_pos, weight = n_neg / n_pos (positive-class weight; null
+    without positives; rounded for the report, a fit divides the counts)."""
     t = F.col(target)
     g = df.agg(F.count_if(t != positive).alias("n_neg"), F.count_if(t == positive).alias("n_pos"))
     return g.select(F.col("n_neg").cast("long"), F.col("n_pos").cast("long"),
-                    F.round(F.col("n_neg") / F.col("n_pos"), 6).alias("weight"))
+                    F.round(F.try_divide("n_neg", "n_pos"), 6).alias("weight"))
 
 
 def top_n(df: DataFrame, keys, n: int, ascending: bool = False, tiebreak=()) -> DataFrame:
@@ -241,10 +242,10 @@ def risk_segments(df: DataFrame, flags: dict, target: str, positive=1,
                        for k, e in flags.items()],
                      F.when(F.col(target) == positive, 1).otherwise(0).alias("_hit"))
     combos = base.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("k"))
-    overall = combos.select(F.sum("k") / F.sum("n")).scalar()
+    overall = combos.select(F.try_divide(F.sum("k"), F.sum("n"))).scalar()
     grouped = combos.cube(*names) if mode == "cube" else combos.rollup(*names)
     res = grouped.agg(F.grouping_id().alias("gid"), F.sum("n").alias("n"), F.sum("k").alias("k"))
     rate = F.col("k") / F.col("n")
     return res.select(*names, F.col("gid").cast("long").alias("gid"),
                       F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"),
-                      F.round(rate, 6).alias("rate"), F.round(rate / overall, 6).alias("lift"))
+                      F.round(rate, 6).alias("rate"), F.round(F.try_divide(rate, overall), 6).alias("lift"))

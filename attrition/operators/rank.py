@@ -71,7 +71,12 @@ def prefix_sums(d: DataFrame, keys, order: str, measures, partitions: int | None
     off = tot.select("_pid", *keys,
                      *[F.coalesce(F.sum(f"_t_{m}").over(w_off), F.lit(0)).alias(f"_o_{m}") for m in measures],
                      *[F.max(f"_tm_{m}").over(w_off).alias(f"_om_{m}") for m in maxes])
-    j = r.join(F.broadcast(off), ["_pid", *keys])
+    # offsets have at most P + #keys rows; the planner compares sizes, and null keys meet null keys
+    off = off.select(*[F.col(c).alias(f"_k_{c}") if c in ("_pid", *keys) else F.col(c) for c in off.columns])
+    same = F.col("_pid") == F.col("_k__pid")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    j = r.join(off if keys else F.broadcast(off), same)
     w_loc = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return j.select(*d.columns, *[
         (F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(w_loc), F.lit(0))).alias(f"cum_{m}")
@@ -183,17 +188,18 @@ def row_ids(df: DataFrame, order_by: str | None = None, prefix: str = "CLIENT_",
     With ``order_by`` (should be unique): a two-phase row number in key order.
     Without a key, input order is undefined on Spark; the number follows the
     partition index, then the position inside the partition (for a file scan:
-    the file's row order). Only per-partition row counts are computed and
-    turned into offsets (≤ #partitions rows) — the data is not materialised;
-    ids are unique and consecutive because both passes see the same
-    partition contents.
+    the file's row order). The tagged rows are materialised ONCE in a reliable
+    checkpoint, and both the per-partition counts (≤ #partitions rows) and the
+    result read that copy: a shuffle, join or sort below may deal rows
+    differently each time it runs, so counting and numbering must not run it twice.
     """
     if order_by is not None:
         d = df.withColumn("_one", F.lit(1))
         p = prefix_sums(d, [], order_by, ["_one"])
         return p.withColumn(out, F.concat(F.lit(prefix), (F.col("cum__one") + 1).cast("string"))) \
             .drop("_one", "cum__one")
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    checkpoint_root(df.sparkSession)
+    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()).checkpoint()
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # ≤ #partitions rows
     offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrition.operators.rank import order_stats, prefix_sums
 
 
 def hash_hex(id_col: str, seed: int) -> Column:
@@ -31,19 +30,25 @@ def split_train_test(df: DataFrame, id_col: str, p: float = 0.8, seed: int = 123
 
     Plain: hash prefix below the cut (about ``p`` of rows, no shuffle).
     Stratified: within each class of ``stratify``, the first ⌈p·n_class⌉ rows
-    in hash order. Only the (class, hash key) projection is ranked (two-phase
-    prefix sum) to find each class's cut key — an order statistic; the rows
-    themselves then get a narrow predicate against the broadcast cut table
-    (≤ #classes rows).
+    in hash order (nulls are a class). Rows are counted per (class, first four
+    hash digits); only the keys of the one bucket that holds a class's cut are
+    ranked, and the rows get a predicate against the cut table (one row a class).
     """
     h = F.substring(hash_hex(id_col, seed), 1, 8)
     if stratify is None:
         return df.withColumn(out, h < F.lit(cut_hex(p)))
     key = F.concat(hash_hex(id_col, seed), F.col(id_col).cast("string"))  # unique per row
-    proj = df.select(F.col(stratify).alias("_cls"), key.alias("_h"), F.lit(1).alias("_one"))
-    ranked = prefix_sums(proj, ["_cls"], "_h", ["_one"])
-    cuts = order_stats(ranked, ["_cls"], "_h", "_one", {"_cut": lambda n: F.ceil(n * F.lit(float(p))) - 1})
-    j = df.join(F.broadcast(cuts), F.col(stratify).eqNullSafe(F.col("_cls")), "left")
+    proj = df.select(F.col(stratify).alias("_cls"), key.alias("_h"), F.substring(key, 1, 4).alias("_b"))
+    counts = proj.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_cls")  # ≤ 65,536 buckets a class
+    found = counts.withColumn("_to", F.sum("_n").over(w.orderBy("_b"))) \
+        .withColumn("_want", F.ceil(F.sum("_n").over(w) * F.lit(float(p)))) \
+        .where("_to >= _want and _to - _n < _want") \
+        .select(F.col("_cls").alias("_c"), F.col("_b").alias("_bb"), (F.col("_want") - F.col("_to") + F.col("_n")).alias("_nth"))
+    inside = proj.join(found, F.col("_cls").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_bb")))
+    cuts = inside.withColumn("_r", F.row_number().over(w.orderBy("_h"))).where("_r = _nth") \
+        .select("_cls", F.col("_h").alias("_cut"))
+    j = df.join(cuts, F.col(stratify).eqNullSafe(F.col("_cls")), "left")
     return j.withColumn(out, F.coalesce(key <= F.col("_cut"), F.lit(False))).drop("_cls", "_cut")
 
 

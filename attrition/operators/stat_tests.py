@@ -34,18 +34,18 @@ def chi_square(df: DataFrame, cols, target: str, with_p: bool = True) -> DataFra
     continuity correction; V plain and bias-corrected)."""
     c = _cells(df, cols, target)
     # row totals: a window per (variable, level) holds ≤ #classes cells; column
-    # totals are a grouped aggregate (≤ #variables × #classes rows, broadcast)
+    # totals are a grouped aggregate (#variables × #classes rows; the planner compares sizes)
     # so no task ever holds all levels of a variable
     col_tot = c.groupBy("variable", "cls").agg(F.sum("o").alias("cc"))
     c = c.select("*", F.sum("o").over(Window.partitionBy("variable", "level")).alias("r")) \
-        .join(F.broadcast(col_tot), ["variable", "cls"])
+        .join(col_tot, ["variable", "cls"])
     g = c.groupBy("variable").agg(
         F.sum("o").alias("n"),
-        F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("cc"))).alias("s"),
+        F.sum(F.col("o").cast("double") / F.col("r") * F.col("o") / F.col("cc")).alias("s"),
         F.count_distinct("level").alias("nr"),
         F.count_distinct("cls").alias("nc"),
     )
-    n, nr, nc = F.col("n"), F.col("nr"), F.col("nc")
+    n, nr, nc = F.col("n").cast("double"), F.col("nr").cast("double"), F.col("nc").cast("double")  # products leave bigint
     stat = n * (F.col("s") - 1)
     m = F.least(nr - 1, nc - 1)
     phi2 = stat / n
@@ -73,7 +73,7 @@ def level_goodness_of_fit(df: DataFrame, cols, target: str, with_p: bool = True)
     target shares within each level against equal shares."""
     c = _cells(df, cols, target)
     classes = c.groupBy("variable").agg(F.count_distinct("cls").alias("k"))
-    g = c.groupBy("variable", "level").agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o")).alias("s2"))
+    g = c.groupBy("variable", "level").agg(F.sum("o").alias("n"), F.sum(F.col("o").cast("double") * F.col("o")).alias("s2"))
     # one row per variable: bounded by the number of columns tested
     g = g.join(F.broadcast(classes), "variable")
     stat = F.col("k") / F.col("n") * F.col("s2") - F.col("n")
@@ -102,8 +102,8 @@ def mann_whitney(df: DataFrame, cols, target: str, positive=1, with_p: bool = Tr
                      quantiles=[("median0", "n_neg", 0.5), ("median1", "n_pos", 0.5)],
                      extra={"n_all": F.sum("n"), "n1": F.sum("n_pos"),
                             "R0": F.sum(F.col("n_neg") * F.col("mr")),
-                            "ties": F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n"))})
-    N, n1 = F.col("n_all"), F.col("n1")
+                            "ties": F.sum(F.pow(F.col("n").cast("double"), F.lit(3.0)) - F.col("n"))})
+    N, n1 = F.col("n_all").cast("double"), F.col("n1").cast("double")  # products leave bigint
     n0 = N - n1
     u = F.col("R0") - n0 * (n0 + 1) / 2.0
     mu = n0 * n1 / 2.0
@@ -154,7 +154,7 @@ def spearman_matrix(df: DataFrame, cols) -> DataFrame:
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / W
     vy = F.col("syy") - F.col("sy") * F.col("sy") / W
     return g.select(F.split("pair", r"\|")[0].alias("var1"), F.split("pair", r"\|")[1].alias("var2"),
-                    F.round(cov / F.sqrt(vx * vy), 6).alias("coef"))
+                    F.round(F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))), 6).alias("coef"))
 
 
 def normality(df: DataFrame, cols) -> DataFrame:
@@ -184,9 +184,9 @@ def ks_normal(df: DataFrame, cols) -> DataFrame:
         F.sum("n").alias("_tot"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mu"))
     d2 = d.join(F.broadcast(mom), "variable")  # one row per variable
     sd = d2.groupBy("variable").agg(
-        F.sqrt(F.sum(F.col("n") * (F.col("value") - F.col("mu")) ** 2) / (F.first("_tot") - 1)).alias("sd"))
+        F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("value") - F.col("mu")) ** 2), F.first("_tot") - 1)).alias("sd"))
     p = prefix_sums(d, ["variable"], "value", ["n"]).join(F.broadcast(mom.join(sd, "variable")), "variable")
-    p = p.withColumn("phi", S.normal_cdf_col((F.col("value") - F.col("mu")) / F.col("sd")))
+    p = p.withColumn("phi", S.normal_cdf_col(F.try_divide(F.col("value") - F.col("mu"), F.col("sd"))))
     lo = F.abs(F.col("cum_n") / F.col("_tot") - F.col("phi"))
     hi = F.abs((F.col("cum_n") + F.col("n")) / F.col("_tot") - F.col("phi"))
     g = p.groupBy("variable").agg(F.first("_tot").alias("n_obs"), F.max(F.greatest(lo, hi)).alias("ks"))

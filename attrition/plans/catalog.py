@@ -632,15 +632,20 @@ def q_auc(spark, sf):
     return EV.auc(synthetic_scores(spark, sf), "score", "label")
 
 
-@register("auc_window", _AUC_SQL)
 def q_auc_window(spark, sf):
-    """Same AUC through the single-task window (baseline kept for the bench)."""
+    """Same AUC through the single-task window: a baseline for the bench and the tests, not a registered query."""
     return EV.auc(synthetic_scores(spark, sf), "score", "label", method="window")
 
 
 @register("youden_threshold", sql(
-    "SELECT threshold, sensitivity, specificity, round(sensitivity + specificity - 1, 6) AS j FROM roc "
-    "ORDER BY j DESC, threshold ASC LIMIT 1", *_METRIC_CTES, _D, _ROC_ROWS))
+    """SELECT threshold, round(hit / p, 6) AS sensitivity, round(pass / q, 6) AS specificity, round(hit / p + pass / q - 1, 6) AS j
+FROM (SELECT CASE WHEN prev IS NULL THEN CAST('-inf' AS DOUBLE) ELSE (prev + s) / 2.0 END AS threshold,
+             p - cum_pos AS hit, cum_n - cum_pos AS pass, p, q
+      FROM (SELECT s, coalesce(sum(n) OVER w, 0) AS cum_n, coalesce(sum(n_pos) OVER w, 0) AS cum_pos,
+                   lag(s) OVER (ORDER BY s) AS prev, sum(n_pos) OVER () AS p, sum(n - n_pos) OVER () AS q
+            FROM d WINDOW w AS (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      UNION ALL SELECT CAST('inf' AS DOUBLE), 0, sum(n - n_pos), sum(n_pos), sum(n - n_pos) FROM d)
+ORDER BY hit * q + pass * p DESC, threshold ASC LIMIT 1""", *_METRIC_CTES, _D))
 def q_youden_threshold(spark, sf):
     return EV.youden_threshold(synthetic_scores(spark, sf), "score", "label")
 
@@ -870,6 +875,27 @@ def q_row_ids(spark, sf):
     return row_ids(prepared(spark, sf).select("customerID"), order_by="customerID")
 
 
+@register("row_ids_keyless", sql(
+    """SELECT variant, count(*) AS n, count(*) AS n_ids, count(*) AS n_customers, CAST(1 AS BIGINT) AS lowest, count(*) AS highest
+FROM prepared, (VALUES ('shuffled'), ('joined'), ('sorted'), ('scored upload')) t(variant) GROUP BY variant""", EXPLORED, PREPARED))
+def q_row_ids_keyless(spark, sf):
+    """Ids without a key behind a shuffle, a join and a sort, and through the upload scorer: every row once, ids 1..n."""
+    base = prepared(spark, sf)
+    n = F.substring("id_client", 8, 20).cast("long")
+
+    def facts(df, variant, customer="customerID"):
+        return df.agg(F.lit(variant).alias("variant"), F.count(F.lit(1)).alias("n"), F.count_distinct("id_client").alias("n_ids"),
+                      F.count_distinct(customer).alias("n_customers"), F.min(n).alias("lowest"), F.max(n).alias("highest"))
+
+    one = base.select(F.col("customerID"))
+    joined = one.join(base.select(F.col("customerID").alias("other"), "tenure"), F.col("customerID") == F.col("other"))
+    # the scorer keeps the id only, so ids stand for customers there
+    upload = SCO.score_upload(base.drop("customerID").repartition(7, "tenure"), fitted(spark, sf).artifacts).select(F.col("ID_CLIENT").alias("id_client"))
+    return (facts(row_ids(one.repartition("customerID")), "shuffled")
+            .unionByName(facts(row_ids(joined), "joined")).unionByName(facts(row_ids(one.orderBy("customerID")), "sorted"))
+            .unionByName(facts(upload, "scored upload", "id_client")))
+
+
 def _reasons_sql():
     parts = ["CASE WHEN tenure < 0 THEN 'tenure' END",
              "CASE WHEN MonthlyCharges <= 0 THEN 'MonthlyCharges' END"]
@@ -993,13 +1019,13 @@ def q_sink_predictions(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-@register("save_artifacts", sql(
-    "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(FEATURES)) + ") t(pos, feature)"))
+@register("save_artifacts", sql(_scaler_sql(), EXPLORED, PREPARED, _SPLIT))
 def q_save_artifacts(spark, sf):
-    """Round trip of the artefacts; returns the stored feature contract."""
+    """Round trip of the artefacts; returns the stored scaler, in feature order."""
     path = scratch_path(spark, "artifacts")
     IO.save_artifacts(spark, path, fitted(spark, sf).artifacts)
-    return spark.read.parquet(f"{path}/features")
+    stored = spark.read.parquet(f"{path}/scaler").join(spark.read.parquet(f"{path}/features"), "feature")
+    return stored.orderBy("pos").select("feature", "lo", "hi")
 
 
 @register("load_artifacts")

@@ -56,7 +56,8 @@ def fit_model(prepared: DataFrame, params: dict | None = None, id_col: str = "cu
         fit_set, pick_set = flagged.filter("_fit"), flagged.filter(~F.col("_fit"))
     else:
         fit_set, pick_set = x_train, x_test
-    weight = P.class_weight(fit_set, target).first()["weight"]  # one-row aggregate
+    sizes = P.class_weight(fit_set, target).first()  # one-row aggregate; the counts, not the rounded weight
+    weight = sizes["n_neg"] / sizes["n_pos"] if sizes["n_pos"] else 1.0
     fit_set = M.with_class_weight(fit_set, target, weight).persist()
     model = M.train_gbt(fit_set, feats, target, params, weight="w")
     fit_set.unpersist()

@@ -13,19 +13,27 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "attrition",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
+    """A session with the engine's settings. What ``spark-submit`` (or the
+    caller) has set stays: master, memory and partition counts are chosen here
+    only for a local run that names none."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    parts = shuffle_partitions or int(cpus)
+    given = SparkConf()
+    builder = SparkSession.builder.appName(app)
+    if master or not given.contains("spark.master"):
+        builder = builder.master(master or f"local[{cpus}]")
+        builder = builder.config("spark.driver.memory", os.environ.get("ATTRITION_DRIVER_MEMORY", "16g"))
+        shuffle_partitions = shuffle_partitions or (None if given.contains("spark.sql.shuffle.partitions") else int(cpus))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -33,7 +41,6 @@ def get_spark(master: str | None = None, app: str = "attrition",
         .config("spark.ui.enabled", "false")
         # prefix sums write reliable checkpoints; delete them once unreferenced
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("ATTRITION_DRIVER_MEMORY", "16g"))
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -44,13 +51,16 @@ def get_spark(master: str | None = None, app: str = "attrition",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's checkpoint directory; created under /tmp only when unset."""
+    """The session's checkpoint directory; created under /tmp only when unset
+    and the master is local (one machine). Elsewhere an unset directory is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="attrition-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,20 +23,35 @@ CORRUPT = "_corrupt_record"
 
 
 def scan_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Header CSV with an explicit schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Header CSV with an explicit schema, columns matched by NAME: the order
+    is read from a header line, every file's header is then held against it
+    (a file that differs fails), columns beyond the schema are dropped and a
+    missing one is an error."""
+    order = _header(spark, path)
+    fields = {f.name: f for f in T.StructType.fromDDL(schema) if isinstance(schema, str)} if isinstance(schema, str) \
+        else {f.name: f for f in schema}
+    missing = [n for n in fields if n not in order]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {missing}")
+    by_file = T.StructType([fields.get(n, T.StructField(n, T.StringType())) for n in order])
+    return spark.read.schema(by_file).option("header", True).option("enforceSchema", False).csv(path).select(*fields)
+
+
+def _header(spark: SparkSession, path: str) -> list:
+    line = spark.read.option("header", False).csv(path).limit(1).first()
+    return [str(c).strip() for c in line if c is not None] if line else []
 
 
 def scan_upload(spark: SparkSession, path: str, columns=None) -> DataFrame:
     """Uploaded CSV: ',' separated, UTF-8, whitespace trimmed, '' and 'NA'
     are null; every column read as text. ``columns`` (header names) gives the
-    schema without an inference pass; otherwise the header line is read."""
+    schema without an inference pass; otherwise the header line is read. A file
+    whose header differs from it fails instead of being read by position."""
     if columns is None:
-        header = spark.read.option("header", False).csv(path).limit(1).first()
-        columns = [str(c).strip() for c in header] if header else []
+        columns = _header(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (spark.read.schema(schema).option("header", True).option("sep", ",")
-           .option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", True)
+           .option("enforceSchema", False).option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", True)
            .option("ignoreTrailingWhiteSpace", True).option("nullValue", "").csv(path))
     return raw.select(*[F.nullif(F.trim(F.col(c)), F.lit("NA")).alias(c) for c in columns])
 
@@ -69,12 +85,13 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "erro
     w.save(path)
 
 
-def sink_predictions(df: DataFrame, path: str, run_date: str | None = None, mode: str = "append") -> None:
+def sink_predictions(df: DataFrame, path: str, run_date: str | None = None) -> None:
     """CSV with header under ``run_date=<date>`` (the reference names its
-    download ``prediction_churn_<date>.csv``)."""
+    download ``prediction_churn_<date>.csv``). Running a day again replaces
+    that day and leaves the others."""
     day = run_date or dt.date.today().isoformat()
-    df.withColumn("run_date", F.lit(day)).write.mode(mode).partitionBy("run_date") \
-        .option("header", True).csv(path)
+    df.withColumn("run_date", F.lit(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("run_date").option("header", True).csv(path)
 
 
 def save_artifacts(spark: SparkSession, path: str, art: Artifacts) -> None:
@@ -90,13 +107,16 @@ def save_artifacts(spark: SparkSession, path: str, art: Artifacts) -> None:
 
 
 def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
-    """Inverse of ``save_artifacts``; a missing threshold gives 0.5."""
+    """Inverse of ``save_artifacts``; a missing threshold gives 0.5, any other
+    failure to read it is raised."""
     model = PipelineModel.load(f"{path}/model")
     feats = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("pos").collect()]
     scaler = {r["feature"]: (r["lo"], r["hi"]) for r in spark.read.parquet(f"{path}/scaler").collect()}
     try:
         row = spark.read.parquet(f"{path}/threshold").first()
         thr, ver = float(row["threshold"]), row["version"]
-    except Exception:  # noqa: BLE001 — absent threshold file: documented default
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         thr, ver = DEFAULT_THRESHOLD, MODEL_VERSION
     return Artifacts(model=model, features=feats, scaler=scaler, threshold=thr, version=ver)
