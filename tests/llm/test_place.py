@@ -99,7 +99,7 @@ def brute_top(rows, k, is_query):
 def test_top_k(spark, drop, block, chunk):
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 0.3, 6).round(1)]) for i in range(90)]
-    rows += [(100, None), (101, []), (102, [0.1, None, 0, 0, 0, 0]), (103, [float("nan")] * 6), (104, [float("inf")] * 6), (105, [0.5, 0.5]), (110, [0.25, -1.0]), (None, [0.0] * 6),
+    rows += [(100, None), (101, []), (102, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (103, [float("nan")] * 6), (104, [float("inf")] * 6), (105, [0.5, 0.5]), (110, [0.25, -1.0]), (None, [0.0] * 6),
              (5, rows[5][1]), (10, rows[10][1]), (106, [0.0] * 6), (107, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).withColumns({c: F.lit(1) for c in ("v", "score", "rank", "query_id")})
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, k=5, drop=drop, block_rows=block, chunk=chunk).collect())
