@@ -40,41 +40,48 @@ def grams_of(word: str, n: int) -> list:
 
 
 class Model:
-    """Tables of log frequencies: ``words`` and, for each length, ``grams``: key -> row of one value per language."""
+    """Log frequencies by language, one row of ``table`` for each known word and n-gram; ``words`` and, for each length, ``grams`` give its row."""
 
-    def __init__(self, languages: list, words: dict, grams: dict):
+    def __init__(self, languages: list, table: np.ndarray, words: dict, grams: dict):
         self.languages, self.longest = languages, max(grams, default=0)
-        self.words, self.grams, self.seen = words, grams, {}
-
-    def unseen(self, word: str) -> np.ndarray:
+        self.table, self.words, self.grams, self.seen = table, words, grams, {}
+
+    def backoff(self, word: str) -> list:
+        """Rows of the n-grams that score an unseen word: those of the greatest length of which any is known."""
+        for n in range(self.longest, 0, -1):
+            known, marked = self.grams[n], f"^{word}$"
+            found = [known[g] for g in [marked[i:i + n] for i in range(len(marked) - n + 1)] if g in known]
+            if found:
+                return found
+        return []
+
+    def rows_of(self, word: str) -> list:
+        """Rows whose mean scores the word."""
+        row = self.words.get(word)
+        if row is not None:
+            return [row]
         found = self.seen.get(word)
         if found is None:
-            for n in range(self.longest, 0, -1):
-                known = [self.grams[n][g] for g in grams_of(word, n) if g in self.grams[n]]
-                if known:
-                    found = np.mean(known, axis=0)
-                    break
-            else:
-                found = np.zeros(len(self.languages))
-            if len(self.seen) >= 100_000:
-                self.seen.clear()
+            found = self.backoff(word)
             if len(word) <= 64:
+                if len(self.seen) >= 300_000:
+                    self.seen.clear()
                 self.seen[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple:
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
-        total, known, times = np.zeros(len(self.languages)), [], []
+        rows, weights, known = [], [], self.words
         for word, n in Counter(words_of(text)).items():
-            row = self.words.get(word)
-            if row is None:
-                total += n * self.unseen(word)
-            else:
-                known.append(row)
-                times.append(n)
-        if known:
-            total += np.array(times, dtype=np.float64) @ np.array(known)
+            row = known.get(word)
+            if row is not None:
+                rows.append(row)
+                weights.append(n)
+            elif found := self.rows_of(word):
+                rows += found
+                weights += [n / len(found)] * len(found)
+        total = np.array(weights) @ self.table[rows] if rows else np.zeros(len(self.languages))
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -135,13 +142,14 @@ def train(docs: DataFrame, words: int = 30_000, grams: int = 20_000, longest: in
         return np.array([math.log(0.5 / (totals.get((lang, size), (0, 0))[0] + totals.get((lang, size), (0, 0))[1] + 1)) for lang in languages])
 
     floors = [floor(size) for size in range(longest + 1)]
+    rows: list = []
     for r in kept.toLocalIterator():
         total, kinds = totals[r.lang, r["size"]]
-        row = tables[r["size"]].get(r.key)
-        if row is None:
-            row = tables[r["size"]][r.key] = floors[r["size"]].copy()
-        row[spot[r.lang]] = math.log((r.n + 0.5) / (total + kinds + 1))
-    return Model(languages, tables[0], {n: tables[n] for n in range(1, longest + 1)})
+        at = tables[r["size"]].setdefault(r.key, len(rows))
+        if at == len(rows):
+            rows.append(floors[r["size"]].copy())
+        rows[at][spot[r.lang]] = math.log((r.n + 0.5) / (total + kinds + 1))
+    return Model(languages, np.array(rows).reshape(len(rows), len(languages)), tables[0], {n: tables[n] for n in range(1, longest + 1)})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

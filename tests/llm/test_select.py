@@ -22,10 +22,12 @@ def test_language_counts_and_backoff(spark):
     docs = spark.createDataFrame([("aa bb aa", "x"), ("cc", "y"), (None, "x"), ("zz", None), ("dd", "y")], "text string, lang string")
     m = language_id.train(docs, longest=3)
     assert m.languages == ["x", "y"] and set(m.words) == {"aa", "bb", "cc", "dd"}
-    assert m.words["aa"][0] == pytest.approx(np.log(2.5 / (3 + 2 + 1))) and m.words["aa"][1] == pytest.approx(np.log(0.5 / (2 + 2 + 1)))
+    mean = lambda w: m.table[m.rows_of(w)].mean(axis=0)
+    gram = lambda g: m.table[m.grams[len(g)][g]]
+    assert mean("aa").tolist() == pytest.approx([np.log(2.5 / (3 + 2 + 1)), np.log(0.5 / (2 + 2 + 1))])
     assert set(m.grams[3]) == {"^aa", "aa$", "^bb", "bb$", "^cc", "cc$", "^dd", "dd$"}
-    assert np.allclose(m.unseen("aae"), m.grams[3]["^aa"])  # the only known one of three characters
-    assert np.allclose(m.unseen("eae"), m.grams[1]["a"] * 1 / 3 + (m.grams[1]["^"] + m.grams[1]["$"]) / 3)
+    assert np.allclose(mean("aae"), gram("^aa"))  # the only known one of three characters
+    assert np.allclose(mean("eae"), (gram("a") + gram("^") + gram("$")) / 3)
     assert m.predict("aa aae")[0] == "x" and m.predict("ccc")[0] == "y"
     kept = language_id.train(docs, words=1, grams=1, longest=1)
     assert set(kept.words) == {"aa", "cc"}  # ties by spelling
