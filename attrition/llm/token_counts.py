@@ -7,7 +7,8 @@ and a later one must be strictly better (so of equal scores the longest last pie
 character that is no piece costs the lowest score less 10 and counts as its UTF-8 bytes with
 byte fallback, and as one unknown token for each run without. Blanks become ``MARK`` and the
 text gets one in front. Where no piece has a mark after another character, the best path
-breaks at every mark, so words are counted apart and cached; else the whole text is one word.
+breaks at every mark, so words are counted apart and cached, and within a word around every
+character that is in no longer piece; else the whole text is one word.
 Only the last (longest piece) positions are kept, so memory does not grow with a word.
 
 Defined results: null and empty texts count 0 tokens with score 0; repeated ids are counted row
@@ -50,9 +51,17 @@ class Counter(dict):
         self.unknown, self.most = min(s for _, s in vocabulary) - UNKNOWN_PENALTY, most
         self.keep = max(len(p) for p in known) + 1
         self.by_word = MARK in known and not any(re.search(f"[^{MARK}]{MARK}", p) for p in known)
+        joined = {c for p in known if len(p) > 1 for c in p}
+        # a character of no longer piece stands alone on every path; unknown runs count as one without byte fallback, so not then
+        self.alone = re.compile(f"([^{''.join(map(re.escape, sorted(joined)))}])").split if joined and self.bytes else lambda word: [word]
 
     def __missing__(self, word: str):
-        found = self.best_path(word)
+        parts = [p for p in self.alone(word) if p]
+        if len(parts) > 1:
+            each = [self[p] for p in parts]
+            found = sum(n for n, _ in each), sum(s for _, s in each)
+        else:
+            found = self.best_path(word)
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.clear()
