@@ -203,6 +203,16 @@ def explore_recode(df: DataFrame, cfg: ChurnConfig = DEFAULT) -> DataFrame:
     return recode_binary_int(df, "SeniorCitizen")
 
 
+def _learn(recoded: DataFrame, cfg: ChurnConfig) -> Encoding:
+    cand = [c for c in columns_of_type(recoded, "categorical") if c != cfg.id_col]
+    return learn_encoding(recoded, yes_no_candidates=cand, one_hot_cols=list(cfg.one_hot))
+
+
+def learn_features(df: DataFrame, cfg: ChurnConfig = DEFAULT) -> Encoding:
+    """The encoding ``prepare_features`` would learn from ``df``, to be stored."""
+    return _learn(recode_gender(explore_recode(df, cfg), "gender"), cfg)
+
+
 def prepare_features(df: DataFrame, cfg: ChurnConfig = DEFAULT,
                      encoding: Encoding | None = None, keep_id: bool = True) -> DataFrame:
     """Raw 21-column table → id + 21 features + target (0/1), in model order.
@@ -210,11 +220,9 @@ def prepare_features(df: DataFrame, cfg: ChurnConfig = DEFAULT,
     Narrow transformations only; phase one (skipped when ``encoding`` is
     given) is one aggregation producing a single row.
     """
-    df = explore_recode(df, cfg)
-    df = recode_gender(df, "gender")
+    df = recode_gender(explore_recode(df, cfg), "gender")
     if encoding is None:
-        cand = [c for c in columns_of_type(df, "categorical") if c != cfg.id_col]
-        encoding = learn_encoding(df, yes_no_candidates=cand, one_hot_cols=list(cfg.one_hot))
+        encoding = _learn(df, cfg)
     df = recode_yes_no(df, columns=encoding.yes_no_cols)
     df = one_hot(df, list(cfg.one_hot), vocab=encoding.vocab)
     df = rename_levels(df)

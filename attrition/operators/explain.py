@@ -18,12 +18,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.operators.model import Forest, tree_table
-from attrition.session import ship_package
+from attrition.session import checkpoint_root, ship_package
 
 
 def leaf_paths(forest: Forest) -> list:
@@ -107,16 +106,16 @@ def shap_values(df: DataFrame, model, features, id_col: str, top: int | None = N
     """id, feature, value, shap — long table, one row per (customer, feature);
     ``top`` keeps the features with the largest mean |shap|."""
     wide = shap_wide(df, model, features, id_col)
-    names = F.array(*[F.lit(f) for f in features])
-    long = wide.select("id", F.posexplode(F.arrays_zip("values", "shap")).alias("pos", "vs")) \
-        .select("id", F.element_at(names, F.col("pos") + 1).alias("feature"),
-                F.col("vs.values").alias("value"), F.col("vs.shap").alias("shap"))
+    keep = list(enumerate(features))
     if top:
-        # the kernel is the expensive part: compute it once for ranking and output
-        long = long.persist(StorageLevel.MEMORY_AND_DISK)
-        keep = [r["feature"] for r in shap_summary(long, top).select("feature").collect()]  # ≤ top names
-        long = long.filter(F.col("feature").isin(keep))
-    return long
+        # the kernel is the expensive part: its arrays are written once; one aggregation of the array
+        # elements ranks the features, and only the kept ones are exploded
+        checkpoint_root(df.sparkSession)
+        wide = wide.checkpoint()
+        means = wide.agg(*[F.avg(F.abs(F.col("shap")[i])).alias(f"m{i}") for i, _ in keep]).first()
+        keep = sorted(keep, key=lambda k: (-(means[f"m{k[0]}"] or 0.0), k[1]))[:top]
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col("values")[i].alias("value"), F.col("shap")[i].alias("shap")) for i, f in keep])
+    return wide.select("id", F.inline(rows))
 
 
 def shap_summary(shap: DataFrame, top: int | None = 10) -> DataFrame:

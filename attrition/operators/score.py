@@ -44,6 +44,7 @@ class Artifacts:
     scaler: dict = field(default_factory=dict)  # feature → (lo, hi)
     threshold: float = DEFAULT_THRESHOLD
     version: str = MODEL_VERSION
+    encoding: object = None  # encode.Encoding of the training table, to prepare raw rows without re-learning levels
 
 
 # ----------------------------------------------------------------------------- schema and ids

@@ -12,14 +12,13 @@ p-values are computed by pandas UDFs on the result rows (one per variable).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.functions import stats as S
 from attrition.operators.profile import long_strings
 from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values, rank_summary
-from attrition.session import ship_package
+from attrition.session import checkpoint_root, ship_package
 
 
 def _cells(df: DataFrame, cols, target: str) -> DataFrame:
@@ -134,8 +133,9 @@ def spearman_matrix(df: DataFrame, cols) -> DataFrame:
     pp = df.select(F.inline(F.array(*structs))) \
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull()) \
         .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    # read by the checkpointed rank job and by the final join: compute it once
-    pp = pp.persist(StorageLevel.MEMORY_AND_DISK)
+    # read by the rank job and by the final join: written once, nothing left cached
+    checkpoint_root(df.sparkSession)
+    pp = pp.checkpoint()
     both = pp.select("pair", "w", F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
                                                    F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))))
     sides = both.groupBy("pair", "side", "value").agg(F.sum("w").alias("n"))
@@ -179,7 +179,8 @@ def ks_normal(df: DataFrame, cols) -> DataFrame:
     """
     ship_package(df.sparkSession)
     # the distinct values feed the moments and the checkpointed prefix job
-    d = distinct_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    checkpoint_root(df.sparkSession)
+    d = distinct_counts(df, cols).checkpoint()
     mom = d.groupBy("variable").agg(
         F.sum("n").alias("_tot"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mu"))
     d2 = d.join(F.broadcast(mom), "variable")  # one row per variable

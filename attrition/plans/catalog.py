@@ -7,6 +7,8 @@ Every query starts from ``customers_raw`` over the whole ``customer`` and
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,6 +162,15 @@ def q_prepare_features(spark, sf):
     return prepared(spark, sf)
 
 
+@register("prepare_stored_encoding", sql("SELECT * FROM prepared", EXPLORED, PREPARED))
+def q_prepare_stored_encoding(spark, sf):
+    """Raw customers prepared by an encoding saved with the artefacts and loaded again; no level is learned from them."""
+    path = scratch_path(spark, "artifacts")
+    art = replace(fitted(spark, sf).artifacts, encoding=E.learn_features(customers_raw(spark, sf)))
+    IO.save_artifacts(spark, path, art)
+    return E.prepare_features(customers_raw(spark, sf), encoding=IO.load_encoding(spark, path))
+
+
 def profiles_input(raw):
     """Stand-in form profiles from the raw table (form vocabulary, 0/1 binaries)."""
     yes = lambda c: F.when(F.col(c) == "Yes", 1).otherwise(0)

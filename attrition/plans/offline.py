@@ -62,16 +62,25 @@ def evaluation(fit: TR.Fitted) -> dict:
     }
 
 
-def run_offline(spark: SparkSession, sf_dir: str, out_dir: str, params: dict | None = None) -> TR.Fitted:
+def run_offline(spark: SparkSession, sf_dir: str, out_dir: str, params: dict | None = None,
+                tune: dict | None = None) -> TR.Fitted:
+    """``tune``: arguments of ``training.fit_tuned`` ({"folds": 10} searches the full grid); without it ``params`` are fitted."""
     # one pass over orders: the per-customer table is written once and every
     # report, the encoding and the fit read it (lineage cut at a shared table)
     IO.sink_table(customers_raw(spark, sf_dir), f"{out_dir}/raw", mode="overwrite")
     raw = spark.read.parquet(f"{out_dir}/raw")
     for name, df in exploration(raw).items():
         IO.sink_table(df, f"{out_dir}/reports/{name}", mode="overwrite")
-    prepared = E.prepare_features(raw)
+    encoding = E.learn_features(raw)
+    prepared = E.prepare_features(raw, encoding=encoding)
     IO.sink_table(prepared, f"{out_dir}/prepared", mode="overwrite")
-    fit = TR.fit_model(spark.read.parquet(f"{out_dir}/prepared"), params)
+    table = spark.read.parquet(f"{out_dir}/prepared")
+    if tune:
+        fit, search = TR.fit_tuned(table, **tune)
+        IO.sink_table(search, f"{out_dir}/reports/tune_gbt", mode="overwrite")
+    else:
+        fit = TR.fit_model(table, params)
+    fit.artifacts.encoding = encoding
     for name, df in evaluation(fit).items():
         IO.sink_table(df, f"{out_dir}/reports/{name}", mode="overwrite")
     IO.save_artifacts(spark, f"{out_dir}/artifacts", fit.artifacts)

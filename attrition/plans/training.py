@@ -4,8 +4,8 @@ prepare → hash split → range scaler fit on train only → positive-class
 weight (#neg/#pos on train) → GBT → decision threshold (Youden) → artefacts.
 
 Threshold choice: ``threshold_on="holdout"`` (default) picks it on a hash
-slice of the training rows that the model does not see, so the test set
-stays untouched for evaluation; ``"test"`` mimics the reference, which picks
+slice of the training rows that a first model does not see, so the test set
+stays untouched for evaluation; the final model is then fitted on ALL training rows; ``"test"`` mimics the reference, which picks
 and evaluates on the same test rows.
 """
 
@@ -17,13 +17,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrition.config import FEATURES, SPLIT_SEED
+from attrition.config import CV_FOLDS, EARLY_STOP_ROUNDS, FEATURES, GRID_FULL, MAX_ROUNDS, SPLIT_SEED
 from attrition.operators import evaluate as EV
 from attrition.operators import model as M
 from attrition.operators import profile as P
 from attrition.operators import scale as SC
 from attrition.operators import split as SP
 from attrition.operators.score import Artifacts
+from attrition.session import checkpoint_root
 
 HOLDOUT_SEED = 124
 
@@ -44,7 +45,8 @@ def fit_model(prepared: DataFrame, params: dict | None = None, id_col: str = "cu
               target: str = "Churn", threshold_on: str = "holdout", features=tuple(FEATURES)) -> Fitted:
     feats = list(features)
     # the prepared table (one row per customer) is read by several passes below
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    checkpoint_root(prepared.sparkSession)
+    prepared = prepared.checkpoint()
     split = SP.split_train_test(prepared, id_col, 0.8, SPLIT_SEED)
     train_all = split.filter("is_train")
     test = split.filter(~F.col("is_train"))
@@ -56,23 +58,51 @@ def fit_model(prepared: DataFrame, params: dict | None = None, id_col: str = "cu
         fit_set, pick_set = flagged.filter("_fit"), flagged.filter(~F.col("_fit"))
     else:
         fit_set, pick_set = x_train, x_test
-    sizes = P.class_weight(fit_set, target).first()  # one-row aggregate; the counts, not the rounded weight
-    weight = sizes["n_neg"] / sizes["n_pos"] if sizes["n_pos"] else 1.0
-    fit_set = M.with_class_weight(fit_set, target, weight).persist()
-    model = M.train_gbt(fit_set, feats, target, params, weight="w")
-    fit_set.unpersist()
+    def fit_on(rows):
+        weight = class_weight(rows, target)
+        rows = M.with_class_weight(rows, target, weight).persist(StorageLevel.MEMORY_AND_DISK)
+        model = M.train_gbt(rows, feats, target, params, weight="w")
+        rows.unpersist()
+        return model, weight
+
+    model, weight = fit_on(fit_set)
     art = Artifacts(model=model, features=feats, scaler=scaler)
     yt = EV.youden_threshold(scored(pick_set, art), "proba", target).first()
     art.threshold = float(yt["threshold"]) if yt is not None else 0.5
+    if threshold_on == "holdout":  # the slice has served: fit on all of train
+        art.model, weight = fit_on(x_train)
     return Fitted(artifacts=art, train=x_train, test=x_test, weight=float(weight))
 
 
+def class_weight(rows: DataFrame, target: str) -> float:
+    """#neg / #pos from the counts (one-row aggregate), not from the rounded report; 1 without positives."""
+    n = P.class_weight(rows, target).first()
+    return n["n_neg"] / n["n_pos"] if n["n_pos"] else 1.0
+
+
+def fit_tuned(prepared: DataFrame, grid: dict | None = None, folds: int = CV_FOLDS, max_rounds: int = MAX_ROUNDS,
+              patience: int = EARLY_STOP_ROUNDS, id_col: str = "customerID", target: str = "Churn",
+              features=tuple(FEATURES), parallelism: int = 4) -> tuple:
+    """(Fitted, search table): the per-round k-fold search on the scaled training rows (by default the
+    full ``GRID_FULL`` × ``CV_FOLDS`` × ``MAX_ROUNDS``), then ``fit_model`` with the winning point at its
+    best round."""
+    feats = list(features)
+    train = SP.split_train_test(prepared, id_col, 0.8, SPLIT_SEED).filter("is_train")
+    scaled = SC.apply_range_scaler(train, SC.scaler_params(SC.fit_range_scaler(train, feats)), feats)
+    rows = M.with_class_weight(SP.kfold_assign(scaled, id_col, folds), target, class_weight(scaled, target))
+    search = M.tune_gbt(rows, feats, target, grid or GRID_FULL, id_col, fold_col="fold", weight="w",
+                        max_rounds=max_rounds, patience=patience, parallelism=parallelism)
+    best = search.filter("is_best").first()  # one row of a table bounded by the grid
+    params = {n: best[n] for n in M.GRID_NAMES} | {"rounds": best["best_round"]}
+    return fit_model(prepared, params, id_col, target, features=feats), search
+
+
 _CACHE: dict = {}
 
 
 def fitted_for(spark, sf_dir: str, prepared_fn, params: dict | None = None) -> Fitted:
     """Fit once per (session, data dir) — registered queries share the model."""
-    key = (id(spark.sparkContext), sf_dir, tuple(sorted((params or {}).items())))
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted((params or {}).items())))
     if key not in _CACHE:
         _CACHE[key] = fit_model(prepared_fn(spark, sf_dir), params)
     return _CACHE[key]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark import SparkConf
@@ -73,6 +74,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _SHIPPED: set = set()
+_SHIPPING = threading.Lock()  # fold fits run in threads
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -83,9 +85,13 @@ def ship_package(spark: SparkSession) -> None:
     SparkContext and distributed with ``addPyFile`` (code only — no data
     passes through this archive).
     """
+    with _SHIPPING:
+        _ship(spark.sparkContext)
+
+
+def _ship(sc) -> None:
     import zipfile
 
-    sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return

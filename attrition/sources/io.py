@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attrition.config import DEFAULT_THRESHOLD, MODEL_VERSION
+from attrition.operators.encode import Encoding
 from attrition.operators.score import Artifacts
 
 CORRUPT = "_corrupt_record"
@@ -106,17 +107,39 @@ def save_artifacts(spark: SparkSession, path: str, art: Artifacts) -> None:
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/threshold")
 
 
+    enc = art.encoding
+    if enc is not None:
+        rows = [("yes_no", c, None) for c in enc.yes_no_cols] + [("level", c, v) for c, levels in enc.vocab.items() for v in levels]
+        spark.createDataFrame(rows, "kind string, variable string, level string").coalesce(1).write.mode("overwrite") \
+            .parquet(f"{path}/encoding")
+
+
+def _if_there(spark: SparkSession, path: str) -> list:
+    """Rows of a stored table, none if it was never stored; any other failure is raised."""
+    try:
+        return spark.read.parquet(path).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def load_encoding(spark: SparkSession, path: str) -> Encoding | None:
+    """The encoding stored with the artefacts (levels sorted, as learned)."""
+    rows = _if_there(spark, f"{path}/encoding")
+    vocab: dict = {}
+    for r in sorted((r for r in rows if r["kind"] == "level"), key=lambda r: (r["variable"], r["level"])):
+        vocab.setdefault(r["variable"], []).append(r["level"])
+    return Encoding([r["variable"] for r in rows if r["kind"] == "yes_no"], vocab) if rows else None
+
+
 def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
     """Inverse of ``save_artifacts``; a missing threshold gives 0.5, any other
     failure to read it is raised."""
     model = PipelineModel.load(f"{path}/model")
     feats = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("pos").collect()]
     scaler = {r["feature"]: (r["lo"], r["hi"]) for r in spark.read.parquet(f"{path}/scaler").collect()}
-    try:
-        row = spark.read.parquet(f"{path}/threshold").first()
-        thr, ver = float(row["threshold"]), row["version"]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        thr, ver = DEFAULT_THRESHOLD, MODEL_VERSION
-    return Artifacts(model=model, features=feats, scaler=scaler, threshold=thr, version=ver)
+    stored = _if_there(spark, f"{path}/threshold")
+    thr, ver = (float(stored[0]["threshold"]), stored[0]["version"]) if stored else (DEFAULT_THRESHOLD, MODEL_VERSION)
+    return Artifacts(model=model, features=feats, scaler=scaler, threshold=thr, version=ver,
+                     encoding=load_encoding(spark, path))

@@ -95,3 +95,37 @@ def test_stratified_split_takes_null_classes(spark):
     df = spark.range(2000).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("c"), (F.col("id") % 4).cast("string"))).alias("cls"))
     got = SP.split_train_test(df, "k", 0.8, stratify="cls").groupBy("cls").agg(F.count("*").alias("n"), F.count_if("is_train").alias("t")).collect()
     assert len(got) == 4 and all(r.t == 400 and r.n == 500 for r in got)
+
+
+def test_damaged_threshold_is_an_error_and_encoding_is_stored(spark, tmp_path):
+    import shutil
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from attrition.operators.score import Artifacts
+
+    path = str(tmp_path / "art")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="f")]).fit(spark.createDataFrame([(1.0,)], "x double"))
+    enc = E.Encoding(["Partner"], {"Contract": ["a", "b"], "Pay": ["z"]})
+    IO.save_artifacts(spark, path, Artifacts(model=model, features=["x"], scaler={"x": (0, 1)}, threshold=0.3, encoding=enc))
+    got = IO.load_artifacts(spark, path)
+    assert got.threshold == 0.3 and got.encoding == enc and got.scaler == {"x": (0.0, 1.0)}
+    for f in (tmp_path / "art/threshold").glob("*.parquet"):
+        f.write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        IO.load_artifacts(spark, path)
+    shutil.rmtree(tmp_path / "art/threshold")
+    assert IO.load_artifacts(spark, path).threshold == 0.5
+
+
+def test_tuned_fit_uses_the_winner(spark):
+    from attrition.operators.model import gbt_stage
+    from attrition.plans import training as TR
+    from attrition.plans.catalog import prepared
+
+    fit, search = TR.fit_tuned(prepared(spark, "/root/testdata/sf0.001"), grid={"max_depth": [2, 3], "eta": [0.3], "subsample": [1.0], "colsample_bytree": [1.0]},
+                               folds=2, max_rounds=3, patience=2)
+    best = search.filter("is_best").first()
+    gbt = gbt_stage(fit.artifacts.model)
+    assert search.count() == 2 and gbt.getNumTrees == best.best_round and gbt.getMaxDepth() == best.max_depth
