@@ -81,7 +81,8 @@ def fit(rows: list, grades: list, top: int, bits: int, steps: int = 150, ridge:
         best = seen[0] if seen else top
         return OrdinalModel(np.zeros(size), np.where(np.arange(1, top + 1) <= best, -60.0, 60.0), bits)
     y = np.array(grades)
-    slot, at = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    slot, length = np.concatenate(rows), np.array([len(r) for r in rows])  # every document has slots
+    start = np.cumsum(length) - length
     w = np.zeros(size)
     share = np.array([max(1, (y >= k).sum()) / (len(y) + 1) for k in range(1, top + 1)])
     first = -np.log(share / (1 - share))
@@ -90,7 +91,7 @@ def fit(rows: list, grades: list, top: int, bits: int, steps: int = 150, ridge:
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w, t = p[:size], np.concatenate([[p[size]], p[size] + np.cumsum(np.exp(p[size + 1:]))])
-        s = np.bincount(at, weights=w[slot], minlength=len(y))
+        s = np.add.reduceat(w[slot], start)
         edges = np.concatenate([[-np.inf], t, [np.inf]])
         low, high = sigmoid(s - edges[y]), sigmoid(s - edges[y + 1])  # P(>= y), P(>= y + 1)
         low, high = np.where(y == 0, 1.0, low), np.where(y == top, 0.0, high)
@@ -98,13 +99,13 @@ def fit(rows: list, grades: list, top: int, bits: int, steps: int = 150, ridge:
         up, down = low * (1 - low) / chance, high * (1 - high) / chance
         g_s = -(up - down) / len(y)
         g_t = np.array([(np.where(y == k, up, 0) - np.where(y == k - 1, down, 0)).sum() / len(y) for k in range(1, top + 1)])
-        g = np.concatenate([np.bincount(slot, weights=g_s[at], minlength=size) + ridge * w, [g_t.sum()], [g_t[k:].sum() * np.exp(p[size + k]) for k in range(1, top)]])
+        g = np.concatenate([np.bincount(slot, weights=np.repeat(g_s, length), minlength=size) + ridge * w, [g_t.sum()], [g_t[k:].sum() * np.exp(p[size + k]) for k in range(1, top)]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     return OrdinalModel(p[:size], np.concatenate([[p[size]], p[size] + np.cumsum(np.exp(p[size + 1:]))]), bits)
 
 
-def train(docs: DataFrame, rated: DataFrame, top: int, most: int = 16_000, bits: int = 18, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+def train(docs: DataFrame, rated: DataFrame, top: int, most: int = 8_000, bits: int = 18, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Model from ``rated`` (``id_col``, grade 0..top)."""
     import pyarrow as pa
 
@@ -121,7 +122,7 @@ def train(docs: DataFrame, rated: DataFrame, top: int, most: int = 16_000, bits:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py(), slots).astype("<i4").tobytes() for t in b.column(1)], pa.binary())], names=["grade", "slots"])
 
     got = sorted((r.grade, bytes(r.slots)) for r in rows.mapInArrow(run, "grade int, slots binary").collect())
-    return fit([np.frombuffer(s, "<i4").astype(np.int64) for _, s in got], [g for g, _ in got], top, bits)
+    return fit([np.frombuffer(s, "<i4") for _, s in got], [g for g, _ in got], top, bits)
 
 
 def score(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5, text_col: str = "text") -> DataFrame:
