@@ -34,7 +34,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Ids(dict):
     """Key -> ids as little-endian unsigned 32-bit by ``make``; emptied when it holds ``most`` keys, long keys are not kept."""
 
-    def __init__(self, make, most: int = 600_000):
+    def __init__(self, make, most: int = 250_000):
         self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:

@@ -41,7 +41,7 @@ class Slots(dict):
 
     def __missing__(self, word: str) -> tuple:
         slots = tuple(zlib.crc32(w.encode("utf-8", "surrogatepass")) & self.mask for w in (word, "\x00^" + word[:4]))
-        if len(self) < 300_000 and len(word) <= 64:
+        if len(self) < 150_000 and len(word) <= 64:
             self[word] = slots
         return slots
 
