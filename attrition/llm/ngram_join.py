@@ -301,7 +301,10 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
 
     # partners have sizes in a ratio of num / den, so a list falls into runs: by size, each entry close enough to the one before
     in_list = Window.partitionBy("key", "part").orderBy("n", "cls")
-    entries = texts.where("doc_id is not null").select("text").mapInArrow(sign, "key long, part int, cls long, n long")  # a class from several tasks repeats here
+    # a class from several tasks repeats, next to itself in this order; the lists below are told apart by their members, so each may be there once only
+    entries = (texts.where("doc_id is not null").select("text").mapInArrow(sign, "key long, part int, cls long, n long")
+               .withColumn("before", F.struct(F.lag("n").over(in_list).alias("n"), F.lag("cls").over(in_list).alias("cls")))
+               .where("not (before.n <=> n and before.cls <=> cls)").drop("before"))
     starts = F.when(F.col("part") >= 0, 0).when(F.lag("n").over(in_list) * den >= F.col("n") * num, 0).otherwise(1)
     ends = F.when(F.col("part") >= 0, 0).when(F.col("n") * den >= F.lead("n").over(in_list) * num, 0).otherwise(1)
     met = (entries.withColumn("starts", starts).withColumn("ends", ends).withColumn("run", F.sum("starts").over(in_list))

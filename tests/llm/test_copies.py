@@ -71,6 +71,20 @@ def test_jaccard_classes(nasty_docs, nasty_rows, words, num, block, heavy):
             assert r.n_shingles in sizes and r.component_id == component, r
 
 
+def test_jaccard_copies_in_several_tasks(spark):
+    """A chain of near copies, each document in two tasks; its group is compared list by list."""
+    n = 80
+    ids = [i if i % 2 == 0 else 100 + i for i in range(n)]  # the smaller id of a list is that of an even document, which has two lists
+    texts = [" ".join(f"w{j}x{k}" for j in (i, i + 1) for k in range(4)) for i in range(n)]
+    rows = list(zip(ids, texts, strict=True))
+    again = [(1000 + i, t) for i, t in rows]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows + again, 2), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(docs, words=1, num=25, block=16).collect()}
+    want = brute_classes([(i, t) for i, t in rows + again], 1, 25, 100)
+    assert set(got.values()) == {0}
+    assert got == {i: component for i, (_, component) in want.items()}
+
+
 def test_jaccard_empty(no_docs):
     assert ngram_join.jaccard_classes(no_docs).collect() == []
 
