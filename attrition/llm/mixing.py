@@ -3,9 +3,13 @@
 Tokens are summed by cell (source, language, topic ...) with partial aggregates, so a source
 with a third of all rows is one row per task. The cell weights are raked to the target shares
 of every dimension in turn until all margins agree; each sweep is written to the shared folder.
-A document's probability is its cell's calibrated weight over the cell's tokens, scaled so that
-the largest is 1 (nothing is repeated, margins hold exactly in expectation); it is drawn if a
-hash of its id, as a number in [0, 1), is below. Recomputed tasks draw alike.
+A document's probability is its cell's calibrated weight over the cell's tokens, scaled to a
+budget: the share ``keep`` of all tokens (of levels with a target) is drawn in expectation. A
+cell whose tokens do not reach its part is taken whole and what it lacks is spread over the
+others in proportion to their weights, so a small cell sets its own rate only; margins differ
+from the targets by what such cells lack. Without ``keep`` the largest probability is 1 (margins
+hold exactly in expectation, at the rate of the scarcest cell). Nothing is repeated. A document
+is drawn if a hash of its id, as a number in [0, 1), is below. Recomputed tasks draw alike.
 
 Defined results: a null level is a level of its own; a level without a target share gets
 probability 0; targets of levels without documents are spread over the others in proportion;
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from attrition.llm.common import written
 
 NONE = "\x00none"
+KEEP = 0.8  # share of all tokens that op4_mixing and the pipeline draw
 
 
 def word_tokens(text):
@@ -59,9 +64,22 @@ def rake(cells: DataFrame, targets: dict, tolerance: float = 1e-7, sweeps: int =
     return now
 
 
+def budget_scale(weight: DataFrame, keep: float) -> float:
+    """The scale at which the weights, no cell above its tokens, sum to ``keep`` of all tokens; cells found full stay full, so rounds end."""
+    budget = keep * (weight.where("weight > 0").agg(F.sum("tokens")).first()[0] or 0)
+    scale = None
+    while True:
+        full = F.lit(False) if scale is None else F.col("weight") * scale >= F.col("tokens")
+        held, free = weight.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("weight")))).first()
+        now = (budget - (held or 0)) / free if free else scale or 1.0
+        if scale is not None and now <= scale * (1 + 1e-12):
+            return scale
+        scale = now
+
+
 def mix(docs: DataFrame, dims: list, targets=None, power: float = 0.8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
-        extra: dict | None = None) -> DataFrame:
-    """(row, levels, tokens, probability, drawn). ``dims`` are columns, or keys of ``extra`` {name: expression}; ``targets`` {dim: DataFrame(dim, share)}, by default ``tempered``."""
+        extra: dict | None = None, keep: float | None = None) -> DataFrame:
+    """(row, levels, tokens, probability, drawn). ``dims`` are columns, or keys of ``extra`` {name: expression}; ``targets`` {dim: DataFrame(dim, share)}, by default ``tempered``; ``keep``: share of the tokens to draw."""
     extra = extra or {}
     named = {d: f"d{i}" for i, d in enumerate(dims)}
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -71,8 +89,8 @@ def mix(docs: DataFrame, dims: list, targets=None, power: float = 0.8, seed: int
     cells = written(df.groupBy(*named.values()).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     want = {n: targets[d].select(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(n), "share") if targets else tempered(cells, n, power) for d, n in named.items()}
     weight = rake(cells, want)
-    top = weight.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
-    chance = weight.select(*named.values(), (F.col("weight") / F.col("tokens") / top).alias("probability"))
+    scale = 1 / (weight.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0) if keep is None else budget_scale(weight, keep)
+    chance = weight.select(*named.values(), F.least(F.lit(1.0), F.col("weight") / F.col("tokens") * scale).alias("probability"))
     out = df.join(written(chance, "mix-chances"), list(named.values()), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     return out.select("row", F.struct(*[F.when(F.col(n) != NONE, F.col(n)).alias(d) for d, n in named.items()]).alias("levels"), "tokens", "probability", (F.col("u") < F.col("probability")).alias("drawn"))
 
@@ -84,7 +102,7 @@ def topic(text):
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    """Calibrated probability and draw of every document; target shares of source, language and topic are the observed ones to the power 0.8."""
+    """Calibrated probability and draw of every document; target shares of source, language and topic are the observed ones to the power 0.8, and 0.8 of all tokens are drawn in expectation."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    out = mix(docs, ["source", "lang", "topic"], extra={"topic": topic(F.col("text"))})
+    out = mix(docs, ["source", "lang", "topic"], extra={"topic": topic(F.col("text"))}, keep=KEEP)
     return out.select("row.doc_id", "levels.source", "levels.lang", "levels.topic", "tokens", "probability", "drawn")

@@ -31,8 +31,8 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents drawn for the target shares of source, language and topic (the observed ones to the power 0.9)."""
-    out = mixing.mix(docs, ["source", "lang", "topic"], extra={"topic": mixing.topic(F.col("text"))}, power=0.9)
+    """Keeps the documents drawn for the target shares of source, language and topic (the observed ones to the power 0.9), 0.8 of all tokens in expectation."""
+    out = mixing.mix(docs, ["source", "lang", "topic"], extra={"topic": mixing.topic(F.col("text"))}, power=0.9, keep=mixing.KEEP)
     return out.where("drawn").select("row.*")
 
 

@@ -136,3 +136,20 @@ def test_mix_draws_at_the_probability(spark):
     out = mixing.mix(docs, ["source"], {"source": want}).groupBy("levels.source").agg(F.avg("probability").alias("p"), F.avg(F.col("drawn").cast("int")).alias("drawn")).collect()
     p = {r.source: (r.p, r.drawn) for r in out}
     assert p["rare"] == (1.0, 1.0) and p["hot"][0] == pytest.approx(1 / 3) and p["hot"][1] == pytest.approx(1 / 3, abs=0.015)
+
+
+def test_mix_budget_is_not_set_by_a_tiny_cell(spark):
+    many = spark.range(3_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 20).alias("text"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("source"))
+    tiny = spark.createDataFrame([(9_999, "nine words are here and no more of them", "new")], "doc_id long, text string, source string")
+    kept = []
+    for docs in (many, many.unionByName(tiny)):
+        out = mixing.mix(docs, ["source"], power=0.8, keep=mixing.KEEP).select("levels.source", "tokens", "probability").toPandas()
+        kept.append((out.tokens * out.probability).sum() / out.tokens.sum())
+        p = out.groupby("source").probability.agg(["min", "max"])
+        assert (p["min"] == p["max"]).all() and p["max"].max() <= 1 and p["max"]["rare"] > p["max"]["hot"]
+    assert kept == pytest.approx([mixing.KEEP] * 2) and p["max"]["new"] == 1
+
+
+def test_registered_mixing_keeps_the_budget(spark):
+    out = mixing.op4_mixing(spark, "/root/testdata/sf0.001").toPandas()
+    assert (out.tokens * out.probability).sum() / out.tokens.sum() == pytest.approx(mixing.KEEP)
