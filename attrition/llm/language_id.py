@@ -4,7 +4,8 @@ Training counts every word of every labelled training row (partial sums in the t
 shuffle), and from the word table every n-gram of 1 to ``longest`` characters of the words,
 with their ends marked. The model keeps the ``words`` most frequent words of a language and the
 ``grams`` most frequent n-grams of a language and length (ties by spelling): sizes that bound
-what is broadcast; whatever is left out is scored by the next shorter form.
+what is broadcast, a cut on large tables. What one language keeps has its true count in every
+language; whatever none keeps is scored by the next shorter form.
 
 A word known to the model adds its log frequency in each language. An unseen word is scored by
 its longest known n-grams: the mean log frequency over its n-grams of that length. The languages'
@@ -133,7 +134,9 @@ def train(docs: DataFrame, words: int = 30_000, grams: int = 20_000, longest: in
     overall = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "key")
     most = F.when(F.col("size") == 0, words).otherwise(grams)
     kept = (every.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64))).withColumn("r", F.row_number().over(salted)).where(F.col("r") <= most)
-            .withColumn("r", F.row_number().over(overall)).where(F.col("r") <= most).select("lang", "size", "key", "n"))
+            .withColumn("r", F.row_number().over(overall)).where(F.col("r") <= most).select("size", "key").distinct())
+    # what one language keeps is known to all: each has its own count of it
+    kept = every.join(kept, ["size", "key"]).select("lang", "size", "key", "n")
     languages = sorted({lang for lang, _ in totals})
     tables: dict = {size: {} for size in range(longest + 1)}
     spot = {lang: i for i, lang in enumerate(languages)}

@@ -33,6 +33,13 @@ def test_language_counts_and_backoff(spark):
     assert set(kept.words) == {"aa", "cc"}  # ties by spelling
 
 
+def test_language_kept_words_have_every_count(spark):
+    docs = spark.createDataFrame([("aa aa aa bb bb", "x"), ("bb", "y")], "text string, lang string")
+    m = language_id.train(docs, words=1, grams=1, longest=1)
+    assert set(m.words) == {"aa", "bb"}  # "bb" is kept by y, below the cut of x
+    assert m.table[m.words["bb"]].tolist() == pytest.approx([np.log(2.5 / (5 + 2 + 1)), np.log(1.5 / (1 + 1 + 1))])
+
+
 def test_language_edges(nasty_docs, no_docs, nasty_rows):
     m = language_id.train(nasty_docs.where("source = 'a' or source is null"))
     got = language_id.identify(nasty_docs, m).collect()
