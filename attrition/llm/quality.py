@@ -6,7 +6,7 @@ vector w over ``2**bits`` slots is shared by all grades. With score s = w.x and
 thresholds t1 < t2 < ..., P(grade >= k) = sigmoid(s - tk). That gives the expected grade and
 the tail probability used for selection.
 
-The fit takes at most ``most`` labelled rows (those with the smallest hash of their id, all of
+The fit takes at most ``most`` labelled rows with a document (those with the smallest hash of their id, all of
 them if there are fewer; a documented bound, and the only one): their slots go to the driver,
 where full-batch gradient steps with momentum and a ridge penalty run in numpy. Scoring covers
 every whole text.
@@ -111,6 +111,7 @@ def train(docs: DataFrame, rated: DataFrame, top: int, most: int = 8_000, bits:
 
     ship_package(docs.sparkSession)
     chosen = (rated.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).select(F.col(id_col).cast("long").alias("rated_id"), F.col("grade").cast("int").alias("grade"))
+              .join(docs.select(F.col(id_col).cast("long").alias("doc_id")), F.col("rated_id") == F.col("doc_id"), "left_semi")
               .orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(most))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(chosen), F.col("doc_id") == F.col("rated_id")).select("grade", "text")  # at most ``most`` pairs of numbers

@@ -63,6 +63,13 @@ def test_quality_rejects_toxic_and_keeps_clean(spark):
     assert model.thresholds[0] < model.thresholds[1]
 
 
+def test_quality_labels_without_documents_use_up_nothing(spark):
+    docs = spark.createDataFrame([(i, "bad words" if i % 2 else "good words") for i in range(20)], "doc_id long, text string")
+    rated = spark.range(5_000).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("grade"))
+    out = quality.score(docs, quality.train(docs, rated, top=1, most=20), select=1).select("row.doc_id", "kept").collect()
+    assert len(out) == 20 and all(r.kept == (r.doc_id % 2 == 0) for r in out)
+
+
 def test_quality_gradient():
     """A fit of a small table reaches a stationary point of the penalised likelihood (finite differences)."""
     rng = np.random.default_rng(2)
