@@ -3,9 +3,9 @@
 Validation and scoring are narrow transformations (no shuffle); the model
 and the scaler travel to tasks as part of the plan. Two batch modes:
 
-* ``strict`` — any bad row fails the batch with a report (the reference
-  refuses the whole request); checks run in the reference's order:
-  schema, tenure, charges, binary features;
+* ``strict`` — any bad row fails the batch with a report, and so does an
+  empty input (for requests with typed values, see ``sources.requests``);
+  checks run in this order: schema, tenure, charges, binary features;
 * ``quarantine`` — good rows are scored, bad rows go to a reject table with
   their reasons.
 
@@ -28,9 +28,6 @@ from attrition.config import (COMMENT_NEGATIVE, COMMENT_POSITIVE, CONTINUOUS_FEA
 from attrition.operators.rank import row_ids
 from attrition.operators.scale import apply_range_scaler
 
-RULES = ["tenure", "MonthlyCharges", "binary"]
-
-
 class ValidationError(ValueError):
     def __init__(self, message: str, report=None):
         super().__init__(message)
@@ -84,77 +81,89 @@ def resolve_id(df: DataFrame, aliases=tuple(ID_ALIASES), out: str = "id_client",
 _NUMERIC_DTYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
+def _is_number(t: str) -> bool:
+    return t in _NUMERIC_DTYPES or t.startswith("decimal")
+
+
 def _num(c: str, types: dict | None = None) -> Column:
-    """Column as double: a plain cast for numeric inputs; text is parsed with
-    ``try_cast`` (unparsable → null); other types go through their text."""
+    """Column as double: a plain cast for numeric inputs, 1 and 0 for true and false;
+    text is parsed with ``try_cast`` (unparsable → null); other types go through their text."""
     t = (types or {}).get(c, "string")
-    if t in _NUMERIC_DTYPES or t.startswith("decimal"):
+    if _is_number(t):
         return F.col(c).cast("double")
+    if t == "boolean":
+        return F.col(c).cast("int").cast("double")
     if t == "string":
         return F.col(c).try_cast("double")
     return F.col(c).cast("string").try_cast("double")
 
 
-def _not_numeric(c: str, types: dict | None = None) -> Column:
+def _not_numeric(c: str, types: dict | None = None, text: str = "refuse") -> Column:
+    """``text="refuse"``: only numbers are numbers, as in the scoring request; ``"parse"``: so is text that reads as one."""
+    if text == "refuse":
+        return F.lit(False) if _is_number((types or {}).get(c, "string")) else F.col(c).isNotNull()
     return F.col(c).isNotNull() & _num(c, types).isNull()
 
 
-def tenure_bad(c: str = "tenure", types: dict | None = None) -> Column:
-    return _not_numeric(c, types) | (_num(c, types) < 0)
+def tenure_bad(c: str = "tenure", types: dict | None = None, text: str = "refuse") -> Column:
+    return _not_numeric(c, types, text) | (_num(c, types) < 0)
 
 
-def charges_bad(c: str = "MonthlyCharges", types: dict | None = None) -> Column:
-    return _not_numeric(c, types) | (_num(c, types) <= 0)
+def charges_bad(c: str = "MonthlyCharges", types: dict | None = None, text: str = "refuse") -> Column:
+    return _not_numeric(c, types, text) | (_num(c, types) <= 0)
 
 
-def binary_bad(c: str, types: dict | None = None) -> Column:
+def binary_bad(c: str, types: dict | None = None, text: str = "refuse") -> Column:
+    """Null, or not 0 or 1; of texts only "0" and "1" count, unless they are parsed."""
+    if text == "refuse" and (types or {}).get(c, "string") == "string":
+        return ~F.coalesce(F.col(c).isin("0", "1"), F.lit(False))
     return F.col(c).isNull() | ~F.coalesce(_num(c, types).isin(0.0, 1.0), F.lit(False))
 
 
-def validate_tenure(df: DataFrame, col: str = "tenure", out: str = "tenure_invalid") -> DataFrame:
-    """``df`` + boolean: not numeric or < 0 (null allowed)."""
-    return df.withColumn(out, F.coalesce(tenure_bad(col, dict(df.dtypes)), F.lit(False)))
+def validate_tenure(df: DataFrame, col: str = "tenure", out: str = "tenure_invalid", text: str = "refuse") -> DataFrame:
+    """``df`` + boolean: not a number or < 0 (null allowed)."""
+    return df.withColumn(out, F.coalesce(tenure_bad(col, dict(df.dtypes), text), F.lit(False)))
 
 
-def validate_charges(df: DataFrame, col: str = "MonthlyCharges", out: str = "charges_invalid") -> DataFrame:
-    """``df`` + boolean: not numeric or ≤ 0 (null allowed)."""
-    return df.withColumn(out, F.coalesce(charges_bad(col, dict(df.dtypes)), F.lit(False)))
+def validate_charges(df: DataFrame, col: str = "MonthlyCharges", out: str = "charges_invalid", text: str = "refuse") -> DataFrame:
+    """``df`` + boolean: not a number or ≤ 0 (null allowed)."""
+    return df.withColumn(out, F.coalesce(charges_bad(col, dict(df.dtypes), text), F.lit(False)))
 
 
-def validate_binary(df: DataFrame, cols, out: str = "invalid_columns") -> DataFrame:
+def validate_binary(df: DataFrame, cols, out: str = "invalid_columns", text: str = "refuse") -> DataFrame:
     """``df`` + array of the binary columns that are null or not 0/1."""
     types = dict(df.dtypes)
-    arr = F.array_compact(F.array(*[F.when(binary_bad(c, types), F.lit(c)) for c in cols]))
+    arr = F.array_compact(F.array(*[F.when(binary_bad(c, types, text), F.lit(c)) for c in cols]))
     return df.withColumn(out, arr)
 
 
-def reasons(df: DataFrame, features, null_policy: str = "scaled_zero") -> Column:
+def reasons(df: DataFrame, features, null_policy: str = "scaled_zero", text: str = "refuse") -> Column:
     """Array of reasons for one row, rules in the reference's order."""
     cont = [c for c in CONTINUOUS_FEATURES if c in features]
     binary = [f for f in features if f not in cont]
     types = dict(df.dtypes)
     parts = []
     if "tenure" in cont:
-        parts.append(F.when(tenure_bad("tenure", types), F.lit("tenure")))
+        parts.append(F.when(tenure_bad("tenure", types, text), F.lit("tenure")))
     if "MonthlyCharges" in cont:
-        parts.append(F.when(charges_bad("MonthlyCharges", types), F.lit("MonthlyCharges")))
+        parts.append(F.when(charges_bad("MonthlyCharges", types, text), F.lit("MonthlyCharges")))
     if null_policy == "reject":
         parts += [F.when(F.col(c).isNull(), F.lit(f"{c}:null")) for c in cont]
-    parts += [F.when(binary_bad(c, types), F.lit(f"binary:{c}")) for c in binary]
+    parts += [F.when(binary_bad(c, types, text), F.lit(f"binary:{c}")) for c in binary]
     return F.array_compact(F.array(*parts))
 
 
-def validation_report(df: DataFrame, features=tuple(FEATURES)) -> DataFrame:
+def validation_report(df: DataFrame, features=tuple(FEATURES), text: str = "refuse") -> DataFrame:
     """rule, column, n_bad — one aggregation of count_ifs, unpivoted."""
     cont = [c for c in CONTINUOUS_FEATURES if c in features]
     binary = [f for f in features if f not in cont]
     types = dict(df.dtypes)
     checks = []
     if "tenure" in cont:
-        checks.append(("tenure", "tenure", tenure_bad("tenure", types)))
+        checks.append(("tenure", "tenure", tenure_bad("tenure", types, text)))
     if "MonthlyCharges" in cont:
-        checks.append(("MonthlyCharges", "MonthlyCharges", charges_bad("MonthlyCharges", types)))
-    checks += [("binary", c, binary_bad(c, types)) for c in binary]
+        checks.append(("MonthlyCharges", "MonthlyCharges", charges_bad("MonthlyCharges", types, text)))
+    checks += [("binary", c, binary_bad(c, types, text)) for c in binary]
     wide = df.agg(*[F.count_if(F.coalesce(e, F.lit(False))).alias(f"c{i}") for i, (_, _, e) in enumerate(checks)])
     stack = ", ".join(f"'{r}', '{c}', c{i}" for i, (r, c, _) in enumerate(checks))
     return wide.selectExpr(f"stack({len(checks)}, {stack}) AS (rule, column, n_bad)") \
@@ -178,48 +187,54 @@ def _model_inputs(df: DataFrame, art: Artifacts, null_policy: str) -> DataFrame:
     return scaled.select("*", *[F.coalesce(F.col(f"_s_{f}"), F.lit(0.0)).alias(f"_m_{f}") for f in feats])
 
 
-def _predict(x: DataFrame, art: Artifacts) -> DataFrame:
-    """id_client + model columns; ``_p`` = probability of the positive class."""
-    inp = x.select("id_client", *[F.col(f"_m_{f}").alias(f) for f in art.features])
+def _predict(x: DataFrame, art: Artifacts, keep=()) -> DataFrame:
+    """id_client + ``keep`` + model columns; ``_p`` = probability of the positive class."""
+    inp = x.select("id_client", *keep, *[F.col(f"_m_{f}").alias(f) for f in art.features])
     return art.model.transform(inp).withColumn("_p", vector_to_array("probability")[1])
 
 
+def score_rows(good: DataFrame, art: Artifacts, null_policy: str = "scaled_zero", keep=()) -> DataFrame:
+    """``keep`` + id_client, churn_proba (4 decimals), churn_class (unrounded probability ≥ threshold), decision,
+    version_model of rows that passed the checks."""
+    p = _predict(_model_inputs(good, art, null_policy), art, keep)
+    cls = F.when(F.col("_p") >= F.lit(float(art.threshold)), 1).otherwise(0)
+    return p.select(
+        *keep, "id_client", F.round("_p", 4).alias("churn_proba"), cls.alias("churn_class"),
+        F.when(cls == 1, F.lit(DECISION_POSITIVE)).otherwise(F.lit(DECISION_NEGATIVE)).alias("decision"),
+        F.lit(art.version).alias("version_model"))
+
+
 def score_batch(df: DataFrame, art: Artifacts, mode: str = "strict", null_policy: str = "scaled_zero",
-                id_order: str | None = None):
+                id_order: str | None = None, text: str = "refuse"):
     """(scored, rejected).
 
-    scored: id_client, churn_proba (4 decimals), churn_class (unrounded
-    probability ≥ threshold), decision, version_model.
+    scored: the columns of ``score_rows``.
     rejected: id_client, reasons (quarantine mode; empty in strict mode).
+    ``text="parse"`` lets text that reads as a number pass for one.
     """
     missing = [f for f in art.features if f not in df.columns]
     if missing:
         raise ValidationError(f"missing feature columns: {missing}",
                               validate_schema(df, art.features))
-    if df.isEmpty():
-        raise ValidationError("empty input")
     with_id = resolve_id(df, order_by=id_order)
-    checked = with_id.withColumn("_reasons", reasons(with_id, art.features, null_policy))
+    checked = with_id.withColumn("_reasons", reasons(with_id, art.features, null_policy, text))
     if mode == "strict":
-        rep = validation_report(df, art.features)
-        bad = rep.filter(F.col("n_bad") > 0).orderBy(
-            F.when(F.col("rule") == "tenure", 0).when(F.col("rule") == "MonthlyCharges", 1).otherwise(2)).first()
+        broken = {k: F.array_contains("_reasons", k) for k in CONTINUOUS_FEATURES}
+        broken |= {"null": F.exists("_reasons", lambda r: r.endswith(":null")), "binary": F.exists("_reasons", lambda r: r.startswith("binary:"))}
+        first = checked.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in broken.items()]).first()  # emptiness and every rule
+        if first["n"] == 0:
+            raise ValidationError("empty input")
+        bad = next((k for k in broken if first[k]), None)
         if bad is not None:
-            raise ValidationError(f"validation failed: rule {bad['rule']} ({bad['column']})", rep)
+            raise ValidationError(f"validation failed: rule {bad}", validation_report(df, art.features, text))
         good = checked
         rejected = df.sparkSession.createDataFrame([], "id_client string, reasons array<string>")
     elif mode == "quarantine":
-        good = checked.filter(F.size("_reasons") == 0)
+        good = checked.filter(F.size("_reasons") == 0)  # of an empty input, nothing: looking first would run it twice
         rejected = checked.filter(F.size("_reasons") > 0).select("id_client", F.col("_reasons").alias("reasons"))
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    p = _predict(_model_inputs(good, art, null_policy), art)
-    cls = F.when(F.col("_p") >= F.lit(float(art.threshold)), 1).otherwise(0)
-    scored = p.select(
-        "id_client", F.round("_p", 4).alias("churn_proba"), cls.alias("churn_class"),
-        F.when(cls == 1, F.lit(DECISION_POSITIVE)).otherwise(F.lit(DECISION_NEGATIVE)).alias("decision"),
-        F.lit(art.version).alias("version_model"))
-    return scored, rejected
+    return score_rows(good, art, null_policy), rejected
 
 
 def score_upload(df: DataFrame, art: Artifacts, id_order: str | None = None) -> DataFrame:
