@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrition.operators.model import Forest, tree_table
+from attrition.operators.model import Forest, forest_of
 from attrition.session import checkpoint_root, ship_package
 
 
@@ -81,7 +81,7 @@ def shap_kernel(X: np.ndarray, paths: list, d: int):
 def shap_wide(df: DataFrame, model, features, id_col: str) -> DataFrame:
     """id, base, margin, values array, shap array (feature order)."""
     ship_package(df.sparkSession)
-    forest = Forest.from_table(tree_table(model, df.sparkSession))
+    forest = model if isinstance(model, Forest) else forest_of(model, df.sparkSession)
     paths = leaf_paths(forest)
     feats = list(features)
     d = len(feats)

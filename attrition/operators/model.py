@@ -12,11 +12,15 @@ may be collected and broadcast to tasks (staged scores, SHAP).
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrition.operators.rank import prefix_sums
-from attrition.session import scratch_path, ship_package
+from attrition.session import drop_scratch, scratch_path, ship_package
 
 DEFAULT_PARAMS = {"max_depth": 3, "eta": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "rounds": 20}
 
@@ -94,63 +98,96 @@ def tune_gbt_cv(df: DataFrame, features, target: str, grid: dict, fold_col: str
 
 
 GRID_NAMES = ["max_depth", "eta", "subsample", "colsample_bytree"]
+RESULTS = "round int, auc double, point string, fold int"
 
 
-def tune_gbt(df: DataFrame, features, target: str, grid: dict, id_col: str, fold_col: str = "fold",
-             weight: str | None = None, max_rounds: int = 100, patience: int = 20,
-             seed: int = 123, parallelism: int = 2) -> DataFrame:
-    """Grid search with per-round k-fold CV, as the reference's search loop:
-    for every grid point and fold, ONE fit at ``max_rounds`` gives the margin
-    after every round (``staged_scores`` on the held-out fold); AUC per
-    (fold, round) comes from the two-phase prefix sum, is averaged over
-    folds, and the best round is the first argmax before ``patience`` rounds
-    without gain. Across the grid the strictly greater mean AUC wins.
-
-    Returns max_depth, eta, subsample, colsample_bytree, best_round,
-    mean_auc, is_best. The loop runs over the (bounded) grid × folds; each
-    fit is a distributed MLlib job, and up to ``parallelism`` fold fits are
-    submitted concurrently (as ``CrossValidator(parallelism=...)`` does).
-    """
-    from concurrent.futures import ThreadPoolExecutor
+def grid_points(grid: dict) -> list:
+    """[(name, params)] in grid order; the name is the key of a point's results."""
+    points = [dict(zip(GRID_NAMES, values, strict=True)) for values in itertools.product(*[grid[n] for n in GRID_NAMES])]
+    return [("-".join(f"{n}={p[n]:g}" for n in GRID_NAMES), p) for p in points]
 
-    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())  # k values
-    points = list(itertools.product(*[grid[n] for n in GRID_NAMES]))
-    rows = []
-    for md, eta, ss, cs in points:
-        params = {"max_depth": md, "eta": eta, "subsample": ss, "colsample_bytree": cs, "rounds": max_rounds}
 
-        def fold_scores(f, params=params):
-            model = train_gbt(df.filter(F.col(fold_col) != f), features, target, params, weight, seed)
-            return staged_scores(df.filter(F.col(fold_col) == f), model, features, id_col,
-                                 keep=[target, fold_col])
+def search_path(df: DataFrame, root: str, features, target: str, fold_col: str, weight: str | None, max_rounds: int, seed: int) -> str:
+    """Folder of the search's results: one for each state of the rows and each setting that a result depends on, so
+    that a search never takes up results of another one."""
+    digest = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*features, target, fold_col, *([weight] if weight else [])).cast("decimal(38,0)"))).first()
+    key = repr((list(features), target, fold_col, weight, max_rounds, seed, tuple(digest)))
+    return f"{root.rstrip('/')}/search-{hashlib.md5(key.encode()).hexdigest()}"
+
+
+def search_results(spark: SparkSession, path: str) -> DataFrame:
+    """round, auc, point, fold of every (point, fold) that is done. A result is one file, which its job's commit puts
+    in place, so a search that was ended leaves whole results only."""
+    try:
+        return spark.read.schema(RESULTS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RESULTS)
+
 
+def search_gbt(df: DataFrame, features, target: str, grid: dict, fold_col: str = "fold", weight: str | None = None,
+               max_rounds: int = 100, seed: int = 123, parallelism: int = 4, root: str | None = None) -> str:
+    """Fits every grid point without every fold and stores the held-out AUC after each round under ``root`` (a
+    shared folder; a fresh one if none is given). What is stored there already is not fitted again: a search that was
+    ended goes on where it stood. Returns the folder of the results.
+
+    One fit at ``max_rounds`` gives all rounds of a (point, fold); up to ``parallelism`` fits, of any points and
+    folds, are submitted at a time.
+    """
+    spark = df.sparkSession
+    rows = df.select(*features, target, fold_col, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        path = search_path(rows, root or scratch_path(spark, "search"), features, target, fold_col, weight, max_rounds, seed)
+        folds = sorted(r[0] for r in rows.select(fold_col).distinct().collect() if r[0] is not None)  # k values
+        done = {tuple(r) for r in search_results(spark, path).select("point", "fold").distinct().collect()}  # at most grid x folds
+
+        def fit(task):
+            name, params, f = task
+            model = train_gbt(rows.where(F.col(fold_col) != f), features, target, params | {"rounds": max_rounds}, weight, seed)
+            held = margin_counts(rows.where(F.col(fold_col) == f), model, features, target)
+            round_aucs(held, []).coalesce(1).write.mode("overwrite").parquet(f"{path}/point={name}/fold={f}")
+
+        todo = [(name, params, f) for name, params in grid_points(grid) for f in folds if (name, f) not in done]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            parts = list(pool.map(fold_scores, folds))
-        staged = parts[0]
-        for st in parts[1:]:
-            staged = staged.unionByName(st)
-        best = select_rounds(staged, target, fold=fold_col, patience=patience, digits=None).filter("best").first()
-        rows.append((int(md), float(eta), float(ss), float(cs), int(best["round"]), float(best["mean_auc"])))
-    win = 0
-    for i, r in enumerate(rows):
-        if r[5] > rows[win][5]:
-            win = i
-    out = [r + (i == win,) for i, r in enumerate(rows)]
-    return df.sparkSession.createDataFrame(
-        out, "max_depth int, eta double, subsample double, colsample_bytree double, best_round int, "
-             "mean_auc double, is_best boolean")
+            list(pool.map(fit, todo))
+    finally:
+        rows.unpersist()
+    return path
+
+
+def best_rounds(results: DataFrame, grid: dict, patience: int = 20) -> DataFrame:
+    """max_depth, eta, subsample, colsample_bytree, best_round, mean_auc, is_best: per point the AUC of each round
+    averaged over the folds, its first greatest before ``patience`` rounds without gain; the strictly greatest point
+    wins, of equal ones the first in grid order. At most grid x rounds rows are ordered."""
+    points = grid_points(grid)
+    order = results.sparkSession.createDataFrame([(name, i, int(p["max_depth"]), *(float(p[n]) for n in GRID_NAMES[1:])) for i, (name, p) in enumerate(points)],
+                                                 "point string, place int, max_depth int, eta double, subsample double, colsample_bytree double")
+    means = results.groupBy("point", "round").agg(F.avg("auc").alias("mean_auc"))
+    best = _stopped(means, ["point"], patience).groupBy("point").agg(F.max(F.struct("mean_auc", (-F.col("round")).alias("r"))).alias("b"))
+    found = order.join(best, "point").select("place", *GRID_NAMES, (-F.col("b.r")).alias("best_round"), F.col("b.mean_auc").alias("mean_auc"))
+    first = Window.orderBy(F.col("mean_auc").desc(), "place")  # one row a grid point
+    return found.withColumn("is_best", F.row_number().over(first) == 1).orderBy("place").drop("place")
+
+
+def tune_gbt(df: DataFrame, features, target: str, grid: dict, fold_col: str = "fold", weight: str | None = None,
+             max_rounds: int = 100, patience: int = 20, seed: int = 123, parallelism: int = 4, root: str | None = None) -> DataFrame:
+    """Grid search with k-fold validation after every round: ``search_gbt``, then ``best_rounds`` of its results.
+    With a ``root`` the search can be taken up again and shared by sessions."""
+    path = search_gbt(df, features, target, grid, fold_col, weight, max_rounds, seed, parallelism, root)
+    return best_rounds(search_results(df.sparkSession, path), grid, patience)
 
 
 # ----------------------------------------------------------------------------- node table
 
-def tree_table(model, spark: SparkSession | None = None) -> DataFrame:
+def tree_table(model, spark: SparkSession | None = None, path: str | None = None) -> DataFrame:
     """tree, weight, node, prediction, raw_count, gain, left, right, feature,
     threshold — read from the model's saved data (a Spark job over a table
     bounded by rounds × nodes)."""
     gbt = gbt_stage(model)
     # the active session is thread-local: callers in worker threads pass theirs
     spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    path = scratch_path(spark, "gbt-model")
+    path = path or scratch_path(spark, "gbt-model")
     gbt.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
     weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(gbt.treeWeights)],
@@ -164,6 +201,16 @@ def tree_table(model, spark: SparkSession | None = None) -> DataFrame:
     return nodes.join(F.broadcast(weights), "tree")
 
 
+def forest_of(model, spark: SparkSession | None = None) -> "Forest":
+    """The model's trees as arrays; the saved copy that they are read from is deleted again."""
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    path = scratch_path(spark, "gbt-model")
+    try:
+        return Forest.from_table(tree_table(model, spark, path))
+    finally:
+        drop_scratch(spark, path)
+
+
 @dataclass
 class Forest:
     """Numpy arrays of all trees (bounded: rounds × 2^(depth+1) nodes)."""
@@ -219,7 +266,7 @@ def staged_scores(df: DataFrame, model, features, id_col: str, keep=()) -> DataF
     vectorised per batch.
     """
     ship_package(df.sparkSession)
-    forest = Forest.from_table(tree_table(model, df.sparkSession))
+    forest = model if isinstance(model, Forest) else forest_of(model, df.sparkSession)
     feats, keep = list(features), list(keep)
     base = df.select(F.col(id_col).cast("string").alias("id"), *keep,
                      *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
@@ -242,35 +289,121 @@ def staged_scores(df: DataFrame, model, features, id_col: str, keep=()) -> DataF
     return base.mapInPandas(run, schema)
 
 
-def select_rounds(staged: DataFrame, label: str, fold: str | None = None, patience: int = 20,
-                  digits: int | None = 6) -> DataFrame:
-    """round, mean_auc, best: AUC per (fold, round) from mid-ranks (two-phase
-    prefix sum keyed by fold and round), averaged over folds; the best round
-    is the first argmax, scanning stops after ``patience`` rounds without gain.
-    ``digits=None`` leaves the means unrounded (for comparisons)."""
-    keys = ([fold] if fold else []) + ["round"]
-    d = staged.filter(F.col("margin").isNotNull()).groupBy(*keys, F.col("margin").alias("s")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_pos"))
-    p = prefix_sums(d, keys, "s", ["n"])
+COUNTED = 1_000_000  # distinct margins that a task holds before it hands them on
+
+
+class MarginCounts:
+    """(fold, round, margin) -> rows and positives of the rows met so far, as sorted runs of distinct margins."""
+
+    def __init__(self):
+        self.runs, self.held = {}, 0
+
+    def add(self, fold, margins: np.ndarray, positive: np.ndarray) -> None:
+        """One row a customer, one column a round."""
+        for r in range(margins.shape[1]):
+            values, at = np.unique(margins[:, r], return_inverse=True)
+            run = values, np.bincount(at, minlength=len(values)), np.bincount(at, weights=positive, minlength=len(values)).astype(np.int64)
+            if (fold, r) in self.runs:
+                run = self.merged(self.runs[fold, r], run)
+                self.held -= len(self.runs[fold, r][0])
+            self.runs[fold, r] = run
+            self.held += len(run[0])
+
+    @staticmethod
+    def merged(one: tuple, other: tuple) -> tuple:
+        values, at = np.unique(np.concatenate([one[0], other[0]]), return_inverse=True)
+        n, n_pos = (np.zeros(len(values), dtype=np.int64) for _ in range(2))
+        for total, k in ((n, 1), (n_pos, 2)):
+            np.add.at(total, at, np.concatenate([one[k], other[k]]))
+        return values, n, n_pos
+
+    def take(self):
+        """All runs, which are then forgotten."""
+        for (fold, r), (values, n, n_pos) in self.runs.items():
+            yield fold, r + 1, values, n, n_pos
+        self.runs, self.held = {}, 0
+
+
+def margin_counts(df: DataFrame, model, features, label: str, fold: str | None = None) -> DataFrame:
+    """[fold], round, margin, n, n_pos: distinct margins after each round and their rows and positives.
+
+    ``model`` is one model (or ``Forest``), or with ``fold`` a mapping from fold to the one that did not see it. Rows
+    are counted in the tasks, batch by batch, so what is shuffled grows with the distinct margins, of which there are
+    at most as many as combinations of leaves, and never with rows x rounds. Rows without a label count as negative.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    forests = {k: m if isinstance(m, Forest) else forest_of(m, spark) for k, m in (model.items() if fold else [(None, model)])}
+    base = df.select(*([F.col(fold).cast("int").alias("fold")] if fold else []), F.coalesce((F.col(label) == 1).cast("int"), F.lit(0)).alias("pos"),
+                     *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)])
+    first = 2 if fold else 1
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = MarginCounts()
+
+        def rows():
+            for f, r, values, n, n_pos in counts.take():
+                columns = [pa.array(np.full(len(values), f, dtype=np.int32))] if fold else []
+                columns += [pa.array(np.full(len(values), r, dtype=np.int32)), pa.array(values), pa.array(n.astype(np.int64)), pa.array(n_pos)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(["fold"] if fold else []), "round", "margin", "n", "n_pos"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[first:]])
+            positive = b.column(first - 1).to_numpy(zero_copy_only=False)
+            which = b.column(0).to_numpy(zero_copy_only=False) if fold else None
+            for f, forest in forests.items():
+                mine = which == f if fold else slice(None)
+                if len(x[mine]):
+                    counts.add(f, forest.staged_margins(x[mine]), positive[mine])
+            if counts.held >= COUNTED:
+                yield from rows()
+        yield from rows()
+
+    found = base.mapInArrow(run, ("fold int, " if fold else "") + "round int, margin double, n long, n_pos long")
+    return found.groupBy(*(["fold"] if fold else []), "round", "margin").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
+
+
+def round_aucs(counts: DataFrame, keys) -> DataFrame:
+    """keys, round, auc of ``margin_counts``: exact, from mid-ranks of the distinct margins."""
+    keys = [*keys, "round"]
+    p = prefix_sums(counts, keys, "margin", ["n"])
     mr = F.col("cum_n") + (F.col("n") + 1) / 2.0
     g = p.groupBy(*keys).agg(F.sum(F.col("n_pos") * mr).alias("r1"), F.sum("n_pos").alias("n1"),
                              (F.sum("n") - F.sum("n_pos")).alias("n0"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")  # products leave bigint
-    g = g.select(*keys, F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2.0, n1 * n0).alias("auc"))
-    per_round = g.groupBy("round").agg(F.avg("auc").alias("mean_auc"))
-    # rounds are few (≤ max rounds): running best over one small window is bounded
-    w = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
-    r = per_round.select("round", "mean_auc", F.max("mean_auc").over(w).alias("prev_best"))
-    r = r.withColumn("improved", F.col("prev_best").isNull() | (F.col("mean_auc") > F.col("prev_best")))
-    r = r.withColumn("last_gain", F.max(F.when(F.col("improved"), F.col("round"))).over(
-        Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumn("stopped", F.col("round") - F.col("last_gain") > patience)
-    live = r.filter(~F.col("stopped"))
-    best = live.orderBy(F.col("mean_auc").desc(), F.col("round").asc()).select("round").limit(1) \
-        .withColumnRenamed("round", "best_round")
-    return live.join(F.broadcast(best), F.col("round") == F.col("best_round"), "left").select(
-        "round", (F.round("mean_auc", digits) if digits is not None else F.col("mean_auc")).alias("mean_auc"),
-        F.col("best_round").isNotNull().alias("best"))
+    return g.select(*keys, F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2.0, n1 * n0).alias("auc"))
+
+
+def _stopped(means: DataFrame, keys, patience: int) -> DataFrame:
+    """The rounds of ``means`` (keys, round, mean_auc) up to ``patience`` without gain. A window holds one key's rounds."""
+    w = (Window.partitionBy(*keys) if keys else Window).orderBy("round")
+    r = means.withColumn("_before", F.max("mean_auc").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    r = r.withColumn("_gain", F.when(F.col("_before").isNull() | (F.col("mean_auc") > F.col("_before")), F.col("round")))
+    r = r.withColumn("_last", F.max("_gain").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return r.where(F.col("round") - F.col("_last") <= patience).drop("_before", "_gain", "_last")
+
+
+def choose_rounds(counts: DataFrame, fold: str | None = None, patience: int = 20, digits: int | None = 6) -> DataFrame:
+    """round, mean_auc, best of ``margin_counts``: AUC per (fold, round), averaged over folds; the best round is the
+    first argmax, scanning stops after ``patience`` rounds without gain. ``digits=None`` leaves the means unrounded."""
+    means = round_aucs(counts, [fold] if fold else []).groupBy("round").agg(F.avg("auc").alias("mean_auc"))
+    live = _stopped(means, [], patience)  # at most as many rows as rounds
+    first = Window.orderBy(F.col("mean_auc").desc_nulls_last(), "round")
+    return live.select("round", (F.round("mean_auc", digits) if digits is not None else F.col("mean_auc")).alias("mean_auc"),
+                       (F.row_number().over(first) == 1).alias("best"))
+
+
+def select_rounds(staged: DataFrame, label: str, fold: str | None = None, patience: int = 20,
+                  digits: int | None = 6) -> DataFrame:
+    """``choose_rounds`` of rows of ``staged_scores`` that are at hand; from a model ``margin_counts`` needs less."""
+    keys = ([fold] if fold else []) + ["round"]
+    counts = staged.filter(F.col("margin").isNotNull()).groupBy(*keys, "margin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_pos"))
+    return choose_rounds(counts, fold, patience, digits)
 
 
 def feature_importance(model, features, top: int | None = None) -> DataFrame:

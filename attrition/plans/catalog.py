@@ -13,8 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attrition.config import (CONTINUOUS_FEATURES, FEATURES, SAMPLE_SEED, SAMPLE_SIZE,
-                              SCORECARD_INDICATORS, SERVICE_COLS, SPLIT_SEED)
+from attrition.config import (CONTINUOUS_FEATURES, CV_FOLDS, DECISION_POSITIVE, EARLY_STOP_ROUNDS, FEATURES, MAX_ROUNDS,
+                              SAMPLE_SEED, SAMPLE_SIZE, SCORECARD_INDICATORS, SERVICE_COLS, SPLIT_SEED)
 from attrition.functions.stats import normal_quantile
 from attrition.operators import encode as E
 from attrition.operators import evaluate as EV
@@ -32,6 +32,7 @@ from attrition.plans.oracle_sql import (CATS, EXPLORED, FEATURE_LIST, NUMS, PREP
                                         sql, unpivot)
 from attrition.session import scratch_path
 from attrition.sources import io as IO
+from attrition.sources import requests as RQ
 from attrition.sources.fixture import customers_raw
 
 QUERIES: dict = {}
@@ -748,17 +749,15 @@ def q_train_gbt(spark, sf):
     return s.select("customerID", "Churn", F.round("proba", 6).alias("proba"))
 
 
+SEARCH_GRID = {"max_depth": [3, 4], "eta": [0.1], "subsample": [0.8], "colsample_bytree": [0.8]}
+
+
 @register("tune_gbt")
 def q_tune_gbt(spark, sf):
-    """Per-round CV search on the train split: 2-point grid, 3 hash folds, ≤ 10
-    rounds, patience 5 (the reference's 108 points × 10 folds × 100 rounds is
-    ``config.GRID_FULL`` / ``CV_FOLDS`` / ``MAX_ROUNDS``)."""
-    fit = fitted(spark, sf)
-    train = SP.kfold_assign(fit.train, "customerID", 3, FOLD_SEED)
-    train = M.with_class_weight(train, "Churn", fit.weight)
-    grid = {"max_depth": [3, 4], "eta": [0.1], "subsample": [0.8], "colsample_bytree": [0.8]}
-    return M.tune_gbt(train, FEATURES, "Churn", grid, "customerID", fold_col="fold", weight="w",
-                      max_rounds=10, patience=5, parallelism=3)
+    """The search with all folds, rounds and patience over two of the points of ``config.GRID_FULL`` (README has the
+    time that a point takes); ``training.fit_tuned`` searches the whole grid unless it is given another."""
+    rows = TR.search_rows(prepared(spark, sf), CV_FOLDS)
+    return M.tune_gbt(rows, FEATURES, "Churn", SEARCH_GRID, weight="w", max_rounds=MAX_ROUNDS, patience=EARLY_STOP_ROUNDS, parallelism=8)
 
 
 @register("staged_scores")
@@ -770,8 +769,49 @@ def q_staged_scores(spark, sf):
 @register("select_rounds")
 def q_select_rounds(spark, sf):
     fit = fitted(spark, sf)
-    staged = M.staged_scores(fit.test, fit.artifacts.model, FEATURES, "customerID", keep=["Churn"])
-    return M.select_rounds(staged, "Churn", patience=20)
+    return M.choose_rounds(M.margin_counts(fit.test, fit.artifacts.model, FEATURES, "Churn"), patience=20)
+
+
+# Two trees written out, so that what reads trees has an exact oracle: (tree, weight, node, left, right, feature, threshold, value, rows).
+FIXED_TREES = [
+    (0, 1.0, 0, 1, 2, "tenure", 12.0, 0.0, 96.0), (0, 1.0, 1, 3, 4, "Contract_Month_to_month", 0.5, 0.0, 32.0),
+    (0, 1.0, 2, -1, -1, None, None, -0.5, 64.0), (0, 1.0, 3, -1, -1, None, None, -0.25, 8.0), (0, 1.0, 4, -1, -1, None, None, 0.75, 24.0),
+    (1, 0.5, 0, 1, 2, "MonthlyCharges", 70.0, 0.0, 96.0), (1, 0.5, 1, -1, -1, None, None, -0.125, 48.0),
+    (1, 0.5, 2, 3, 4, "tenure", 40.0, 0.0, 48.0), (1, 0.5, 3, -1, -1, None, None, 0.5, 36.0), (1, 0.5, 4, -1, -1, None, None, -0.375, 12.0)]
+_TREES = """trees AS (SELECT customerID, Churn, CASE WHEN tenure <= 12 THEN CASE WHEN Contract_Month_to_month <= 0.5 THEN -0.25 ELSE 0.75 END ELSE -0.5 END AS t0,
+  0.5 * CASE WHEN MonthlyCharges <= 70 THEN -0.125 WHEN tenure <= 40 THEN 0.5 ELSE -0.375 END AS t1 FROM prepared),
+staged AS (SELECT customerID AS id, Churn, CAST(1 AS INTEGER) AS round, CAST(t0 AS DOUBLE) AS margin FROM trees
+  UNION ALL SELECT customerID, Churn, 2, CAST(t0 + t1 AS DOUBLE) FROM trees)"""
+
+
+def fixed_forest(spark):
+    rows = [(t, w, n, v, c, 0.0, left, right, FEATURES.index(f) if f else -1, x) for t, w, n, left, right, f, x, v, c in FIXED_TREES]
+    return M.Forest.from_table(spark.createDataFrame(rows, "tree int, weight double, node int, prediction double, raw_count double, gain double, "
+                                                           "left int, right int, feature int, threshold double"))
+
+
+@register("staged_scores_trees", sql("SELECT * FROM staged", EXPLORED, PREPARED, _TREES))
+def q_staged_scores_trees(spark, sf):
+    """The margins of all customers after each of two fixed trees."""
+    return M.staged_scores(prepared(spark, sf), fixed_forest(spark), FEATURES, "customerID", keep=["Churn"])
+
+
+@register("margin_counts", sql(f"""SELECT fold, round, margin, count(*) AS n, CAST(sum(Churn) AS BIGINT) AS n_pos
+FROM staged JOIN (SELECT customerID, {fold_expr(7, 3)} AS fold FROM prepared) ON id = customerID GROUP BY fold, round, margin""", EXPLORED, PREPARED, _TREES))
+def q_margin_counts(spark, sf):
+    """Distinct margins by fold and round, counted in the tasks."""
+    df = SP.kfold_assign(prepared(spark, sf), "customerID", 3, FOLD_SEED)
+    return M.margin_counts(df, {f: fixed_forest(spark) for f in range(3)}, FEATURES, "Churn", fold="fold")
+
+
+@register("choose_rounds", sql("""SELECT round, round(auc, 6) AS mean_auc, auc = max(auc) OVER () AND round = min(round) FILTER (WHERE auc = top) OVER () AS best FROM (
+  SELECT *, max(auc) OVER () AS top FROM (
+    SELECT round, (sum(CASE WHEN Churn = 1 THEN r END) - sum(Churn) * (sum(Churn) + 1) / 2.0) / (sum(Churn) * sum(1 - Churn)) AS auc
+    FROM (SELECT *, rank() OVER (PARTITION BY round ORDER BY margin) + (count(*) OVER (PARTITION BY round, margin) - 1) / 2.0 AS r FROM staged) GROUP BY round))""",
+                               EXPLORED, PREPARED, _TREES))
+def q_choose_rounds(spark, sf):
+    """AUC after each of the two trees, and the better round."""
+    return M.choose_rounds(M.margin_counts(prepared(spark, sf), fixed_forest(spark), FEATURES, "Churn"))
 
 
 @register("feature_importance")
@@ -1071,6 +1111,108 @@ def q_score_stream(spark, sf):
     return spark.read.parquet(f"{root}/scored")
 
 
+# ----------------------------------------------------------------------------- §2.8, §2.10 requests
+# Stand-in bodies: seven customers a request, written as JSON with the faults that a request may have.
+
+def request_lines(spark, sf):
+    """(r, body): by the request's number, some without ids, with text tenures, booleans, only null tenures or a
+    missing feature, some a single object, some cut off; beside the bad values of ``dirty_input``."""
+    df = dirty_input(spark, sf)
+    k = F.substring("Customer_ID", 2, 20).cast("long")
+    r = F.floor(k / 7)
+
+    def part(name, value):
+        return F.concat(F.lit(f'"{name}":'), value, F.lit(","))
+
+    def number(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit("null"))
+
+    flag = F.when(F.col("Partner") == 1, F.lit("true")).when(F.col("Partner") == 0, F.lit("false")).otherwise(F.lit("null"))
+    rest = F.to_json(F.struct(*[f for f in FEATURES if f not in ("tenure", "Partner", "Contract_Two_year")], "note"))
+    one = F.concat(
+        F.lit("{"), F.when(r % 11 == 0, F.lit("")).otherwise(part("Customer_ID", F.concat(F.lit('"'), "Customer_ID", F.lit('"')))),
+        part("tenure", F.when(r % 31 == 0, F.lit("null")).when(r % 13 == 0, F.concat(F.lit('"'), F.col("tenure").cast("string"), F.lit('"'))).otherwise(number("tenure"))),
+        part("Partner", F.when(r % 17 == 0, flag).otherwise(number("Partner"))),
+        F.when(r % 29 == 0, F.lit("")).otherwise(part("Contract_Two_year", number("Contract_Two_year"))), F.substring(rest, 2, 100_000))
+    # seven objects a request: a group is bounded
+    g = df.groupBy(r.alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), one.alias("o")))), lambda x: x["o"]).alias("o"))
+    body = F.concat(F.lit("["), F.concat_ws(",", "o"), F.lit("]"))
+    return g.select("r", F.when(F.col("r") % 19 == 0, F.substring(body, 1, 40)).when(F.col("r") % 23 == 0, F.col("o")[0]).otherwise(body).alias("body"))
+
+
+def _requests_sql(body):
+    binary_bad = " OR ".join(_bin_bad(f) for f in _BINARY)
+    named = ", ".join(f"CASE WHEN bool_or({_bin_bad(f)}) THEN '{f}' END" for f in _BINARY)
+    return sql(body, *_DIRTY, f"""rq AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY k) - 1 AS INTEGER) AS pos
+  FROM (SELECT *, CAST(floor(k / 7) AS BIGINT) AS r FROM (SELECT *, CAST(substr(Customer_ID, 2) AS BIGINT) AS k FROM dirty))),
+rows_in AS (SELECT * FROM rq WHERE pos = 0 OR r % 23 <> 0 OR r % 19 = 0),
+verdict AS (
+  SELECT r, CASE WHEN r % 19 = 0 THEN 0 ELSE count(*) END AS n_rows,
+    CASE WHEN r % 19 = 0 THEN 'invalid_json' WHEN r % 29 = 0 THEN 'missing_columns'
+         WHEN r % 31 = 0 OR r % 13 = 0 OR bool_or(tenure < 0) THEN 'tenure' WHEN bool_or(MonthlyCharges <= 0) THEN 'MonthlyCharges'
+         WHEN bool_or({binary_bad}) THEN 'binary' END AS rule,
+    concat_ws(',', {named}) AS bad_binary
+  FROM rows_in GROUP BY r)""")
+
+
+@register("request_verdicts", _requests_sql("""SELECT 'r' || CAST(r AS VARCHAR) AS request, CAST(n_rows AS BIGINT) AS n_rows, rule IS NULL AS accepted, rule,
+  CASE rule WHEN 'missing_columns' THEN 'Contract_Two_year' WHEN 'binary' THEN bad_binary WHEN 'tenure' THEN rule WHEN 'MonthlyCharges' THEN rule ELSE '' END AS columns
+FROM verdict"""))
+def q_request_verdicts(spark, sf):
+    """One verdict a request: typed values, the first rule that fails and the columns at fault."""
+    bodies = request_lines(spark, sf).select(F.concat(F.lit("r"), F.col("r").cast("string")).alias("request"), "body")
+    v = RQ.request_verdicts(RQ.parse_requests(bodies))
+    return v.select("request", "n_rows", "accepted", "rule", F.concat_ws(",", "columns").alias("columns"))
+
+
+_ACCEPTED = _requests_sql("""SELECT 'r' || CAST(r AS VARCHAR) AS request, pos,
+  CASE WHEN r % 11 = 0 THEN 'CLIENT_' || CAST(pos + 1 AS VARCHAR) ELSE Customer_ID END AS id_client, CAST(tenure AS DOUBLE) AS tenure,
+  CAST(MonthlyCharges AS DOUBLE) AS "MonthlyCharges", CAST(Partner AS DOUBLE) AS "Partner"
+FROM rows_in WHERE r IN (SELECT r FROM verdict WHERE rule IS NULL)""")
+
+
+@register("json_requests", _ACCEPTED)
+def q_json_requests(spark, sf):
+    """Typed rows and ids of the accepted requests."""
+    bodies = request_lines(spark, sf).select(F.concat(F.lit("r"), F.col("r").cast("string")).alias("request"), "body")
+    rows = RQ.parse_requests(bodies)
+    return RQ.accepted_rows(rows, RQ.request_verdicts(rows)).select("request", "pos", "id_client", "tenure", "MonthlyCharges", "Partner")
+
+
+_SCORED_REQUESTS = _requests_sql("""SELECT count(*) AS n_rows, count(DISTINCT r) AS n_requests, CAST(sum(pos) AS BIGINT) AS positions, true AS sound,
+  (SELECT count(*) FROM verdict WHERE rule IS NOT NULL) AS n_refused FROM rows_in WHERE r IN (SELECT r FROM verdict WHERE rule IS NULL)""")
+
+
+def _scored_facts(scored, verdicts, art):
+    """Whether the scored rows are those of the accepted requests, with probabilities and classes that go together."""
+    p, cls = F.col("churn_proba"), F.col("churn_class")
+    sound = p.between(0, 1) & F.col("version_model").eqNullSafe(F.lit(art.version)) & ((cls == 1) == (F.col("decision") == DECISION_POSITIVE)) \
+        & ((cls == 1) == (p >= art.threshold) | (F.abs(p - art.threshold) <= 0.00005))
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("request").alias("n_requests"), F.sum(F.col("pos").cast("long")).alias("positions"),
+                      F.bool_and(sound).alias("sound"), F.lit(verdicts.where(~F.col("accepted")).count()).alias("n_refused"))
+
+
+@register("score_requests", _SCORED_REQUESTS)
+def q_score_requests(spark, sf):
+    """Requests scored in a batch: all rows of the accepted ones, none of the others."""
+    bodies = request_lines(spark, sf).select(F.concat(F.lit("r"), F.col("r").cast("string")).alias("request"), "body")
+    art = fitted(spark, sf).artifacts
+    return _scored_facts(*RQ.score_requests(bodies, art), art)
+
+
+@register("score_request_stream", _SCORED_REQUESTS)
+def q_score_request_stream(spark, sf):
+    """The same requests as lines of files, through the stream."""
+    from attrition.streaming.score_stream import score_request_stream
+    root = scratch_path(spark, "requests")
+    request_lines(spark, sf).repartition(4, "r").select(F.col("body").alias("value")).write.text(f"{root}/in")
+    art = fitted(spark, sf).artifacts
+    source = RQ.request_bodies(spark, f"{root}/in", per_line=True, stream=True, max_files=2)
+    score_request_stream(source, art, f"{root}/scored", f"{root}/verdicts", f"{root}/checkpoint").awaitTermination()
+    return _scored_facts(spark.read.parquet(f"{root}/scored"), spark.read.parquet(f"{root}/verdicts"), art)
+
+
 # ----------------------------------------------------------------------------- additions (§2.3, §2.6)
 
 

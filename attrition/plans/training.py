@@ -82,21 +82,27 @@ def class_weight(rows: DataFrame, target: str) -> float:
 
 def fit_tuned(prepared: DataFrame, grid: dict | None = None, folds: int = CV_FOLDS, max_rounds: int = MAX_ROUNDS,
               patience: int = EARLY_STOP_ROUNDS, id_col: str = "customerID", target: str = "Churn",
-              features=tuple(FEATURES), parallelism: int = 4) -> tuple:
+              features=tuple(FEATURES), parallelism: int = 4, root: str | None = None) -> tuple:
     """(Fitted, search table): the per-round k-fold search on the scaled training rows (by default the
     full ``GRID_FULL`` × ``CV_FOLDS`` × ``MAX_ROUNDS``), then ``fit_model`` with the winning point at its
-    best round."""
+    best round. With a ``root`` (a shared folder) a search that was ended is taken up again."""
     feats = list(features)
-    train = SP.split_train_test(prepared, id_col, 0.8, SPLIT_SEED).filter("is_train")
-    scaled = SC.apply_range_scaler(train, SC.scaler_params(SC.fit_range_scaler(train, feats)), feats)
-    rows = M.with_class_weight(SP.kfold_assign(scaled, id_col, folds), target, class_weight(scaled, target))
-    search = M.tune_gbt(rows, feats, target, grid or GRID_FULL, id_col, fold_col="fold", weight="w",
-                        max_rounds=max_rounds, patience=patience, parallelism=parallelism)
+    rows = search_rows(prepared, folds, id_col, target, feats)
+    search = M.tune_gbt(rows, feats, target, grid or GRID_FULL, fold_col="fold", weight="w",
+                        max_rounds=max_rounds, patience=patience, parallelism=parallelism, root=root)
     best = search.filter("is_best").first()  # one row of a table bounded by the grid
     params = {n: best[n] for n in M.GRID_NAMES} | {"rounds": best["best_round"]}
     return fit_model(prepared, params, id_col, target, features=feats), search
 
 
+def search_rows(prepared: DataFrame, folds: int = CV_FOLDS, id_col: str = "customerID", target: str = "Churn",
+                features=tuple(FEATURES)) -> DataFrame:
+    """The scaled training rows with their fold and class weight, as the search reads them."""
+    train = SP.split_train_test(prepared, id_col, 0.8, SPLIT_SEED).filter("is_train")
+    scaled = SC.apply_range_scaler(train, SC.scaler_params(SC.fit_range_scaler(train, list(features))), list(features))
+    return M.with_class_weight(SP.kfold_assign(scaled, id_col, folds), target, class_weight(scaled, target))
+
+
 _CACHE: dict = {}
 
 

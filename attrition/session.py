@@ -73,6 +73,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/attrition-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Deletes a path that ``scratch_path`` gave, when nothing reads it any more."""
+    root = f"{checkpoint_root(spark).rstrip('/')}/attrition-scratch/"
+    if not path.startswith(root):
+        raise ValueError(f"{path} is not scratch data")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 _SHIPPED: set = set()
 _SHIPPING = threading.Lock()  # fold fits run in threads
 

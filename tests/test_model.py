@@ -99,3 +99,90 @@ def test_crossvalidator_tuning_form(spark, trained):
     assert len(out) == 2 and sum(r["is_best"] for r in out) == 1
     best = [r for r in out if r["is_best"]][0]
     assert best["mean_auc"] == max(r["mean_auc"] for r in out)
+
+
+def test_margin_counts_equal_counted_rows(spark, trained):
+    """Counted in the tasks, over many batches and with runs handed on early, the margins are those of the rows."""
+    df, m = trained
+    staged = M.staged_scores(df, m, FEATS, "customerID", keep=["Churn"])
+    want = {(r["round"], r.margin): (r.n, r.n_pos) for r in staged.groupBy("round", "margin").agg(F.count("*").alias("n"), F.sum("Churn").alias("n_pos")).collect()}
+    got = {(r["round"], r.margin): (r.n, r.n_pos) for r in M.margin_counts(df.repartition(3), m, FEATS, "Churn").collect()}
+    assert got == want
+    assert M.choose_rounds(M.margin_counts(df, m, FEATS, "Churn")).orderBy("round").collect() == M.select_rounds(staged, "Churn").orderBy("round").collect()
+    assert M.margin_counts(df.limit(0), m, FEATS, "Churn").count() == 0
+
+
+def test_margin_counts_merge_runs():
+    rng = np.random.default_rng(1)
+    counts, rows = M.MarginCounts(), []
+    for _ in range(20):
+        margins, positive = rng.integers(0, 9, (50, 3)) / 8.0, rng.integers(0, 2, 50)
+        counts.add(1, margins, positive)
+        rows.append((margins, positive))
+    assert counts.held == sum(len(np.unique(np.concatenate([m[:, r] for m, _ in rows]))) for r in range(3))
+    positive = np.concatenate([p for _, p in rows])
+    for fold, r, values, n, n_pos in counts.take():
+        all_margins = np.concatenate([m[:, r - 1] for m, _ in rows])
+        assert fold == 1 and [(v, (all_margins == v).sum(), positive[all_margins == v].sum()) for v in np.unique(all_margins)] == list(zip(values, n, n_pos))
+    assert counts.held == 0 and not list(counts.take())
+
+
+@pytest.fixture(scope="module")
+def folded(trained):
+    from attrition.operators import split as SP
+    return SP.kfold_assign(trained[0], "customerID", 2, 7)
+
+
+GRID = {"max_depth": [2, 3], "eta": [0.1], "subsample": [1.0], "colsample_bytree": [1.0]}
+
+
+def test_search_is_taken_up_where_it_stood(spark, folded, monkeypatch):
+    from attrition.session import scratch_path
+    root = scratch_path(spark, "search-test")
+    fitted, real = [], M.train_gbt
+
+    def counting(df, features, target, params, *rest):
+        fitted.append(params["max_depth"])
+        if len(fitted) == 3:
+            raise RuntimeError("ended")
+        return real(df, features, target, params, *rest)
+
+    monkeypatch.setattr(M, "train_gbt", counting)
+    run = dict(max_rounds=3, patience=2, parallelism=1, root=root)
+    with pytest.raises(RuntimeError):
+        M.tune_gbt(folded, FEATS, "Churn", GRID, **run)
+    monkeypatch.setattr(M, "train_gbt", lambda *a: fitted.append("again") or real(*a))
+    first = M.tune_gbt(folded, FEATS, "Churn", GRID, **run).collect()
+    assert fitted.count("again") == 1  # three of four results were there: the pool finished the point after the failure
+    assert M.tune_gbt(folded, FEATS, "Churn", GRID, **run).collect() == first and fitted.count("again") == 1
+    M.tune_gbt(folded.where("tenure > 1"), FEATS, "Churn", GRID | {"max_depth": [2]}, **run).collect()
+    assert fitted.count("again") == 3  # other rows: nothing is taken over
+    assert len(first) == 2 and sum(r["is_best"] for r in first) == 1
+
+
+def test_search_equals_separate_fits(spark, folded):
+    got = M.tune_gbt(folded, FEATS, "Churn", GRID, max_rounds=3, patience=20, parallelism=4).collect()
+    for row, depth in zip(got, GRID["max_depth"], strict=True):
+        means = np.zeros(3)
+        for f in (0, 1):
+            m = M.train_gbt(folded.where(F.col("fold") != f), FEATS, "Churn", {"max_depth": depth, "eta": 0.1, "subsample": 1.0, "colsample_bytree": 1.0, "rounds": 3})
+            rounds = M.select_rounds(M.staged_scores(folded.where(F.col("fold") == f), m, FEATS, "customerID", keep=["Churn"]), "Churn", digits=None).collect()
+            means += np.array([r["mean_auc"] for r in sorted(rounds, key=lambda r: r["round"])]) / 2
+        assert row["max_depth"] == depth and row["mean_auc"] == pytest.approx(means.max()) and row["best_round"] == means.argmax() + 1
+
+
+def test_patience_and_ties_of_the_search(spark):
+    grid = {"max_depth": [3, 4, 5], "eta": [0.1], "subsample": [1.0], "colsample_bytree": [1.0]}
+    aucs = {3: [0.5, 0.6, 0.6, 0.6, 0.9], 4: [0.5, 0.7, 0.7, 0.6, 0.6], 5: [0.7, 0.5, 0.5, 0.5, 0.5]}
+    rows = [(r + 1, a + d, name, f) for name, p in M.grid_points(grid) for r, a in enumerate(aucs[p["max_depth"]]) for f, d in ((0, -0.1), (1, 0.1))]
+    got = M.best_rounds(spark.createDataFrame(rows, M.RESULTS), grid, patience=2).collect()
+    assert [(r["max_depth"], r["best_round"], round(r["mean_auc"], 6), r["is_best"]) for r in got] == [(3, 2, 0.6, False), (4, 2, 0.7, True), (5, 1, 0.7, False)]
+
+
+def test_no_forest_is_left_behind(spark, trained):
+    import glob
+
+    from attrition.session import checkpoint_root
+    before = set(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/attrition-scratch/gbt-model-*"))
+    M.forest_of(trained[1])
+    assert set(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/attrition-scratch/gbt-model-*")) == before
