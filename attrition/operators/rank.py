@@ -1,17 +1,19 @@
 """Global ranks without a single-task window (§2.6).
 
 A ``Window.orderBy(x)`` with no partition key pulls every row into one task.
-``prefix_sums`` instead:
-
-1. range-partitions the (pre-aggregated) rows by ``(keys, order)`` into P
-   partitions and tags each row with its partition id; the result is
-   checkpointed to the shared checkpoint directory, because range bounds
-   are sampled and partition ids must not change between the passes below
-   (and a lost executor must not recompute different ids);
-2. sums the measures per (partition, key) — at most P + #keys rows — and
-   turns them into per-partition offsets with a window over that tiny table;
-3. adds the broadcast offset (size bounded by P + #keys) to a window that
-   runs *within* each partition.
+``prefix_sums`` instead shuffles the (pre-aggregated) rows once:
+
+1. they are range-partitioned by ``(keys, order)``, sorted inside each
+   partition and tagged with its id; the result is checkpointed to the shared
+   checkpoint directory, because range bounds are sampled and partitions must
+   not change between the passes below (and a lost executor must not recompute
+   others);
+2. a key's rows lie in one run of partitions, so a partition needs nothing from
+   the ones before it but the sums of its own first key: each gives one row
+   (first key, last key, the sums of the last key), and the driver adds up these
+   P rows in order, whatever the number of keys;
+3. a second pass over the checkpoint reads each partition in order, in Arrow
+   batches, and adds running sums from there: no window, no join, no shuffle.
 
 Callers pre-aggregate to one row per distinct value first, so a value held
 by a third of all rows is a single row here.
@@ -19,11 +21,17 @@ by a third of all rows is a single row here.
 
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attrition.session import checkpoint_root
+from attrition.session import checkpoint_root, ship_package
 
 
 def distinct_counts(df: DataFrame, cols, label: str | None = None, positive=1) -> DataFrame:
@@ -46,42 +54,106 @@ def distinct_counts(df: DataFrame, cols, label: str | None = None, positive=1) -
 
 def prefix_sums(d: DataFrame, keys, order: str, measures, partitions: int | None = None,
                 maxes=()) -> DataFrame:
-    """``d`` plus ``cum_<m>``: sum of ``m`` over rows with the same keys and a
+    """``d`` plus ``cum_<m>``: sum of the whole number ``m`` over rows with the same keys and a
     strictly smaller ``order`` value (exclusive prefix). ``order`` must be
     unique within keys (pre-aggregate first). For each column in ``maxes``,
     ``prev_<m>`` is the running max over those earlier rows (for ``m`` =
     ``order`` that is the previous distinct value — a lag without a global
     window)."""
     keys, measures, maxes = list(keys), list(measures), list(maxes)
+    types = {f.name: f.dataType for f in d.schema.fields}
+    bad = [m for m in measures if not isinstance(types[m], T.IntegralType)]
+    if bad:
+        raise TypeError(f"counts are summed, {bad} are not whole numbers")
     spark = d.sparkSession
     checkpoint_root(spark)
+    ship_package(spark)
     # range sampling and the checkpoint write both read ``d``: compute it once
     d_cached = d.persist(StorageLevel.MEMORY_AND_DISK)
     # without an explicit count AQE sizes the range partitions (coalescing merges
     # adjacent ranges, so partition ids still index contiguous, ordered ranges)
     ranged = d_cached.repartitionByRange(partitions, *keys, order) if partitions \
         else d_cached.repartitionByRange(*keys, order)
-    r = ranged.withColumn("_pid", F.spark_partition_id())
+    r = ranged.sortWithinPartitions(*keys, order).withColumn("_pid", F.spark_partition_id())
     r = r.checkpoint(eager=True)
     d_cached.unpersist()
-    tot = r.groupBy("_pid", *keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures],
-                                       *[F.max(m).alias(f"_tm_{m}") for m in maxes])
-    w_off = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *keys,
-                     *[F.coalesce(F.sum(f"_t_{m}").over(w_off), F.lit(0)).alias(f"_o_{m}") for m in measures],
-                     *[F.max(f"_tm_{m}").over(w_off).alias(f"_om_{m}") for m in maxes])
-    # offsets have at most P + #keys rows; the planner compares sizes, and null keys meet null keys
-    off = off.select(*[F.col(c).alias(f"_k_{c}") if c in ("_pid", *keys) else F.col(c) for c in off.columns])
-    same = F.col("_pid") == F.col("_k__pid")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    j = r.join(off if keys else F.broadcast(off), same)
-    w_loc = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return j.select(*d.columns, *[
-        (F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(w_loc), F.lit(0))).alias(f"cum_{m}")
-        for m in measures], *[
-        F.greatest(F.col(f"_om_{m}"), F.max(m).over(w_loc)).alias(f"prev_{m}") for m in maxes])
+
+    def ends(batches):
+        pid, first, state = None, None, Running(keys, measures, maxes)
+        for b in batches:
+            if b.num_rows:
+                if pid is None:
+                    pid, first = b.column("_pid")[0].as_py(), state.key(b, 0)
+                state.add(b)
+        if pid is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([pickle.dumps((first, state.last, state.sums, state.tops))], pa.binary())], names=["pid", "ends"])
+
+    found = r.select("_pid", *dict.fromkeys([*keys, *measures, *maxes])).mapInArrow(ends, "pid int, ends binary").collect()  # one row a partition
+    start, carried = {}, None
+    for pid, row in sorted((x["pid"], x["ends"]) for x in found):
+        first, last, sums, tops = pickle.loads(row)
+        if carried is not None and carried[0] == first:
+            start[pid] = carried
+            if last == first:
+                sums = [x + y for x, y in zip(sums, carried[1])]
+                tops = [max((x for x in pair if x is not None), default=None) for pair in zip(tops, carried[2])]
+        carried = last, sums, tops
+
+    def run(batches):
+        state = Running(keys, measures, maxes)
+        for k, b in enumerate(x for x in batches if x.num_rows):
+            if not k:
+                state.begin(start.get(b.column("_pid")[0].as_py()))
+            added = state.add(b)
+            keep = [n for n in b.schema.names if n != "_pid"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], *added], names=[*keep, *out])
+
+    out = [f"cum_{m}" for m in measures] + [f"prev_{m}" for m in maxes]
+    schema = T.StructType([*d.schema.fields, *[T.StructField(f"cum_{m}", T.LongType()) for m in measures], *[T.StructField(f"prev_{m}", types[m]) for m in maxes]])
+    return r.mapInArrow(run, schema)
+
+
+class Running:
+    """Sums and maxima over the rows of one key met so far, where equal keys follow each other."""
+
+    def __init__(self, keys, measures, maxes):
+        self.keys, self.measures, self.maxes = keys, measures, maxes
+        self.last, self.sums, self.tops = None, [0] * len(measures), [None] * len(maxes)
+
+    def begin(self, state) -> None:
+        if state is not None:
+            self.last, self.sums, self.tops = state[0], list(state[1]), list(state[2])
+
+    def key(self, b, i: int) -> tuple:
+        return tuple(b.column(k)[i].as_py() for k in self.keys)
+
+    def add(self, b) -> list:
+        """Per measure the sum, per maximum the greatest value, of the rows of the same key before each row of ``b``."""
+        new = np.zeros(b.num_rows, dtype=bool)
+        new[0] = self.last is None or self.key(b, 0) != self.last
+        for k in self.keys:
+            c = b.column(k)
+            same = pc.or_(pc.fill_null(pc.equal(c[1:], c[:-1]), False), pc.and_(c[1:].is_null(), c[:-1].is_null()))
+            new[1:] |= ~same.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new)  # 0: the key that was met before this batch
+        self.last, out = self.key(b, b.num_rows - 1), []
+        for i, m in enumerate(self.measures):
+            x = pc.fill_null(b.column(m).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+            total = np.cumsum(x)
+            before = total - x
+            base = np.concatenate([[-self.sums[i]], before[starts]])  # what the sum was where the key began
+            out.append(pa.array(before - base[group]))
+            self.sums[i] = int(total[-1] - base[group[-1]])
+        for i, m in enumerate(self.maxes):
+            values, seen, tops = b.column(m).to_pylist(), self.tops[i], []
+            for v, fresh in zip(values, new, strict=True):
+                seen = None if fresh else seen
+                tops.append(seen)
+                seen = v if seen is None or v is not None and v > seen else seen
+            self.tops[i] = seen
+            out.append(pa.array(tops, b.schema.field(m).type))
+        return out
 
 
 def prefix_sums_naive(d: DataFrame, keys, order: str, measures, maxes=()) -> DataFrame:

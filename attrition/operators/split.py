@@ -2,7 +2,8 @@
 
 All three hash the customer id with a seed (``md5(seed || ':' || id)``), so
 the same rows are chosen in Spark and in DuckDB, independent of partitioning
-and of executor loss (no ``rand``, no input order).
+and of executor loss (no ``rand``, no input order). A row without an id reads
+as one with an empty id: such rows go to one side and one fold together.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+
 
 def hash_hex(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), _id(id_col)))
 
 
 def cut_hex(p: float) -> str:
@@ -37,7 +41,7 @@ def split_train_test(df: DataFrame, id_col: str, p: float = 0.8, seed: int = 123
     h = F.substring(hash_hex(id_col, seed), 1, 8)
     if stratify is None:
         return df.withColumn(out, h < F.lit(cut_hex(p)))
-    key = F.concat(hash_hex(id_col, seed), F.col(id_col).cast("string"))  # unique per row
+    key = F.concat(hash_hex(id_col, seed), _id(id_col))  # unique per row that has an id
     proj = df.select(F.col(stratify).alias("_cls"), key.alias("_h"), F.substring(key, 1, 4).alias("_b"))
     counts = proj.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_cls")  # ≤ 65,536 buckets a class
@@ -53,8 +57,9 @@ def split_train_test(df: DataFrame, id_col: str, p: float = 0.8, seed: int = 123
 
 
 def anti_split(df: DataFrame, train: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``df`` whose id is not in ``train`` (left anti join on the id)."""
-    return df.join(train.select(id_col), id_col, "left_anti")
+    """Rows of ``df`` whose id is not in ``train`` (left anti join on the id; null is an id of its own)."""
+    known = train.select(F.col(id_col).alias("_known")).distinct()
+    return df.join(known, F.col(id_col).eqNullSafe(F.col("_known")), "left_anti")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 2026, drop: str | None = None) -> DataFrame:

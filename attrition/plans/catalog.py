@@ -557,6 +557,20 @@ def q_kfold_assign(spark, sf):
     return SP.kfold_assign(prepared(spark, sf), "customerID", 10, FOLD_SEED).select("customerID", "fold")
 
 
+_NULL_IDS = """loose AS (SELECT *, CASE WHEN CAST(substr(customerID, 2) AS BIGINT) % 9 = 0 THEN NULL ELSE customerID END AS loose_id FROM prepared)"""
+
+
+@register("split_null_ids", sql(f"""SELECT customerID, is_train, fold, NOT is_train AS in_test FROM (
+  SELECT customerID, {split_flag(SPLIT_SEED, 0.8, "coalesce(loose_id, '')")} AS is_train, {fold_expr(7, 10, "coalesce(loose_id, '')")} AS fold FROM loose)""",
+                                EXPLORED, PREPARED, _NULL_IDS))
+def q_split_null_ids(spark, sf):
+    """Every ninth customer without an id: each row is in one half, one fold, and in the rest of its half only."""
+    df = prepared(spark, sf).select("customerID", F.when(F.substring("customerID", 2, 20).cast("long") % 9 != 0, F.col("customerID")).alias("loose_id"))
+    both = SP.kfold_assign(SP.split_train_test(df, "loose_id", 0.8, SPLIT_SEED), "loose_id", 10, FOLD_SEED)
+    rest = SP.anti_split(both, both.where("is_train"), "loose_id").select(F.col("customerID").alias("_rest"))
+    return both.join(rest, F.col("customerID") == F.col("_rest"), "left").select("customerID", "is_train", "fold", F.col("_rest").isNotNull().alias("in_test"))
+
+
 @register("class_weight", sql(
     "SELECT CAST(count(*) FILTER (WHERE Churn <> 1) AS BIGINT) AS n_neg, "
     "CAST(count(*) FILTER (WHERE Churn = 1) AS BIGINT) AS n_pos, "

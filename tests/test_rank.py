@@ -78,3 +78,35 @@ def test_row_ids_without_key_follow_scan_order(spark):
     ids = {r["id"]: int(r["id_client"].split("_")[1]) for r in out}
     assert sorted(ids.values()) == list(range(1, 1001))
     assert all(ids[i] == i + 1 for i in range(1000))   # range scan order
+
+
+def test_prefix_sums_over_many_keys_and_nulls(spark):
+    """Keys within a partition, across several, null keys and values; every partition count gives the window's result."""
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 7 else k, None if k % 2 else f"s{k}", float(v), int(n), None if n == 3 else int(n))
+            for k in range(12) for size in [400 if k in (2, 7) else rng.integers(1, 6)]
+            for v, n in zip(rng.choice(1000, size, replace=False), rng.integers(1, 9, size))]
+    d = spark.createDataFrame(rows, "a int, b string, v double, n long, m int")
+    want = sorted(map(tuple, prefix_sums_naive(d, ["a", "b"], "v", ["n", "m"], maxes=["v", "n"]).collect()), key=repr)
+    for parts in (1, 5, 40, None):
+        got = prefix_sums(d, ["a", "b"], "v", ["n", "m"], partitions=parts, maxes=["v", "n"])
+        assert sorted(map(tuple, got.collect()), key=repr) == want, parts
+    none = prefix_sums(d.limit(0), ["a", "b"], "v", ["n"], maxes=["v"])
+    assert none.columns == [*d.columns, "cum_n", "prev_v"] and none.collect() == []
+
+
+def test_prefix_sums_hold_in_small_batches(spark):
+    d = spark.range(0, 300).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"), F.lit(2).alias("n"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = prefix_sums(d, ["k"], "v", ["n"], partitions=4, maxes=["v"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(r.cum_n == 2 * (int(r.v) // 3) and r.prev_v == (r.v - 3 if r.v >= 3 else None) for r in got) and len(got) == 300
+
+
+def test_prefix_sums_shuffle_once(spark):
+    d = spark.range(0, 50).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
+    plan = prefix_sums(d, [], "v", ["n"])._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan  # the one shuffle is behind the checkpoint

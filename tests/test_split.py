@@ -33,3 +33,15 @@ def test_sample_and_folds(spark):
     assert SP.sample_n(df, "cid", 10).count() == 10
     folds = SP.kfold_assign(df, "cid", 10, 7)
     assert {r["fold"] for r in folds.select("fold").distinct().collect()} == set(range(10))
+
+
+def test_rows_without_an_id_are_in_one_half_and_one_fold(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "a"), (None, "b"), (2, None), (None, None)], "id long, cls string")
+    for stratify in (None, "cls"):
+        split = SP.split_train_test(df, "id", 0.8, stratify=stratify)
+        train, test = split.where("is_train"), split.where("not is_train")
+        assert train.count() + test.count() == 5
+        if stratify is None:
+            assert SP.anti_split(split, train, "id").count() == test.count()
+    assert [r.fold for r in SP.kfold_assign(df, "id", 10).collect() if r.fold is None or not 0 <= r.fold < 10] == []
+    assert SP.sample_n(df, "id", 5).count() == 5
