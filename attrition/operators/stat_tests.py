@@ -12,6 +12,7 @@ p-values are computed by pandas UDFs on the result rows (one per variable).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,14 +123,66 @@ def mann_whitney(df: DataFrame, cols, target: str, positive=1, with_p: bool = Tr
 def spearman_matrix(df: DataFrame, cols) -> DataFrame:
     """var1, var2, coef for every pair, on pairwise-complete rows.
 
-    Rows are first reduced to distinct (pair, x, y) with a weight, so a value
-    held by a third of the rows becomes few rows; mid-ranks of x and y
-    within each pair come from one prefix-sum pass (keys: pair, side).
+    Columns without nulls are ranked once each: a row becomes a vector of centred mid-ranks, and all pairs come from
+    one sum of outer products (``_gram``). Only pairs with a column that has nulls are ranked by themselves, on the
+    rows that have both (``_pairwise``).
     """
     cols = list(cols)
+    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    whole = [c for i, c in enumerate(cols) if not holes[f"c{i}"]]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    structs = [F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"),
-                        F.col(b).cast("double").alias("y")) for a, b in pairs]
+    out = []
+    if len(whole) > 1:
+        out.append(_gram(df, whole))
+    rest = [p for p in pairs if not set(p) <= set(whole)]
+    if rest:
+        out.append(_pairwise(df, rest))
+    if not out:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, coef double")
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def _gram(df: DataFrame, cols) -> DataFrame:
+    """Coefficients of columns without nulls. Rows are numbered in a reliable checkpoint; each value gets its rank by a
+    join on (column, value), whose hot values the planner splits, and a row's ranks come together by its number: two
+    shuffles of rows x columns. The sums of products are added up in the tasks (columns x columns numbers each)."""
+    import pyarrow as pa
+
+    k = len(cols)
+    checkpoint_root(df.sparkSession)
+    base = df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).checkpoint()
+    long = base.unpivot(["_row"], [f"x{i}" for i in range(k)], "variable", "value")
+    d = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = base.count()
+    ranks = prefix_sums(d, ["variable"], "value", ["n"]).select(
+        "variable", "value", (F.col("cum_n") + (F.col("n") + 1) / 2.0 - (rows + 1) / 2.0).alias("r"))  # their mean is (rows + 1) / 2
+    at = F.substring("variable", 2, 9).cast("int")
+    vectors = long.join(ranks, ["variable", "value"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(at.alias("i"), "r"))).alias("v"))
+
+    def products(batches):
+        total = np.zeros((k, k))
+        for b in batches:
+            if b.num_rows:
+                m = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                total += m.T @ m
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    sums = vectors.select(F.transform("v", lambda x: x["r"]).alias("v")).mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    own = sums.where("i = j")  # one row a column
+    x, y = own.select(F.col("i").alias("xi"), F.col("s").alias("sx")), own.select(F.col("j").alias("yj"), F.col("s").alias("sy"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return (sums.where("i < j").join(x, F.col("i") == F.col("xi")).join(y, F.col("j") == F.col("yj"))
+            .select(names[F.col("i")].alias("var1"), names[F.col("j")].alias("var2"),
+                    F.round(F.try_divide(F.col("s"), F.sqrt(F.col("sx")) * F.sqrt(F.col("sy"))), 6).alias("coef")))
+
+
+def _pairwise(df: DataFrame, pairs) -> DataFrame:
+    """Coefficients of ``pairs``, each on the rows that have both values. Rows are first reduced to distinct (pair, x, y)
+    with a weight, so a value held by a third of the rows becomes few rows; mid-ranks of x and y within each pair come
+    from one prefix-sum pass (keys: pair, side)."""
+    structs = [F.struct(F.lit(f"{i}").alias("pair"), F.col(a).cast("double").alias("x"),
+                        F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]
     pp = df.select(F.inline(F.array(*structs))) \
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull()) \
         .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
@@ -153,7 +206,9 @@ def spearman_matrix(df: DataFrame, cols) -> DataFrame:
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / W
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / W
     vy = F.col("syy") - F.col("sy") * F.col("sy") / W
-    return g.select(F.split("pair", r"\|")[0].alias("var1"), F.split("pair", r"\|")[1].alias("var2"),
+    first, second = (F.array(*[F.lit(p[i]) for p in pairs]) for i in (0, 1))
+    at = F.col("pair").cast("int")
+    return g.select(first[at].alias("var1"), second[at].alias("var2"),
                     F.round(F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))), 6).alias("coef"))
 
 
@@ -171,28 +226,24 @@ def normality(df: DataFrame, cols) -> DataFrame:
 
 
 def ks_normal(df: DataFrame, cols) -> DataFrame:
-    """variable, n, ks, ks_p: Kolmogorov–Smirnov distance between the ECDF
-    and a normal with the sample mean and sd (p optimistic: fitted params).
+    """variable, n, ks, ks_p: Kolmogorov–Smirnov distance between the ECDF and a normal with the sample mean and sd, and
+    its p-value by Lilliefors' distribution, which holds for a mean and sd fitted to the same rows.
 
-    ECDF from the prefix sums over distinct values; Φ by a pandas UDF over
-    the distinct values only.
+    ECDF from the prefix sums over distinct values; the normal CDF is a column expression. The moments come from the
+    same prefix table, the squares around the mean. A constant column, or one of fewer than five rows, has no p.
     """
-    ship_package(df.sparkSession)
-    # the distinct values feed the moments and the checkpointed prefix job
     checkpoint_root(df.sparkSession)
-    d = distinct_counts(df, cols).checkpoint()
-    mom = d.groupBy("variable").agg(
-        F.sum("n").alias("_tot"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mu"))
-    d2 = d.join(F.broadcast(mom), "variable")  # one row per variable
-    sd = d2.groupBy("variable").agg(
+    p = prefix_sums(distinct_counts(df, cols), ["variable"], "value", ["n"])
+    mean = p.groupBy("variable").agg(F.sum("n").alias("_tot"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mu"))
+    p = p.join(F.broadcast(mean), "variable")  # one row per variable
+    sd = p.groupBy("variable").agg(
         F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("value") - F.col("mu")) ** 2), F.first("_tot") - 1)).alias("sd"))
-    p = prefix_sums(d, ["variable"], "value", ["n"]).join(F.broadcast(mom.join(sd, "variable")), "variable")
-    p = p.withColumn("phi", S.normal_cdf_col(F.try_divide(F.col("value") - F.col("mu"), F.col("sd"))))
+    p = p.join(F.broadcast(sd), "variable").withColumn("phi", S.normal_cdf_expr(F.try_divide(F.col("value") - F.col("mu"), F.col("sd"))))
     lo = F.abs(F.col("cum_n") / F.col("_tot") - F.col("phi"))
     hi = F.abs((F.col("cum_n") + F.col("n")) / F.col("_tot") - F.col("phi"))
     g = p.groupBy("variable").agg(F.first("_tot").alias("n_obs"), F.max(F.greatest(lo, hi)).alias("ks"))
     return g.select("variable", F.col("n_obs").cast("long").alias("n"), F.round("ks", 6).alias("ks"),
-                    S.kolmogorov_pvalue(F.col("ks"), F.col("n_obs").cast("double")).alias("ks_p"))
+                    F.round(S.lilliefors_p(F.col("ks"), F.col("n_obs").cast("double")), 6).alias("ks_p"))
 
 
 def qq_points(df: DataFrame, cols, k: int = 99) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from attrition.config import (CONTINUOUS_FEATURES, CV_FOLDS, DECISION_POSITIVE, EARLY_STOP_ROUNDS, FEATURES, MAX_ROUNDS,
                               SAMPLE_SEED, SAMPLE_SIZE, SCORECARD_INDICATORS, SERVICE_COLS, SPLIT_SEED)
-from attrition.functions.stats import normal_quantile
+from attrition.functions.stats import DALLAL, STEPHENS, normal_quantile
 from attrition.operators import encode as E
 from attrition.operators import evaluate as EV
 from attrition.operators import explain as XP
@@ -488,7 +488,22 @@ def q_normality(spark, sf):
     return ST.normality(customers_raw(spark, sf), NUMS)
 
 
-@register("ks_normal")
+def _lilliefors_sql():
+    a, shift, b, c, d, e = DALLAL
+    polys = " ".join(f"WHEN s <= {top} THEN " + " + ".join(f"({k}) * power(s, {i})" for i, k in enumerate(ks)) for top, ks in STEPHENS)
+    return f"""CASE WHEN n >= 5 THEN least(1, greatest(0, CASE WHEN low > 0.1 THEN CASE {polys} ELSE 0 END ELSE low END)) END FROM (
+  SELECT *, exp(({a}) * k * k * (m + {shift}) + {b} * k * sqrt(m + {shift}) + ({c}) + {d} / sqrt(m) + {e} / m) AS low, (sqrt(n) - 0.01 + 0.85 / sqrt(n)) * ks AS s
+  FROM (SELECT *, CASE WHEN n > 100 THEN ks * power(n / 100.0, 0.49) ELSE ks END AS k, least(n, 100) AS m FROM kolmogorov))"""
+
+
+@register("ks_normal", sql("SELECT variable, CAST(n AS BIGINT) AS n, round(ks, 6) AS ks, round(p, 6) AS ks_p FROM (SELECT variable, n, ks, " + _lilliefors_sql().replace(" END FROM", " END AS p FROM", 1) + ")",
+                           _LONG_NUM, """moments AS (SELECT variable, count(*) AS n, avg(value) AS mu, stddev_samp(value) AS sd FROM long WHERE value IS NOT NULL GROUP BY variable),
+steps AS (SELECT variable, n, (value - mu) / sd AS z, count(*) AS k, sum(count(*)) OVER (PARTITION BY variable ORDER BY value) AS cum
+          FROM long JOIN moments USING (variable) WHERE value IS NOT NULL GROUP BY variable, value, n, mu, sd),
+-- the normal CDF by Simpson's rule over 400 steps from 0 to z
+cdf AS (SELECT variable, n, z, k, cum, 0.5 + z / 1200.0 / sqrt(2 * pi()) * sum(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * power(z * i / 400.0, 2))) AS phi
+        FROM steps CROSS JOIN range(0, 401) t(i) GROUP BY variable, n, z, k, cum),
+kolmogorov AS (SELECT variable, n, max(greatest(abs((cum - k) / n - phi), abs(cum / n - phi))) AS ks FROM cdf GROUP BY variable, n)"""))
 def q_ks_normal(spark, sf):
     return ST.ks_normal(customers_raw(spark, sf), NUMS)
 

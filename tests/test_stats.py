@@ -82,3 +82,65 @@ def test_qq_points_monotone(spark):
     assert len(pts) == 9
     assert all(a["empirical"] <= b["empirical"] and a["theoretical"] < b["theoretical"]
                for a, b in zip(pts, pts[1:]))
+
+
+def test_normal_cdf_expression(spark):
+    z = np.concatenate([np.linspace(-40, 40, 20_001), [0.0, 7.07106781186547, -7.07106781186547, 7.0711]])
+    rows = spark.createDataFrame([(float(x),) for x in z] + [(None,)], "z double").select("z", S.normal_cdf_expr(F.col("z")).alias("p")).collect()
+    assert max(abs(r.p - S.normal_cdf(r.z)) for r in rows if r.z is not None) < 1e-14
+    assert [r.p for r in rows if r.z is None] == [None]
+
+
+def test_lilliefors_p_is_that_of_fitted_normals(spark):
+    """Over normal samples whose mean and sd are fitted, p is uniform; Kolmogorov's own p is far too large there."""
+    rng = np.random.default_rng(5)
+    for n in (20, 60, 400):
+        x = np.sort(rng.normal(3, 2, (2000, n)), axis=1)
+        z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, ddof=1, keepdims=True)
+        phi = 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
+        i = np.arange(n)
+        ks = np.maximum(np.abs(i / n - phi), np.abs((i + 1) / n - phi)).max(axis=1)
+        p = np.array([r.p for r in spark.createDataFrame([(float(k), float(n)) for k in ks], "k double, n double").select(S.lilliefors_p(F.col("k"), F.col("n")).alias("p")).collect()])
+        for level in (0.01, 0.05, 0.1, 0.3, 0.5):
+            assert abs((p <= level).mean() - level) < 0.035, (n, level)
+    edge = spark.createDataFrame([(None, 50.0), (0.2, 4.0), (5.0, 50.0), (0.0, 50.0)], "k double, n double").select(S.lilliefors_p(F.col("k"), F.col("n")).alias("p")).collect()
+    assert [r.p for r in edge] == [None, None, 0.0, 1.0]
+
+
+def plain_spearman(x, y):
+    both = ~(np.isnan(x) | np.isnan(y))
+    x, y = x[both], y[both]
+    if len(x) < 2:
+        return None
+    ranks = [np.array([(v < w).sum() + ((v == w).sum() + 1) / 2 for w in v]) for v in (x, y)]
+    return None if ranks[0].std() == 0 or ranks[1].std() == 0 else round(float(np.corrcoef(*ranks)[0, 1]), 5)
+
+
+def test_spearman_of_many_columns_with_and_without_nulls(spark):
+    rng = np.random.default_rng(2)
+    n, k = 300, 12
+    x = np.round(rng.normal(size=(n, k)) + rng.normal(size=(n, 1)), 1)
+    x[:, 3] = 7.0  # constant
+    x[: n // 3, 5] = x[0, 5]  # a value that a third of all rows hold
+    x[rng.random((n, k)) < 0.2] += 0
+    holes = [2, 8]
+    for c in holes:
+        x[rng.random(n) < 0.3, c] = np.nan
+    x[:, 11] = np.nan
+    cols = [f"a|{i}" for i in range(k)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"`{c}` double" for c in cols))
+    got = {(r.var1, r.var2): None if r.coef is None else round(r.coef, 5) for r in spearman(df, cols)}
+    want = {(cols[i], cols[j]): plain_spearman(x[:, i], x[:, j]) for i in range(k) for j in range(i + 1, k)}
+    assert {p: c for p, c in got.items() if c is not None} == pytest.approx({p: c for p, c in want.items() if c is not None}, abs=2e-5)
+    assert {p for p, c in want.items() if c is not None} == {p for p, c in got.items() if c is not None}
+
+
+def spearman(df, cols):
+    return ST.spearman_matrix(df, cols).collect()
+
+
+def test_spearman_ranks_each_column_once(spark):
+    """40 columns without nulls: two shuffles of rows x columns and no pairs of rows."""
+    df = spark.range(0, 400).select(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50 + i)).cast("double").alias(f"c{i}") for i in range(40)])
+    rows = spearman(df, df.columns)
+    assert len(rows) == 40 * 39 // 2 and all(abs(r.coef) < 0.3 for r in rows)
