@@ -81,13 +81,13 @@ class Signer:
         return sums
 
     def signatures(self, words: list) -> np.ndarray:
-        """One row a word, one column a choice and end."""
+        """One row a word, one column a choice and end; even if the end is the beginning, odd if it is the last letters."""
         by_part = np.array([self.parts_of(w) for w in words], dtype=np.uint64).reshape(len(words), self.parts)
         held = np.stack([np.bitwise_xor.reduce(by_part[:, list(c)], axis=1) for c in self.choices], axis=1) ^ self.seeds
         head = np.array([_hash("head", w[:self.head]) for w in words], dtype=np.uint64)[:, None]
         tail = np.array([_hash("tail", w[-self.tail:]) for w in words], dtype=np.uint64)[:, None]
-        mix = np.uint64(0x9E3779B97F4A7C15)  # spreads sums of hashes; wraps around
-        return np.concatenate([(held + head) * mix, (held + tail) * mix], axis=1)
+        mix, one = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)  # spreads sums of hashes; wraps around
+        return np.concatenate([(held + head) * mix & ~one, (held + tail) * mix | one], axis=1)
 
 
 def signed(words: DataFrame, least: int, parts: int) -> DataFrame:
@@ -111,11 +111,13 @@ def signed(words: DataFrame, least: int, parts: int) -> DataFrame:
 
 def near_pairs(words: DataFrame, least: int = 7, parts: int = PARTS) -> DataFrame:
     """(a, a_n, b, b_n), a before b: all pairs of ``words`` (word, n; at least ``least`` letters each) that one edit turns into each other."""
-    a = signed(words, least, parts)
-    b = a.select("signature", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    one = F.expr("levenshtein(word, b, 1) = 1")
-    return (a.join(b, "signature").where((F.col("word") < F.col("b")) & one)
-            .groupBy(F.col("word").alias("a"), "b").agg(F.first("n").alias("a_n"), F.first("b_n").alias("b_n")))
+    both = signed(words, least, parts)
+    x, y, head = both.alias("x"), both.alias("y"), ends(least)[0]  # the same plan twice: the join's sides share one shuffle
+    # what begins alike is found by its beginning alone
+    new = F.expr(f"pmod(x.signature, 2L) = 0 or left(x.word, {head}) <> left(y.word, {head})")
+    found = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.word") < F.col("y.word")) & new & F.expr("levenshtein(x.word, y.word, 1) = 1"))
+    return (found.select(F.col("x.word").alias("a"), F.col("x.n").alias("a_n"), F.col("y.word").alias("b"), F.col("y.n").alias("b_n"))
+            .groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n")))
 
 
 def group_spellings(words: DataFrame, least: int = 7, ratio: int = 10, parts: int = PARTS) -> DataFrame:
