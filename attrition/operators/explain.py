@@ -5,16 +5,19 @@ distinct path features with the interval (lo, hi] a row must fall in to
 follow the path, the product r_j of child/parent training counts for each,
 and the leaf value times the tree weight.
 
-Executor side (``mapInPandas``, Arrow batches): for a leaf with D distinct
-features and row indicators o_j,
-    φ_j += v · (o_j − r_j) · Σ_e e!(D−1−e)!/D! · c_e,
+For a leaf with D distinct features and row indicators o_j,
+    φ_j = v · (o_j − r_j) · Σ_e e!(D−1−e)!/D! · c_e,
 c_e = coefficient of t^e in Π_{i≠j}(r_i + o_i·t); base = Σ v · Π r_i.
+A row enters by its D indicators only, so a leaf's attributions are a table
+of 2^D rows, worked out once in a worker (at most 2^(2·depth) · depth numbers
+a tree); a row is a lookup by its bit mask (``mapInPandas``, Arrow batches).
 Additivity: base + Σ_j φ_j equals the row's margin (rawPrediction[1]).
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -52,50 +55,75 @@ def leaf_paths(forest: Forest) -> list:
     return out
 
 
+def leaf_table(r: np.ndarray, v: float) -> np.ndarray:
+    """Attributions of a leaf's D features (columns) for every bit mask of indicators (rows; bit j is o_j)."""
+    D = len(r)
+    o = (np.arange(1 << D)[:, None] >> np.arange(D) & 1).astype(np.float64)
+    weights = np.array([math.factorial(e) * math.factorial(D - 1 - e) / math.factorial(D) for e in range(D)])
+    out = np.empty_like(o)
+    for j in range(D):
+        coef = np.zeros((1 << D, D))
+        coef[:, 0] = 1.0
+        for i in range(D):
+            if i != j:
+                raised = coef[:, :-1] * o[:, [i]]
+                coef *= r[i]
+                coef[:, 1:] += raised
+        out[:, j] = v * (o[:, j] - r[j]) * (coef @ weights)
+    return out
+
+
+class LeafTables:
+    """All leaves of a forest: path features, intervals and attribution tables."""
+
+    def __init__(self, paths: list):
+        self.base = sum(v * float(np.prod(r)) for _, _, _, r, v in paths)
+        self.leaves = [(feats, lo, hi, 1 << np.arange(len(feats)), leaf_table(r, v)) for feats, lo, hi, r, v in paths if len(feats)]
+
+    def attributions(self, X: np.ndarray) -> np.ndarray:
+        """rows × features."""
+        phi = np.zeros(X.shape)
+        for feats, lo, hi, bits, table in self.leaves:
+            xs = X[:, feats]
+            phi[:, feats] += table[((xs > lo) & (xs <= hi)) @ bits]
+        return phi
+
+
 def shap_kernel(X: np.ndarray, paths: list, d: int):
-    """(phi: rows × d, base: float) for one batch of rows."""
-    m = X.shape[0]
-    phi = np.zeros((m, d))
-    base = 0.0
-    for feats, lo, hi, r, v in paths:
-        base += v * float(np.prod(r)) if len(r) else v
-        D = len(feats)
-        if D == 0:
-            continue
-        xs = X[:, feats]
-        o = ((xs > lo) & (xs <= hi)).astype(np.float64)
-        wts = np.array([math.factorial(e) * math.factorial(D - 1 - e) / math.factorial(D) for e in range(D)])
-        for j in range(D):
-            coef = np.ones((m, 1))
-            for i in range(D):
-                if i == j:
-                    continue
-                nxt = np.zeros((m, coef.shape[1] + 1))
-                nxt[:, :-1] += coef * r[i]
-                nxt[:, 1:] += coef * o[:, [i]]
-                coef = nxt
-            phi[:, feats[j]] += v * (o[:, j] - r[j]) * (coef @ wts)
-    return phi, base
+    """(phi: rows × d, base: float) for one batch of rows of d features."""
+    tables = LeafTables(paths)
+    return tables.attributions(np.asarray(X, dtype=np.float64)[:, :d]), tables.base
+
+
+_TABLES: dict = {}
+
+
+def leaf_tables(key: str, paths: list) -> LeafTables:
+    """One set of tables for the life of a Python worker; only the last forest's are kept."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = LeafTables(paths)
+    return _TABLES[key]
 
 
 def shap_wide(df: DataFrame, model, features, id_col: str) -> DataFrame:
     """id, base, margin, values array, shap array (feature order)."""
     ship_package(df.sparkSession)
     forest = model if isinstance(model, Forest) else forest_of(model, df.sparkSession)
-    paths = leaf_paths(forest)
+    paths, key = leaf_paths(forest), uuid.uuid4().hex
     feats = list(features)
-    d = len(feats)
     base_df = df.select(F.col(id_col).cast("string").alias("id"),
                         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
 
     def run(batches):
+        tables = leaf_tables(key, paths)
         for pdf in batches:
             if pdf.empty:
                 continue
             X = pdf[feats].to_numpy(dtype=np.float64)
-            phi, base = shap_kernel(X, paths, d)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "base": base,
-                                "margin": base + phi.sum(axis=1),
+            phi = tables.attributions(X)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "base": tables.base,
+                                "margin": tables.base + phi.sum(axis=1),
                                 "values": list(X), "shap": list(phi)})
 
     return base_df.mapInPandas(run, "id string, base double, margin double, values array<double>, "

@@ -379,12 +379,15 @@ def round_aucs(counts: DataFrame, keys) -> DataFrame:
 
 
 def _stopped(means: DataFrame, keys, patience: int) -> DataFrame:
-    """The rounds of ``means`` (keys, round, mean_auc) up to ``patience`` without gain. A window holds one key's rounds."""
-    w = (Window.partitionBy(*keys) if keys else Window).orderBy("round")
-    r = means.withColumn("_before", F.max("mean_auc").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    """The rounds of ``means`` (keys, round, mean_auc) up to the one that makes ``patience`` without gain; later ones
+    would not be run. A window holds one key's rounds."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    by_round = w.orderBy("round")
+    r = means.withColumn("_before", F.max("mean_auc").over(by_round.rowsBetween(Window.unboundedPreceding, -1)))
     r = r.withColumn("_gain", F.when(F.col("_before").isNull() | (F.col("mean_auc") > F.col("_before")), F.col("round")))
-    r = r.withColumn("_last", F.max("_gain").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.where(F.col("round") - F.col("_last") <= patience).drop("_before", "_gain", "_last")
+    r = r.withColumn("_last", F.max("_gain").over(by_round.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.withColumn("_stop", F.min(F.when(F.col("round") - F.col("_last") >= patience, F.col("round"))).over(w))
+    return r.where(F.col("_stop").isNull() | (F.col("round") <= F.col("_stop"))).drop("_before", "_gain", "_last", "_stop")
 
 
 def choose_rounds(counts: DataFrame, fold: str | None = None, patience: int = 20, digits: int | None = 6) -> DataFrame:

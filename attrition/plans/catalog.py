@@ -624,10 +624,12 @@ def q_apply_range_scaler(spark, sf):
     return scaled.select("customerID", *[F.round(f, 6).alias(f) for f in FEATURES])
 
 
-@register("assemble_matrix")
+@register("assemble_matrix", sql("SELECT customerID, Churn, CAST(unnest(range(0, " + str(len(FEATURES)) + ")) AS INTEGER) AS position, "
+                                 "unnest([" + ", ".join(f"CAST({f} AS DOUBLE)" for f in FEATURES) + "]) AS value FROM prepared", EXPLORED, PREPARED))
 def q_assemble_matrix(spark, sf):
+    """The feature vectors, entry by entry."""
     m = SC.assemble_matrix(prepared(spark, sf), FEATURES, keep=["customerID"])
-    return m.select("customerID", vector_to_array("features").alias("features"), "Churn")
+    return m.select("customerID", "Churn", F.posexplode(vector_to_array("features")).alias("position", "value"))
 
 
 # ----------------------------------------------------------------------------- §2.6 metrics
@@ -843,6 +845,40 @@ def q_choose_rounds(spark, sf):
     return M.choose_rounds(M.margin_counts(prepared(spark, sf), fixed_forest(spark), FEATURES, "Churn"))
 
 
+# Shapley's definition for the two features of each fixed tree: what the tree gives with both, one or none of them known.
+_SHAP_TREES = """known AS (SELECT customerID, tenure, MonthlyCharges, Contract_Month_to_month AS monthly,
+    CASE WHEN tenure <= 12 THEN CASE WHEN Contract_Month_to_month <= 0.5 THEN -0.25 ELSE 0.75 END ELSE -0.5 END AS both0,
+    CASE WHEN tenure <= 12 THEN 0.5 ELSE -0.5 END AS t0, CASE WHEN Contract_Month_to_month <= 0.5 THEN -0.25 ELSE 0.75 END / 3.0 - 1.0 / 3.0 AS c0, -1.0 / 6.0 AS none0,
+    CASE WHEN MonthlyCharges <= 70 THEN -0.0625 WHEN tenure <= 40 THEN 0.25 ELSE -0.1875 END AS both1,
+    CASE WHEN tenure <= 40 THEN 0.25 ELSE -0.1875 END / 2.0 - 0.03125 AS t1, CASE WHEN MonthlyCharges <= 70 THEN -0.0625 ELSE 0.140625 END AS m1, 0.0390625 AS none1
+  FROM prepared),
+shap AS (
+  SELECT customerID AS id, 'tenure' AS feature, CAST(tenure AS DOUBLE) AS value, CAST((both0 - c0 + t0 - none0) / 2 + (both1 - m1 + t1 - none1) / 2 AS DOUBLE) AS shap FROM known
+  UNION ALL SELECT customerID, 'Contract_Month_to_month', CAST(monthly AS DOUBLE), CAST((both0 - t0 + c0 - none0) / 2 AS DOUBLE) FROM known
+  UNION ALL SELECT customerID, 'MonthlyCharges', CAST(MonthlyCharges AS DOUBLE), CAST((both1 - t1 + m1 - none1) / 2 AS DOUBLE) FROM known)"""
+
+
+@register("shap_values_trees", sql("SELECT id, feature, value, round(shap, 6) AS shap FROM shap", EXPLORED, PREPARED, _SHAP_TREES))
+def q_shap_values_trees(spark, sf):
+    """Attributions of all customers on the two fixed trees, features with the largest ones first."""
+    return XP.shap_values(prepared(spark, sf), fixed_forest(spark), FEATURES, "customerID", top=3).withColumn("shap", F.round("shap", 6))
+
+
+@register("shap_summary_trees", sql("SELECT feature, round(avg(abs(shap)), 6) AS mean_abs, CAST(row_number() OVER (ORDER BY avg(abs(shap)) DESC) AS INTEGER) AS rank FROM shap GROUP BY feature",
+                                    EXPLORED, PREPARED, _SHAP_TREES))
+def q_shap_summary_trees(spark, sf):
+    return XP.shap_summary(XP.shap_values(prepared(spark, sf), fixed_forest(spark), FEATURES, "customerID", top=3), top=3)
+
+
+@register("shap_points_trees", sql("""SELECT id, feature, value, round(shap, 6) AS shap,
+  round(CASE WHEN max(value) OVER (PARTITION BY feature) > min(value) OVER (PARTITION BY feature)
+    THEN (value - min(value) OVER (PARTITION BY feature)) / (max(value) OVER (PARTITION BY feature) - min(value) OVER (PARTITION BY feature)) ELSE 0 END, 6) AS value_scaled FROM shap""",
+                                   EXPLORED, PREPARED, _SHAP_TREES))
+def q_shap_points_trees(spark, sf):
+    points = XP.shap_points(XP.shap_values(prepared(spark, sf), fixed_forest(spark), FEATURES, "customerID", top=3))
+    return points.select("id", "feature", "value", F.round("shap", 6).alias("shap"), F.round("value_scaled", 6).alias("value_scaled"))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     return M.feature_importance(fitted(spark, sf).artifacts.model, FEATURES, top=10)
@@ -1104,7 +1140,8 @@ def q_save_artifacts(spark, sf):
     """Round trip of the artefacts; returns the stored scaler, in feature order."""
     path = scratch_path(spark, "artifacts")
     IO.save_artifacts(spark, path, fitted(spark, sf).artifacts)
-    stored = spark.read.parquet(f"{path}/scaler").join(spark.read.parquet(f"{path}/features"), "feature")
+    folder = IO.published_set(spark, path)
+    stored = spark.read.parquet(f"{folder}/scaler").join(spark.read.parquet(f"{folder}/features"), "feature")
     return stored.orderBy("pos").select("feature", "lo", "hi")
 
 

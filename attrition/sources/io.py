@@ -8,7 +8,9 @@ of failed jobs; malformed JSON records survive in ``_corrupt_record``.
 
 from __future__ import annotations
 
-import datetime as dt
+import json
+import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -88,30 +90,61 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "erro
 
 def sink_predictions(df: DataFrame, path: str, run_date: str | None = None) -> None:
     """CSV with header under ``run_date=<date>`` (the reference names its
-    download ``prediction_churn_<date>.csv``). Running a day again replaces
-    that day and leaves the others."""
-    day = run_date or dt.date.today().isoformat()
-    df.withColumn("run_date", F.lit(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+    download ``prediction_churn_<date>.csv``), by default the session's current
+    date. Running a day again replaces that day and leaves the others."""
+    day = F.lit(run_date) if run_date else F.current_date().cast("string")
+    df.withColumn("run_date", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("run_date").option("header", True).csv(path)
 
 
-def save_artifacts(spark: SparkSession, path: str, art: Artifacts) -> None:
-    """Model + ordered features + scaler + threshold + version, one folder."""
-    art.model.write().overwrite().save(f"{path}/model")
+def save_artifacts(spark: SparkSession, path: str, art: Artifacts) -> str:
+    """Model, ordered features, scaler, threshold, version and encoding as one set.
+
+    Every set gets a folder of its own under ``path/sets``; when all its parts are written, a manifest with their
+    checksums is put under ``path/manifests`` as one file, which publishes the set. A writer that ends before that
+    leaves the former set in force. Returns the set's name; sets are ordered by it.
+    """
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    folder = f"{path}/sets/{name}"
+    art.model.write().save(f"{folder}/model")
     spark.createDataFrame(list(enumerate(art.features)), "pos int, feature string") \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+        .coalesce(1).write.parquet(f"{folder}/features")
     spark.createDataFrame([(f, float(lo), float(hi)) for f, (lo, hi) in art.scaler.items()],
-                          "feature string, lo double, hi double").coalesce(1).write.mode("overwrite") \
-        .parquet(f"{path}/scaler")
+                          "feature string, lo double, hi double").coalesce(1).write.parquet(f"{folder}/scaler")
     spark.createDataFrame([(float(art.threshold), art.version)], "threshold double, version string") \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/threshold")
-
-
+        .coalesce(1).write.parquet(f"{folder}/threshold")
     enc = art.encoding
     if enc is not None:
         rows = [("yes_no", c, None) for c in enc.yes_no_cols] + [("level", c, v) for c, levels in enc.vocab.items() for v in levels]
-        spark.createDataFrame(rows, "kind string, variable string, level string").coalesce(1).write.mode("overwrite") \
-            .parquet(f"{path}/encoding")
+        spark.createDataFrame(rows, "kind string, variable string, level string").coalesce(1).write \
+            .parquet(f"{folder}/encoding")
+    manifest = json.dumps({"set": name, "files": checksums(spark, folder)}, sort_keys=True)
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifests/{name}")
+    return name
+
+
+def checksums(spark: SparkSession, folder: str) -> dict:
+    """Path below ``folder`` -> SHA-256 of every file there: the few files of one artefact set."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    at = F.regexp_extract("path", "/sets/[^/]+/(.*)$", 1)
+    return {r["at"]: r["sum"] for r in files.select(at.alias("at"), F.sha2("content", 256).alias("sum")).collect()}
+
+
+def published_set(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest published set, its files checked against the manifest; None where nothing was published."""
+    try:
+        manifests = [json.loads(r["value"]) for r in spark.read.text(f"{path}/manifests/*").collect()]  # one line a set
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    newest = max(manifests, key=lambda m: m["set"])
+    folder = f"{path}/sets/{newest['set']}"
+    found = checksums(spark, folder)
+    if found != newest["files"]:
+        wrong = sorted(f for f in found.keys() | newest["files"].keys() if found.get(f) != newest["files"].get(f))
+        raise ValueError(f"artefacts in {folder} are not those of their manifest: {wrong}")
+    return folder
 
 
 def _if_there(spark: SparkSession, path: str) -> list:
@@ -126,7 +159,7 @@ def _if_there(spark: SparkSession, path: str) -> list:
 
 def load_encoding(spark: SparkSession, path: str) -> Encoding | None:
     """The encoding stored with the artefacts (levels sorted, as learned)."""
-    rows = _if_there(spark, f"{path}/encoding")
+    rows = _if_there(spark, f"{published_set(spark, path) or path}/encoding")
     vocab: dict = {}
     for r in sorted((r for r in rows if r["kind"] == "level"), key=lambda r: (r["variable"], r["level"])):
         vocab.setdefault(r["variable"], []).append(r["level"])
@@ -134,8 +167,9 @@ def load_encoding(spark: SparkSession, path: str) -> Encoding | None:
 
 
 def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
-    """Inverse of ``save_artifacts``; a missing threshold gives 0.5, any other
-    failure to read it is raised."""
+    """The newest published set under ``path``, or the set that stands in ``path`` itself (one without a manifest).
+    A missing threshold gives 0.5; a file that is missing or differs from its manifest is an error."""
+    path = published_set(spark, path) or path
     model = PipelineModel.load(f"{path}/model")
     feats = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("pos").collect()]
     scaler = {r["feature"]: (r["lo"], r["hi"]) for r in spark.read.parquet(f"{path}/scaler").collect()}

@@ -73,6 +73,52 @@ def test_shap_equals_brute_force_shapley(spark, trained):
         assert base == pytest.approx(v0, abs=1e-10)
 
 
+def _polynomial_shap(X, paths, d):
+    """The formula row by row and leaf by leaf, without tables."""
+    phi = np.zeros((len(X), d))
+    for feats, lo, hi, r, v in paths:
+        D = len(feats)
+        for n, x in enumerate(X):
+            o = [float(lo[j] < x[f] <= hi[j]) for j, f in enumerate(feats)]
+            for j, f in enumerate(feats):
+                coef = np.poly1d([1.0])
+                for i in range(D):
+                    if i != j:
+                        coef = coef * np.poly1d([o[i], r[i]])
+                c = coef.coeffs[::-1]
+                phi[n, f] += v * (o[j] - r[j]) * sum(math.factorial(e) * math.factorial(D - 1 - e) / math.factorial(D) * c[e] for e in range(len(c)))
+    return phi
+
+
+def test_shap_tables_of_deep_trees(spark):
+    """Depth 7 with features that repeat on a path, against the formula."""
+    rng = np.random.default_rng(4)
+
+    def grow(nodes, depth, n):
+        at = len(nodes)
+        nodes.append(None)
+        if depth == 7 or n < 2 or depth > 3 and rng.random() < 0.2:
+            nodes[at] = (-1, -1, -1, 0.0, rng.normal(), n)
+            return at
+        k = int(rng.integers(1, n)) if n > 1 else 1
+        f, t = int(rng.integers(0, 9)), float(rng.normal())
+        left = grow(nodes, depth + 1, k)
+        nodes[at] = (left, grow(nodes, depth + 1, n - k), f, t, 0.0, n)
+        return at
+
+    trees = []
+    for _ in range(2):
+        nodes = []
+        grow(nodes, 0, 5000)
+        trees.append({k: np.array(v) for k, v in zip(("left", "right", "feature", "threshold", "value", "count"), zip(*nodes))})
+    forest = M.Forest(np.array([1.0, 0.3]), trees)
+    paths, rows = X.leaf_paths(forest), rng.normal(size=(5, 9))
+    phi, base = X.shap_kernel(rows, paths, 9)
+    assert max(len(p[0]) for p in paths) >= 5
+    assert np.allclose(phi, _polynomial_shap(rows, paths, 9), atol=1e-12)
+    assert np.allclose(base + phi.sum(axis=1), forest.staged_margins(rows)[:, -1], atol=1e-10)
+
+
 def test_importance_shares(spark, trained):
     _, m = trained
     imp = M.feature_importance(m, FEATS).collect()

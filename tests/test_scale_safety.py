@@ -111,12 +111,54 @@ def test_damaged_threshold_is_an_error_and_encoding_is_stored(spark, tmp_path):
     IO.save_artifacts(spark, path, Artifacts(model=model, features=["x"], scaler={"x": (0, 1)}, threshold=0.3, encoding=enc))
     got = IO.load_artifacts(spark, path)
     assert got.threshold == 0.3 and got.encoding == enc and got.scaler == {"x": (0.0, 1.0)}
-    for f in (tmp_path / "art/threshold").glob("*.parquet"):
+    (folder,) = (tmp_path / "art/sets").iterdir()
+    for f in (folder / "threshold").glob("*.parquet"):
         f.write_bytes(b"not parquet")
-    with pytest.raises(Exception):
+        (f.parent / f".{f.name}.crc").unlink()  # else the file system itself finds out
+    with pytest.raises(ValueError, match="threshold"):
+        IO.load_artifacts(spark, path)
+    shutil.rmtree(folder / "threshold")
+    with pytest.raises(ValueError, match="threshold"):
         IO.load_artifacts(spark, path)
-    shutil.rmtree(tmp_path / "art/threshold")
-    assert IO.load_artifacts(spark, path).threshold == 0.5
+
+
+@pytest.mark.parametrize("ended", ["features", "scaler", "threshold", "manifest"])
+def test_a_writer_that_ends_leaves_the_former_set(spark, tmp_path, monkeypatch, ended):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import DataFrameWriter
+
+    from attrition.operators.score import Artifacts
+
+    path = str(tmp_path / "art")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="f")]).fit(spark.createDataFrame([(1.0,)], "x double"))
+    new = Artifacts(model=model, features=["y"], scaler={"y": (2, 3)}, threshold=0.7)
+    real = {kind: getattr(DataFrameWriter, kind) for kind in ("parquet", "text")}
+
+    def ending(kind):
+        def write(self, to, *args, **kw):
+            if ended in to:
+                raise RuntimeError("ended")
+            return real[kind](self, to, *args, **kw)
+        return write
+
+    for kind in real:
+        monkeypatch.setattr(DataFrameWriter, kind, ending(kind))
+    with pytest.raises(RuntimeError):
+        IO.save_artifacts(spark, path, new)
+    with pytest.raises(Exception):
+        IO.load_artifacts(spark, path)  # nothing is published yet
+    monkeypatch.undo()
+    IO.save_artifacts(spark, path, Artifacts(model=model, features=["x"], scaler={"x": (0, 1)}, threshold=0.3))
+    for kind in real:
+        monkeypatch.setattr(DataFrameWriter, kind, ending(kind))
+    with pytest.raises(RuntimeError):
+        IO.save_artifacts(spark, path, new)
+    monkeypatch.undo()
+    got = IO.load_artifacts(spark, path)
+    assert (got.features, got.scaler, got.threshold) == (["x"], {"x": (0.0, 1.0)}, 0.3)
+    IO.save_artifacts(spark, path, new)
+    assert IO.load_artifacts(spark, path).threshold == 0.7
 
 
 def test_tuned_fit_uses_the_winner(spark):
