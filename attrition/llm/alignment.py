@@ -1,8 +1,8 @@
 """Two tokenisations of the same text, aligned: which tokens of one overlap which of the other.
 
 Every text is tokenised whole by both vocabularies (A: byte-level BPE; B: sentencepiece). Where tokens with
-a leading space begin in both at the same byte, both have an end just before: these verified shared ends
-are the anchors that cut a document into windows of token ids. A window's alignment depends on nothing but
+a leading space or line end begin in both at the same byte, both have an end just before: these verified shared
+ends are the anchors that cut a document into windows of token ids. A window's alignment depends on nothing but
 its two id tuples, so it is worked out once and kept; a document's groups, links and pairs are its windows'
 put together. A text without anchors is one window.
 
@@ -17,118 +17,148 @@ of their own and are counted row by row; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import re
-from itertools import chain
+from array import array
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from attrition.llm.bpe import Recent, coder
+from attrition.llm.bpe import Recent, byte_letters
 from attrition.llm.common import written
 from attrition.session import ship_package
 
 MARK = "▁"
+#: Blanks beside space and line end that A's pattern knows, and B's mark for a space.
+OTHER_BLANKS = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + MARK + "]").search
 BROADCAST_PAIRS = 1_000_000  # 16 bytes each in a hash table
 SCHEMA = "at long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
-class Pieces:
-    """Ids of a text by the sentencepiece file at ``path``.
+def sentence_pieces(path: str) -> tuple:
+    """(model, bytes of every piece by id)."""
+    import sentencepiece
 
-    Where no piece has a mark or a line end after another character, merges stay between blanks and line ends, so
-    the words of a text are encoded apart and kept; else texts are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    named = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    return model, [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(named)]
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        named = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(named)]
-        self.encode = model.encode
-        self.by_word = MARK in named and not any(re.search(f"[^{MARK}]{MARK}|\n.|.\n", p) for p in named)
-        self.find = re.compile(r" +[^ \n]*|\n+[^ \n]*").findall
-        lone = [named.index(MARK)] if self.by_word else []
 
-        def of_word(word: str) -> list:  # the model puts a mark in front of what it is given
-            if word == " ":
-                return lone
-            return model.encode(word[1:]) if word[0] == " " else model.encode(word)[1:]
+def align(a, b, a_side: tuple, b_side: tuple, base: int) -> tuple:
+    """(number of a, of b, groups as text, links as ``a * base + b``, packed) of two runs of tokens that cover the same bytes.
+    A side has by id the token's width in bytes and the id in decimal."""
+    (a_width, a_name), (b_width, b_name) = a_side, b_side
+    groups, links, a_rest, b_rest = [], [], iter(a), iter(b)
+    x, y = next(a_rest), next(b_rest)
+    x_end, y_end, xs, ys = a_width[x], b_width[y], a_name[x], b_name[y]
+    while True:
+        links.append(x * base + y)
+        if x_end == y_end:
+            groups.append(f"{xs}|{ys}")
+            x = next(a_rest, None)
+            if x is None:
+                return len(a), len(b), ";".join(groups), array("q", links).tobytes()
+            y = next(b_rest)
+            x_end, y_end, xs, ys = x_end + a_width[x], y_end + b_width[y], a_name[x], b_name[y]
+        elif x_end < y_end:
+            x = next(a_rest)
+            x_end += a_width[x]
+            xs = f"{xs},{a_name[x]}"
+        else:
+            y = next(b_rest)
+            y_end += b_width[y]
+            ys = f"{ys},{b_name[y]}"
 
-        self.words = Recent(of_word)
 
-    def ids(self, text: str) -> list:
-        if self.by_word and MARK not in text:
-            return list(chain.from_iterable(map(self.words.__getitem__, self.find(" " + text))))
-        return self.encode(text)
+def together(found) -> tuple:
+    """What ``align`` gives of windows that follow each other."""
+    n_a, n_b, groups, links = zip(*found, strict=True)
+    return sum(n_a), sum(n_b), ";".join(groups), b"".join(links)
 
 
-def align(a: tuple, b: tuple, a_width: list, b_width: list, base: int) -> tuple:
-    """(groups as text, number of groups, links as ``a * base + b``) of two runs of tokens that cover the same bytes."""
-    groups, links = [], []
-    i = j = i_first = j_first = 0
-    a_end, b_end = a_width[a[0]], b_width[b[0]]
-    while True:
-        links.append(a[i] * base + b[j])
-        if a_end == b_end:
-            groups.append(",".join(map(str, a[i_first:i + 1])) + "|" + ",".join(map(str, b[j_first:j + 1])))
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups), len(groups), np.array(links, dtype=np.int64).tobytes()
-            i_first, j_first = i, j
-            a_end, b_end = a_end + a_width[a[i]], b_end + b_width[b[j]]
-        elif a_end < b_end:
-            i += 1
-            a_end += a_width[a[i]]
-        else:
-            j += 1
-            b_end += b_width[b[j]]
+def packed(ids) -> bytes:
+    return array("I", ids).tobytes()
 
 
 class Aligner:
-    """Both vocabularies and the windows met so far."""
+    """Both vocabularies, and the chunks and windows met so far.
+
+    A chunk is a run of spaces and line ends with what follows up to the next. A's pattern looks at blanks by their
+    run only, and where no piece of B has a mark behind another character, or a line end beside one, B merges nothing
+    over the beginning of a run: then the ids of a text are those of its chunks, and every chunk begins at an anchor.
+    The alignment of its windows is kept with a chunk; a text for which this does not hold is encoded and cut whole.
+    """
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = coder(a_path, special=False), Pieces(b_path)
-        self.a.pieces.most = self.b.words.most = 200_000
-        self.base = len(self.b.raw)
-        self.widths = [[len(r) for r in side.raw] for side in (self.a, self.b)]
-        self.width_of = [np.array(w) for w in self.widths]
-        self.marked = [np.array([r.startswith(b" ") for r in side.raw]) for side in (self.a, self.b)]
-        self.windows = Recent(self.window, 150_000)
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.a, (self.b, b_raw) = Tokenizer.from_file(a_path), sentence_pieces(b_path)
+        self.a.encode_special_tokens = True
+        self.a.no_truncation()
+        self.a.no_padding()
+        letters = {c: i for i, c in enumerate(byte_letters())}
+        a_raw = [b""] * self.a.get_vocab_size()
+        for text, t in self.a.get_vocab(with_added_tokens=False).items():
+            a_raw[t] = bytes(letters[c] for c in text)
+        self.raw, self.base = (a_raw, b_raw), len(b_raw)
+        self.sides = [([len(r) for r in raw], [str(i) for i in range(len(raw))]) for raw in self.raw]
+        self.marked = [[r[:1] in (b" ", b"\n") for r in raw] for raw in self.raw]
+        named = [self.b.id_to_piece(i) for i in range(self.base)]
+        self.by_chunk = MARK in named and not any(re.search(f"[^{MARK}]{MARK}|\n.|.\n", p) for p in named)
+        self.lone = [named.index(MARK)] if self.by_chunk else []
+        self.find = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+        self.chunks = Recent(lambda chunk: self.encode([chunk])[0], 400_000)
+        self.windows = Recent(self.window, 250_000, lambda key: len(key[0]) // 4)
+
+    def encode(self, chunks: list) -> list:
+        """Per chunk its alignment; None if the bytes of A's or B's tokens are not the chunk's. B's model puts a mark in front of what it is given."""
+        out = []
+        for text, x, y in zip(chunks, self.a.encode_batch_fast(chunks, add_special_tokens=False),
+                              self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1), strict=True):
+            a, b, want = x.ids, y[1:] if text[0] == "\n" else y or self.lone, text.encode()
+            same = all(b"".join([raw[i] for i in ids]) == want for raw, ids in zip(self.raw, (a, b), strict=True))
+            out.append(together([self.windows[key] for key in self.cut(a, b)]) if same else None)
+        return out
+
+    def cut(self, a: list, b: list) -> tuple:
+        """Windows of two tokenisations of the same bytes, as their packed ids: cut before spaces or line ends at which tokens of both begin."""
+        if not any(map(self.marked[0].__getitem__, a[1:])):
+            return ((packed(a), packed(b)),)
+        starts = [list(accumulate(map(width.__getitem__, ids), initial=0)) for (width, _), ids in zip(self.sides, (a, b), strict=True)]
+        places = [{s: k for k, (s, t) in enumerate(zip(at, ids)) if k and mark[t]} for at, ids, mark in zip(starts, (a, b), self.marked, strict=True)]
+        shared = sorted(places[0].keys() & places[1].keys())
+        i, j = ([0, *map(place.__getitem__, shared), len(ids)] for place, ids in zip(places, (a, b), strict=True))
+        return tuple([(packed(a[p:q]), packed(b[r:s])) for p, q, r, s in zip(i, i[1:], j, j[1:])])
+
+    def chunked(self, text: str) -> bool:
+        return self.by_chunk and not OTHER_BLANKS(text)
+
+    def learn(self, texts) -> list:
+        """Per text its chunks (None for one that goes whole, or has no tokens); new ones are encoded together."""
+        known = self.chunks
+        found = [self.find(" " + t) if t and self.chunked(t) else None for t in texts]
+        new = set().union(*filter(None, found)).difference(known).difference(known.older)
+        new = [c for c in new if len(c) <= 64]
+        for c, ids in zip(new, self.encode(new) if new else [], strict=True):
+            known.keep(c, ids)
+        return found
 
     def window(self, key: tuple) -> tuple:
-        return align(*key, *self.widths, self.base)
-
-    def cuts(self, ids: tuple) -> list:
-        """Per side the first tokens of all windows, and the number of tokens."""
-        starts, marked = [], []
-        for side, width, mark in zip(ids, self.width_of, self.marked, strict=True):
-            side = np.array(side)
-            starts.append(np.cumsum(width[side]) - width[side])
-            marked.append(starts[-1][mark[side]])
-        here = np.zeros(max(int(s[-1]) for s in starts) + 1, dtype=bool)
-        here[marked[0]] = True
-        shared = marked[1][here[marked[1]]]
-        if not len(shared) or shared[0]:
-            shared = np.concatenate([[0], shared])
-        return [[*np.searchsorted(s, shared).tolist(), len(side)] for s, side in zip(starts, ids, strict=True)]
-
-    def document(self, text: str) -> tuple | None:
-        """(ids of A, ids of B, alignments of its windows in order); None if the text has no tokens."""
+        return align(*[array("I", side) for side in key], *self.sides, self.base)
+
+    def document(self, text: str, chunks: list | None) -> tuple | None:
+        """The alignment of a whole text; None if it has no tokens."""
         if not text:
             return None
-        a, b, whole = self.a.ids(" " + text), self.b.ids(text), (" " + text).encode()
-        if any(b"".join(map(side.raw.__getitem__, ids)) != whole for side, ids in ((self.a, a), (self.b, b))):
-            return None
-        i, j = self.cuts((a, b))
-        known, found = self.windows, []
-        for k in range(len(i) - 1):
-            key = tuple(a[i[k]:i[k + 1]]), tuple(b[j[k]:j[k + 1]])
-            found.append(known[key] if len(key[0]) <= 64 else self.window(key))
-        return a, b, found
+        if chunks is None:
+            return self.encode([" " + text])[0]
+        found = list(map(self.chunks.__getitem__, chunks))
+        return None if None in found else together(found)
 
 
 _ALIGNERS: dict = {}
@@ -146,24 +176,28 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     ship_package(docs.sparkSession)
 
     def run(batches):
+        gc.disable()  # nothing here refers to itself, and the kept chunks are many objects to look through
+        try:
+            yield from documents(batches, aligner(a_path, b_path), TaskContext.get().partitionId() << 33)
+        finally:
+            gc.enable()
+
+    def documents(batches, of, number):
         import pyarrow as pa
 
-        of = aligner(a_path, b_path)
-        number = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                rows, pairs, times, offsets = [], [], [], [0]
-                for t in batch.column(1):
-                    found = of.document(t.as_py())
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                rows, pairs, times, offsets, texts = [], [], [], [0], batch.column(1).to_pylist()
+                for text, chunks in zip(texts, of.learn(texts), strict=True):
+                    found = of.document(text, chunks)
                     if found is None:
                         rows.append((0, 0, 0, 0, ""))
                         offsets.append(offsets[-1])
                         continue
-                    a, b, windows = found
-                    links = np.frombuffer(b"".join([w[2] for w in windows]), dtype=np.int64)
-                    digest = hashlib.sha256(";".join([w[0] for w in windows]).encode()).hexdigest()
-                    rows.append((len(a), len(b), sum([w[1] for w in windows]), len(links), digest))
+                    n_a, n_b, groups, links = found
+                    links = np.frombuffer(links, dtype=np.int64)
+                    rows.append((n_a, n_b, groups.count(";") + 1, len(links), hashlib.sha256(groups.encode()).hexdigest()))
                     distinct, count = np.unique(links, return_counts=True)
                     pairs.append(distinct)
                     times.append(count)
@@ -204,7 +238,7 @@ def rate_documents(aligned: DataFrame, base: int, broadcast_pairs: int = BROADCA
 def align_corpus(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """Alignment of every document and the standing of its links in the corpus."""
     aligned = written(align_documents(docs, a_path, b_path, id_col, text_col), "aligned")
-    return rate_documents(aligned, len(Pieces(b_path).raw), broadcast_pairs)
+    return rate_documents(aligned, len(sentence_pieces(b_path)[1]), broadcast_pairs)
 
 
 def op11_alignment(spark, sf_dir: str) -> DataFrame:

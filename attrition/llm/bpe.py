@@ -44,22 +44,25 @@ def byte_letters() -> list:
 
 
 class Recent(dict):
-    """Key -> ``make(key)``. Holds the last ``most`` keys and what is still used of the ``most`` before them; long keys are not kept."""
+    """Key -> ``make(key)``. Holds the last ``most`` keys and what is still used of the ``most`` before them; long keys (by ``size``) are not kept."""
 
-    def __init__(self, make, most: int = 400_000):
-        self.make, self.most, self.older = make, most, {}
+    def __init__(self, make, most: int = 400_000, size=len):
+        self.make, self.most, self.size, self.older = make, most, size, {}
 
     def __missing__(self, key):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
-            if len(key) > 64:
+            if self.size(key) > 64:
                 return found
+        self.keep(key, found)
+        return found
+
+    def keep(self, key, found) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = found
-        return found
 
 
 class Merges:

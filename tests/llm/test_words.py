@@ -95,14 +95,6 @@ def test_round_trips(nasty_docs, nasty_rows, no_docs):
 
 # -- alignment ---------------------------------------------------------------
 
-def test_pieces_equal_the_model():
-    model, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), alignment.Pieces(PIECES)
-    assert own.by_word
-    for t in odd_texts():
-        if t:
-            assert own.ids(t) == model.encode(t), t
-
-
 def plain_alignment(text, tok, model):
     """(a, b, groups, links) by comparing every token of A with every one of B near it."""
     if not text:
@@ -164,13 +156,33 @@ def test_align_corpus(spark, nasty_docs, nasty_rows, no_docs, broadcast_pairs):
     assert alignment.align_corpus(no_docs, BYTES, PIECES, broadcast_pairs=broadcast_pairs).collect() == []
 
 
-def test_windows_are_cut_at_shared_ends_only():
-    of = alignment.Aligner(BYTES, PIECES)
-    a, b, windows = of.document("Antidisestablishmentarianism\nis 漢字  a long word, isn't it?")
-    assert len(windows) > 3
-    assert sum(len(w[0].replace("|", ",").replace(";", ",").split(",")) for w in windows) == len(a) + len(b)
-    assert of.document("漢" * 500)[2][0][1] >= 1  # no anchors: one window, not kept
-    assert all(len(k[0]) <= 64 for k in of.windows)
+def test_chunks_and_windows_equal_the_whole_text():
+    """Aligned by chunks and windows, or as one window, a text has the same groups and links; its ids are those of the libraries."""
+    tok, model, own = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES), alignment.Aligner(BYTES, PIECES)
+    tok.encode_special_tokens = True
+    assert own.by_chunk
+    seen, texts = 0, odd_texts() + odd_texts(800, "aB's,.;)(-1é \n") + ["漢" * 500]
+    for t, chunks in zip(texts, own.learn(texts), strict=True):
+        found = own.document(t, chunks)
+        if found:
+            seen += 1
+            a, b = tok.encode(" " + t, add_special_tokens=False).ids, model.encode(t)
+            assert found == alignment.align(a, b, *own.sides, own.base), t
+            assert re.split("[|;,]", found[2]) and found[0] + found[1] == len(a) + len(b)
+    assert seen > 3000 and len(own.chunks) > 1000 and len(own.windows) > 1000
+    assert all(len(k[0]) <= 256 for k in own.windows)
+
+
+def test_windows_begin_at_shared_ends_before_blanks():
+    own = alignment.Aligner(BYTES, PIECES)
+    tok, model = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    text = "Antidisestablishmentarianism\nis 漢字  a long word, isn't it?"
+    a, b = tok.encode(" " + text, add_special_tokens=False).ids, model.encode(text)
+    windows = own.cut(a, b)
+    assert len(windows) > 5 and tuple(map(b"".join, zip(*windows))) == (alignment.packed(a), alignment.packed(b))
+    for w in windows:
+        x, y = (b"".join(own.raw[k][i] for i in memoryview(side).cast("I")) for k, side in enumerate(w))
+        assert x == y and x[:1] in (b" ", b"\n")
 
 
 # -- spelling ----------------------------------------------------------------
