@@ -112,8 +112,8 @@ class Aligner:
         self.by_chunk = MARK in named and not any(re.search(f"[^{MARK}]{MARK}|\n.|.\n", p) for p in named)
         self.lone = [named.index(MARK)] if self.by_chunk else []
         self.find = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-        self.chunks = Recent(lambda chunk: self.encode([chunk])[0], 400_000)
-        self.windows = Recent(self.window, 250_000, lambda key: len(key[0]) // 4)
+        self.chunks = Recent(lambda chunk: self.encode([chunk])[0], 250_000)
+        self.windows = Recent(self.window, 120_000, lambda key: len(key[0]) // 4)
 
     def encode(self, chunks: list) -> list:
         """Per chunk its alignment; None if the bytes of A's or B's tokens are not the chunk's. B's model puts a mark in front of what it is given."""

@@ -2,18 +2,22 @@
 
 Tokens are summed by cell (source, language, topic ...) with partial aggregates, so a source
 with a third of all rows is one row per task. The cell weights are raked to the target shares
-of every dimension in turn until all margins agree; each sweep is written to the shared folder.
-A document's probability is its cell's calibrated weight over the cell's tokens, scaled to a
-budget: the share ``keep`` of all tokens (of levels with a target) is drawn in expectation. A
-cell whose tokens do not reach its part is taken whole and what it lacks is spread over the
-others in proportion to their weights, so a small cell sets its own rate only; margins differ
-from the targets by what such cells lack. Without ``keep`` the largest probability is 1 (margins
-hold exactly in expectation, at the rate of the scarcest cell). Nothing is repeated. A document
-is drawn if a hash of its id, as a number in [0, 1), is below. Recomputed tasks draw alike.
+of every dimension in turn until all margins agree; the sums of a level come from a window over
+the cells, and some sweeps at a time are written to the shared folder.
+
+``keep`` is the share of all tokens (of levels with a target) that is drawn in expectation. No
+cell gives more than its tokens, so a level cannot get more than it has: ``reachable`` gives
+each level the part of the budget that its target asks for, at most all it has, and spreads what
+that leaves over the other levels of its dimension in proportion. Raking is to these margins,
+with full cells held at their tokens and the free cells raked against what remains. With
+``hold`` the budget is lowered instead until every target can be reached. Without ``keep`` the
+largest probability is 1. Nothing is repeated. A document's probability is its cell's weight over
+the cell's tokens; it is drawn if a hash of its id, as a number in [0, 1), is below. Recomputed
+tasks draw alike. ``margin_report`` has the shares asked for, reachable and got.
 
 Defined results: a null level is a level of its own; a level without a target share gets
 probability 0; targets of levels without documents are spread over the others in proportion;
-margins that cannot all hold (empty cells) end at ``sweeps`` or when a sweep changes nothing;
+margins that cannot all hold (empty cells) end at ``sweeps`` or when sweeps change nothing;
 null and empty texts have 0 tokens, and a cell without tokens the probability 1; repeated ids
 are drawn alike; an empty table gives no rows; all columns are carried inside ``row``.
 """
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from attrition.llm.common import written
 
@@ -32,8 +36,7 @@ KEEP = 0.8  # share of all tokens that op4_mixing and the pipeline draw
 
 def word_tokens(text):
     """Words of a text column, split at white space."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.translate(t, " ", "")) + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def level(dim: str):
@@ -45,41 +48,110 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict, tolerance: float = 1e-7, sweeps: int = 200) -> DataFrame:
-    """``cells`` (one column per dimension, tokens) with ``weight``: tokens raked to ``targets`` {dimension: (dimension, share)}, shares of any sum; weights sum to 1."""
-    targets = {d: written(cells.select(d).distinct().join(t, d, "left").select(d, F.coalesce("share", F.lit(0.0)).alias("share")), f"target-{d}") for d, t in targets.items()}
-    sums = {d: t.agg(F.sum("share")).first()[0] or 1.0 for d, t in targets.items()}
-    now = written(cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")), "cells")
-    last = None
-    for _ in range(sweeps):
-        for d, t in targets.items():
-            factor = now.groupBy(d).agg(F.sum("weight").alias("held")).join(t, d).select(d, F.coalesce(F.try_divide(F.col("share") / sums[d], F.col("held")), F.lit(0.0)).alias("factor"))
-            now = now.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = written(now, "raked")
-        off = [now.groupBy(d).agg(F.sum("weight").alias("held")).join(t, d).select(F.abs(F.col("held") - F.col("share") / sums[d]).alias("off")) for d, t in targets.items()]
-        worst = reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0
-        if worst <= tolerance or last is not None and abs(last - worst) <= tolerance / 100:
-            break
-        last = worst
-    return now
+def _targets(cells: DataFrame, targets: dict) -> dict:
+    """Per dimension (dimension, share, held): normalised shares of the levels that have tokens, and these tokens."""
+    out = {}
+    for d, t in targets.items():
+        levels = cells.where("tokens > 0").groupBy(d).agg(F.sum("tokens").cast("double").alias("held"))
+        levels = levels.join(t, d, "left").select(d, F.coalesce("share", F.lit(0.0)).alias("share"), "held")
+        total = levels.agg(F.sum("share").alias("s")).first()[0] or 1.0
+        out[d] = written(levels.withColumn("share", F.col("share") / total), f"target-{d}")
+    return out
 
 
-def budget_scale(weight: DataFrame, keep: float) -> float:
-    """The scale at which the weights, no cell above its tokens, sum to ``keep`` of all tokens; cells found full stay full, so rounds end."""
-    budget = keep * (weight.where("weight > 0").agg(F.sum("tokens")).first()[0] or 0)
+def filled(levels: DataFrame, budget: float) -> float:
+    """The scale at which the shares, no level above its tokens, sum to ``budget``; levels found full stay full, so rounds end."""
     scale = None
     while True:
-        full = F.lit(False) if scale is None else F.col("weight") * scale >= F.col("tokens")
-        held, free = weight.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("weight")))).first()
+        full = F.lit(False) if scale is None else F.col("share") * scale >= F.col("held")
+        held, free = levels.agg(F.sum(F.when(full, F.col("held"))), F.sum(F.when(~full, F.col("share")))).first()
         now = (budget - (held or 0)) / free if free else scale or 1.0
         if scale is not None and now <= scale * (1 + 1e-12):
             return scale
         scale = now
 
 
+def reachable(targets: dict, keep: float, hold: bool = False) -> tuple:
+    """(budget in tokens, per dimension (dimension, goal)) of ``_targets``: ``keep`` of the tokens that every dimension
+    has a target for, or with ``hold`` at most what leaves every level's share within its tokens."""
+    facts = [t.where("share > 0").agg(F.sum("held").alias("held"), F.min(F.col("held") / F.col("share")).alias("most")).first() for t in targets.values()]
+    budget = keep * min((f["held"] or 0.0 for f in facts), default=0.0)
+    if hold:
+        budget = min([budget, *[f["most"] for f in facts if f["most"] is not None]])
+    return budget, {d: t.withColumn("goal", F.least("held", F.col("share") * filled(t, budget))).select(d, "goal") for d, t in targets.items()}
+
+
+def rake(cells: DataFrame, targets: dict, tolerance: float = 1e-7, sweeps: int = 200, together: int = 4) -> DataFrame:
+    """``cells`` (one column per dimension, tokens) with ``weight``: tokens raked to ``targets`` {dimension: (dimension, share)}, shares of any sum; weights sum to 1."""
+    goals = {d: t.select(d, F.col("share").alias("goal")) for d, t in _targets(cells, targets).items()}
+    return _raked(cells, goals, 1.0, False, tolerance, sweeps, together)
+
+
+def rake_within(cells: DataFrame, goals: dict, budget: float, tolerance: float = 1e-8, sweeps: int = 400, together: int = 4) -> DataFrame:
+    """``cells`` with ``weight``: tokens raked to ``goals`` {dimension: (dimension, goal)}, each dimension's sum being ``budget`` tokens, and no cell above its tokens."""
+    return _raked(cells, goals, budget, True, tolerance, sweeps, together)
+
+
+def _raked(cells: DataFrame, goals: dict, budget: float, capped: bool, tolerance: float, sweeps: int, together: int) -> DataFrame:
+    """Weights are tokens times a factor of each level, and count up to their cell's tokens only. One step gives a level
+    the factor that brings its free cells to its goal beside the full ones (by which some more may get full; the next
+    sweep sees them). The deviations of a sweep are carried along, so ``together`` sweeps are one plan and one written table."""
+    dims = list(goals)
+    total = cells.where("tokens > 0").agg(F.sum("tokens")).first()[0] or 1
+    now = cells.where("tokens > 0")
+    for d, g in goals.items():
+        now = now.join(g.withColumnRenamed("goal", f"goal_{d}"), d)
+    now = written(now.withColumn("weight", F.col("tokens") * F.lit(budget / total)), "cells")
+    cap = F.col("tokens").cast("double") if capped else F.lit(float("inf"))
+    last = None
+    for _ in range(0, sweeps, together):
+        for _ in range(together):
+            off = F.lit(0.0)
+            for d in dims:
+                w, goal, weight = Window.partitionBy(d), F.col(f"goal_{d}"), F.col("weight")
+                now = now.withColumns({"_full": F.coalesce(F.sum(F.when(weight >= cap, cap)).over(w), F.lit(0.0)), "_free": F.coalesce(F.sum(F.when(weight < cap, weight)).over(w), F.lit(0.0))})
+                held = F.col("_full") + F.col("_free")
+                beside = F.try_divide(goal - F.col("_full"), F.col("_free"))
+                factor = F.coalesce(F.when(goal > F.col("_full"), F.coalesce(beside, F.lit(1.0))).otherwise(F.try_divide(goal, held)), F.lit(0.0))
+                now = now.withColumn("_off", F.greatest(off, F.abs(held - goal))).withColumn("weight", weight * factor)
+                off = F.col("_off")
+        now = written(now.drop("_full", "_free"), "raked")
+        worst = (now.agg(F.max("_off")).first()[0] or 0.0) / (budget or 1.0)
+        if worst <= tolerance or last is not None and abs(last - worst) <= tolerance / 100:
+            break
+        last = worst
+    keep = [c for c in now.columns if c != "_off" and not c.startswith("goal_")]
+    return now.select(*[F.least(cap, "weight").alias("weight") if c == "weight" else c for c in keep])
+
+
+def margin_report(cells: DataFrame, weight: DataFrame, targets: dict, goals: dict, budget: float) -> DataFrame:
+    """dimension, level, target, reachable, got: shares of the drawn tokens, as asked for, as far as they can be reached, and in expectation."""
+    out = []
+    for d, t in targets.items():
+        got = weight.groupBy(d).agg(F.sum("weight").alias("w"))
+        out.append(t.join(goals[d], d).join(got, d, "left").select(
+            F.lit(d).alias("dimension"), F.col(d).alias("level"), F.col("share").alias("target"), F.try_divide(F.col("goal"), F.lit(budget)).alias("reachable"),
+            F.coalesce(F.try_divide(F.col("w"), F.lit(budget)), F.lit(0.0)).alias("got")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def calibrate(cells: DataFrame, targets: dict, keep: float | None = None, hold: bool = False) -> tuple:
+    """(cells with weight, margin report) for the budget ``keep``; None: at the rate of the scarcest cell, whose probability is then 1."""
+    known = _targets(cells, targets)
+    if keep is None:
+        weight = rake(cells, targets)
+        scale = 1 / (weight.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0)
+        goals = {d: t.select(d, (F.col("share") * scale).alias("goal")) for d, t in known.items()}
+        weight = weight.withColumn("weight", F.col("weight") * scale)
+        return weight, margin_report(cells, weight, known, goals, scale)
+    budget, goals = reachable(known, keep, hold)
+    weight = rake_within(cells, goals, budget)
+    return weight, margin_report(cells, weight, known, goals, budget)
+
+
 def mix(docs: DataFrame, dims: list, targets=None, power: float = 0.8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
-        extra: dict | None = None, keep: float | None = None) -> DataFrame:
-    """(row, levels, tokens, probability, drawn). ``dims`` are columns, or keys of ``extra`` {name: expression}; ``targets`` {dim: DataFrame(dim, share)}, by default ``tempered``; ``keep``: share of the tokens to draw."""
+        extra: dict | None = None, keep: float | None = None, hold: bool = False) -> DataFrame:
+    """(row, levels, tokens, probability, drawn). ``dims`` are columns, or keys of ``extra`` {name: expression}; ``targets`` {dim: DataFrame(dim, share)}, by default ``tempered``; ``keep``: share of the tokens to draw, ``hold``: less, if targets ask for it."""
     extra = extra or {}
     named = {d: f"d{i}" for i, d in enumerate(dims)}
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -88,9 +160,8 @@ def mix(docs: DataFrame, dims: list, targets=None, power: float = 0.8, seed: int
     df = docs.select(row, *levels, word_tokens(F.col(text_col).cast("string")).alias("tokens"), u.alias("u"))
     cells = written(df.groupBy(*named.values()).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     want = {n: targets[d].select(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(n), "share") if targets else tempered(cells, n, power) for d, n in named.items()}
-    weight = rake(cells, want)
-    scale = 1 / (weight.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0) if keep is None else budget_scale(weight, keep)
-    chance = weight.select(*named.values(), F.least(F.lit(1.0), F.col("weight") / F.col("tokens") * scale).alias("probability"))
+    weight, _ = calibrate(cells, want, keep, hold)
+    chance = weight.select(*named.values(), F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("probability"))
     out = df.join(written(chance, "mix-chances"), list(named.values()), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     return out.select("row", F.struct(*[F.when(F.col(n) != NONE, F.col(n)).alias(d) for d, n in named.items()]).alias("levels"), "tokens", "probability", (F.col("u") < F.col("probability")).alias("drawn"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from attrition.llm import exact_dedup, mixing, ngram_join, packing, quality
+from attrition.llm.common import written
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +25,18 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of documents linked by word shingles (five words, 0.8) the one with the smallest id; one without an id is kept."""
-    found = ngram_join.jaccard_classes(docs, words=5, num=80, den=100)
-    dropped = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    """Keeps of documents linked by word shingles (five words, 0.8) the one with the smallest id; one without an id is kept.
+
+    A document here is an id with its text: rows that repeat an id with other texts are told apart, each dropped by its own
+    links alone; rows equal in both go together. They are known by a 64-bit hash of id and text."""
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.select(own.alias("own"), "doc_id", "text")
+    found = written(ngram_join.jaccard_classes(keyed, words=5, num=80, den=100, id_col="own").select(F.col("doc_id").alias("own"), F.col("component_id").alias("cls")), "near-classes")
+    linked = found.where("cls <> own")
+    members = linked.select("own", "cls").unionByName(linked.select(F.col("cls").alias("own"), "cls")).distinct().join(keyed.select("own", "doc_id").distinct(), "own")
+    first = members.groupBy("cls").agg(F.min(F.struct("doc_id", "own")).alias("first"))
+    dropped = members.join(first, "cls").where("own <> first.own").select(F.col("own").alias("__dropped")).distinct()
+    return docs.join(dropped, own == F.col("__dropped"), "left_anti")
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

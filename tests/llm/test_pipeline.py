@@ -1,10 +1,12 @@
 """The pipeline's stages over the smallest tables, each against its own input."""
 import hashlib
+import random
 
 import corpus_pipeline
 import __spark_entry__ as entry
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from attrition.llm import ngram_join, packing, queries
 from tests.llm.test_copies import brute_classes
@@ -53,6 +55,24 @@ def test_pipeline_on_nasty_documents(spark, nasty_docs):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
 
 
+def test_rows_that_repeat_an_id_are_dropped_by_their_own_links(spark):
+    rng = random.Random(8)
+    a, other, more = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)) for n in (60, 40, 50))
+    rows = [(1, a), (2, a + " word"), (2, other), (7, more), (7, more), (3, more + " end"), (None, a), (5, None), (6, ""), (8, ""), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"own": F.lit(1), "cls": F.lit("x"), "__dropped": F.lit(2)}).repartition(3)
+    kept = corpus_pipeline.STAGES[2][1](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (2, other), (3, more + " end"), (None, a), (5, None), (6, ""), (8, ""), (2, None)], key=repr)
+
+
+def test_stages_without_documents(spark, no_docs):
+    docs = no_docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == no_docs.columns and docs.collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect() == []
+
+
 def test_run(spark, steps):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == steps[4].select("doc_id").distinct().count()
 
@@ -60,7 +80,7 @@ def test_run(spark, steps):
 def test_queries_are_registered():
     names = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and set(queries.ORACLES) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

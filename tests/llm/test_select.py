@@ -167,3 +167,60 @@ def test_mix_budget_is_not_set_by_a_tiny_cell(spark):
 def test_registered_mixing_keeps_the_budget(spark):
     out = mixing.op4_mixing(spark, "/root/testdata/sf0.001").toPandas()
     assert (out.tokens * out.probability).sum() / out.tokens.sum() == pytest.approx(mixing.KEEP)
+
+
+def bounded_ipf(cells, goals, sweeps=3000):
+    """Tokens times a factor of each level, up to the cell's tokens: every level's factor in turn by bisection."""
+    cap = np.array([c[-1] for c in cells], dtype=float)
+    w = cap * sum(goals[0].values()) / cap.sum()
+    for _ in range(sweeps // 100):
+        for d, goal in enumerate(goals):
+            for level, g in goal.items():
+                at = np.array([c[d] == level for c in cells])
+                low, high = 1e-12, 1e12
+                for _ in range(200):
+                    f = (low * high) ** 0.5
+                    low, high = (f, high) if np.minimum(cap, w * f)[at].sum() < g else (low, f)
+                w[at] *= low
+    return np.minimum(cap, w)
+
+
+def test_rake_within_the_tokens_of_each_cell(spark):
+    """Cells that lack tokens are full, and the margins hold by the others."""
+    rng = random.Random(9)
+    cells = [(a, b, rng.choice([3, 10, 400, 2000])) for a in "vwxyz" for b in "pqrs"]
+    df = spark.createDataFrame(cells, "a string, b string, tokens long")
+    targets = {d: mixing.tempered(df, d, 0.6) for d in "ab"}
+    weight, report = mixing.calibrate(df, targets, keep=0.8)
+    got = {(r.a, r.b): r.weight for r in weight.collect()}
+    known = mixing._targets(df, targets)
+    budget, goals = mixing.reachable(known, 0.8)
+    assert budget == pytest.approx(0.8 * sum(c[-1] for c in cells))
+    goals = [{r[d]: r.goal for r in goals[d].collect()} for d in "ab"]
+    want = bounded_ipf(cells, goals)
+    assert sum(w >= c[-1] * (1 - 1e-9) for w, c in zip(want, cells)) >= 2  # some are full
+    for c, w in zip(cells, want, strict=True):
+        assert got[c[:2]] == pytest.approx(w, rel=1e-3, abs=1e-2) and got[c[:2]] <= c[-1] * (1 + 1e-12)
+    for r in report.collect():
+        at = [c["ab".index(r.dimension)] == r.level for c in cells]
+        assert r.got == pytest.approx(want[at].sum() / budget, abs=1e-4)
+
+
+def test_targets_beyond_a_level_are_reported_or_lower_the_budget(spark):
+    """Sources of 9000, 900 and 100 tokens: at 0.8 the small ones are taken whole and the report says so; held, all targets are reached."""
+    df = spark.createDataFrame([("big", 9000), ("mid", 900), ("rare", 100)], "source string, tokens long")
+    want = {"source": spark.createDataFrame([("big", 0.843), ("mid", 0.134), ("rare", 0.023)], "source string, share double")}
+    _, report = mixing.calibrate(df, want, keep=0.8)
+    rows = {r.level: (round(r.target, 4), round(r.reachable, 4), round(r.got, 4)) for r in report.collect()}
+    assert rows == {"big": (0.843, 0.875, 0.875), "mid": (0.134, 0.1125, 0.1125), "rare": (0.023, 0.0125, 0.0125)}
+    weight, report = mixing.calibrate(df, want, keep=0.8, hold=True)
+    assert all(r.got == pytest.approx(r.target, abs=1e-7) for r in report.collect())
+    assert sum(r.weight for r in weight.collect()) == pytest.approx(100 / 0.023)
+
+
+def test_registered_mixing_reaches_what_can_be_reached(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    df = docs.select("source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.word_tokens(F.col("text")).alias("tokens"))
+    cells = df.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    _, report = mixing.calibrate(cells, {d: mixing.tempered(cells, d, 0.8) for d in ("source", "lang", "topic")}, keep=mixing.KEEP)
+    assert max(abs(r.got - r.reachable) for r in report.collect()) < 0.002
