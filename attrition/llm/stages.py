@@ -35,8 +35,8 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked = found.where("cls <> own")
     members = linked.select("own", "cls").unionByName(linked.select(F.col("cls").alias("own"), "cls")).distinct().join(keyed.select("own", "doc_id").distinct(), "own")
     first = members.groupBy("cls").agg(F.min(F.struct("doc_id", "own")).alias("first"))
-    dropped = members.join(first, "cls").where("own <> first.own").select(F.col("own").alias("__dropped")).distinct()
-    return docs.join(dropped, own == F.col("__dropped"), "left_anti")
+    dropped = members.join(first, "cls").where("own <> first.own").select("own").distinct()
+    return docs.join(dropped, own == dropped["own"], "left_anti")
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
