@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from attrition.operators.encode import NUMERIC_TYPES, columns_of_type
 from attrition.operators.rank import distinct_counts, prefix_sums, rank_summary
+from attrition.operators.sketch import read_profiles, sketch_profiles
 
 
 
@@ -137,44 +138,36 @@ def profile_numeric(df: DataFrame, cols, approx: bool = False) -> DataFrame:
     """variable, n, min, q1, mean, median, q3, max, zero, minus, outlier.
 
     Exact quantiles (type 7, as R/DuckDB ``quantile_cont``) are read off a
-    two-phase prefix sum over distinct values — no per-group value map in
+    prefix sum over distinct values — no per-group value map in
     memory and no single-task window. ``outlier`` counts values beyond the
     box-plot fences: Tukey's hinges ± 1.5 × the hinge spread (the hinges
-    come from the same prefix sums; ``approx`` uses the approximate
-    quartiles instead).
+    come from the same prefix sums). ``approx``: one pass over the rows with
+    mergeable sketches instead (``operators.sketch``).
     """
-    d = distinct_counts(df, cols)
+    r6 = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
     if approx:
-        q = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-            [], list(cols), "variable", "value").groupBy("variable").agg(
-            F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("qs"))
-        q = q.select("variable", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-                     F.col("qs")[2].alias("q3"))
-        src = d
+        res = read_profiles(sketch_profiles(df, cols)).where("n > 0")
     else:
         # everything below reads the checkpointed prefix table, not the input again
-        src = prefix_sums(d, ["variable"], "value", ["n"])
+        src = prefix_sums(distinct_counts(df, cols), ["variable"], "value", ["n"])
         # quartiles and hinges in one aggregation over the prefix table
         q = rank_summary(src, ["variable"], "value",
                          quantiles=[("q1", "n", 0.25), ("median", "n", 0.5), ("q3", "n", 0.75)],
                          hinges=[("", "n")])
-    if approx:
-        q = q.select("*", F.col("q1").alias("lower_hinge"), F.col("q3").alias("upper_hinge"))
-    spread = F.col("upper_hinge") - F.col("lower_hinge")
-    fences = q.select("variable", "q1", "median", "q3",
-                      (F.col("lower_hinge") - 1.5 * spread).alias("lo"),
-                      (F.col("upper_hinge") + 1.5 * spread).alias("hi"))
-    # one row per variable: bounded by the number of columns profiled
-    j = src.join(F.broadcast(fences), "variable")
-    n, v = F.col("n"), F.col("value")
-    res = j.groupBy("variable").agg(
-        F.sum(n).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
-        (F.sum(v * n) / F.sum(n)).alias("mean"),
-        F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zero"),
-        F.coalesce(F.sum(F.when(v < 0, n)), F.lit(0)).alias("minus"),
-        F.coalesce(F.sum(F.when((v < F.col("lo")) | (v > F.col("hi")), n)), F.lit(0)).alias("outlier"),
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"))
-    r6 = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+        spread = F.col("upper_hinge") - F.col("lower_hinge")
+        fences = q.select("variable", "q1", "median", "q3",
+                          (F.col("lower_hinge") - 1.5 * spread).alias("lo"),
+                          (F.col("upper_hinge") + 1.5 * spread).alias("hi"))
+        # one row per variable: bounded by the number of columns profiled
+        j = src.join(F.broadcast(fences), "variable")
+        n, v = F.col("n"), F.col("value")
+        res = j.groupBy("variable").agg(
+            F.sum(n).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
+            (F.sum(v * n) / F.sum(n)).alias("mean"),
+            F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zero"),
+            F.coalesce(F.sum(F.when(v < 0, n)), F.lit(0)).alias("minus"),
+            F.coalesce(F.sum(F.when((v < F.col("lo")) | (v > F.col("hi")), n)), F.lit(0)).alias("outlier"),
+            F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"))
     return res.select("variable", F.col("n").cast("long").alias("n"), r6("min"), r6("q1"), r6("mean"),
                       r6("median"), r6("q3"), r6("max"), F.col("zero").cast("long").alias("zero"),
                       F.col("minus").cast("long").alias("minus"),

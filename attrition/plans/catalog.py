@@ -23,6 +23,7 @@ from attrition.operators import model as M
 from attrition.operators import profile as P
 from attrition.operators import scale as SC
 from attrition.operators import score as SCO
+from attrition.operators import sketch as SK
 from attrition.operators import split as SP
 from attrition.operators import stat_tests as ST
 from attrition.operators.rank import distinct_counts, prefix_sums, quantile_values, row_ids
@@ -318,6 +319,30 @@ def q_profile_numeric(spark, sf):
     return P.profile_numeric(customers_raw(spark, sf), NUMS)
 
 
+@register("profile_sketches", sql(f"""SELECT variable, count(value) AS n, count(*) - count(value) AS missing, CAST(count(*) FILTER (WHERE value = 0) AS BIGINT) AS zero,
+  CAST(count(*) FILTER (WHERE value < 0) AS BIGINT) AS minus, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean,
+  true AS quartiles_within, true AS distinct_within FROM ({unpivot('customers_raw', NUMS, cast='DOUBLE')}) GROUP BY variable"""))
+def q_profile_sketches(spark, sf):
+    """Profiles kept by partition, one of them read again, then merged: exact facts, and whether the quartiles' ranks and
+    the distinct counts are within the sketches' error."""
+    df = customers_raw(spark, sf).withColumn("part", (F.substring("customerID", 2, 20).cast("long") % 5).cast("int"))
+    path = scratch_path(spark, "profiles")
+    SK.store_profiles(df, NUMS, path, "part")
+    SK.store_profiles(df.where("part = 3"), NUMS, path, "part")
+    found = SK.stored_profile(spark, path)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in NUMS]).unpivot([], NUMS, "variable", "value").where("value is not null")
+    e = SK.rank_error()
+    seen = long.join(F.broadcast(found.select("variable", "q1", "median", "q3")), "variable").groupBy("variable").agg(  # one row a variable
+        *[F.avg((F.col("value") <= F.col(q)).cast("double")).alias(f"{q}_to") for q in ("q1", "median", "q3")],
+        *[F.avg((F.col("value") < F.col(q)).cast("double")).alias(f"{q}_from") for q in ("q1", "median", "q3")], F.count_distinct("value").alias("d"))
+    within = F.lit(True)
+    for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):  # a value that many rows hold has all their ranks
+        within = within & (F.col(f"{q}_to") >= p - e) & (F.col(f"{q}_from") <= p + e)
+    return found.join(seen, "variable").select(
+        "variable", "n", "missing", "zero", "minus", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"), F.round("mean", 6).alias("mean"),
+        within.alias("quartiles_within"), (F.abs(F.col("unique_count") / F.col("d") - 1) <= 0.08).alias("distinct_within"))
+
+
 @register("category_by_target", sql(
     """SELECT variable, value AS level, Churn AS target, CAST(count(*) AS BIGINT) AS n,
   round(count(*) / sum(count(*)) OVER (PARTITION BY variable, value), 6) AS share
