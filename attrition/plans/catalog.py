@@ -8,6 +8,7 @@ Every query starts from ``customers_raw`` over the whole ``customer`` and
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from attrition.operators.rank import mid_ranks as _mid_ranks
 from attrition.plans import training as TR
 from attrition.plans.oracle_sql import (CATS, EXPLORED, FEATURE_LIST, NUMS, PREPARED, fold_expr, split_flag,
                                         sql, unpivot)
-from attrition.session import scratch_path
+from attrition.session import checkpoint_root, scratch_path
 from attrition.sources import io as IO
 from attrition.sources import requests as RQ
 from attrition.sources.fixture import customers_raw
@@ -427,10 +428,22 @@ def q_chi_square(spark, sf):
     return ST.chi_square(explored(spark, sf), CATS, "Churn", with_p=False)
 
 
-@register("chi_square_pvalues")
+def _p_sql(oracle, column, x, df=""):
+    """``oracle`` with p_value, the χ² tail at ``x`` (put beside ``column``): a sum for even df; for odd df the normal tails, by
+    Simpson's rule over 400 steps, and a sum. ``df`` is given where the oracle has none."""
+    inner = oracle.replace(column, f"{column}, {x} AS x{', ' + df + ' AS df' if df else ''}", 1)
+    return f"""SELECT * EXCLUDE (x, zz, two{", df" if df else ""}), round(greatest(0, CASE WHEN x <= 0 THEN 1
+    WHEN df % 2 = 0 THEN exp(-x / 2) * (SELECT sum(exp(k * ln(x / 2) - lgamma(k + 1))) FROM range(0, 60) t(k) WHERE k < df / 2)
+    ELSE two + coalesce((SELECT sum(exp((k - 0.5) * ln(x) - x / 2 - k * ln(2) - lgamma(k + 0.5) + 0.5 * ln(2))) FROM range(1, 60) t(k) WHERE k <= (df - 1) / 2), 0) END), 6) AS p_value
+  FROM (SELECT *, 1 - zz / 600.0 / sqrt(2 * pi()) * (SELECT sum(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * exp(-0.5 * power(zz * i / 400.0, 2))) FROM range(0, 401) t(i)) AS two
+    FROM (SELECT *, least(sqrt(greatest(x, 0)), 10) AS zz FROM ({inner})))"""
+
+
+@register("chi_square_pvalues", _p_sql(ORACLES["chi_square"], "round(n * (s - 1), 6) AS statistic", "n * (s - 1)"))
 def q_chi_square_pvalues(spark, sf):
     """Full test output with p-values (χ² tail by a pandas UDF on the result rows)."""
-    return ST.chi_square(explored(spark, sf), CATS, "Churn")
+    return ST.chi_square(explored(spark, sf), CATS, "Churn").withColumn("p_value", F.round("p_value", 6))
 
 
 @register("level_goodness_of_fit", sql(
@@ -442,9 +455,10 @@ def q_level_goodness_of_fit(spark, sf):
     return ST.level_goodness_of_fit(explored(spark, sf), CATS, "Churn", with_p=False)
 
 
-@register("level_goodness_of_fit_pvalues")
+@register("level_goodness_of_fit_pvalues", _p_sql(ORACLES["level_goodness_of_fit"], "round(any_value(kk.k) / sum(o) * sum(o * o) - sum(o), 6) AS statistic",
+                                                  "any_value(kk.k) / sum(o) * sum(o * o) - sum(o)"))
 def q_level_goodness_of_fit_pvalues(spark, sf):
-    return ST.level_goodness_of_fit(explored(spark, sf), CATS, "Churn")
+    return ST.level_goodness_of_fit(explored(spark, sf), CATS, "Churn").withColumn("p_value", F.round("p_value", 6))
 
 
 _LONG_NUM_Y = f"long AS ({unpivot('explored', NUMS, ids=['Churn'], cast='DOUBLE')})"
@@ -474,9 +488,12 @@ def q_mann_whitney(spark, sf):
     return ST.mann_whitney(explored(spark, sf), NUMS, "Churn", positive="Yes", with_p=False)
 
 
-@register("mann_whitney_pvalues")
+_MW_Z = "(u - n0 * n1 / 2.0 - sign(u - n0 * n1 / 2.0) * 0.5)\n        / sqrt(n0 * n1 / 12.0 * ((nn + 1) - ties / (nn * (nn - 1.0))))"
+
+
+@register("mann_whitney_pvalues", _p_sql(ORACLES["mann_whitney"], f"round({_MW_Z}, 6) AS z", f"power({_MW_Z}, 2)", "1"))
 def q_mann_whitney_pvalues(spark, sf):
-    return ST.mann_whitney(explored(spark, sf), NUMS, "Churn", positive="Yes")
+    return ST.mann_whitney(explored(spark, sf), NUMS, "Churn", positive="Yes").withColumn("p_value", F.round("p_value", 6))
 
 
 def _pairs_sql(cols):
@@ -813,7 +830,21 @@ def q_tune_gbt(spark, sf):
     """The search with all folds, rounds and patience over two of the points of ``config.GRID_FULL`` (README has the
     time that a point takes); ``training.fit_tuned`` searches the whole grid unless it is given another."""
     rows = TR.search_rows(prepared(spark, sf), CV_FOLDS)
-    return M.tune_gbt(rows, FEATURES, "Churn", SEARCH_GRID, weight="w", max_rounds=MAX_ROUNDS, patience=EARLY_STOP_ROUNDS, parallelism=8)
+    return M.tune_gbt(rows, FEATURES, "Churn", SEARCH_GRID, weight="w", max_rounds=MAX_ROUNDS, patience=EARLY_STOP_ROUNDS,
+                      parallelism=8, root=search_root(spark))
+
+
+def search_root(spark):
+    """One shared folder, so that the searches of ``tune_gbt`` and ``train_tuned`` over the same rows are one."""
+    return f"{checkpoint_root(spark).rstrip('/')}/attrition-scratch/searches"
+
+
+@register("train_tuned")
+def q_train_tuned(spark, sf):
+    """Fit with the search's winner at its best round; test-set positive-class probabilities. What ``tune_gbt`` has
+    fitted is taken over."""
+    fit, _ = TR.fit_tuned(prepared(spark, sf), SEARCH_GRID, parallelism=8, root=search_root(spark))
+    return TR.scored(fit.test, fit.artifacts).select("customerID", "Churn", F.round("proba", 6).alias("proba"))
 
 
 @register("staged_scores")
@@ -1060,6 +1091,35 @@ def q_score_batch(spark, sf):
     return scored_rows
 
 
+_HOLES = "holes AS (SELECT * REPLACE (CASE WHEN CAST(substr(Customer_ID, 2) AS BIGINT) % 60 = 1 THEN NULL ELSE tenure END AS tenure) FROM dirty)"
+_BAD_ROW = "coalesce(tenure < 0, false) OR coalesce(MonthlyCharges <= 0, false) OR " + " OR ".join(_bin_bad(f) for f in _BINARY)
+
+
+@register("score_policies", sql(f"""SELECT policy, mode, count(*) FILTER (WHERE mode = 'strict' AND rule IS NULL OR mode = 'quarantine' AND NOT bad) AS n_scored,
+  count(*) FILTER (WHERE mode = 'quarantine' AND bad) AS n_rejected, coalesce(any_value(rule), '') AS refused, true AS sound
+FROM (SELECT *, ({_BAD_ROW}) OR (policy = 'reject' AND (tenure IS NULL OR MonthlyCharges IS NULL)) AS bad FROM holes CROSS JOIN (VALUES ('scaled_zero'), ('raw_zero'), ('reject')) p(policy))
+CROSS JOIN (VALUES ('quarantine', NULL), ('strict', 'tenure')) m(mode, rule) GROUP BY policy, mode""", *_DIRTY, _HOLES))
+def q_score_policies(spark, sf):
+    """Both modes with each null policy over input with bad and null values: how many rows are scored and put aside, what
+    refuses the strict batch, and whether probabilities, classes and decisions go together."""
+    art = fitted(spark, sf).artifacts
+    df = dirty_input(spark, sf).withColumn("tenure", F.when(F.substring("Customer_ID", 2, 20).cast("long") % 60 != 1, F.col("tenure")))
+    out = []
+    for policy in ("scaled_zero", "raw_zero", "reject"):
+        good, bad = SCO.score_batch(df, art, mode="quarantine", null_policy=policy)
+        p, cls = F.col("churn_proba"), F.col("churn_class")
+        sound = p.between(0, 1) & ((cls == 1) == (F.col("decision") == DECISION_POSITIVE)) & ((cls == 1) == (p >= art.threshold) | (F.abs(p - art.threshold) <= 0.00005))
+        facts = good.agg(F.count(F.lit(1)).alias("n_scored"), F.bool_and(sound).alias("sound")).join(bad.agg(F.count(F.lit(1)).alias("n_rejected")))  # one row each
+        out.append(facts.select(F.lit(policy).alias("policy"), F.lit("quarantine").alias("mode"), "n_scored", "n_rejected", F.lit("").alias("refused"), "sound"))
+        try:
+            n, refused = SCO.score_batch(df, art, mode="strict", null_policy=policy)[0].count(), ""
+        except SCO.ValidationError as e:
+            n, refused = 0, str(e).rsplit(" ", 1)[-1]
+        out.append(spark.range(1).select(F.lit(policy).alias("policy"), F.lit("strict").alias("mode"), F.lit(n).cast("long").alias("n_scored"),
+                                         F.lit(0).cast("long").alias("n_rejected"), F.lit(refused).alias("refused"), F.lit(True).alias("sound")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @register("score_upload")
 def q_score_upload(spark, sf):
     """Upload path: CSV written from the features (with 'NA' and junk tokens),
