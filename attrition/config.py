@@ -69,6 +69,8 @@ COMMENT_POSITIVE = "Client susceptible de churner"
 COMMENT_NEGATIVE = "Client peu susceptible de churner"
 STATUS_POSITIVE = "Risque Churn"
 STATUS_NEGATIVE = "Client Fidèle"
+LABEL_POSITIVE = "Churn"
+LABEL_NEGATIVE = "Stable"
 
 # Scorecard indicators (in this order) and colour bands.
 SCORECARD_INDICATORS = [

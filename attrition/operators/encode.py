@@ -149,7 +149,7 @@ def learn_encoding(df: DataFrame, yes_no_candidates=None, one_hot_cols=(),
     levels = df.select(*sel).unpivot([], names, "variable", "value") \
         .filter(F.col("value").isNotNull()).distinct()
     found: dict = {}
-    for r in levels.toLocalIterator():
+    for r in levels.collect():  # one job; as many rows as the result gets columns
         found.setdefault(r["variable"], []).append(r["value"])
     yn = [c for i, c in enumerate(cands)
           if found.get(f"yn{i}") and set(found[f"yn{i}"]) <= {yes, no}]

@@ -179,14 +179,14 @@ def rank_summary(p: DataFrame, keys, order: str, quantiles=(), hinges=(), extra=
 
     The order statistic with 0-based index i is the value whose
     [cum, cum + n) interval contains i — no value map, no global window.
-    Group sizes are broadcast: ``keys`` must have few groups (variables).
+    Group sizes are joined back; the planner broadcasts them where they are few (variables).
     """
     keys, quantiles, hinges, extra = list(keys), list(quantiles), list(hinges), dict(extra or {})
     if not keys:  # one global group: join on a constant key (no cross join)
         p, keys = p.withColumn("_all", F.lit(0)), ["_all"]
     counts = sorted({c for _, c, _ in quantiles} | {c for _, c in hinges})
     tot = p.groupBy(*keys).agg(*[F.sum(c).alias(f"_N_{c}") for c in counts])
-    j = p.join(F.broadcast(tot), keys)
+    j = p.join(tot, keys)
     picks, post = {}, {}
     for name, c, q in quantiles:
         def h(n, q=q):
@@ -225,13 +225,12 @@ def order_stats(p: DataFrame, keys, order: str, count_col: str, index_fns: dict)
 
     ``index_fns`` maps an output name to a function of the group size column
     returning a 0-based index Column; the value whose [cum, cum + n) interval
-    holds that index is returned. One aggregation; ``keys`` must have few
-    groups (their totals are broadcast).
+    holds that index is returned. One aggregation; group sizes are joined back.
     """
     keys = list(keys)
     cum = F.col(f"cum_{count_col}")
     tot = p.groupBy(*keys).agg(F.sum(count_col).alias("_N"))
-    j = p.join(F.broadcast(tot), keys)
+    j = p.join(tot, keys)
     aggs = []
     for name, fn in index_fns.items():
         i = fn(F.col("_N"))

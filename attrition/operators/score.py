@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from attrition.config import (COMMENT_NEGATIVE, COMMENT_POSITIVE, CONTINUOUS_FEATURES,
                               DECISION_NEGATIVE, DECISION_POSITIVE, DEFAULT_THRESHOLD, FEATURES,
-                              ID_ALIASES, ID_PREFIX, MODEL_VERSION, STATUS_NEGATIVE, STATUS_POSITIVE)
+                              ID_ALIASES, ID_PREFIX, LABEL_NEGATIVE, LABEL_POSITIVE, MODEL_VERSION,
+                              STATUS_NEGATIVE, STATUS_POSITIVE)
 from attrition.operators.rank import row_ids
 from attrition.operators.scale import apply_range_scaler
 
@@ -256,4 +257,4 @@ def decision_labels(df: DataFrame, proba: str = "churn_proba", cls: str = "churn
     pos = F.col(cls) == 1
     return df.select("*", F.round(F.col(proba) * 100, 2).alias("proba_pct"),
                      F.when(pos, F.lit(STATUS_POSITIVE)).otherwise(F.lit(STATUS_NEGATIVE)).alias("status"),
-                     F.when(pos, F.lit("Churn")).otherwise(F.lit("Stable")).alias("class_label"))
+                     F.when(pos, F.lit(LABEL_POSITIVE)).otherwise(F.lit(LABEL_NEGATIVE)).alias("class_label"))

@@ -14,8 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attrition.config import (CONTINUOUS_FEATURES, CV_FOLDS, DECISION_POSITIVE, EARLY_STOP_ROUNDS, FEATURES, MAX_ROUNDS,
-                              SAMPLE_SEED, SAMPLE_SIZE, SCORECARD_INDICATORS, SERVICE_COLS, SPLIT_SEED)
+from attrition.config import (CONTINUOUS_FEATURES, CV_FOLDS, DECISION_POSITIVE, EARLY_STOP_ROUNDS, FEATURES, LABEL_NEGATIVE,
+                              LABEL_POSITIVE, MAX_ROUNDS, SAMPLE_SEED, SAMPLE_SIZE, SCORECARD_INDICATORS, SERVICE_COLS,
+                              SPLIT_SEED, STATUS_NEGATIVE, STATUS_POSITIVE)
 from attrition.functions.stats import DALLAL, STEPHENS, normal_quantile
 from attrition.operators import encode as E
 from attrition.operators import evaluate as EV
@@ -1142,8 +1143,8 @@ def synthetic_decisions(spark, sf):
 
 @register("decision_labels", sql(
     "SELECT customerID, round(score, 4) AS churn_proba, pred AS churn_class, round(round(score, 4) * 100, 2) AS proba_pct, "
-    "CASE WHEN pred = 1 THEN 'Risque Churn' ELSE 'Client Fidèle' END AS status, "
-    "CASE WHEN pred = 1 THEN 'Churn' ELSE 'Stable' END AS class_label FROM pred", *_METRIC_CTES, _PRED))
+    f"CASE WHEN pred = 1 THEN '{STATUS_POSITIVE}' ELSE '{STATUS_NEGATIVE}' END AS status, "
+    f"CASE WHEN pred = 1 THEN '{LABEL_POSITIVE}' ELSE '{LABEL_NEGATIVE}' END AS class_label FROM pred", *_METRIC_CTES, _PRED))
 def q_decision_labels(spark, sf):
     return SCO.decision_labels(synthetic_decisions(spark, sf))
 
