@@ -273,7 +273,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     most = 4096  # larger sets are heavy at any sensible boundary; they enter the cost as this size
     sizes = {int(r.n): r["count"] for r in classes.groupBy(F.least("n", F.lit(most)).alias("n")).count().collect()}
     light = boundary(sizes, held, num, den)
-    shared_order = spark.sparkContext.broadcast(order)
+    shared_order, order = spark.sparkContext.broadcast(order), None
 
     # 2: subsets of light sets, list entries of heavy ones
     def sign(batches):
@@ -311,6 +311,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
            .where("starts = 0 or ends = 0").select("key", "part", F.xxhash64("key", "run").alias("list"), "cls"))
     # a class by its smallest id; a 64-bit class shared by two digests only adds candidates
     met = written(met.join(classes.select("cls", "rep", "n"), "cls").select("key", "part", "list", "rep", "n"), "shingle-lists")
+    shared_order.destroy()  # its one use is written
 
     # 3: groups of sets connected through lists, and the smaller of two ways to compare them
     low = written(met.groupBy("list", "part", "key").agg(F.min("rep").alias("lo")), "list-heads")
@@ -380,6 +381,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
 
     shipped = cells.join(delivered, F.col("rep") == F.col("id")).select("unit", "i", "j", "side", "rep", "tokens")
     links = written(shipped.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(compare, "a long, b long"), "jaccard-links")
+    wanted.destroy()
     linked = components(links)
 
     # 5: back to documents; equal sets share the class
