@@ -3,8 +3,8 @@
 Equal sets are one class first. A set of n shingles shares at least t = ceil(n * num / den)
 with any partner, so two partners share a shingle among the first n - t + 1 of each, and two
 among the first n - t + 2, in one order of all shingles (rare first). That order comes from
-counts over the whole corpus, hashed to ``2**bits`` counters: a fixed size, an upper bound on
-each frequency, and any error in it costs time only.
+counts over the whole corpus, hashed to ``2**bits`` counters: as many as the corpus has bytes, at
+most 2**24, an upper bound on each frequency, and any error in it costs time only.
 
 * Light sets (n <= boundary) enumerate the 2-subsets of their first n - t + 2 shingles.
 * Heavy sets, and light ones large enough to be their partners, go to the inverted lists of
@@ -200,7 +200,7 @@ def forest(ids: list, sets: list, side: list, i: int, j: int, num: int, den: int
             yield ids[x], ids[y]
 
 
-def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, bits: int = 24, block: int = 256, heavy: int = HEAVY,
+def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, bits: int | None = None, block: int = 256, heavy: int = HEAVY,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): sets link when den * common >= num * union; component_id is the smallest linked id."""
     import pyarrow as pa
@@ -208,6 +208,9 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if bits is None:  # a text has fewer shingles than bytes, so small corpora need fewer counters to tell rare shingles apart
+        held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(24, max(16, int(held).bit_length()))
     part, slots = 1024, 1 << bits
 
     # 1: size and digest of every set, and the counters of each task
