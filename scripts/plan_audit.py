@@ -19,7 +19,7 @@ from attrition.plans import catalog  # noqa: E402
 from attrition.session import get_spark  # noqa: E402
 
 DEFAULT = ["customers_raw", "prepare_features", "profile_numeric", "chi_square", "mann_whitney",
-           "spearman_matrix", "auc", "risk_segments", "score_rejects"]
+           "spearman_matrix", "auc", "ks_normal", "risk_segments", "score_rejects", "request_verdicts", "choose_rounds", "profile_sketches"]
 
 
 def summarise(plan: str) -> dict:
