@@ -110,3 +110,12 @@ def test_prefix_sums_shuffle_once(spark):
     d = spark.range(0, 50).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
     plan = prefix_sums(d, [], "v", ["n"])._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Window" not in plan  # the one shuffle is behind the checkpoint
+
+
+def test_ranges_are_as_many_as_the_rows_need(spark, monkeypatch):
+    from attrition.operators import rank
+    monkeypatch.setattr(rank, "RANGE_ROWS", 10)
+    p = rank.prefix_sums(spark.range(35).selectExpr("id as v", "id + 1 as n").repartition(8), [], "v", ["n"])
+    assert p.rdd.getNumPartitions() == 4
+    assert [(r.v, r.cum_n) for r in p.orderBy("v").collect()] == [(v, v * (v + 1) // 2) for v in range(35)]
+    assert rank.prefix_sums(spark.range(0).selectExpr("id as v", "id as n"), [], "v", ["n"]).count() == 0
