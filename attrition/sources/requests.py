@@ -74,8 +74,9 @@ def parse_requests(bodies: DataFrame, features=tuple(FEATURES)) -> DataFrame:
     text = F.trim(F.regexp_replace("body", r"^[\s﻿]+|\s+$", ""))
     whole = F.when(F.right(text, F.lit(1)).isin("]", "}"), F.try_parse_json(text)).otherwise(F.lit(None))
     listed = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    rows = bodies.select("request", whole.isNotNull().alias("_json"),
-                         F.posexplode_outer(F.when(whole.isNotNull(), F.from_json(listed, "array<string>"))).alias("pos", "_text"))
+    # beside the explode, the body would be parsed again for each of its elements
+    whole_bodies = bodies.select("request", "body", whole.isNotNull().alias("_json"))
+    rows = whole_bodies.select("request", "_json", F.posexplode_outer(F.when(F.col("_json"), F.from_json(listed, "array<string>"))).alias("pos", "_text"))
     rows = rows.withColumn("_v", F.try_parse_json("_text"))
     rows = rows.withColumn("_object", F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)))
     rows = rows.withColumns({f"_k_{f}": _kind(_field(f)) for f in features})

@@ -130,3 +130,25 @@ def test_text_is_no_number_unless_parsed(spark, fit):
     flags = spark.createDataFrame([(True, "1", "1.0", "x", None)], "a boolean, b string, c string, d string, e int")
     assert SCO.validate_binary(flags, ["a", "b", "c", "d", "e"]).first()["invalid_columns"] == ["c", "d", "e"]
     assert SCO.validate_binary(flags, ["a", "b", "c", "d", "e"], text="parse").first()["invalid_columns"] == ["d", "e"]
+
+
+def test_a_body_is_parsed_once_and_not_for_each_element(spark):
+    from attrition.sources import requests as RQ
+    rows = RQ.parse_requests(spark.createDataFrame([("a", "[{}, {}, 1]"), ("b", "[{"), ("c", "{}")], "request string, body string"))
+    above = rows._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "body#" not in above
+    assert sorted((r.request, r.pos, r._json) for r in rows.select("request", "pos", "_json").collect() if r.request != "b") == [("a", 0, True), ("a", 1, True), ("a", 2, True), ("c", 0, True)]
+    assert [(r.pos, r._json) for r in rows.where("request = 'b'").collect()] == [(None, False)]
+
+
+def test_a_batch_of_one_file_is_parsed_on_all_cores(spark, monkeypatch, tmp_path):
+    from attrition.sources import requests as RQ
+    from attrition.streaming import score_stream as ST
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.txt").write_text("\n".join("{}" for _ in range(50)))
+    seen = []
+    monkeypatch.setattr(ST, "score_requests", lambda batch, *_: (seen.append((batch.rdd.getNumPartitions(), batch.count())), (batch, batch))[1])
+    monkeypatch.setattr(ST, "_replace", lambda *_: None)
+    source = RQ.request_bodies(spark, str(tmp_path / "in"), per_line=True, stream=True)
+    ST.score_request_stream(source, None, "", "", str(tmp_path / "checkpoint")).awaitTermination()
+    assert seen == [(spark.sparkContext.defaultParallelism, 50)]
