@@ -66,6 +66,8 @@ def score_request_stream(requests: DataFrame, art: Artifacts, out_path: str, ver
     """Start the scorer of a stream of (request, body), as ``request_bodies(..., stream=True)`` gives it; returns the running query."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        # a file is one task's text: its requests are dealt to all cores before they are parsed
+        batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism, "request")
         scored, verdicts = score_requests(batch, art, null_policy)
         _replace(scored, batch_id, out_path)
         _replace(verdicts, batch_id, verdict_path)
