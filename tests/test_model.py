@@ -232,3 +232,19 @@ def test_no_forest_is_left_behind(spark, trained):
     before = set(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/attrition-scratch/gbt-model-*"))
     M.forest_of(trained[1])
     assert set(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/attrition-scratch/gbt-model-*")) == before
+
+
+def test_node_ids_are_not_stored_and_the_trees_are_the_same(spark, trained):
+    df, _ = trained
+    pipe = M.gbt_estimator(FEATS, "Churn", {"rounds": 3, "max_depth": 4})
+    assert not pipe.getStages()[-1].getCacheNodeIds()
+    found = [pipe.copy({pipe.getStages()[-1].cacheNodeIds: c}).fit(df).stages[-1].toDebugString.split("\n", 1)[1] for c in (False, True)]
+    assert found[0] == found[1]
+
+
+def test_search_rows_read_their_table_once(spark):
+    from attrition.plans import training as TR
+    from attrition.plans.catalog import prepared
+    rows = TR.search_rows(prepared(spark, SF_SMALL), 2)
+    assert "orders" not in rows._jdf.queryExecution().optimizedPlan().toString() and not rows.isEmpty()
+    assert "o_custkey" not in rows._jdf.queryExecution().optimizedPlan().toString()
