@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrition.config import CV_FOLDS, EARLY_STOP_ROUNDS, FEATURES, GRID_FULL, MAX_ROUNDS, SPLIT_SEED
+from attrition.operators import encode as E
 from attrition.operators import evaluate as EV
 from attrition.operators import model as M
 from attrition.operators import profile as P
@@ -98,6 +99,8 @@ def fit_tuned(prepared: DataFrame, grid: dict | None = None, folds: int = CV_FOL
 def search_rows(prepared: DataFrame, folds: int = CV_FOLDS, id_col: str = "customerID", target: str = "Churn",
                 features=tuple(FEATURES)) -> DataFrame:
     """The scaled training rows with their fold and class weight, as the search reads them."""
+    checkpoint_root(prepared.sparkSession)
+    prepared = prepared.checkpoint()  # read for the scaler, the weight and the rows
     train = SP.split_train_test(prepared, id_col, 0.8, SPLIT_SEED).filter("is_train")
     scaled = SC.apply_range_scaler(train, SC.scaler_params(SC.fit_range_scaler(train, list(features))), list(features))
     return M.with_class_weight(SP.kfold_assign(scaled, id_col, folds), target, class_weight(scaled, target))
@@ -106,9 +109,14 @@ def search_rows(prepared: DataFrame, folds: int = CV_FOLDS, id_col: str = "custo
 _CACHE: dict = {}
 
 
-def fitted_for(spark, sf_dir: str, prepared_fn, params: dict | None = None) -> Fitted:
-    """Fit once per (session, data dir) — registered queries share the model."""
+def fitted_for(spark, sf_dir: str, raw_fn, params: dict | None = None) -> Fitted:
+    """Fit once per (session, data dir) — registered queries share the model. The artefacts keep the training table's
+    encoding, so that what is scored with them is prepared without another pass for its levels."""
     key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted((params or {}).items())))
     if key not in _CACHE:
-        _CACHE[key] = fit_model(prepared_fn(spark, sf_dir), params)
+        raw = raw_fn(spark, sf_dir)
+        encoding = E.learn_features(raw)
+        fit = fit_model(E.prepare_features(raw, encoding=encoding), params)
+        fit.artifacts.encoding = encoding
+        _CACHE[key] = fit
     return _CACHE[key]

@@ -108,3 +108,14 @@ def test_missing_threshold_defaults_to_half(spark, fit):
                           "feature string, lo double, hi double").write.parquet(f"{path}/scaler")
     loaded = IO.load_artifacts(spark, path)
     assert loaded.threshold == 0.5 and loaded.features == art.features
+
+
+def test_scoring_input_takes_the_stored_encoding(spark, monkeypatch):
+    """The levels are learned once, for the fit; what is scored with it is not read for them again."""
+    from attrition.operators import encode as E
+    from attrition.plans import catalog as C
+    art = C.fitted(spark, SF_SMALL).artifacts
+    assert art.encoding is not None and C.dirty_input(spark, SF_SMALL).exceptAll(C.dirty_input(spark, SF_SMALL, art.encoding)).isEmpty()
+    monkeypatch.setattr(E, "learn_encoding", lambda *_, **__: pytest.fail("levels learned again"))
+    for name in ("score_rejects", "score_upload", "score_requests", "score_request_stream"):
+        assert not C.QUERIES[name](spark, SF_SMALL).isEmpty()
