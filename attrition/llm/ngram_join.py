@@ -14,10 +14,13 @@ most 2**24, an upper bound on each frequency, and any error in it costs time onl
 
 Sets that meet in a subset or list are candidates. Emitting their pairs would be quadratic in a
 group of copies, so a list is cut into runs of sizes that can be partners, its candidates are
-joined to the smallest of their run (very frequent lists in several parts), connected to groups, and each set is shipped to its group once. Within a group,
-or list by list where that is the smaller work, blocks of at most ``block`` sets are compared
-exactly, all their pairs in one sparse product, and a block gives a spanning forest of its
-links. Components of those links are the classes.
+joined to the smallest of their run (very frequent lists in several parts) and connected to groups. Within a group,
+or list by list where that is the smaller work, blocks of at most ``block`` sets are compared, first by
+their marks: a set's mark has a bit for each residue of its shingles, 1 if an odd number of them has it, and two
+sets differ in at least as many shingles as their marks do in bits. About one bit a shingle tells chance meetings
+from partners, so that unions of rare lists, which grow faster than the corpus, do not ship texts. A text with a
+possible partner in its block is shipped there and compared exactly, all pairs of a block in one sparse
+product, and a block gives a spanning forest of its links. Components of those links are the classes.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than ``words``
 words make one shingle; a null, empty or blank text has no shingles and is its own class; rows
@@ -165,6 +168,50 @@ def signatures(s: np.ndarray, order: np.ndarray, light: int, num: int, den: int)
     return np.concatenate(keys), np.concatenate(freq)
 
 
+def mark(s: np.ndarray) -> bytes:
+    """Parities of the number of shingles at each residue modulo a power of two, at least their number."""
+    if not len(s):
+        return b""
+    width = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def partners(ids: list, size: list, marks: list, side: list, i: int, j: int, num: int, den: int, wide: int = 2048) -> np.ndarray:
+    """Whether each set of one cell may have a partner in it: no linked pair is missed. Marks are folded to the shorter of two."""
+    ids, size, side = (np.array(x, dtype=np.int64) for x in (ids, size, side))
+    marks = [np.frombuffer(m, np.uint8) for m in marks]
+    width, found = np.array([len(m) for m in marks]), np.zeros(len(marks), dtype=bool)
+    for w in np.unique(width).tolist():
+        own, rest = np.flatnonzero(width == w), np.flatnonzero(width >= w)
+        folded, at = np.stack([np.bitwise_xor.reduce(marks[k].reshape(-1, w), axis=0) for k in rest]), np.searchsorted(rest, own)
+        apart = np.zeros((len(own), len(rest)), dtype=np.float64)
+        for start in range(0, w, wide):
+            m = np.unpackbits(folded[:, start:start + wide], axis=1).astype(np.float32) * 2 - 1
+            apart += (m.shape[1] - m[at] @ m.T) / 2
+        a, b = size[own][:, None], size[rest][None, :]
+        may = (apart * (den + num) <= (a + b) * (den - num)) & (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (ids[own][:, None] != ids[rest][None, :])
+        if i != j:
+            may &= side[own][:, None] != side[rest][None, :]
+        found[own] |= may.any(axis=1)
+        found[rest] |= may.any(axis=0)
+    return found
+
+
+def by_cell(batches):
+    """(cell, its rows) from rows (unit, i, j, ...) in the order of their cells."""
+    now, rows = None, []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[:3] != now:
+                if rows:
+                    yield now, rows
+                now, rows = r[:3], []
+            rows.append(r[3:])
+    if rows:
+        yield now, rows
+
+
 def forest(ids: list, sets: list, side: list, i: int, j: int, num: int, den: int, wide: int = 2048):
     """Spanning forest of the links of one cell: pairs inside block i, or between blocks i and j."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
@@ -235,10 +282,10 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
                 if sum(map(len, held)) > most:
                     count()
                 d = digest(s)
-                out.append((i.as_py(), len(s), d, as_long(d)))
+                out.append((i.as_py(), len(s), d, as_long(d), mark(s)))
             if out:
-                ids, n, ds, cs = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ds, pa.binary()), pa.array(cs, pa.int64()),
+                ids, n, ds, cs, ms = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ds, pa.binary()), pa.array(cs, pa.int64()), pa.array(ms, pa.binary()),
                                                   pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
         if held:
             count()
@@ -247,11 +294,11 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
         if used:
             none = pa.nulls(len(used), pa.int64())
             planes = [pack(tables[k].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()) for k in used]  # low bytes, then high bytes
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(used), pa.binary()), none, pa.array(used, pa.int32()), pa.array(planes, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(used), pa.binary()), none, pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(planes, pa.binary())], names=names)
 
-    names = ["doc_id", "n", "digest", "cls", "block", "counts"]
-    measured = written(texts.mapInArrow(measure, "doc_id long, n long, digest binary, cls long, block int, counts binary"), "shingle-sets")
-    sets = measured.where("block is null").select("doc_id", "n", "digest", "cls")
+    names = ["doc_id", "n", "digest", "cls", "mark", "block", "counts"]
+    measured = written(texts.mapInArrow(measure, "doc_id long, n long, digest binary, cls long, mark binary, block int, counts binary"), "shingle-sets")
+    sets = measured.where("block is null").select("doc_id", "n", "digest", "cls", "mark")
 
     def add_up(batches):
         import zstandard
@@ -294,7 +341,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
                     done.clear()
                 done.add(d)
                 k, f = signatures(s, counters, light, num, den)
-                keys.append(k.view(np.int64))
+                keys.append((k >> np.uint64(24)).view(np.int64))  # 40 bits of a key: one that two share only adds candidates
                 cut = 1 + (decoded(f) / heavy).astype(np.int64)
                 parts.append(np.where(cut > 1, as_long(d[8:]) % cut, -1).astype(np.int32))
                 cls.append(np.full(len(k), as_long(d), np.int64))
@@ -340,49 +387,48 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     cells = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "unit", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep")
 
-    # 4: the sets of the candidates, shipped to their cells, compared exactly
+    # 4: the cells' sets by their marks, then the texts of possible partners, shipped to their cells and compared exactly
+    def sift(batches):
+        for cell, rows in by_cell(batches):
+            side, reps, size, marks = zip(*rows, strict=True)
+            kept = dict(r[:2][::-1] for r, k in zip(rows, partners(reps, size, marks, side, *cell[1:], num, den), strict=True) if k)
+            if kept:
+                yield pa.RecordBatch.from_arrays([*(pa.array([c] * len(kept), x) for c, x in zip(cell, (pa.int64(), pa.int32(), pa.int32()), strict=True)),
+                                                  pa.array(kept.values(), pa.int32()), pa.array(kept, pa.int64())], names=["unit", "i", "j", "side", "rep"])
+
+    marked = sets.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "mark")
+    cells = written(cells.join(marked, F.col("rep") == F.col("id")).select("unit", "i", "j", "side", "rep", "n", "mark").repartition("unit", "i", "j")
+                    .sortWithinPartitions("unit", "i", "j").mapInArrow(sift, "unit long, i int, j int, side int, rep long"), "cells")
     wanted_bits = 24
     flags = np.zeros((1 << wanted_bits) // 8, dtype=np.uint8).reshape(-1, PAGE // 8)
-    for r in member_bits(units.select(F.xxhash64("rep").alias("h")).distinct(), "h", wanted_bits).collect():
+    for r in member_bits(cells.select(F.xxhash64("rep").alias("h")).distinct(), "h", wanted_bits).collect():
         flags[r.page] = np.frombuffer(r.bitmap, np.uint8)
     wanted = spark.sparkContext.broadcast(flags.reshape(-1))
 
     def deliver(batches):
-        powers, bitmap = Powers(), wanted.value
+        import zstandard
+
+        bitmap, pack = wanted.value, zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             at = b.column(2).to_numpy() % (1 << wanted_bits)
             hit = np.nonzero((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1)[0]
-            found = [(b.column(0)[int(r)].as_py(), shingles(b.column(1)[int(r)].as_buffer(), words, powers)) for r in hit]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([digest(s) for _, s in found], pa.binary()),
-                                                  pa.array([s.astype("<u8").tobytes() for _, s in found], pa.binary())], names=["id", "d", "tokens"])
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([pack(b.column(1)[int(r)].as_buffer() or b"") for r in hit], pa.binary())], names=["id", "packed"])
 
-    delivered = (texts.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(deliver, "id long, d binary, tokens binary"))
+    delivered = (texts.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(deliver, "id long, packed binary"))
 
     def compare(batches):
-        now, ids, own, side = None, [], [], []
-        out: list = []
-
-        def close():
-            if len(ids) > 1:
-                out.extend(forest(ids, own, side, now[1], now[2], num, den))
+        import zstandard
 
-        for b in batches:
-            for u, i, j, s, r, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (u, i, j) != now:
-                    close()
-                    now, ids, own, side = (u, i, j), [], [], []
-                ids.append(r)
-                own.append(np.frombuffer(t, "<u8"))
-                side.append(s)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
-                out = []
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        powers, unpack = Powers(), zstandard.ZstdDecompressor().decompress
+        for (_, i, j), rows in by_cell(batches):
+            if len(rows) > 1:
+                side, reps, packed = zip(*rows, strict=True)
+                out = list(forest(reps, [shingles(unpack(t), words, powers) for t in packed], side, i, j, num, den))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    shipped = cells.join(delivered, F.col("rep") == F.col("id")).select("unit", "i", "j", "side", "rep", "tokens")
+    shipped = cells.join(delivered, F.col("rep") == F.col("id")).select("unit", "i", "j", "side", "rep", "packed")
     links = written(shipped.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(compare, "a long, b long"), "jaccard-links")
     wanted.destroy()
     linked = components(links)

@@ -1,5 +1,6 @@
 """Exact dedup and the Jaccard join against brute force."""
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -125,6 +126,58 @@ def test_forest_connects_what_is_linked(groups, split):
     assert comp == ref and len(found) <= len(sets) - 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=90), min_size=2, max_size=6), st.sampled_from([25, 80, 85, 100]), st.booleans(), st.randoms())
+def test_partners_by_marks_miss_no_link(groups, num, split, rng):
+    for g in list(groups):  # near copies of other sizes, so that marks differ in width
+        near = set(g)
+        for _ in range(rng.randint(0, 9)):
+            near.discard(rng.choice(sorted(g)))
+            near.add(rng.getrandbits(64))
+        groups.append(near)
+    sets = [np.array(sorted(g), dtype=np.uint64) for g in groups]
+    side = [rng.randint(0, int(split)) for _ in sets]
+    found = ngram_join.partners(list(range(len(sets))), [len(s) for s in sets], [ngram_join.mark(s) for s in sets], side, 0, int(split), num, 100, wide=4)
+    for x in range(len(sets)):
+        for y in range(x):
+            if (not split or side[x] != side[y]) and 100 * len(groups[x] & groups[y]) >= num * len(groups[x] | groups[y]):
+                assert found[x] and found[y]
+
+
+def test_chance_meetings_ship_no_text():
+    """Sets of one cell that share some shingles, fewer than partners do, are told from partners by their marks."""
+    rng = np.random.default_rng(3)
+    some = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([some, rng.integers(0, 2**63, n, dtype=np.uint64)])) for n in range(300, 500, 10)]
+    sets.append(np.unique(np.concatenate([sets[4][5:], some[:2]])))
+    found = ngram_join.partners(list(range(len(sets))), [len(s) for s in sets], [ngram_join.mark(s) for s in sets], [0] * len(sets), 0, 0, 85, 100)
+    assert np.flatnonzero(found).tolist() == [4, len(sets) - 1]
+    twice = ngram_join.partners([7, 7], [len(sets[0])] * 2, [ngram_join.mark(sets[0])] * 2, [0, 0], 0, 0, 85, 100)
+    assert not twice.any()  # rows of one id are one document
+
+
+def test_chance_meetings_are_not_shipped(spark, monkeypatch):
+    """Few counters tell rare shingles badly, so that two texts meet in a passage; only near copies stay in the cells that texts are shipped to."""
+    rng = random.Random(4)
+    base, other, copy = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(3))
+    passage = " ".join(f"p{k}" for k in range(60))
+    more = [(10 + k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for k in range(20)]
+    docs = spark.createDataFrame([(1, f"{base} {passage}"), (2, f"{other} {passage}"), (3, copy), (4, copy + " end"), *more], "doc_id long, text string")
+    seen = {}
+
+    def kept(df, name):
+        out = written(df, name)
+        seen[name] = out
+        return out
+
+    written = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", kept)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(docs, bits=10).collect()}
+    assert got == {i: 3 if i == 4 else i for i, *_ in docs.collect()}
+    assert {r.rep for r in seen["units"].collect()} == {1, 2, 3, 4}
+    assert {r.rep for r in seen["cells"].collect()} == {3, 4}
+
+
 def test_shingles_follow_the_word_rule():
     cache = ngram_join.Powers()
     s = lambda t, n=4: ngram_join.shingles(t, n, cache).tolist()
