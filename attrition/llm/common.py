@@ -5,11 +5,15 @@
   false, a miss never is, so it may only be used to skip work.
 * ``components``: connected components by alternating large-star / small-star
   rounds, every round cut by a reliable ``checkpoint()``.
+* ``one_plan``: queries over small tables without the driver's cost of an adaptive plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attrition.session import checkpoint_root, scratch_path
 
@@ -24,6 +28,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def one_plan(spark: SparkSession, rows: int, each: int = 100_000) -> Iterator[None]:
+    """Queries run inside are planned once, over a partition for each ``each`` of ``rows`` (at most the session's).
+
+    An adaptive plan costs the driver a job, a thread with its memory, held for a minute, and a new description of the
+    whole plan for every exchange; many-step queries over small tables have little else to pay for. Lazy results
+    that are run later are planned as the session says then."""
+    now = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(now["spark.sql.shuffle.partitions"]), 1 + rows // each)))
+    try:
+        yield
+    finally:
+        for k, v in now.items():
+            spark.conf.set(k, v)
+
+
 def member_bits(keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
     """Bitmap rows (page, bitmap) over ``2**bits`` positions of ``key`` (long): at most 2**bits / 8 bytes."""
     at = F.pmod(F.col(key), F.lit(1 << bits))

@@ -28,7 +28,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from attrition.llm.common import written
+from attrition.llm.common import one_plan, written
 
 NONE = "\x00none"
 KEEP = 0.8  # share of all tokens that op4_mixing and the pipeline draw
@@ -159,10 +159,11 @@ def mix(docs: DataFrame, dims: list, targets=None, power: float = 0.8, seed: int
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     df = docs.select(row, *levels, word_tokens(F.col(text_col).cast("string")).alias("tokens"), u.alias("u"))
     cells = written(df.groupBy(*named.values()).agg(F.sum("tokens").alias("tokens")), "mix-cells")
-    want = {n: targets[d].select(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(n), "share") if targets else tempered(cells, n, power) for d, n in named.items()}
-    weight, _ = calibrate(cells, want, keep, hold)
-    chance = weight.select(*named.values(), F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("probability"))
-    out = df.join(written(chance, "mix-chances"), list(named.values()), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    want = {n: written(targets[d].select(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(n), "share"), "mix-targets") if targets else tempered(cells, n, power) for d, n in named.items()}
+    with one_plan(docs.sparkSession, cells.count()):  # raking is many small steps over the cells
+        weight, _ = calibrate(cells, want, keep, hold)
+        chance = written(weight.select(*named.values(), F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("probability")), "mix-chances")
+    out = df.join(chance, list(named.values()), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     return out.select("row", F.struct(*[F.when(F.col(n) != NONE, F.col(n)).alias(d) for d, n in named.items()]).alias("levels"), "tokens", "probability", (F.col("u") < F.col("probability")).alias("drawn"))
 
 

@@ -127,6 +127,20 @@ def decoded(codes: np.ndarray) -> np.ndarray:
     return np.exp2(codes / 2048.0) - 1
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """16-bit numbers compressed, low bytes before high bytes: most are zero or small."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    low, high = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, -1).astype(np.uint16)
+    return low + (high << np.uint16(8))
+
+
 def boundary(sizes: dict[int, int], held: np.ndarray, num: int, den: int) -> int:
     """Largest light size: least subsets + list entries * (1 + expected list length). ``held``: counters by code."""
     each = decoded(np.arange(len(held)))
@@ -262,8 +276,6 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
 
     # 1: size and digest of every set, and the counters of each task
     def measure(batches):
-        import zstandard
-
         powers, counts, held, most = Powers(), np.zeros(slots, dtype=np.uint16), [], 1 << 20
 
         def count():
@@ -289,35 +301,29 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
                                                   pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
         if held:
             count()
-        tables, pack = counts.reshape(part, -1), zstandard.ZstdCompressor(level=1).compress
+        tables = counts.reshape(part, -1)
         used = [k for k in range(part) if tables[k].any()]
         if used:
             none = pa.nulls(len(used), pa.int64())
-            planes = [pack(tables[k].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()) for k in used]  # low bytes, then high bytes
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(used), pa.binary()), none, pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(planes, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(used), pa.binary()), none, pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([packed(tables[k]) for k in used], pa.binary())], names=names)
 
     names = ["doc_id", "n", "digest", "cls", "mark", "block", "counts"]
     measured = written(texts.mapInArrow(measure, "doc_id long, n long, digest binary, cls long, mark binary, block int, counts binary"), "shingle-sets")
     sets = measured.where("block is null").select("doc_id", "n", "digest", "cls", "mark")
 
     def add_up(batches):
-        import zstandard
-
         total: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                low, high = np.frombuffer(unpack(c), np.uint8).reshape(2, -1).astype(np.int64)
-                total[k] = total.get(k, 0) + low + 256 * high
+                total[k] = total.get(k, 0) + unpacked(c).astype(np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([code(v).astype("<u2").tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([packed(code(v)) for v in total.values()], pa.binary())], names=["block", "counts"])
 
-    order, held = np.zeros((part, slots // part), dtype=np.uint16), np.zeros(65536)
+    order, held = {}, np.zeros(65536)  # the counters' codes stay compressed on their way over the driver
     for r in measured.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add_up, "block int, counts binary").toLocalIterator():
-        order[r.block] = np.frombuffer(r.counts, "<u2")
-        held += np.bincount(order[r.block], minlength=65536)
+        order[r.block] = bytes(r.counts)
+        held += np.bincount(unpacked(order[r.block]), minlength=65536)
     held[0] += 0 if held.any() else slots
-    order = order.reshape(-1)
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("cls").alias("cls")), "shingle-classes")
     most = 4096  # larger sets are heavy at any sensible boundary; they enter the cost as this size
@@ -327,7 +333,10 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
 
     # 2: subsets of light sets, list entries of heavy ones
     def sign(batches):
-        powers, done, counters = Powers(), set(), shared_order.value
+        powers, done, counters = Powers(), set(), np.zeros((part, slots // part), dtype=np.uint16)
+        for k, c in shared_order.value.items():
+            counters[k] = unpacked(c)
+        counters = counters.reshape(-1)
         for b in batches:
             keys, parts, cls, size = [], [], [], []
             for t in b.column(0):

@@ -73,7 +73,7 @@ class OrdinalModel:
         return sigmoid(self.weights[slots].sum() - self.thresholds)
 
 
-def fit(rows: list, grades: list, top: int, bits: int, steps: int = 150, ridge: float = 2e-4, rate: float = 0.1) -> OrdinalModel:
+def fit(rows: list, grades: list, top: int, bits: int, steps: int = 150, ridge: float = 2e-4, rate: float = 0.1, each: int = 500) -> OrdinalModel:
     """Maximum likelihood of the cumulative-link model; ``rows``: slots of each document, ``grades``: 0..top."""
     size = 1 << bits
     seen = sorted(set(grades))
@@ -81,8 +81,10 @@ def fit(rows: list, grades: list, top: int, bits: int, steps: int = 150, ridge:
         best = seen[0] if seen else top
         return OrdinalModel(np.zeros(size), np.where(np.arange(1, top + 1) <= best, -60.0, 60.0), bits)
     y = np.array(grades)
-    slot, length = np.concatenate(rows), np.array([len(r) for r in rows])  # every document has slots
-    start = np.cumsum(length) - length
+    blocks = []  # of some documents each, so that a step's temporary arrays stay small beside the slots; every document has slots
+    for at in range(0, len(rows), each):
+        length = np.array([len(r) for r in rows[at:at + each]])
+        blocks.append((slice(at, at + len(length)), np.concatenate(rows[at:at + each]), length, np.cumsum(length) - length))
     w = np.zeros(size)
     share = np.array([max(1, (y >= k).sum()) / (len(y) + 1) for k in range(1, top + 1)])
     first = -np.log(share / (1 - share))
@@ -91,7 +93,7 @@ def fit(rows: list, grades: list, top: int, bits: int, steps: int = 150, ridge:
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w, t = p[:size], np.concatenate([[p[size]], p[size] + np.cumsum(np.exp(p[size + 1:]))])
-        s = np.add.reduceat(w[slot], start)
+        s = np.concatenate([np.add.reduceat(w[slot], start) for _, slot, _, start in blocks])
         edges = np.concatenate([[-np.inf], t, [np.inf]])
         low, high = sigmoid(s - edges[y]), sigmoid(s - edges[y + 1])  # P(>= y), P(>= y + 1)
         low, high = np.where(y == 0, 1.0, low), np.where(y == top, 0.0, high)
@@ -99,7 +101,10 @@ def fit(rows: list, grades: list, top: int, bits: int, steps: int = 150, ridge:
         up, down = low * (1 - low) / chance, high * (1 - high) / chance
         g_s = -(up - down) / len(y)
         g_t = np.array([(np.where(y == k, up, 0) - np.where(y == k - 1, down, 0)).sum() / len(y) for k in range(1, top + 1)])
-        g = np.concatenate([np.bincount(slot, weights=np.repeat(g_s, length), minlength=size) + ridge * w, [g_t.sum()], [g_t[k:].sum() * np.exp(p[size + k]) for k in range(1, top)]])
+        g_w = ridge * w
+        for of, slot, length, _ in blocks:
+            g_w += np.bincount(slot, weights=np.repeat(g_s[of], length), minlength=size)
+        g = np.concatenate([g_w, [g_t.sum()], [g_t[k:].sum() * np.exp(p[size + k]) for k in range(1, top)]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     return OrdinalModel(p[:size], np.concatenate([[p[size]], p[size] + np.cumsum(np.exp(p[size + 1:]))]), bits)

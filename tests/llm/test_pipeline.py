@@ -1,14 +1,16 @@
 """The pipeline's stages over the smallest tables, each against its own input."""
 import hashlib
+import pickle
 import random
 
 import corpus_pipeline
 import __spark_entry__ as entry
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attrition.llm import ngram_join, packing, queries
+from attrition.llm import ngram_join, packing, quality, queries
 from tests.llm.test_copies import brute_classes
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +103,41 @@ def test_jaccard_query_equals_brute_force(spark):
     want = brute_classes([(r.doc_id, r.text) for r in docs], 4, 85, 100)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op8_ngram_join(spark, SF).collect()}
     assert got == {i: (n.pop(), c) for i, (n, c) in want.items()}
+
+
+def test_counters_pass_the_driver_compressed(spark, monkeypatch):
+    sizes = []
+    keep = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sizes.append(len(pickle.dumps(value))) or keep(self, value))
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(rng.randint(1, 40)))) for i in range(60)]
+    rows += [(i + 60, t + " end") for i, t in rows]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=80, den=100, bits=24).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute_classes(rows, 3, 80, 100).items()}
+    assert max(sizes) < 4 << 20  # 2**24 counters of two bytes are 32 MB
+
+
+def test_packed_counters_are_read_back():
+    counts = np.array([0, 1, 255, 256, 65535, 3], dtype=np.uint16)
+    assert (ngram_join.unpacked(ngram_join.packed(counts)) == counts).all()
+
+
+def test_raking_is_planned_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    spark.sparkContext.setJobGroup("raking", "jobs of one mix")
+    try:
+        mixed = corpus_pipeline.STAGES[3][1](spark, docs, SF)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [spark.conf.get(n) for n in names] == before
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("raking")) < 70
+    assert 0 < mixed.count() <= docs.count()
+
+
+def test_fit_in_blocks():
+    rng = np.random.default_rng(4)
+    rows, grades = [np.unique(rng.integers(0, 256, 20)).astype("<i4") for _ in range(90)], rng.integers(0, 3, 90).tolist()
+    one, many = (quality.fit(rows, grades, 2, 8, each=n) for n in (1000, 7))
+    assert np.allclose(one.weights, many.weights, rtol=1e-6, atol=1e-9) and np.allclose(one.thresholds, many.thresholds)
