@@ -101,10 +101,10 @@ def fit(rows: list, grades: list, top: int, bits: int, steps: int = 150, ridge:
         up, down = low * (1 - low) / chance, high * (1 - high) / chance
         g_s = -(up - down) / len(y)
         g_t = np.array([(np.where(y == k, up, 0) - np.where(y == k - 1, down, 0)).sum() / len(y) for k in range(1, top + 1)])
-        g_w = ridge * w
+        g_w = np.zeros(size)
         for of, slot, length, _ in blocks:
-            g_w += np.bincount(slot, weights=np.repeat(g_s[of], length), minlength=size)
-        g = np.concatenate([g_w, [g_t.sum()], [g_t[k:].sum() * np.exp(p[size + k]) for k in range(1, top)]])
+            np.add.at(g_w, slot, np.repeat(g_s[of], length))  # in the order of the documents, whatever the blocks
+        g = np.concatenate([g_w + ridge * w, [g_t.sum()], [g_t[k:].sum() * np.exp(p[size + k]) for k in range(1, top)]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     return OrdinalModel(p[:size], np.concatenate([[p[size]], p[size] + np.cumsum(np.exp(p[size + 1:]))]), bits)
