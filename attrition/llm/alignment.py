@@ -4,7 +4,8 @@ Every text is tokenised whole by both vocabularies (A: byte-level BPE; B: senten
 a leading space or line end begin in both at the same byte, both have an end just before: these verified shared
 ends are the anchors that cut a document into windows of token ids. A window's alignment depends on nothing but
 its two id tuples, so it is worked out once and kept; a document's groups, links and pairs are its windows'
-put together. A text without anchors is one window.
+put together. A text without anchors is one window. New words of a batch of texts are encoded some in a row and
+aligned all at once, by arrays.
 
 How many documents hold a linked pair of ids is counted over the whole corpus. The documents' distinct
 pairs are written once; they are counted by partial aggregates and joined with the counts, which are
@@ -36,6 +37,7 @@ MARK = "▁"
 #: Blanks beside space and line end that A's pattern knows, and B's mark for a space.
 OTHER_BLANKS = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + MARK + "]").search
 BROADCAST_PAIRS = 1_000_000  # 16 bytes each in a hash table
+JOINED, BLOCK = 16, 8192  # new chunks that are encoded as one text; that are aligned at once
 SCHEMA = "at long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
@@ -74,6 +76,36 @@ def align(a, b, a_side: tuple, b_side: tuple, base: int) -> tuple:
             ys = f"{ys},{b_name[y]}"
 
 
+def spelled(n: int, separators: str) -> np.ndarray:
+    """Ids below ``n`` in decimal, one row for each, with each separator behind."""
+    return np.array([[f"{i}{s}".encode() for s in separators] for i in range(n)])
+
+
+def align_runs(a: np.ndarray, b: np.ndarray, ends: np.ndarray, widths: list, names: list, base: int) -> list | None:
+    """What ``align`` gives of each of many runs that follow each other and end after ``ends`` bytes; None if not all of these are ends of
+    both sides. ``names``: A's ids before "," and "|", B's before ",", ";" and a line end."""
+    a_end, b_end = (np.cumsum(width[ids]) for width, ids in zip(widths, (a, b), strict=True))
+    a_last, b_last = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+    if not (np.array_equal(a_end[a_last], ends) and np.array_equal(b_end[b_last], ends)):
+        return None
+    first, last = np.searchsorted(b_end, a_end - widths[0][a], "right"), np.searchsorted(b_end, a_end)  # of B's tokens, those with A's first and last byte
+    number = last - first + 1
+    stop = np.cumsum(number)
+    links = (np.repeat(a, number) * base + b[np.arange(stop[-1]) + np.repeat(first - stop + number, number)]).tobytes()
+    a_shared = b_end[last] == a_end
+    b_shared = np.zeros(len(b), dtype=np.int64)
+    b_shared[last[a_shared]] = 1
+    a_stop, b_stop = np.flatnonzero(a_shared) + 1, np.flatnonzero(b_shared) + 1  # of the groups
+    row = np.empty(len(a) + len(b), dtype=max(n.dtype for n in names))
+    row[np.arange(len(a)) + np.append(0, b_stop)[np.cumsum(a_shared) - a_shared]] = names[0][a, a_shared.astype(np.int64)]
+    places = np.arange(len(b)) + a_stop[np.cumsum(b_shared) - b_shared]
+    b_shared[b_last] = 2
+    row[places] = names[1][b, b_shared]
+    groups = row.tobytes().translate(None, b"\0").decode().split("\n")
+    cuts = [0, *(stop[a_last] * 8).tolist()]
+    return list(zip(np.diff(a_last, prepend=-1).tolist(), np.diff(b_last, prepend=-1).tolist(), groups, [links[p:q] for p, q in zip(cuts, cuts[1:])]))
+
+
 def together(found) -> tuple:
     """What ``align`` gives of windows that follow each other."""
     n_a, n_b, groups, links = zip(*found, strict=True)
@@ -107,6 +139,8 @@ class Aligner:
             a_raw[t] = bytes(letters[c] for c in text)
         self.raw, self.base = (a_raw, b_raw), len(b_raw)
         self.sides = [([len(r) for r in raw], [str(i) for i in range(len(raw))]) for raw in self.raw]
+        self.widths = [np.array(width) for width, _ in self.sides]
+        self.names = [spelled(len(raw), s) for raw, s in zip(self.raw, (",|", ",;\n"), strict=True)]
         self.marked = [[r[:1] in (b" ", b"\n") for r in raw] for raw in self.raw]
         named = [self.b.id_to_piece(i) for i in range(self.base)]
         self.by_chunk = MARK in named and not any(re.search(f"[^{MARK}]{MARK}|\n.|.\n", p) for p in named)
@@ -115,16 +149,39 @@ class Aligner:
         self.chunks = Recent(lambda chunk: self.encode([chunk])[0], 250_000)
         self.windows = Recent(self.window, 120_000, lambda key: len(key[0]) // 4)
 
-    def encode(self, chunks: list) -> list:
-        """Per chunk its alignment; None if the bytes of A's or B's tokens are not the chunk's. B's model puts a mark in front of what it is given."""
+    def ids(self, texts: list) -> list:
+        """Per text its tokens of A and of B; None if their bytes are not the text's. B's model puts a mark in front of what it is given."""
         out = []
-        for text, x, y in zip(chunks, self.a.encode_batch_fast(chunks, add_special_tokens=False),
-                              self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1), strict=True):
+        for text, x, y in zip(texts, self.a.encode_batch_fast(texts, add_special_tokens=False),
+                              self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1), strict=True):
             a, b, want = x.ids, y[1:] if text[0] == "\n" else y or self.lone, text.encode()
-            same = all(b"".join([raw[i] for i in ids]) == want for raw, ids in zip(self.raw, (a, b), strict=True))
-            out.append(together([self.windows[key] for key in self.cut(a, b)]) if same else None)
+            same = all(b"".join(map(raw.__getitem__, ids)) == want for raw, ids in zip(self.raw, (a, b), strict=True))
+            out.append((a, b) if same else None)
         return out
 
+    def encode(self, chunks: list) -> list:
+        """Per chunk its alignment; None if the bytes of A's or B's tokens are not the chunk's."""
+        return [found and together([self.windows[key] for key in self.cut(*found)]) for found in self.ids(chunks)]
+
+    def encode_new(self, chunks: list):
+        """Every chunk with what ``encode`` gives of it. ``JOINED`` of them in a row are a text, whose ids are theirs; a chunk of blanks
+        alone would be one with the next, so these go by themselves, and so do those of a row whose bytes are not its tokens'."""
+        single = [c for c in chunks if not c.strip(" \n")]
+        words = [c for c in chunks if c.strip(" \n")]
+        for block in (words[k:k + BLOCK] for k in range(0, len(words), BLOCK)):
+            rows = [block[k:k + JOINED] for k in range(0, len(block), JOINED)]
+            found = self.ids(list(map("".join, rows)))
+            good = [c for row, ids in zip(rows, found, strict=True) if ids for c in row]
+            a, b = (np.fromiter(chain.from_iterable([ids[k] for ids in found if ids]), dtype=np.int64) for k in (0, 1))
+            ends = np.cumsum([len(c.encode()) for c in good], dtype=np.int64)
+            aligned = align_runs(a, b, ends, self.widths, self.names, self.base) if good else []
+            if aligned is None:
+                single += block
+                continue
+            single += [c for row, ids in zip(rows, found, strict=True) if not ids for c in row]
+            yield from zip(good, aligned)
+        yield from zip(single, self.encode(single) if single else [], strict=True)
+
     def cut(self, a: list, b: list) -> tuple:
         """Windows of two tokenisations of the same bytes, as their packed ids: cut before spaces or line ends at which tokens of both begin."""
         if not any(map(self.marked[0].__getitem__, a[1:])):
@@ -139,13 +196,15 @@ class Aligner:
         return self.by_chunk and not OTHER_BLANKS(text)
 
     def learn(self, texts) -> list:
-        """Per text its chunks (None for one that goes whole, or has no tokens); new ones are encoded together."""
+        """Per text its chunks (None for one that goes whole, or has no tokens); new ones are encoded together. Room for all that
+        the texts add is made first, so that none of their chunks is dropped before it is used."""
         known = self.chunks
         found = [self.find(" " + t) if t and self.chunked(t) else None for t in texts]
-        new = set().union(*filter(None, found)).difference(known).difference(known.older)
-        new = [c for c in new if len(c) <= 64]
-        for c, ids in zip(new, self.encode(new) if new else [], strict=True):
-            known.keep(c, ids)
+        here = [c for c in set().union(*filter(None, found)).difference(known) if len(c) <= 64]
+        again = {c: known.older[c] for c in here if c in known.older}
+        known.room(len(here))
+        for c, aligned in chain(again.items(), self.encode_new([c for c in here if c not in again])):
+            known.keep(c, aligned)
         return found
 
     def window(self, key: tuple) -> tuple:

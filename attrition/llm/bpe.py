@@ -60,9 +60,14 @@ class Recent(dict):
 
     def keep(self, key, found) -> None:
         if len(self) >= self.most:
+            self.room(1)
+        self[key] = found
+
+    def room(self, n: int) -> None:
+        """Room for ``n`` keys more."""
+        if len(self) + n > self.most:
             self.older = dict(self)
             self.clear()
-        self[key] = found
 
 
 class Merges:

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -185,6 +186,47 @@ def test_windows_begin_at_shared_ends_before_blanks():
         assert x == y and x[:1] in (b" ", b"\n")
 
 
+def test_new_chunks_are_encoded_in_rows_and_aligned_together(monkeypatch):
+    """A batch's new chunks go to the libraries as few texts, and get the alignment that each has alone."""
+    own = alignment.Aligner(BYTES, PIECES)
+    texts = [t for t in odd_texts(1500, "aB's,.;)(-1é \n") + odd_texts(400) + ["漢" * 30, "a <|endoftext|>\n<unk> <s>"] if own.chunked(t)]
+    chunks = sorted({c for t in texts for c in own.find(" " + t) if len(c) <= 64})
+    want, asked, ids = own.encode(chunks), [], own.ids
+    monkeypatch.setattr(own, "ids", lambda texts: asked.extend(texts) or ids(texts))
+    found = own.learn(texts)
+    assert len(chunks) > 2000 and len(asked) < len(chunks) / 8
+    assert all(own.chunks[c] == x for c, x in zip(chunks, want, strict=True))
+    assert [None if c is None else "".join(c) for c in found] == [" " + t if t else None for t in texts]
+    small = ["  ", " a", "\n", " b▁c", "\n\nd", " ", " e"]  # one has B's mark: no tokens, and those of its row go by themselves
+    assert dict(own.encode_new(small)) == dict(zip(small, own.encode(small), strict=True)) and own.encode([" b▁c"]) == [None]
+    assert list(own.encode_new([])) == []
+
+
+def test_runs_with_an_end_inside_a_token_are_not_cut():
+    own = alignment.Aligner(BYTES, PIECES)
+    (a, b), = own.ids([" the other"])
+    a, b = np.array(a), np.array(b)
+    assert alignment.align_runs(a, b, np.array([10]), own.widths, own.names, own.base) == own.encode([" the other"])
+    assert len(alignment.align_runs(a, b, np.array([4, 10]), own.widths, own.names, own.base)) == 2
+    assert alignment.align_runs(a, b, np.array([5, 10]), own.widths, own.names, own.base) is None
+
+
+def test_chunks_of_a_batch_are_not_dropped_before_they_are_used(monkeypatch):
+    """Chunks are turned out between batches, so that none of a batch has to be encoded by itself."""
+    own = alignment.Aligner(BYTES, PIECES)
+    own.chunks.most = 30
+    words = [f"w{i}x" for i in range(65)]
+    batches = [words[:25], words[25:50], words[:10] + words[50:], words[:25]]
+    want = [own.encode([" " + " ".join(b)])[0] for b in batches]
+    learn = own.learn
+    for batch, whole in zip(batches, want, strict=True):
+        text = " ".join(batch)
+        (chunks,) = learn([text])
+        with monkeypatch.context() as patched:
+            patched.setattr(own, "encode", None)
+            assert own.document(text, chunks) == whole
+
+
 # -- spelling ----------------------------------------------------------------
 
 def edits_of(word, letters):
