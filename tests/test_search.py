@@ -8,7 +8,7 @@ from attrition.plans import catalog
 from .conftest import SF_SMALL
 
 
-@pytest.mark.parametrize("name", ["train_tuned"])
+@pytest.mark.parametrize("name", ["train_tuned", "tune_gbt"])
 def test_registered_search_covers_the_whole_grid(spark, monkeypatch, name):
     class Asked(Exception):
         pass
