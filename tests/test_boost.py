@@ -134,3 +134,36 @@ def test_what_the_learner_does_not_take_is_left_to_mllib(spark, folded):
     assert B.binned(folded.withColumn("w", F.lit(-1.0)), FEATS, "y", "f", "w") is None
     assert B.binned(folded.withColumn("c", F.col("c").cast("string")), FEATS, "y", "f", "w") is None
     assert B.binned(folded.where("f = 1"), FEATS, "y", "f", "w") is None
+
+
+def test_a_whole_fit_is_the_model_that_mllib_fits(spark, folded, tmp_path):
+    from pyspark.ml import PipelineModel
+    rows, params = folded.fillna(0, subset=FEATS), {"max_depth": 4, "rounds": 6, "subsample": 1.0, "colsample_bytree": 1.0}
+    spark.sparkContext.setJobGroup("counted", "counted")
+    mine = M.train_counted(rows, FEATS, "y", params, "w")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    theirs = M.train_gbt(rows, FEATS, "y", params, "w")
+    assert jobs < 20
+
+    def scored(model):
+        return rows.transform(lambda d: M.positive_probability(model.transform(d))).select(*FEATS, "proba").orderBy(*FEATS).toPandas()
+
+    assert np.allclose(scored(mine), scored(theirs), atol=1e-9)
+    one, two = (M.feature_importance(m, FEATS).orderBy("rank").collect() for m in (mine, theirs))
+    assert [(r.feature, pytest.approx(r.gain, abs=1e-5), pytest.approx(r.cover, abs=1e-5)) for r in one] == [(r.feature, r.gain, r.cover) for r in two]
+    mine.write().save(str(tmp_path / "m"))
+    assert np.allclose(scored(PipelineModel.load(str(tmp_path / "m"))), scored(mine))
+    assert M.gbt_stage(mine).getMaxDepth() == 4 and M.gbt_stage(mine).getNumTrees == 6
+
+
+def test_a_tuned_model_is_fitted_as_the_search_fits(spark, monkeypatch):
+    from attrition.plans import training as TR
+    from attrition.plans.catalog import prepared
+
+    from .conftest import SF_SMALL
+    taken = []
+    monkeypatch.setattr(M, "train_counted", lambda *a, **k: taken.append(a[3]["rounds"]) or M.train_gbt(*a, **k))
+    fit, search = TR.fit_tuned(prepared(spark, SF_SMALL), POINT, folds=2, max_rounds=2, patience=2)
+    best = search.where("is_best").first()
+    assert taken == [best.best_round] * 2 and 0 < TR.scored(fit.test, fit.artifacts).agg(F.avg("proba")).first()[0] < 1
