@@ -167,3 +167,16 @@ def test_a_tuned_model_is_fitted_as_the_search_fits(spark, monkeypatch):
     fit, search = TR.fit_tuned(prepared(spark, SF_SMALL), POINT, folds=2, max_rounds=2, patience=2)
     best = search.where("is_best").first()
     assert taken == [best.best_round] * 2 and 0 < TR.scored(fit.test, fit.artifacts).agg(F.avg("proba")).first()[0] < 1
+
+
+def test_pure_leaves_are_equal():
+    """Leaves of one class only have the same value, whichever side of a split they are on."""
+    rng = np.random.default_rng(3)
+    code = rng.integers(0, 24, 300).astype(np.uint8)
+    cls = ((code % 5 < 2) & (rng.random(300) < 0.97)).astype(np.uint8)
+    cuts = [np.arange(23) + 0.5]
+    table = B.Binned([0, 1], [(0.0, 1.0), (1.0, 2.846153846153846)], cuts, [cuts] * 2, np.zeros(300, np.uint8), cls, [code], np.ones(300, dtype=np.int64))
+    tree = B.fit(B.Rows(table, 1), 6, 0.1, 1.0, 1.0, 1, 1).trees[0]
+    leaves = tree["value"][tree["left"] < 0]
+    pure = leaves[np.abs(leaves) > 1 - 1e-9]
+    assert len(pure) > 4 and set(pure) == {-1.0, 1.0}
